@@ -84,6 +84,12 @@ def compare_expr(col: Column, dtype: T.DataType, op: str, value) -> Column:
         return _natural_cmp(op, S.text_form(col, dtype), text)
 
     # text column: per-cell kind decides between value and natural compare
+    if kind == "string" and op in ("eq", "neq") and not any(ch.isdigit() for ch in text):
+        # A digit-free text literal can only equal digit-free cells, and then
+        # natural order is plain case/accent-insensitive collation: no need
+        # to classify cells.
+        equal = (F.collate(col, S.COLLATION) == F.collate(F.lit(text), S.COLLATION)) & ~col.rlike(r"\d")
+        return F.when(col.isNull(), F.lit(False)).otherwise(equal if op == "eq" else ~equal)
     t = S.js_trim(col)
     cls = S.text_class(col)
     num = t.try_cast("double")
@@ -104,14 +110,7 @@ def compare_expr(col: Column, dtype: T.DataType, op: str, value) -> Column:
         .when(cls == "boolean", F.lower(t))
         .otherwise(col)
     )
-    if kind == "string" and op in ("eq", "neq") and not any(ch.isdigit() for ch in text):
-        # A digit-free literal can only equal digit-free cells: plain collated compare.
-        natural = _apply(op, F.collate(cell_text, S.COLLATION), F.collate(F.lit(text), S.COLLATION))
-        natural = natural if op == "neq" else natural & ~cell_text.rlike(r"\d")
-        if op == "neq":
-            natural = natural | cell_text.rlike(r"\d")
-    else:
-        natural = _natural_cmp(op, cell_text, text)
+    natural = _natural_cmp(op, cell_text, text)
     return F.when(col.isNull(), F.lit(False)).when(same, native_cmp).otherwise(natural)
 
 
@@ -127,9 +126,11 @@ def condition_expr(table: Table, rule: dict) -> Column:
         text = S.py_text(value) if value is not None else "null"
         cell = S.text_form(col, dtype)
         fn = {"contains": cell.contains, "starts-with": cell.startswith, "ends-with": cell.endswith}[op]
-        return F.coalesce(fn(F.lit(text)), F.lit(False))
+        return fn(F.lit(text))
     if op in COMPARE_OPS:
-        return F.coalesce(compare_expr(col, dtype, op, value), F.lit(False))
+        # No coalesce(..., false): a null result drops the row just like false
+        # (the rule language has no NOT), and bare predicates reach the scan.
+        return compare_expr(col, dtype, op, value)
     raise TableError("INVALID_FILTER", f"Unsupported filter operator: {op}", operator=op)
 
 
