@@ -10,6 +10,10 @@ that are sums or averages are rounded to 2 places on both sides.
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,12 @@ from ..operators.columns import cast_columns, clean_text, rename_columns, select
 from ..operators.combine import join_tables, union_tables
 from ..operators.profile import infer_schema, preview, type_census
 from ..operators.rows import deduplicate_rows, filter_rows, handle_nulls, limit_rows, sort_rows
+from ..session import ensure_checkpoint_dir
+from ..sinks.files import write_csv, write_jsonl, write_parquet
 from ..sources.parquet import read_parquet
-from ..table import Table
+from ..sources.text import jsonl_keys, read_csv, read_jsonl
+from ..table import OrderKey, Table, hidden_name
+from .pipeline import evaluate_node, input_nodes, make_recipe, normalize_recipes, parse_pipeline, stringify_pipeline
 from .rank import with_rank
 
 
@@ -443,6 +451,158 @@ FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)
 """
 
 
+# -- S1, S2, K1: CSV round trip and a folder of mixed delimiters ---------------------------------
+
+def _scratch(spark, tag: str) -> str:
+    """Fresh folder under the shared checkpoint folder (never machine-local)."""
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    return os.path.join(base, "tablewright-scratch", f"{tag}-{uuid.uuid4().hex}")
+
+
+CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def _customer_back(t: Table) -> DataFrame:
+    typed = cast_columns(t, [{"column": "c_custkey", "type": "integer"}, {"column": "c_nationkey", "type": "integer"},
+                             {"column": "c_acctbal", "type": "number"}], "error")
+    typed.validate()
+    df = typed.to_df(ordered=False)
+    return df.select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+
+
+def q_csv_round_trip(spark, d):
+    path = _scratch(spark, "csv")
+    write_csv(select_columns(load(spark, d, "customer"), CUSTOMER_COLS), path)
+    return _customer_back(read_csv(spark, path, delimiter="comma"))
+
+
+def q_delimiter_folder(spark, d):
+    cust = select_columns(load(spark, d, "customer"), CUSTOMER_COLS)
+    root = _scratch(spark, "mixed")
+    paths = []
+    for name, delim in (("comma", ","), ("tab", "\t"), ("pipe", "|")):
+        paths.append(os.path.join(root, name))
+        write_csv(cust, paths[-1], delimiter=delim)
+    return _customer_back(read_csv(spark, paths, delimiter="auto"))
+
+
+DELIMITER_FOLDER_SQL = " UNION ALL ".join(
+    ["SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"] * 3)
+
+
+# -- S3, K2: JSONL round trip and key discovery ------------------------------------------------
+
+ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def q_jsonl_round_trip(spark, d):
+    path = _scratch(spark, "jsonl")
+    write_jsonl(select_columns(load(spark, d, "orders"), ORDER_COLS), path)
+    back = read_jsonl(spark, path)
+    typed = cast_columns(back, [{"column": "o_orderdate", "type": "timestamp"}], "error")
+    typed.validate()
+    return typed.to_df(ordered=False).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+def q_jsonl_columns(spark, d):
+    e = load(spark, d, "events").df
+    doc = (F.when(F.col("event_type") == "click", F.to_json(F.struct(F.col("value").alias("k"), F.col("user_id").alias("u"))))
+           .when(F.col("event_type") == "view", F.to_json(F.struct(F.col("user_id").alias("u"), F.col("event_id").alias("page"))))
+           .otherwise(F.col("props")))
+    keys = jsonl_keys(e.select("event_id", doc.alias("doc")), "doc", ["event_id"])
+    first = hidden_name("first")
+    t = Table(keys.select("key", F.col("first").alias(first)), (OrderKey(first),))
+    return with_rank(t, "position")
+
+
+JSONL_COLUMNS_SQL = """
+WITH j AS (
+  SELECT event_id, CASE event_type WHEN 'click' THEN json_object('k', value, 'u', user_id)
+                                   WHEN 'view' THEN json_object('u', user_id, 'page', event_id)
+                                   ELSE props END AS doc FROM events
+), k AS (
+  SELECT event_id, unnest(json_keys(doc)) AS key, unnest(range(len(json_keys(doc)))) AS pos FROM j
+), f AS (SELECT key, min(event_id * 1000 + pos) AS first FROM k GROUP BY key)
+SELECT key, row_number() OVER (ORDER BY first) AS position FROM f
+"""
+
+
+# -- K3: Parquet round trip ------------------------------------------------------------------------
+
+def q_parquet_round_trip(spark, d):
+    path = _scratch(spark, "parquet")
+    write_parquet(load(spark, d, "lineitem"), path)
+    return read_parquet(spark, path).to_df(ordered=False)
+
+
+# -- R1, R3, R5, R6: saved pipelines ---------------------------------------------------------------
+
+def _node(node_id, kind, **data):
+    return {"id": node_id, "type": kind, "position": {"x": 0, "y": 0}, "data": data}
+
+
+def _edge(id, s, sp, t, tp):
+    return {"id": id, "source": {"nodeId": s, "portId": sp}, "target": {"nodeId": t, "portId": tp}}
+
+
+def revenue_graph() -> dict:
+    """customer(BUILDING) x orders x lineitem -> revenue per order priority."""
+    return {"nodes": [
+        _node("customers", "parquet-input"), _node("orders", "parquet-input"), _node("items", "parquet-input"),
+        _node("segment", "filter-rows", conditions=[rule("c_mktsegment", "eq", "BUILDING")], combination="and"),
+        _node("co", "join", type="inner", keys=[{"left": "c_custkey", "right": "o_custkey"}]),
+        _node("coi", "join", type="inner", keys=[{"left": "o_orderkey", "right": "l_orderkey"}]),
+        _node("by_priority", "group-by", groups=["o_orderpriority"],
+              aggregates=[agg("count", "*", "lines"), agg("sum", "l_extendedprice", "revenue")]),
+        _node("sorted", "sort", keys=[{"column": "o_orderpriority", "direction": "asc"}]),
+        _node("out", "parquet-output", filename="revenue"),
+    ], "edges": [
+        _edge("e1", "customers", "table", "segment", "in"), _edge("e2", "segment", "out", "co", "left"),
+        _edge("e3", "orders", "table", "co", "right"), _edge("e4", "co", "out", "coi", "left"),
+        _edge("e5", "items", "table", "coi", "right"), _edge("e6", "coi", "out", "by_priority", "in"),
+        _edge("e7", "by_priority", "out", "sorted", "in"), _edge("e8", "sorted", "out", "out", "in"),
+    ]}
+
+
+def q_saved_run(spark, d):
+    inputs = {"customers": f"{d}/customer.parquet", "orders": f"{d}/orders.parquet", "items": f"{d}/lineitem.parquet"}
+    table = evaluate_node(spark, revenue_graph(), "sorted", inputs, keep_order=False)
+    return _round(with_rank(table), ["revenue"])
+
+
+SAVED_RUN_SQL = """
+SELECT o_orderpriority, count(*) AS lines, round(sum(l_extendedprice), 2) AS revenue,
+       row_number() OVER (ORDER BY o_orderpriority) AS rank
+FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
+WHERE c_mktsegment = 'BUILDING' GROUP BY o_orderpriority
+"""
+
+
+def segment_recipe_graph() -> dict:
+    return {"nodes": [
+        _node("customers", "parquet-input", fileName="customers-2025-01.parquet"),
+        _node("clean", "clean-text", columns=["c_mktsegment"], trim=True, caseMode="lowercase"),
+        _node("group", "group-by", groups=["c_mktsegment"],
+              aggregates=[agg("count", "*", "n"), agg("average", "c_acctbal", "avg_bal")]),
+        _node("out", "csv-output", filename="segments"),
+    ], "edges": [_edge("e1", "customers", "table", "clean", "in"), _edge("e2", "clean", "out", "group", "in"),
+                 _edge("e3", "group", "out", "out", "in")]}
+
+
+def q_recipe_rebind(spark, d):
+    recipe = make_recipe("Segments", parse_pipeline(stringify_pipeline(segment_recipe_graph(), "1")), now=0)
+    restored = normalize_recipes(json.loads(json.dumps([recipe])))[0]
+    bind = {n["id"]: f"{d}/customer.parquet" for n in input_nodes(restored["graph"])}
+    table = evaluate_node(spark, restored["graph"], "group", bind, keep_order=False)
+    return _round(table.to_df(ordered=False), ["avg_bal"])
+
+
+RECIPE_REBIND_SQL = """
+SELECT lower(c_mktsegment) AS c_mktsegment, count(*) AS n, round(avg(c_acctbal), 2) AS avg_bal
+FROM customer GROUP BY lower(c_mktsegment)
+"""
+
+
 QUERIES = {
     "pricing_summary": pricing_summary,
     "shipping_top10": shipping_top10,
@@ -479,6 +639,13 @@ QUERIES = {
     "profile": q_profile,
     "type_census": q_type_census,
     "preview": q_preview,
+    "csv_round_trip": q_csv_round_trip,
+    "delimiter_folder": q_delimiter_folder,
+    "jsonl_round_trip": q_jsonl_round_trip,
+    "jsonl_columns": q_jsonl_columns,
+    "parquet_round_trip": q_parquet_round_trip,
+    "saved_run": q_saved_run,
+    "recipe_rebind": q_recipe_rebind,
 }
 
 ORACLE_SQL = {
@@ -530,4 +697,11 @@ ORACLE_SQL = {
     "profile": PROFILE_SQL,
     "type_census": TYPE_CENSUS_SQL,
     "preview": PREVIEW_SQL,
+    "csv_round_trip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "delimiter_folder": DELIMITER_FOLDER_SQL,
+    "jsonl_round_trip": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
+    "jsonl_columns": JSONL_COLUMNS_SQL,
+    "parquet_round_trip": "SELECT * FROM lineitem",
+    "saved_run": SAVED_RUN_SQL,
+    "recipe_rebind": RECIPE_REBIND_SQL,
 }
