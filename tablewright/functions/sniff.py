@@ -96,6 +96,8 @@ def text_class(col: Column, labels: dict | None = None) -> Column:
     return (
         F.when(col.isNull(), F.lit(None))
         .when(t == "", lab("none"))
+        # cheap guard: every non-text class starts with a digit, sign, point, t or f
+        .when(~t.rlike("^[-+.0-9tTfF]"), lab("string"))
         .when(t.rlike(BOOLEAN_PATTERN), lab("boolean"))
         .when(t.rlike(TIMESTAMP_PATTERN) & parse_timestamp(t).isNotNull(), lab("timestamp"))
         .when(is_real_date(t), lab("date"))
@@ -133,31 +135,28 @@ def cell_class(col: Column, dtype: T.DataType, labels: dict | None = None) -> Co
 
 # -- natural order ---------------------------------------------------------
 
+NATURAL_WIDTH = 40
+
+
 def natural_key(text: Column) -> Column:
     """Collated key giving natural text order: digit runs compare by value,
     case and accents are ignored (``Item2`` = ``item002`` < ``item10``).
 
-    Each digit run is rewritten as <3-digit length><digits without leading
-    zeros>, so plain collation on the rewritten text orders numbers by value.
-    """
-    runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
-
-    def rewrite(run: Column) -> Column:
-        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
-        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 3, "0"), digits)).otherwise(run)
-
-    return F.collate(F.array_join(F.transform(runs, rewrite), ""), COLLATION)
+    Every digit run is left-padded with zeros to 40 digits (two regex passes,
+    no per-row lambda), so collation on the padded text orders numbers by
+    value; runs longer than 40 digits keep their full length."""
+    zeros = "0" * NATURAL_WIDTH
+    padded = F.regexp_replace(text, r"(\d+)", zeros + "$1")
+    fixed = F.regexp_replace(padded, r"0*(\d{%d})(?!\d)" % NATURAL_WIDTH, "$1")
+    return F.collate(fixed, COLLATION)
 
 
 def natural_key_py(text: str) -> str:
     """Driver-side twin of :func:`natural_key` for literals (uncollated)."""
-    def rewrite(match: re.Match) -> str:
-        run = match.group(0)
-        if run[0].isdigit():
-            digits = run.lstrip("0") or "0"
-            return f"{len(digits):03d}{digits}"
-        return run
-    return re.sub(r"[0-9]+|[^0-9]+", rewrite, text)
+    def pad(match: re.Match) -> str:
+        digits = match.group(0).lstrip("0") or "0"
+        return digits.zfill(NATURAL_WIDTH) if len(digits) <= NATURAL_WIDTH else "0" * NATURAL_WIDTH + match.group(0)
+    return re.sub(r"[0-9]+", pad, text)
 
 
 def natural_literal(text: str) -> Column:

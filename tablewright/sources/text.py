@@ -241,18 +241,22 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
     pos = F.struct("file", "block", "id")
     keyed = lines.select(pos.alias("pos"), reason.alias("reason"),
                          F.posexplode_outer(F.json_object_keys(F.col("line"))).alias("k", "key"))
-    keys = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("pos", "k")).alias("first"))
-    summary = keyed.filter(F.col("reason").isNotNull()).agg(
-        F.count(F.lit(1)).alias("bad"), F.min_by(F.struct("pos", "reason"), F.col("pos")).alias("first_bad"))
-    bad = summary.collect()[0]
-    if strict and bad["bad"]:
+    # One pass: first position of every key, and (under key null) bad lines.
+    found = keyed.groupBy("key").agg(
+        F.min(F.struct("pos", "k")).alias("first"),
+        F.count_if(F.col("reason").isNotNull()).alias("bad"),
+        F.min_by(F.struct("pos", "reason"), F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("first_bad"),
+    ).collect()
+    bad = next((r for r in found if r["key"] is None and r["bad"]), None)
+    if strict and bad is not None:
         first = bad["first_bad"]
         p = first["pos"]
         line_no = jsonl_line_number(_jsonl_lines(spark, paths, encoding), p["file"], p["block"], p["id"])
         msg = f"Invalid JSONL at line {line_no}." if first["reason"] == "JSONL_PARSE" else \
             f"JSONL line {line_no} must be a JSON object."
         raise TableError(first["reason"], msg, line=line_no, file=p["file"])
-    names = [r["key"] for r in sorted(keys.collect(), key=lambda r: (tuple(r["first"]["pos"]), r["first"]["k"]))]
+    keys = [r for r in found if r["key"] is not None]
+    names = [r["key"] for r in sorted(keys, key=lambda r: (tuple(r["first"]["pos"]), r["first"]["k"]))]
     if schema is None:
         inferred = spark.read.option("mode", "PERMISSIVE").option("encoding", encoding).json(paths).schema
         by_name = {f.name: f.dataType for f in inferred.fields if f.name != "_corrupt_record"}
