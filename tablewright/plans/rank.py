@@ -2,14 +2,20 @@
 
 ``row_number()`` over an un-partitioned window moves every row into one task.
 Instead: sort once (range-partitioned), tag rows with
-``monotonically_increasing_id`` (partition index in the high bits), checkpoint
-to the shared checkpoint folder so ids are stable, count rows per partition
-(at most one row per partition), turn the counts into offsets and add them
-back with a broadcast join whose size is bounded by the partition count.
+``monotonically_increasing_id`` (partition index in the high bits), write the
+tagged rows once to the shared checkpoint folder (this cuts the lineage, so
+the ids are fixed even if executors are lost later), count rows per sort
+partition (at most one row per partition), turn the counts into offsets and
+add them back with a broadcast join whose size is bounded by the number of
+sort partitions.  The rank only depends on the stored ids, not on how the
+files are split when they are read back.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +30,13 @@ def with_rank(table, name: str = "rank") -> DataFrame:
     t = as_table(table)
     if not t.order:
         raise ValueError("with_rank needs an ordered table")
-    ensure_checkpoint_dir(t.df.sparkSession)
+    spark = t.df.sparkSession
+    folder = os.path.join(ensure_checkpoint_dir(spark), "tablewright-rank", uuid.uuid4().hex)
     mid = hidden_name("mid")
     tagged = t.df.orderBy(*[k.column() for k in t.order]).select(*[C(c) for c in t.columns]) \
         .withColumn(mid, F.monotonically_increasing_id())
-    stable = tagged.checkpoint(eager=True)
+    tagged.write.mode("overwrite").parquet(folder)
+    stable = spark.read.parquet(folder)
     part = F.shiftright(C(mid), LOCAL_BITS)
     local = C(mid).bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
     counts = stable.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))

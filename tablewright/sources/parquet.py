@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TableError
-from ..table import OrderKey, Table, hidden_name
+from ..table import OrderKey, Table, hidden_name, spread
 
 
 def nested_columns(schema: T.StructType) -> list[str]:
@@ -15,14 +15,15 @@ def nested_columns(schema: T.StructType) -> list[str]:
 
 
 def read_parquet(spark: SparkSession, path, flat_only: bool = True, keep_order: bool = False,
-                 limit: int | None = None) -> Table:
+                 limit: int | None = None, rebalance: bool = True) -> Table:
     """Read Parquet files as a Table.
 
     ``flat_only`` rejects nested or repeated columns (``PARQUET_NESTED``), as
     pipelines only handle flat tables.  ``keep_order`` carries the file order
     (file path, row index inside the file) as the table's row order; it costs
     nothing until an operator needs it.  ``limit`` reads only the first rows
-    (Spark pushes the limit into the scan)."""
+    (Spark pushes the limit into the scan).  ``rebalance`` spreads a scan
+    that has fewer splits than the cluster has cores (see ``table.spread``)."""
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     if flat_only:
         nested = nested_columns(df.schema)
@@ -34,6 +35,8 @@ def read_parquet(spark: SparkSession, path, flat_only: bool = True, keep_order:
         fp, ri = hidden_name("file"), hidden_name("row")
         df = df.select("*", F.col("_metadata.file_path").alias(fp), F.col("_metadata.row_index").alias(ri))
         order = (OrderKey(fp), OrderKey(ri))
+    if rebalance and limit is None:
+        df = spread(df, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
     table = Table(df, order)
     if limit is not None:
         from ..operators.rows import limit_rows

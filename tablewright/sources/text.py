@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..errors import TableError
 from ..functions import sniff as S
-from ..table import OrderKey, Table, hidden_name
+from ..table import OrderKey, Table, hidden_name, spread
 
 # Delimiter names and the candidates of auto-detection, in
 # tie-break order.
@@ -172,7 +172,7 @@ def _read_csv_group(spark, paths, sep, header, encoding, multi_line, keep_order)
         cols += [F.col("_metadata.file_path").alias(fp), F.col("_metadata.file_block_start").alias(bs),
                  F.monotonically_increasing_id().alias(rid)]
         order = (OrderKey(fp), OrderKey(bs), OrderKey(rid))
-    return Table(df.select(*cols), order)
+    return Table(spread(df.select(*cols)), order)
 
 
 def read_csv(spark: SparkSession, path, delimiter="auto", header: bool = True, encoding: str = "utf-8",
@@ -272,7 +272,7 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
         fp, bs, rid = hidden_name("file"), hidden_name("block"), hidden_name("line")
         cols += [F.col("file").alias(fp), F.col("block").alias(bs), F.col("id").alias(rid)]
         order = (OrderKey(fp), OrderKey(bs), OrderKey(rid))
-    table = Table(parsed.select(*cols), order)
+    table = Table(spread(parsed.select(*cols)), order)
     return limit_rows(table, limit) if limit is not None else table
 
 

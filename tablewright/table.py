@@ -178,6 +178,24 @@ def _negate(c: Column, dt: T.DataType) -> Column | None:
     return None
 
 
+def spread(df: DataFrame, key: Column | None = None) -> DataFrame:
+    """Hash-spread a *narrow* scan over the cluster's cores.
+
+    A scan with fewer splits than ``defaultParallelism`` (one small file, one
+    row group) would run every per-row expression in a handful of tasks.  Then
+    rows are hash-partitioned on a stable per-row key (deterministic under
+    task retries, and unlike round-robin it needs no pre-sort); Catalyst still
+    pushes filters and column pruning below it, so only needed rows and
+    columns move.  A wide scan (the large-data case) is returned unchanged."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    if key is None:
+        key = F.xxhash64(*[C(c) for c in df.columns])
+    tmp = hidden_name("spread")
+    return df.withColumn(tmp, key).repartition(want, C(tmp)).drop(tmp)
+
+
 def as_table(value) -> Table:
     if isinstance(value, Table):
         return value
