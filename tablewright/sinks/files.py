@@ -14,8 +14,10 @@ written as text, so newlines inside cells are kept as they are.
 from __future__ import annotations
 
 import re
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,10 @@ from ..errors import TableError
 from ..functions import sniff as S
 from ..table import C, Table, as_table
 
+# The mapInArrow helpers below run in Python workers, which need not have
+# this package installed: ship this module's functions by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FORMAT_EXTENSIONS = {"csv": "csv", "jsonl": "jsonl", "parquet": "parquet"}
 # Known output extensions replaced at the end of a name,
 # characters not allowed in file names, maximum base name length.

@@ -15,8 +15,10 @@ Spark's JSON inference (conflicting types become text).  Errors carry the
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,10 @@ from ..errors import TableError
 from ..functions import sniff as S
 from ..table import OrderKey, Table, hidden_name, spread
 
+# The mapInArrow helpers below run in Python workers, which need not have
+# this package installed: ship this module's functions by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Delimiter names and the candidates of auto-detection, in
 # tie-break order.
 DELIMITER_NAMES = {"comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}
