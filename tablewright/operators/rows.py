@@ -260,7 +260,16 @@ def deduplicate_rows(table, columns=None) -> Table:
     keys = [str(c) for c in columns] if isinstance(columns, (list, tuple)) and columns else list(table.columns)
     require_columns(table.columns, keys)
     if not table.order:
-        return table.derive(table.df.dropDuplicates(keys))
+        if not any(isinstance(table.dtype(k), T.MapType) for k in keys):
+            return table.derive(table.df.dropDuplicates(keys))
+        # dropDuplicates refuses map keys; grouping on them works.
+        rest = [c for c in table.df.columns if c not in keys]
+        if not rest:
+            return table.derive(table.df.groupBy(*[C(k) for k in keys]).agg(F.count(F.lit(1)).alias("__tw_n")).drop("__tw_n"))
+        any_row = hidden_name("row")
+        agg = table.df.groupBy(*[C(k) for k in keys]).agg(F.first(F.struct(*[C(c) for c in rest])).alias(any_row))
+        out = agg.select(*[C(k) for k in keys], *[F.col(f"`{any_row}`.`{c}`").alias(c) for c in rest])
+        return table.derive(out.select(*[C(c) for c in table.df.columns]))
     table, ov = table.order_value()
     rest = [c for c in table.df.columns if c not in keys]
     ordv = hidden_name("ov")

@@ -315,3 +315,11 @@ def test_preview_text(spark):
     t = make_table(spark, [(None, "", 1.0, {"b": 2, "a": 1})], "a string, b string, c double, d struct<b:long,a:long>")
     row = tw.preview(t).collect()[0]
     assert tuple(row) == ("NULL", "", "1", '{"b":2,"a":1}')
+
+
+def test_dedup_map_keys(spark):
+    t = make_table(spark, [({"a": 1}, 1), ({"a": 1}, 2), ({"b": 2}, 3)], "m map<string,long>, v long", ordered=False)
+    assert sorted(r[1] is not None for r in rows_of(tw.deduplicate_rows(t, ["m"]), ordered=False)) == [True, True]
+    assert len(rows_of(tw.deduplicate_rows(t, ["m"]), ordered=False)) == 2
+    ordered = make_table(spark, [({"a": 1}, 1), ({"a": 1}, 2), ({"b": 2}, 3)], "m map<string,long>, v long")
+    assert [r[1] for r in rows_of(tw.deduplicate_rows(ordered, ["m"]))] == [1, 3]
