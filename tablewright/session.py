@@ -19,6 +19,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a JSON object with a repeated key keeps the last value (as JSON.parse does)
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 

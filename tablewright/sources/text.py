@@ -245,11 +245,14 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
     lines = _jsonl_lines(spark, paths, encoding).filter(F.col("line") != "")
     reason = _bad_reason(F.col("line"))
     pos = F.struct("file", "block", "id")
-    keyed = lines.select(pos.alias("pos"), reason.alias("reason"),
+    keyed = lines.select(pos.alias("pos"), reason.alias("reason"), "line",
                          F.posexplode_outer(F.json_object_keys(F.col("line"))).alias("k", "key"))
-    # One pass: first position of every key, and (under key null) bad lines.
+    value = F.element_at(F.from_json(F.col("line"), "map<string,variant>"), F.col("key"))
+    # One pass: first position and merged value type of every key, and
+    # (under key null) the bad lines.
     found = keyed.groupBy("key").agg(
         F.min(F.struct("pos", "k")).alias("first"),
+        F.call_function("schema_of_variant_agg", value).alias("vtype"),
         F.count_if(F.col("reason").isNotNull()).alias("bad"),
         F.min_by(F.struct("pos", "reason"), F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("first_bad"),
     ).collect()
@@ -264,8 +267,7 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
     keys = [r for r in found if r["key"] is not None]
     names = [r["key"] for r in sorted(keys, key=lambda r: (tuple(r["first"]["pos"]), r["first"]["k"]))]
     if schema is None:
-        inferred = spark.read.option("mode", "PERMISSIVE").option("encoding", encoding).json(paths).schema
-        by_name = {f.name: f.dataType for f in inferred.fields if f.name != "_corrupt_record"}
+        by_name = {r["key"]: variant_type_to_spark(r["vtype"]) for r in keys}
     else:
         by_name = {f.name: f.dataType for f in schema.fields}
         names = [n for n in names if n in by_name] + [n for n in by_name if n not in names]
@@ -282,6 +284,21 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
     return limit_rows(table, limit) if limit is not None else table
 
 
+def variant_type_to_spark(ddl: str | None) -> T.DataType:
+    """Spark type for a merged JSON value type: objects become structs,
+    numbers that are not all integers become double, conflicting or unknown
+    types become text (the JSON text of the value)."""
+    if not ddl or ddl in ("VOID", "VARIANT"):
+        return T.StringType()
+    text = ddl.replace("OBJECT<", "STRUCT<")
+    text = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", text)
+    text = re.sub(r"\b(VARIANT|VOID)\b", "STRING", text)
+    try:
+        return T.DataType.fromDDL(text)
+    except Exception:  # noqa: BLE001 - e.g. nested keys that are not valid DDL names
+        return T.StringType()
+
+
 def jsonl_rejects(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
     """Every malformed line as (file, line, reason), line numbers 1-based.
 
