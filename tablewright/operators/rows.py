@@ -91,7 +91,15 @@ def compare_expr(col: Column, dtype: T.DataType, op: str, value) -> Column:
         equal = (F.collate(col, S.COLLATION) == F.collate(F.lit(text), S.COLLATION)) & ~col.rlike(r"\d")
         return F.when(col.isNull(), F.lit(False)).otherwise(equal if op == "eq" else ~equal)
     t = S.js_trim(col)
-    cls = S.text_class(col)
+    if kind == "string":
+        # Only number and boolean cells change their text form; date and
+        # timestamp cells compare by their raw text, so skip parsing them.
+        cls = (F.when(t.rlike(S.BOOLEAN_PATTERN), F.lit("boolean"))
+               .when((t.rlike(S.INTEGER_PATTERN) | t.rlike(S.NUMBER_PATTERN)) & ~t.rlike(S.LEADING_ZERO_PATTERN),
+                     F.lit("number"))
+               .otherwise(F.lit("string")))
+    else:
+        cls = S.text_class(col)
     num = t.try_cast("double")
     if kind == "number":
         same = cls.isin("integer", "number")

@@ -323,3 +323,11 @@ def test_dedup_map_keys(spark):
     assert len(rows_of(tw.deduplicate_rows(t, ["m"]), ordered=False)) == 2
     ordered = make_table(spark, [({"a": 1}, 1), ({"a": 1}, 2), ({"b": 2}, 3)], "m map<string,long>, v long")
     assert [r[1] for r in rows_of(tw.deduplicate_rows(ordered, ["m"]))] == [1, 3]
+
+
+def test_filter_number_cell_against_text_literal(spark):
+    # '01000' is text (leading zero); the number cell 1e3 prints as 1000, which is
+    # naturally equal to 01000; dates and plain text do not match.
+    t = make_table(spark, [("1e3",), ("abc",), ("2026-01-01",), ("1000.5",)], "s string")
+    out = tw.filter_rows(t, [{"column": "s", "operator": "eq", "value": "01000"}])
+    assert [r[0] for r in rows_of(out)] == ["1e3"]
