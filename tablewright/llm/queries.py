@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, rendezvous
-from .common import documents
+from . import bytebpe, exact_dedup, mixing, quality, rendezvous
+from .common import documents, staged
 
 SHARDS = 16
 
 
+def op2_risk_controlled_rules(spark, sf_dir):
+    """Word measures, base rules, and the verdict of the cutoffs certified on ``labels``."""
+    measured = staged(documents(spark, sf_dir).select("doc_id", quality.measures().alias("m")), "measures")
+    chosen = quality.fit(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return measured.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
+                           quality.base_failed("m").alias("base_failed"), quality.kept("m", chosen).alias("kept"),
+                           quality.stratum("m").alias("stratum"), quality.score("m").alias("score"),
+                           quality.cutoff("m", chosen).alias("cutoff"))
+
+
+def op3_byte_bpe(spark, sf_dir):
+    """Token counts and digests of the ids and of the decoded bytes of every document."""
+    return bytebpe.encode_documents(documents(spark, sf_dir), with_ids=False)
+
+
 def op4_curriculum_mix(spark, sf_dir):
     """Words taken of each document by the curriculum mix, with the times of its passes."""
     plan = mixing.plan_mix(documents(spark, sf_dir))
@@ -29,7 +44,8 @@ def op10_rendezvous_shards(spark, sf_dir):
                                                   "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op4_curriculum_mix, op8_tree_merge_dedup, op10_rendezvous_shards)}
+QUERIES = {f.__name__: f for f in (op2_risk_controlled_rules, op3_byte_bpe, op4_curriculum_mix, op8_tree_merge_dedup,
+                                     op10_rendezvous_shards)}
 
 ORACLE_SQL = {
     "op8_tree_merge_dedup": """
