@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bytebpe, exact_dedup, mixing, quality, rendezvous
+from . import bytebpe, dartminhash, exact_dedup, mixing, quality, rendezvous
 from .common import documents, staged
 
 SHARDS = 16
@@ -32,6 +32,11 @@ def op4_curriculum_mix(spark, sf_dir):
                        *[F.get("passes", F.lit(p))["position"].alias(f"position_{p + 1}") for p in range(mixing.MAX_PASSES)])
 
 
+def op5_dart_minhash(spark, sf_dir):
+    """Classes of near-duplicate documents: 5-word shingles, similarity 0.8 or more."""
+    return dartminhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_tree_merge_dedup(spark, sf_dir):
     """Exact duplicates: of equal texts the row with the largest id stays."""
     return exact_dedup.dedup_report(documents(spark, sf_dir))
@@ -44,7 +49,7 @@ def op10_rendezvous_shards(spark, sf_dir):
                                                   "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_risk_controlled_rules, op3_byte_bpe, op4_curriculum_mix, op8_tree_merge_dedup,
+QUERIES = {f.__name__: f for f in (op2_risk_controlled_rules, op3_byte_bpe, op4_curriculum_mix, op5_dart_minhash, op8_tree_merge_dedup,
                                      op10_rendezvous_shards)}
 
 ORACLE_SQL = {
