@@ -262,14 +262,13 @@ def near_links(members: DataFrame, texts: DataFrame, small: int = SMALL, pivots:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> tuple:
-    """(rows, classes): ``rows`` are staged input rows (row, id, words, [doc]); ``classes`` maps words to
-    class_id, class_size, n_links, keep_row.
+    """(rows, classes): ``rows`` are staged input rows (row, id, words, bands, doc: the text, or with ``carry``
+    the whole input row); ``classes`` maps words to class_id, class_size, n_links, keep_row.
 
     class_id is the smallest id of the class; the row that stays is the first with that id.
     """
     rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), words_digest(text).alias("words"),
-                              F.col(text).alias("text"), band_hashes(text).alias("bands"),
-                              *([F.struct("*").alias("doc")] if carry else [])), "near-rows")
+                              band_hashes(text).alias("bands"), F.struct("*" if carry else text).alias("doc")), "near-rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = staged(rows.filter("words is not null").groupBy("words").agg(
         F.min(order).alias("best"), F.count(F.lit(1)).alias("n"), F.min("row").alias("node")), "near-nodes")
@@ -278,7 +277,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: boo
     members = heads.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = staged(members.join(shared, "bucket"), "near-buckets")
-    texts = staged(rows.select(F.col("row").alias("node"), "text").join(members.select("node").distinct(), "node"), "near-texts")
+    texts = staged(rows.select(F.col("row").alias("node"), F.col("doc")[text].alias("text")).join(members.select("node").distinct(), "node"), "near-texts")
     links, labels = near_links(members, texts)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     tagged = nodes.join(labels, "node", "left").join(degree, "node", "left") \
