@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bytebpe, dartminhash, exact_dedup, mixing, quality, rendezvous
-from .common import documents, staged
+from . import bytebpe, dartminhash, exact_dedup, mixing, quality, rendezvous, tokenfile
+from .common import documents, stage_path, staged
 
 SHARDS = 16
 
 
+def op1_orc_tokens(spark, sf_dir):
+    """Token ids of every document written as indexed ORC, and start, count and crc32 read back from it."""
+    path = stage_path(spark, "orc-tokens")
+    tokenfile.write_tokens(documents(spark, sf_dir), path)
+    return tokenfile.catalog(tokenfile.read_tokens(spark, path))
+
+
 def op2_risk_controlled_rules(spark, sf_dir):
     """Word measures, base rules, and the verdict of the cutoffs certified on ``labels``."""
     measured = staged(documents(spark, sf_dir).select("doc_id", quality.measures().alias("m")), "measures")
@@ -49,8 +56,8 @@ def op10_rendezvous_shards(spark, sf_dir):
                                                   "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_risk_controlled_rules, op3_byte_bpe, op4_curriculum_mix, op5_dart_minhash, op8_tree_merge_dedup,
-                                     op10_rendezvous_shards)}
+QUERIES = {f.__name__: f for f in (op1_orc_tokens, op2_risk_controlled_rules, op3_byte_bpe, op4_curriculum_mix, op5_dart_minhash,
+                                     op8_tree_merge_dedup, op10_rendezvous_shards)}
 
 ORACLE_SQL = {
     "op8_tree_merge_dedup": """
