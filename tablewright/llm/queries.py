@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bytebpe, dartminhash, exact_dedup, mixing, quality, rendezvous, tokenfile
+from . import bytebpe, dartminhash, exact_dedup, mixing, quality, randomness, rendezvous, tokenfile
 from .common import documents, stage_path, staged
 
 SHARDS = 16
@@ -44,6 +44,14 @@ def op5_dart_minhash(spark, sf_dir):
     return dartminhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_randomness_secrets(spark, sf_dir):
+    """Secrets by fixed patterns and by the randomness battery."""
+    found = randomness.secrets(documents(spark, sf_dir))
+    return found.select("doc_id", *[randomness.count_of("base", k).alias(f"n_{k}") for k in randomness.KINDS[:3]],
+                        F.sha2(randomness.listed("base"), 256).alias("base_sha256"), randomness.listed("spans").alias("spans"),
+                        randomness.count_of("spans", "random").alias("n_random"))
+
+
 def op8_tree_merge_dedup(spark, sf_dir):
     """Exact duplicates: of equal texts the row with the largest id stays."""
     return exact_dedup.dedup_report(documents(spark, sf_dir))
@@ -57,7 +65,7 @@ def op10_rendezvous_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_orc_tokens, op2_risk_controlled_rules, op3_byte_bpe, op4_curriculum_mix, op5_dart_minhash,
-                                     op8_tree_merge_dedup, op10_rendezvous_shards)}
+                                     op6_randomness_secrets, op8_tree_merge_dedup, op10_rendezvous_shards)}
 
 ORACLE_SQL = {
     "op8_tree_merge_dedup": """
