@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bytebpe, dartminhash, exact_dedup, mixing, quality, randomness, rendezvous, tokenfile
+from . import bytebpe, dartminhash, editcount, exact_dedup, langid, mixing, quality, randomness, rendezvous, tokenfile
 from .common import documents, stage_path, staged
 
 SHARDS = 16
@@ -52,11 +52,25 @@ def op6_randomness_secrets(spark, sf_dir):
                         randomness.count_of("spans", "random").alias("n_random"))
 
 
+def op7_edit_counts(spark, sf_dir):
+    """Token counts of every document before and after edits, kept by segment trees."""
+    state = editcount.build_state(documents(spark, sf_dir))
+    edited = editcount.apply_edits(state.withColumn("edits", editcount.sample_edits()))
+    return edited.select("doc_id", "result.n_tokens", F.size("edits").cast("long").alias("n_edits"), "result.edited_tokens",
+                         "result.recounted", F.sha2("result.text", 256).alias("edited_sha256"))
+
+
 def op8_tree_merge_dedup(spark, sf_dir):
     """Exact duplicates: of equal texts the row with the largest id stays."""
     return exact_dedup.dedup_report(documents(spark, sf_dir))
 
 
+def op9_kneser_ney_langid(spark, sf_dir):
+    """Language of every document by character models learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op10_rendezvous_shards(spark, sf_dir):
     """16 equal shards by rendezvous hashing of doc_id, slots, and the shard if there were 17."""
     assigned = rendezvous.assign(documents(spark, sf_dir), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -65,7 +79,8 @@ def op10_rendezvous_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_orc_tokens, op2_risk_controlled_rules, op3_byte_bpe, op4_curriculum_mix, op5_dart_minhash,
-                                     op6_randomness_secrets, op8_tree_merge_dedup, op10_rendezvous_shards)}
+                                     op6_randomness_secrets, op7_edit_counts, op8_tree_merge_dedup,
+                                     op9_kneser_ney_langid, op10_rendezvous_shards)}
 
 ORACLE_SQL = {
     "op8_tree_merge_dedup": """

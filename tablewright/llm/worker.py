@@ -26,6 +26,15 @@ def keep(key, make):
     return home.__dict__[key]
 
 
+def keep_latest(key, version, make):
+    """Like ``keep``, but a new version takes the place of the last one."""
+    slot = keep(("latest", key), dict)
+    if version not in slot:
+        slot.clear()
+        slot[version] = make()
+    return slot[version]
+
+
 class Memo(dict):
     """A dict that computes missing values and starts anew when it holds ``limit`` entries, so memory is bounded."""
 
