@@ -36,7 +36,7 @@ def op4_curriculum_mix(spark, sf_dir):
     """Words taken of each document by the curriculum mix, with the times of its passes."""
     plan = mixing.plan_mix(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken",
-                       *[F.get("passes", F.lit(p))["position"].alias(f"position_{p + 1}") for p in range(mixing.MAX_PASSES)])
+                       *[F.round(F.get("passes", F.lit(p))["position"], 6).alias(f"position_{p + 1}") for p in range(mixing.MAX_PASSES)])
 
 
 def op5_dart_minhash(spark, sf_dir):
@@ -82,7 +82,55 @@ QUERIES = {f.__name__: f for f in (op1_orc_tokens, op2_risk_controlled_rules, op
                                      op6_randomness_secrets, op7_edit_counts, op8_tree_merge_dedup,
                                      op9_kneser_ney_langid, op10_rendezvous_shards)}
 
+def _invert_sql(share: str, rates: tuple, knots: tuple) -> str:
+    """``mixing.invert_schedule`` as SQL."""
+    areas = [(b - a) * (r + s) / 2 for a, b, r, s in zip(knots, knots[1:], rates, rates[1:])]
+    done, cases = 0.0, ""
+    for a, b, r, s, area in zip(knots, knots[1:], rates, rates[1:], areas):
+        rest = f"(greatest({share} - {done / sum(areas)!r}::DOUBLE, 0) * {sum(areas)!r}::DOUBLE)"
+        root = f"sqrt({r * r!r}::DOUBLE + {rest} * {2 * (s - r) / (b - a)!r}::DOUBLE)"
+        done += area
+        cases += f" WHEN {share} < {done / sum(areas)!r}::DOUBLE THEN least({a!r}::DOUBLE + 2 * {rest} / ({r!r}::DOUBLE + {root}), {b!r}::DOUBLE)"
+    return f"CASE{cases} ELSE {knots[-1]!r}::DOUBLE END"
+
+
+def _mix_sql() -> str:
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    taken = [f"greatest(least(round(target)::BIGINT - (start + {p} * source_size), size), 0)" for p in range(mixing.MAX_PASSES)]
+
+    def position(p: int) -> str:
+        share = f"((start + {p} * source_size + taken_{p + 1} / 2.0::DOUBLE) / target)"
+        cases = " ".join(f"WHEN class = {c} THEN {_invert_sql(share, r, mixing.KNOTS)}" for c, r in enumerate(mixing.SCHEDULES))
+        return f"CASE WHEN taken_{p + 1} > 0 THEN round(CASE {cases} END, 6) END AS position_{p + 1}"
+
+    return f"""
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS size,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS place FROM documents),
+        sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r
+            FROM sized GROUP BY source),
+        weighed AS (
+            SELECT *, (r - 1) % {len(mixing.WEIGHTS)} AS class, 2 * source_size AS cap,
+                   {list(mixing.WEIGHTS)}[((r - 1) % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS w FROM sources),
+        filling AS (
+            SELECT *, sum(source_size) OVER ()::DOUBLE * {mixing.VOLUME}::DOUBLE - coalesce(sum(cap) OVER f, 0)::DOUBLE AS rest,
+                   sum(w) OVER () - coalesce(sum(w) OVER f, 0) AS rest_w
+            FROM weighed WINDOW f AS (ORDER BY cap::DOUBLE / w, r {before})),
+        targets AS (
+            SELECT *, CASE WHEN cap * rest_w <= w * rest THEN cap::DOUBLE
+                      ELSE w * max(CASE WHEN cap * rest_w > w * rest THEN rest / rest_w END) OVER () END AS target FROM filling),
+        streamed AS (
+            SELECT s.doc_id, s.size, t.source_size, t.target, t.class,
+                   coalesce(sum(s.size) OVER (PARTITION BY t.r ORDER BY place, doc_id NULLS LAST, size {before}), 0)::BIGINT AS start
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        passes AS (SELECT *, {", ".join(f"{t}::BIGINT AS taken_{p + 1}" for p, t in enumerate(taken))} FROM streamed)
+        SELECT doc_id, size, source_size, target, ({" + ".join(f"taken_{p + 1}" for p in range(mixing.MAX_PASSES))})::BIGINT AS taken,
+               {", ".join(position(p) for p in range(mixing.MAX_PASSES))} FROM passes"""
+
+
 ORACLE_SQL = {
+    "op4_curriculum_mix": _mix_sql(),
     "op8_tree_merge_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -1,0 +1,295 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import regex
+import tiktoken
+from helpers import awkward, awkward_rows, empty, words
+
+from tablewright.llm import bytebpe, editcount, langid, quality, randomness, tokenfile
+from tablewright.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+ODD = "aeht'sreIlmΣσİ   \n\t\r é ß中文🙂1234567890!?.,_-\x1c\x85 ́"
+
+
+def odd_text(r, n):
+    return "".join(r.choice(ODD) for _ in range(n))
+
+
+# -- token files ----------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenfile.VOCABULARY)
+
+
+def test_words_encode_like_whole_texts(tokenizer):
+    r, e = random.Random(1), tokenfile.WordEncoder(tokenfile.VOCABULARY)
+    texts = [odd_text(r, r.randint(0, 40)) + r.choice(["", "<|endoftext|>", " don't I'LL "]) for _ in range(3000)]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files(spark, tokenizer, scratch):
+    path = f"{scratch}/tokens"
+    tokenfile.write_tokens(awkward(spark), path)
+    got = sorted(tokenfile.catalog(tokenfile.read_tokens(spark, path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([i for i, *_ in awkward_rows() if i is not None]) + [None, None]
+    want, at = {}, 0
+    for i, t, *_ in awkward_rows():
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        want.setdefault(i, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    for r in got:
+        assert r.start == at and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
+        at += r.n_tokens
+    assert [r.doc_id for r in tokenfile.read_tokens(spark, path, [7, 99]).collect()] == [7]
+
+
+def test_token_files_prune_by_metadata(spark, scratch):
+    import glob
+
+    import pyarrow.orc as orc
+    path = f"{scratch}/many"
+    docs = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "'some words here' as text")
+    tokenfile.write_tokens(docs, path)
+    files = [orc.ORCFile(f) for f in sorted(glob.glob(f"{path}/*.orc"))]
+    assert sum(f.nrows for f in files) == 20_000
+    firsts = [f.read(columns=["doc_id"]).column("doc_id").to_pylist() for f in files if f.nrows]
+    assert [x for f in firsts for x in f] == list(range(0, 40_000, 2))
+    found = tokenfile.read_tokens(spark, path, [8, 9])
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+    assert [r.doc_id for r in found.collect()] == [8]
+
+
+# -- quality rules --------------------------------------------------------------
+
+def slow_measure(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = {}
+    for i in range(len(w) - 2):
+        windows.setdefault(tuple(w[i:i + 3]), []).append(i)
+    hit = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+
+def test_measures_by_brute_force(spark):
+    r = random.Random(2)
+    texts = [t for _, t, *_ in awkward_rows() if not t or len(t) < 5000]
+    texts += [odd_text(r, 60) + "\n" + "a b c a b c #*|\n" * r.randint(0, 3) for _ in range(200)]
+    for t in texts:
+        m = dict(zip(quality.MEASURES, quality.measure(t)))
+        assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]) == slow_measure(t)
+
+
+def test_binomial_cdf():
+    from math import comb
+    for n, k, p in ((10, 0, 0.05), (50, 3, 0.05), (300, 9, 0.1)):
+        assert quality.binomial_cdf(k, n, p) == pytest.approx(sum(comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1)))
+    assert quality.binomial_cdf(5, 5, 0.1) == 1.0
+
+
+def test_cutoffs_need_evidence():
+    all_good = lambda n: {(0, 0, 1): n, (0, len(quality.CUTOFFS), 0): 50}
+    assert quality.choose_cutoffs(all_good(60)) == {}
+    assert quality.choose_cutoffs(all_good(2000)) == {0: quality.CUTOFFS[-1]}
+    mixed = {(1, 0, 1): 900, (1, len(quality.CUTOFFS), 1): 100, (1, len(quality.CUTOFFS), 0): 500}
+    assert quality.choose_cutoffs(mixed) == {}  # a tenth of the good documents would go
+    assert quality.choose_cutoffs({}) == {}
+
+
+def test_quality_false_rejection_holds_and_junk_goes(spark):
+    docs = [(i, words(200, i), "s") for i in range(300)] + [(1000 + i, " | ".join(words(200, 1000 + i).split()), "s") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, kept string")
+    labels = spark.createDataFrame([(i, int(i < 1000), 0) for i, *_ in docs if i % 4 or i < 1000] + [(5, 0, 0), (None, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert all(i in ids for i in range(300)) and not any(i >= 1000 for i in ids)
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality.keep_good(awkward(spark), labels).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3, 6, 7, 15, None} and len(rows) == 8
+    assert quality.keep_good(empty(spark), labels).count() == 0
+
+
+# -- byte-level BPE -------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def pair():
+    coder = bytebpe.ByteBpe(bytebpe.VOCABULARY, bytebpe.PATTERN)
+    return coder, tiktoken.Encoding("t", pat_str=bytebpe.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+
+
+def test_bpe_equals_merges(pair):
+    coder, library = pair
+    r = random.Random(3)
+    texts = [t or "" for _, t, *_ in awkward_rows()] + [odd_text(r, r.randint(0, 60)) for _ in range(5000)]
+    texts += ["".join(chr(r.choice([r.randint(32, 126), r.randint(0x400, 0x4ff), r.randint(0x4e00, 0x9fff)])) for _ in range(40)) for _ in range(500)]
+    texts += ["a" * 3000, "the" * 500, " " * 100 + "x", "\n \n"]
+    for t in texts:
+        ids = coder.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
+        assert coder.decode(ids) == t.encode()
+
+
+def test_compatibility_is_what_merging_gives(pair):
+    coder, _ = pair
+    r = random.Random(4)
+    tokens = [t for t in r.sample(sorted(coder.left), 3000)]
+    for a, b in zip(tokens, tokens[1:]):
+        left = [coder.ranks[n[0]] for n in bytebpe.merge_tree(coder.table[a] + coder.table[b], coder.ranks)]
+        assert coder.pair[a, b] == (left == [a, b])
+
+
+def test_bpe_query_columns(spark, pair):
+    coder, library = pair
+    rows = bytebpe.encode_documents(awkward(spark)).collect()
+    want = sorted(repr((i, len(library.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest())) for i, t, *_ in awkward_rows())
+    assert sorted(repr((r.doc_id, r.n_tokens, r.decoded_sha256)) for r in rows) == want
+    for r in rows:
+        assert hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256
+    assert bytebpe.encode_documents(empty(spark)).count() == 0
+
+
+def test_bpe_ids_and_back(spark):
+    from pyspark.sql import functions as F
+    out = awkward(spark).select("text", bytebpe.encode_ids().alias("ids")).select("text", bytebpe.decode_ids().alias("back"))
+    assert all(r.back.decode() == (r.text or "") for r in out.collect())
+    assert spark.range(1).select(F.lit(None).cast("array<int>").alias("ids")).select(bytebpe.decode_ids()).collect()[0][0] is None
+
+
+# -- secrets --------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_base_spans_by_brute_force(spark):
+    r = random.Random(5)
+    bits = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "=", ": ", '"', "'", " ", "abcdefgh123", "short", "AKIA", "AKIA0123456789ABCD",
+            "0123456789abcdef" * 3, "🙂é", "\n", "x=", "secret=token: abcdefgh123", "aKIA", "_"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 12)))) for i in range(400)]
+    rows += [(None, None), (400, ""), (400, ""), (401, ("é " * 2000 + "password=abcdefgh12 ") * 20)]
+    got = randomness.secrets(spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "y")).collect()
+    want = sorted(repr((i, base_spans(t))) for i, t in rows)
+    assert sorted(repr((r.doc_id, [(x.start, x.kind, x.end) for x in r.base])) for r in got) == want
+    for r in got:
+        assert {tuple(x) for x in r.base} <= {tuple(x) for x in r.spans} and list(r.spans) == sorted(r.spans)
+
+
+def test_battery_finds_random_strings_and_leaves_words(spark):
+    r = random.Random(6)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    planted = {i: "".join(r.choice(b64) for _ in range(40)) for i in range(50)}
+    rows = [(i, f"{words(20, i)} {k} {words(20, i + 1)}") for i, k in planted.items()]
+    rows += [(1000 + i, " ".join("".join(r.choice(["over", "under", "stand", "ing", "the", "ment"]) for _ in range(8)) for _ in range(5))) for i in range(50)]
+    rows += [(2000, "https-some-long-path/with-many-words/index-of-things"), (2001, "2024-01-02-03-04-05-06-07"), (2002, "A" * 500), (2003, "abababababababababababab")]
+    got = {x.doc_id: x for x in randomness.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    hits = sum(any(texts[i][x.start:x.end] == k for x in got[i].spans) for i, k in planted.items())
+    assert hits >= 45
+    assert not any(got[i].spans for i in got if i >= 1000)
+
+
+def test_secrets_edges(spark):
+    assert randomness.secrets(empty(spark)).count() == 0
+    assert randomness.secrets(awkward(spark)).count() == len(awkward_rows())
+
+
+# -- edits ----------------------------------------------------------------------
+
+def test_edited_counts_equal_new_counts():
+    c, r = editcount.Counter(editcount.VOCABULARY, editcount.PATTERN), random.Random(7)
+    find = regex.compile(editcount.PATTERN).findall
+    for _ in range(300):
+        text = odd_text(r, r.choice([0, 3, 30, 400, 3000]))
+        tree = editcount.Tree.of_text(text, c)
+        for _ in range(6):
+            added = odd_text(r, r.choice([0, 1, 2, 10, 60])) * r.choice([1, 1, 1, 200])
+            tree, text, seen = tree.edit(text, r.randint(0, len(text) + 3), r.choice([0, 1, 2, 9, 80, 2000]), added, c)
+            assert tree.total == sum(c.tokens[p] for p in find(text)) and tree.chars[1] == len(text)
+
+
+def test_small_edits_touch_little():
+    c = editcount.Counter(editcount.VOCABULARY, editcount.PATTERN)
+    text = words(20_000, 8)
+    tree, _, seen = editcount.Tree.of_text(text, c).edit(text, len(text) // 2, 3, "new words", c)
+    assert seen < 500
+
+
+def test_edit_columns(spark):
+    from pyspark.sql import functions as F
+    coder = tiktoken.Encoding("t", pat_str=editcount.PATTERN, mergeable_ranks=bytebpe.read_ranks(editcount.VOCABULARY), special_tokens={})
+    state = editcount.build_state(awkward(spark)).withColumn("edits", editcount.sample_edits())
+    out = editcount.apply_edits(state).select("doc_id", "text", "result.*")
+    rows = editcount.apply_edits(state).select("doc_id", F.col("text").alias("old"), "edits", "result").collect()
+    assert len(rows) == len(awkward_rows()) and out.columns[:2] == ["doc_id", "text"]
+    for r in rows:
+        text = r.old
+        for e in r.edits:
+            at = max(0, min(e.at, len(text)))
+            text = text[:at] + e.added + text[at + e.removed:]
+        assert r.result.text == text
+        assert r.result.n_tokens == len(coder.encode_ordinary(r.old)) and r.result.edited_tokens == len(coder.encode_ordinary(text))
+    none = editcount.build_state(awkward(spark)).withColumn("edits", F.lit(None).cast(editcount.EDIT))
+    assert all(r.result.n_tokens == r.result.edited_tokens for r in editcount.apply_edits(none).collect())
+    assert editcount.build_state(empty(spark)).count() == 0
+
+
+# -- language -------------------------------------------------------------------
+
+def test_models_are_distributions():
+    counts = {"^^^^a": 3, "^^^ab": 2, "^^abc": 1, "^abc$": 2, "^^^^b": 1, "^^^bc": 1}
+    characters, model = langid.kneser_ney(counts, 6)
+    letters = "abc$^?"
+    for context in ("^^^^", "^^^a", "zzzz"):
+        total = 0.0
+        for c in letters:
+            p, gram = 1.0 / characters, context + c
+            for order, (part, rest) in enumerate(model, 1):
+                key = langid._hash_of([gram[-order:]], order)
+                low = langid._hash_of([gram[-order:-1] if order > 1 else ""], order - 1)
+                p = langid.find(part, key, 0.0)[0] + langid.find(rest, low, 1.0)[0] * p
+            total += p
+        assert total == pytest.approx(1.0)
+
+
+def test_language_held_out_accuracy(spark):
+    rows = QUERIES["op9_kneser_ney_langid"](spark, SF).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(rows) == len(docs)
+    held = [r for r in rows if r.held_out and docs[r.doc_id].lang]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.9 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(spark):
+    docs = awkward(spark)
+    fitted = langid.fit(docs)
+    rows = langid.predict(docs, fitted).collect()
+    assert len(rows) == len(awkward_rows())
+    letters = {i: t for i, t, *_ in awkward_rows()}
+    for r in rows:
+        if r.doc_id is not None and not re.search(r"[^\W\d_]", letters[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    nothing = langid.fit(empty(spark))
+    assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
+    assert langid.predict(empty(spark), fitted).count() == 0
