@@ -135,28 +135,34 @@ def cell_class(col: Column, dtype: T.DataType, labels: dict | None = None) -> Co
 
 # -- natural order ---------------------------------------------------------
 
-NATURAL_WIDTH = 40
+#: Digits of the length written before each run of digits.
+LENGTH_DIGITS = 10
 
 
 def natural_key(text: Column) -> Column:
     """Collated key giving natural text order: digit runs compare by value,
     case and accents are ignored (``Item2`` = ``item002`` < ``item10``).
 
-    Every digit run is left-padded with zeros to 40 digits (two regex passes,
-    no per-row lambda), so collation on the padded text orders numbers by
-    value; runs longer than 40 digits keep their full length."""
-    zeros = "0" * NATURAL_WIDTH
-    padded = F.regexp_replace(text, r"(\d+)", zeros + "$1")
-    fixed = F.regexp_replace(padded, r"0*(\d{%d})(?!\d)" % NATURAL_WIDTH, "$1")
+    Every digit run loses its leading zeros and gets its length in front, so
+    longer runs sort after shorter ones and equal lengths digit by digit; runs
+    of any length compare exactly.  Texts without digits are their own key."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def keyed(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=\d)", "")
+        size = F.lpad(F.length(digits).cast("string"), LENGTH_DIGITS, "0")
+        return F.when(part.rlike(r"^\d"), F.concat(size, digits)).otherwise(part)
+
+    fixed = F.when(text.rlike(r"\d"), F.array_join(F.transform(parts, keyed), "")).otherwise(text)
     return F.collate(fixed, COLLATION)
 
 
 def natural_key_py(text: str) -> str:
     """Driver-side twin of :func:`natural_key` for literals (uncollated)."""
-    def pad(match: re.Match) -> str:
+    def keyed(match: re.Match) -> str:
         digits = match.group(0).lstrip("0") or "0"
-        return digits.zfill(NATURAL_WIDTH) if len(digits) <= NATURAL_WIDTH else "0" * NATURAL_WIDTH + match.group(0)
-    return re.sub(r"[0-9]+", pad, text)
+        return str(len(digits)).zfill(LENGTH_DIGITS) + digits
+    return re.sub(r"[0-9]+", keyed, text)
 
 
 def natural_literal(text: str) -> Column:
@@ -237,16 +243,10 @@ def text_form(col: Column, dtype: T.DataType) -> Column:
 # -- numeric and time values of text cells --------------------------------------
 
 def number_of_text(t: Column) -> Column:
-    """Double of trimmed text in number syntax (decimal, exponent, or 0x/0o/0b);
-    null when the text is not a finite number."""
-    dec = F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
-    radix = (
-        F.when(t.rlike(r"^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 200), 16, 10).cast("double"))
-        .when(t.rlike(r"^0[oO][0-7]+$"), F.conv(F.substring(t, 3, 200), 8, 10).cast("double"))
-        .when(t.rlike(r"^0[bB][01]+$"), F.conv(F.substring(t, 3, 200), 2, 10).cast("double"))
-    )
-    v = F.coalesce(dec, radix)
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None).cast("double")).otherwise(v)
+    """Double of trimmed text in decimal or exponent syntax; null when the
+    text is not a finite number (hex, octal and binary text are not)."""
+    v = F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+    return F.when(F.abs(v) == float("inf"), F.lit(None).cast("double")).otherwise(v)
 
 
 def epoch_millis_of_text(t: Column) -> Column:

@@ -125,9 +125,9 @@ def cast_value(col: Column, dtype: T.DataType, target: str) -> tuple[Column, Col
         if is_text:
             ok = t.rlike(r"^[+-]?\d+(\.0+)?$")
             v = F.regexp_replace(t, r"\.0+$", "").try_cast("long")
-            v = F.when(ok & (F.abs(v) <= MAX_SAFE_INTEGER), v)
+            v = F.when(ok & v.between(-MAX_SAFE_INTEGER, MAX_SAFE_INTEGER), v)
         elif isinstance(dtype, S.INTEGRAL_TYPES):
-            v = F.when(F.abs(col.cast("long")) <= MAX_SAFE_INTEGER, col.cast("long"))
+            v = F.when(col.cast("long").between(-MAX_SAFE_INTEGER, MAX_SAFE_INTEGER), col.cast("long"))
         elif isinstance(dtype, S.FRACTIONAL_TYPES):
             d = col.cast("double")
             v = F.when((d == F.floor(d)) & (F.abs(d) <= 9.2e18), d.cast("long"))

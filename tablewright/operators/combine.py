@@ -7,8 +7,9 @@ never match, which is decided from the schema without running a join.
 Strategy (broadcast hash vs shuffled sort-merge) is left to Catalyst and AQE:
 broadcast happens only under ``spark.sql.autoBroadcastJoinThreshold`` on the
 measured size, skewed partitions are split by AQE for inner/left/right joins.
-Full outer joins route null-key rows around the join, because they can never
-match and would otherwise all land in one shuffle partition.
+Rows with null keys on a kept side can never match and would all land in one
+shuffle partition; a second join key, a row hash that is set only there, deals
+them out in the same pass.
 
 Union: by name (first-seen column order, missing columns null) or by
 position, with types widened first so that ANSI mode never fails at run time.
@@ -97,14 +98,16 @@ def join_tables(left, right, type: str = "inner", keys=None) -> Table:
 
     if any(c is None for c in conds):
         joined = _never_matching(ldf, rdf, how)
-    elif how == "full":
-        lnull = reduce(lambda a, b: a | b, [C(lk).isNull() for lk, _ in pairs])
-        rnull = reduce(lambda a, b: a | b, [C(names[rk]).isNull() for _, rk in pairs])
-        cond = reduce(lambda a, b: a & b, conds)
-        core = ldf.filter(~lnull).join(rdf.filter(~rnull), cond, "full")
-        joined = _union_all([core, _pad(ldf.filter(lnull), rdf), _pad(rdf.filter(rnull), ldf)])
-    else:
+    elif how == "inner":
         joined = ldf.join(rdf, reduce(lambda a, b: a & b, conds), how)
+    else:
+        # Rows with a null key never match but are kept: a second key deals them out.  It is 0
+        # where no key is null, and else a row hash, even on the left and odd on the right.
+        lsalt, rsalt = hidden_name("ls"), hidden_name("rs")
+        ldf = ldf.withColumn(lsalt, _null_salt([C(lk) for lk, _ in pairs], ldf, 0))
+        rdf = rdf.withColumn(rsalt, _null_salt([C(names[rk]) for _, rk in pairs], rdf, 1))
+        joined = ldf.join(rdf, reduce(lambda a, b: a & b, conds) & (C(lsalt) == C(rsalt)), how)
+        ldf, rdf = ldf.drop(lsalt), rdf.drop(rsalt)
 
     hidden = [h for h in ldf.columns if h.startswith("__tw_")] + [h for h in rdf.columns if h.startswith("__tw_")]
     joined = joined.select(*[C(c) for c in out_cols], *[C(h) for h in hidden])
@@ -123,6 +126,13 @@ def join_tables(left, right, type: str = "inner", keys=None) -> Table:
     return Table(joined, order, merge_checks(left, right), meta)
 
 
+def _null_salt(keys: list[Column], df: DataFrame, side: int) -> Column:
+    hashable = [C(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    missing = reduce(lambda a, b: a | b, [k.isNull() for k in keys])
+    spread = F.shiftleft(F.xxhash64(*hashable), 1).bitwiseOR(F.lit(2 + side))
+    return F.when(missing, spread).otherwise(F.lit(0).cast("long"))
+
+
 def _pad(df: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of ``df`` with null columns for everything only ``other`` has."""
     extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema.fields if f.name not in df.columns]

@@ -1,14 +1,14 @@
 """Profile and preview: inferred schema, type census, preview, row counts.
 
-Schema inference and the census are one aggregate each over the whole
-table (no explode of data rows): per column, conditional counts and a
-``bit_or`` of the cell-class bit.  The result row is turned into one row per
-column with ``stack`` and the type lattice is a ``CASE`` on the bit set, so
-nothing is computed row by row on the driver.
+Schema inference and the census share one count: each cell becomes a one-byte
+class code in a projection, the codes are unpivoted and counted by (column, code)
+with a map-side combine.  The type lattice is a ``CASE`` on the set of classes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +20,8 @@ CLASS_BITS = {"boolean": 1, "timestamp": 2, "date": 4, "integer": 8, "number": 1
               "string": 32, "array": 64, "object": 128}
 CENSUS_CLASSES = ("null", "empty", "blank") + tuple(CLASS_BITS)
 PREVIEW_ROWS = 100
+#: Columns classified by one projection; wider tables take several, so generated code stays small.
+CHUNK = 25
 
 
 def _lattice(bits):
@@ -36,36 +38,57 @@ def _lattice(bits):
         .otherwise(F.lit("mixed"))
 
 
-def _class_bit(col, dtype):
-    return F.coalesce(S.cell_class(col, dtype, {**CLASS_BITS, "none": 0}), F.lit(0))
+def _cell_codes(table: Table) -> DataFrame:
+    """(position, code, rows): how many cells of each column have each census class.
+
+    One narrow class code per cell (a tinyint, a few hundred columns per projection at most
+    :data:`CHUNK`), unpivoted and counted by (column, code) with a map-side combine."""
+    codes = {k: j for j, k in enumerate(CENSUS_CLASSES)}
+
+    def code(name: str):
+        col, dtype = C(name), table.dtype(name)
+        cls = S.cell_class(col, dtype, {**codes, "none": codes["blank"]})
+        if isinstance(dtype, T.StringType):
+            cls = F.when(col == "", F.lit(codes["empty"])).otherwise(cls)
+        return F.coalesce(cls, F.lit(codes["null"])).cast("tinyint")
+
+    parts = []
+    for start in range(0, len(table.columns), CHUNK):
+        names = table.columns[start:start + CHUNK]
+        # posexplode of an array of codes: nothing wider than a byte per cell is unpivoted
+        part = table.df.select(F.posexplode(F.array(*[code(n) for n in names])).alias("at", "code"))
+        parts.append(part.groupBy("at", "code").agg(F.count(F.lit(1)).alias("rows"))
+                     .select((F.col("at") + start).alias("position"), "code", "rows"))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+def _names(table: Table) -> DataFrame:
+    rows = [(i, n) for i, n in enumerate(table.columns)]
+    return table.df.sparkSession.createDataFrame(rows, "position int, name string")
 
 
 def infer_schema(table) -> DataFrame:
     """One row per column: name, type, nullable, nullCount, emptyCount,
     observedCount (full counts, also for mixed columns)."""
     table = as_table(table)
-    cols = table.columns
-    aggs = [F.count(F.lit(1)).alias("total")]
-    for i, name in enumerate(cols):
-        col, dtype = C(name), table.dtype(name)
-        aggs.append(F.count_if(col.isNull()).alias(f"n{i}"))
-        aggs.append((F.count_if(col == "") if isinstance(dtype, T.StringType) else F.lit(0).cast("long")).alias(f"e{i}"))
-        aggs.append(F.coalesce(F.bit_or(_class_bit(col, dtype)), F.lit(0)).alias(f"b{i}"))
-    row = table.df.agg(*aggs)
-    if not cols:
-        return row.select(F.lit(None).cast("string").alias("name")).limit(0)
-    stack_args = ", ".join(
-        f"{i}, '{_sql_str(n)}', n{i}, e{i}, b{i}" for i, n in enumerate(cols))
-    long = row.select("total", F.expr(f"stack({len(cols)}, {stack_args}) as (position, name, nullCount, emptyCount, bits)"))
-    return long.select(
-        F.col("position").cast("int").alias("position"),
-        "name",
-        _lattice(F.col("bits")).alias("type"),
-        (F.col("nullCount") > 0).alias("nullable"),
-        F.col("nullCount").cast("long").alias("nullCount"),
-        F.col("emptyCount").cast("long").alias("emptyCount"),
-        (F.col("total") - F.col("nullCount") - F.col("emptyCount")).cast("long").alias("observedCount"),
-    )
+    spark = table.df.sparkSession
+    if not table.columns:
+        return spark.createDataFrame([], "position int, name string, type string, nullable boolean, nullCount long, "
+                                         "emptyCount long, observedCount long")
+    bit = F.lit(0)
+    for j, k in enumerate(CENSUS_CLASSES):
+        bit = F.when(F.col("code") == j, F.lit(CLASS_BITS.get(k, 0))).otherwise(bit)
+    is_code = lambda k: F.col("code") == CENSUS_CLASSES.index(k)
+    rows_if = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("rows"))), F.lit(0)).cast("long")
+    found = _cell_codes(table).groupBy("position").agg(
+        F.bit_or(bit).alias("bits"), rows_if(is_code("null")).alias("nullCount"), rows_if(is_code("empty")).alias("emptyCount"),
+        rows_if(~is_code("null") & ~is_code("empty")).alias("observedCount"))
+    # an empty table has no cells: every column is text without values
+    every = _names(table).join(found, "position", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return every.select("position", "name", _lattice(F.coalesce("bits", F.lit(0))).alias("type"),
+                        (F.coalesce("nullCount", F.lit(0)) > 0).alias("nullable"), zero("nullCount"), zero("emptyCount"),
+                        zero("observedCount"))
 
 
 def schema_list(table) -> list[dict]:
@@ -76,29 +99,13 @@ def schema_list(table) -> list[dict]:
 
 def type_census(table) -> DataFrame:
     """Rows per (column, class); classes: null, empty (''), blank
-    (whitespace only) and the cell classes.  Zero counts are left out.
-
-    The class of each cell is computed once in a projection (an int code)
-    and counted per code in one aggregate."""
+    (whitespace only) and the cell classes.  Zero counts are left out."""
     table = as_table(table)
-    cols = table.columns
-    codes = {k: j for j, k in enumerate(CENSUS_CLASSES)}
-    projected = []
-    for i, name in enumerate(cols):
-        col, dtype = C(name), table.dtype(name)
-        cls = S.cell_class(col, dtype, {**codes, "none": codes["blank"]})
-        if isinstance(dtype, T.StringType):
-            cls = F.when(col == "", F.lit(codes["empty"])).otherwise(cls)
-        projected.append(F.coalesce(cls, F.lit(codes["null"])).alias(f"k{i}"))
-    coded = table.df.select(*projected)
-    aggs, args = [], []
-    for i, name in enumerate(cols):
-        for k, j in codes.items():
-            aggs.append(F.count_if(F.col(f"k{i}") == j).alias(f"c{i}_{j}"))
-            args.append(f"'{_sql_str(name)}', '{k}', c{i}_{j}")
-    row = coded.agg(*aggs)
-    long = row.select(F.expr(f"stack({len(args)}, {', '.join(args)}) as (column_name, cell_class, rows)"))
-    return long.filter(F.col("rows") > 0).select("column_name", "cell_class", F.col("rows").cast("long").alias("rows"))
+    if not table.columns:
+        return table.df.sparkSession.createDataFrame([], "column_name string, cell_class string, rows long")
+    label = F.element_at(F.array(*[F.lit(k) for k in CENSUS_CLASSES]), F.col("code") + 1)
+    return _cell_codes(table).join(_names(table), "position") \
+        .select(F.col("name").alias("column_name"), label.alias("cell_class"), F.col("rows").cast("long").alias("rows"))
 
 
 def preview(table, n: int = PREVIEW_ROWS) -> DataFrame:
@@ -117,7 +124,3 @@ def observe_counts(table, name: str) -> tuple[Table, Observation]:
     table = as_table(table)
     obs = Observation(name)
     return table.derive(table.df.observe(obs, F.count(F.lit(1)).alias("rows"))), obs
-
-
-def _sql_str(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")

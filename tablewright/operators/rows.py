@@ -10,6 +10,7 @@ cells of that kind, and everything else compares in natural text order
 from __future__ import annotations
 
 import datetime as _dt
+import decimal
 import math
 from functools import reduce
 
@@ -37,8 +38,12 @@ def _apply(op: str, a: Column, b: Column) -> Column:
 def _literal_kind(value):
     """(kind, native value, text) of a filter literal."""
     cls = S.py_class(value)
-    if cls in ("integer", "number"):
-        num = float(value) if not isinstance(value, str) else float(S.py_trim(value))
+    if cls == "integer":
+        # exact: a BIGINT literal must not pass through a double
+        num = int(S.py_trim(value)) if isinstance(value, str) else int(value)
+        return "number", num, S.py_text(num if abs(num) <= 2 ** 53 else float(num))
+    if cls == "number":
+        num = float(S.py_trim(value)) if isinstance(value, str) else float(value)
         return "number", num, S.py_text(num)
     if cls in ("date", "timestamp"):
         if isinstance(value, _dt.datetime):
@@ -59,6 +64,21 @@ def _natural_cmp(op: str, cell_text: Column, lit_text: str) -> Column:
     return _apply(op, S.natural_key(cell_text), S.natural_literal(lit_text))
 
 
+def _compare_integral(col: Column, op: str, value) -> Column:
+    """An integral column against any number, by an integer literal (exact and pushable)."""
+    if math.isnan(value):
+        return col.isNotNull() if op == "neq" else F.lit(False)
+    if math.isinf(value) or not -2 ** 63 <= value < 2 ** 63:
+        always = op == "neq" or op in (("lt", "lte") if value > 0 else ("gt", "gte"))
+        return col.isNotNull() if always else F.lit(False)
+    low = math.floor(value)
+    if low == value:
+        return _apply(op, col, F.lit(int(value)).cast("long"))
+    if op in ("eq", "neq"):
+        return F.lit(False) if op == "eq" else col.isNotNull()
+    return _apply("gt" if op in ("gt", "gte") else "lte", col, F.lit(int(low)).cast("long"))
+
+
 def compare_expr(col: Column, dtype: T.DataType, op: str, value) -> Column:
     """Loose comparison of a column with a literal (null cells never match)."""
     if value is None:
@@ -66,8 +86,10 @@ def compare_expr(col: Column, dtype: T.DataType, op: str, value) -> Column:
     kind, native, text = _literal_kind(value)
     if isinstance(dtype, S.NUMERIC_TYPES):
         if kind == "number":
-            lit = F.lit(int(native)) if float(native).is_integer() and abs(native) < 2 ** 62 else F.lit(native)
-            return _apply(op, col, lit)
+            if isinstance(dtype, S.INTEGRAL_TYPES):
+                return _compare_integral(col, op, native)
+            exact = isinstance(dtype, T.DecimalType) and isinstance(native, int) and abs(native) < 10 ** 37
+            return _apply(op, col, F.lit(decimal.Decimal(native) if exact else float(native)))
         return _natural_cmp(op, S.text_form(col, dtype), text)
     if isinstance(dtype, S.TIME_TYPES):
         if kind == "date":
@@ -180,9 +202,11 @@ def _replacement_expr(col: Column, dtype: T.DataType, value):
         return F.coalesce(col, F.lit(S.py_text(value))), False
     kind, native, _ = _literal_kind(value) if value is not None else ("null", None, None)
     if isinstance(dtype, S.NUMERIC_TYPES) and kind == "number":
-        fits = isinstance(dtype, S.FRACTIONAL_TYPES) or float(native).is_integer()
-        if fits:
-            return F.coalesce(col, F.lit(native).cast(dtype)), False
+        if isinstance(dtype, S.FRACTIONAL_TYPES):
+            return F.coalesce(col, F.lit(float(native)).cast(dtype)), False
+        bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(dtype)]
+        if math.isfinite(native) and native == int(native) and -2 ** bits <= native < 2 ** bits:
+            return F.coalesce(col, F.lit(int(native)).cast(dtype)), False
     if isinstance(dtype, T.BooleanType) and kind == "boolean":
         return F.coalesce(col, F.lit(native)), False
     if isinstance(dtype, S.TIME_TYPES) and kind == "date":
@@ -261,8 +285,8 @@ def deduplicate_rows(table, columns=None) -> Table:
     """Keep the first row per key (all visible columns when none given).
 
     Ordered tables keep the row with the smallest order value via
-    ``min_by`` in a hash aggregate: partial aggregation runs map-side, so a
-    hot key is collapsed before the shuffle.  Unordered tables use
+    ``min_by``: a sort-based aggregate (its buffer is a row) whose partial
+    step runs map-side, so a hot key is collapsed before the shuffle.  Unordered tables use
     ``dropDuplicates`` (an arbitrary row per key, as there is no "first")."""
     table = as_table(table)
     keys = [str(c) for c in columns] if isinstance(columns, (list, tuple)) and columns else list(table.columns)

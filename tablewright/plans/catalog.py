@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +21,13 @@ from ..operators.columns import cast_columns, clean_text, rename_columns, select
 from ..operators.combine import join_tables, union_tables
 from ..operators.profile import infer_schema, preview, type_census
 from ..operators.rows import deduplicate_rows, filter_rows, handle_nulls, limit_rows, sort_rows
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sinks.files import write_csv, write_jsonl, write_parquet
 from ..sources.parquet import read_parquet
-from ..sources.text import jsonl_keys, read_csv, read_jsonl
-from ..table import OrderKey, Table, hidden_name
-from .pipeline import evaluate_node, input_nodes, make_recipe, normalize_recipes, parse_pipeline, stringify_pipeline
+from ..sources.text import csv_rejects, jsonl_rejects, read_csv, read_jsonl
+from ..table import Table
+from .pipeline import (evaluate_node, input_nodes, make_recipe, normalize_recipes, parse_pipeline, preview_node, run_pipeline,
+                       stringify_pipeline)
 from .rank import with_rank
 
 
@@ -289,8 +289,14 @@ def _strict_sides(spark, d):
 
 
 def q_join_strict_types(spark, d):
-    left, right = _strict_sides(spark, d)
-    return join_tables(left, right, "inner", [{"left": "o_orderkey", "right": "key_txt"}]).to_df(ordered=False)
+    """One key pair fits, the other is number against text: no row matches, both sides stay whole."""
+    left, _ = _strict_sides(spark, d)
+    c = load(spark, d, "customer").df
+    right = Table(c.select("c_custkey", F.col("c_custkey").cast("string").alias("key_txt")))
+    keys = [{"left": "o_custkey", "right": "c_custkey"}, {"left": "o_orderkey", "right": "key_txt"}]
+    both = join_tables(left, right, "full", keys).to_df(ordered=False)
+    return both.groupBy(F.col("o_orderkey").isNull().alias("right_only")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("key_txt").alias("keys"), F.sum("o_custkey").alias("cust_sum"))
 
 
 def q_join_strict_left(spark, d):
@@ -453,12 +459,6 @@ FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)
 
 # -- S1, S2, K1: CSV round trip and a folder of mixed delimiters ---------------------------------
 
-def _scratch(spark, tag: str) -> str:
-    """Fresh folder under the shared checkpoint folder (never machine-local)."""
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
-    return os.path.join(base, "tablewright-scratch", f"{tag}-{uuid.uuid4().hex}")
-
-
 CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
@@ -471,14 +471,14 @@ def _customer_back(t: Table) -> DataFrame:
 
 
 def q_csv_round_trip(spark, d):
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     write_csv(select_columns(load(spark, d, "customer"), CUSTOMER_COLS), path)
     return _customer_back(read_csv(spark, path, delimiter="comma"))
 
 
 def q_delimiter_folder(spark, d):
     cust = select_columns(load(spark, d, "customer"), CUSTOMER_COLS)
-    root = _scratch(spark, "mixed")
+    root = scratch_path(spark, "mixed")
     paths = []
     for name, delim in (("comma", ","), ("tab", "\t"), ("pipe", "|")):
         paths.append(os.path.join(root, name))
@@ -496,7 +496,7 @@ ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_ord
 
 
 def q_jsonl_round_trip(spark, d):
-    path = _scratch(spark, "jsonl")
+    path = scratch_path(spark, "jsonl")
     write_jsonl(select_columns(load(spark, d, "orders"), ORDER_COLS), path)
     back = read_jsonl(spark, path)
     typed = cast_columns(back, [{"column": "o_orderdate", "type": "timestamp"}], "error")
@@ -504,15 +504,25 @@ def q_jsonl_round_trip(spark, d):
     return typed.to_df(ordered=False).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
-def q_jsonl_columns(spark, d):
+def _event_docs(spark, d) -> DataFrame:
     e = load(spark, d, "events").df
     doc = (F.when(F.col("event_type") == "click", F.to_json(F.struct(F.col("value").alias("k"), F.col("user_id").alias("u"))))
            .when(F.col("event_type") == "view", F.to_json(F.struct(F.col("user_id").alias("u"), F.col("event_id").alias("page"))))
            .otherwise(F.col("props")))
-    keys = jsonl_keys(e.select("event_id", doc.alias("doc")), "doc", ["event_id"])
-    first = hidden_name("first")
-    t = Table(keys.select("key", F.col("first").alias(first)), (OrderKey(first),))
-    return with_rank(t, "position")
+    return e.select("event_id", doc.alias("value"))
+
+
+def _write_lines(df: DataFrame, order: str, path: str) -> str:
+    """One text file in the order of a column (plain Spark writer)."""
+    df.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+    return path
+
+
+def q_jsonl_columns(spark, d):
+    """Columns of the JSONL reader in first-seen order (S3)."""
+    path = _write_lines(_event_docs(spark, d), "event_id", scratch_path(spark, "jsonl-keys"))
+    names = read_jsonl(spark, path).columns
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "key string, position int")
 
 
 JSONL_COLUMNS_SQL = """
@@ -530,7 +540,7 @@ SELECT key, row_number() OVER (ORDER BY first) AS position FROM f
 # -- K3: Parquet round trip ------------------------------------------------------------------------
 
 def q_parquet_round_trip(spark, d):
-    path = _scratch(spark, "parquet")
+    path = scratch_path(spark, "parquet")
     write_parquet(load(spark, d, "lineitem"), path)
     return read_parquet(spark, path).to_df(ordered=False)
 
@@ -566,7 +576,7 @@ def revenue_graph() -> dict:
 
 def q_saved_run(spark, d):
     inputs = {"customers": f"{d}/customer.parquet", "orders": f"{d}/orders.parquet", "items": f"{d}/lineitem.parquet"}
-    table = evaluate_node(spark, revenue_graph(), "sorted", inputs, keep_order=False)
+    table = evaluate_node(spark, revenue_graph(), "sorted", inputs)
     return _round(with_rank(table), ["revenue"])
 
 
@@ -593,7 +603,7 @@ def q_recipe_rebind(spark, d):
     recipe = make_recipe("Segments", parse_pipeline(stringify_pipeline(segment_recipe_graph(), "1")), now=0)
     restored = normalize_recipes(json.loads(json.dumps([recipe])))[0]
     bind = {n["id"]: f"{d}/customer.parquet" for n in input_nodes(restored["graph"])}
-    table = evaluate_node(spark, restored["graph"], "group", bind, keep_order=False)
+    table = evaluate_node(spark, restored["graph"], "group", bind)
     return _round(table.to_df(ordered=False), ["avg_bal"])
 
 
@@ -603,6 +613,257 @@ FROM customer GROUP BY lower(c_mktsegment)
 """
 
 
+# -- S1-S3a over files that plain Spark writers made -------------------------------------------------
+
+def _orders_text(spark, d) -> DataFrame:
+    return load(spark, d, "orders").df.select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+def q_csv_mixed_headers(spark, d):
+    """Files whose headers differ in order and width are united by name."""
+    root, o = scratch_path(spark, "headers"), _orders_text(spark, d)
+    o.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey").write.csv(f"{root}/a", header=True)
+    o.filter("o_orderkey % 2 = 1").select("o_custkey", "o_orderstatus", "o_orderkey").write.csv(f"{root}/b", header=True)
+    t = read_csv(spark, [f"{root}/a", f"{root}/b"])
+    t.validate()
+    return t.to_df(ordered=False).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+CSV_MIXED_HEADERS_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+       CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS o_orderstatus FROM orders
+"""
+
+
+def q_csv_rejects(spark, d):
+    """Rows with cells beyond the header and lines that end inside a quote."""
+    o = _orders_text(spark, d)
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 == 0, F.lit("a,b"))
+                       .when(F.col("o_orderkey") % 11 == 0, F.lit('"open')).when(F.col("o_orderkey") % 13 == 0, F.lit('"a,b"'))
+                       .when(F.col("o_orderkey") % 17 == 0, F.lit('5" pipe')).otherwise(F.col("o_orderstatus")))
+    rows = o.select(F.col("o_orderkey").alias("at"), line.alias("value"))
+    head = spark.createDataFrame([(-1, "o_orderkey,o_custkey,note")], "at long, value string")
+    path = _write_lines(rows.union(head), "at", scratch_path(spark, "csv-rejects"))
+    return csv_rejects(spark, path, delimiter="comma").select("reason", "text")
+
+
+CSV_REJECTS_SQL = """
+SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'CSV_ROW_WIDTH' ELSE 'CSV_OPEN_QUOTE' END AS reason,
+       o_orderkey || ',' || o_custkey || ',' || CASE WHEN o_orderkey % 7 = 0 THEN 'a,b' ELSE '"open' END AS text
+FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0
+"""
+
+
+def q_csv_multiline(spark, d):
+    """Quoted cells with newlines, delimiters and quotes (multi_line)."""
+    c = load(spark, d, "customer").df
+    path = scratch_path(spark, "csv-multiline")
+    note = F.concat(F.col("c_name"), F.lit("\n"), F.lit('say "hi", '), F.col("c_mktsegment"))
+    c.select("c_custkey", note.alias("note")).write.csv(path, header=True, escape='"')
+    t = read_csv(spark, path, delimiter="comma", multi_line=True)
+    t.validate()
+    return cast_columns(t, [{"column": "c_custkey", "type": "integer"}], "null").to_df(ordered=False)
+
+
+def q_jsonl_rejects(spark, d):
+    """Lines that are no single object, with their line numbers."""
+    o = _orders_text(spark, d)
+    good = F.to_json(F.struct("o_orderkey", "o_orderstatus"))
+    line = (F.when(F.col("o_orderkey") % 5 == 0, F.concat(good, F.lit(" trailing"))).when(F.col("o_orderkey") % 7 == 0, F.concat(good, good))
+            .when(F.col("o_orderkey") % 11 == 0, F.lit("[1, 2]")).otherwise(good))
+    path = _write_lines(o.select("o_orderkey", line.alias("value")), "o_orderkey", scratch_path(spark, "jsonl-rejects"))
+    return jsonl_rejects(spark, path).select("line", "reason")
+
+
+JSONL_REJECTS_SQL = """
+SELECT line, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 'JSONL_PARSE' ELSE 'JSONL_OBJECT' END AS reason
+FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders)
+WHERE k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0
+"""
+
+
+def q_jsonl_sparse_keys(spark, d):
+    """Values of keys that only some lines have, in typed columns."""
+    o = load(spark, d, "orders").df
+    doc = F.when(F.col("o_orderkey") % 3 == 0, F.to_json(F.struct("o_orderkey", F.col("o_totalprice").alias("price")))) \
+        .otherwise(F.to_json(F.struct(F.col("o_orderstatus").alias("status"), "o_orderkey")))
+    path = scratch_path(spark, "jsonl-sparse")
+    o.select(doc.alias("value")).write.text(path)
+    return read_jsonl(spark, path).to_df(ordered=False).select("o_orderkey", "price", "status")
+
+
+# -- O-3, F1-F6, C5-C7: long digit runs, exact integers, boundary cells --------------------------------
+
+def q_natural_long_digits(spark, d):
+    o = load(spark, d, "orders").df
+    n = F.concat(F.repeat((F.col("o_orderkey") % 9 + 1).cast("string"), (F.col("o_orderkey") % 70 + 1).cast("int")), F.col("o_orderkey"))
+    return with_rank(sort_rows(Table(o.select(F.concat(F.lit("Run "), n).alias("name"))), [{"column": "name"}]))
+
+
+NATURAL_LONG_DIGITS_SQL = """
+SELECT 'Run ' || n AS name, row_number() OVER (ORDER BY len(n), n) AS rank FROM (
+  SELECT repeat((o_orderkey % 9 + 1)::VARCHAR, (o_orderkey % 70 + 1)::INT) || o_orderkey AS n FROM orders)
+"""
+
+
+def q_filter_bigint(spark, d):
+    o = load(spark, d, "orders").df
+    t = Table(o.select((F.col("o_orderkey") + 9007199254740000).alias("big")))
+    return filter_rows(t, [rule("big", "gte", "9007199254740993"), rule("big", "neq", 9007199254740995),
+                           rule("big", "lt", 9007199254750001.5)]).to_df()
+
+
+EDGE_CELLS = ("-9223372036854775808", "9007199254740991", "9007199254740992", "0xffffffffffffffffff", "1e400", "12.0", "")
+
+
+def q_cast_edge_null(spark, d):
+    o = load(spark, d, "orders").df
+    cell = F.element_at(F.array(*[F.lit(c) for c in EDGE_CELLS]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    t = Table(o.select("o_orderkey", cell.alias("as_int"), cell.alias("as_number"),
+                       F.when(F.col("o_orderkey") % 2 == 0, F.lit(-2 ** 63).cast("long")).otherwise(F.col("o_orderkey")).alias("big")))
+    return cast_columns(t, [{"column": "as_int", "type": "integer"}, {"column": "as_number", "type": "number"},
+                            {"column": "big", "type": "integer"}], "null").to_df()
+
+
+CAST_EDGE_NULL_SQL = """
+SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN 9007199254740991 WHEN 5 THEN 12 END AS as_int,
+       CASE o_orderkey % 7 WHEN 0 THEN -9223372036854775808::DOUBLE WHEN 1 THEN 9007199254740991::DOUBLE
+            WHEN 2 THEN 9007199254740992::DOUBLE WHEN 5 THEN 12::DOUBLE END AS as_number,
+       CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END AS big FROM orders
+"""
+
+
+def q_cast_to_string(spark, d):
+    t = select_columns(load(spark, d, "orders"), ["o_orderkey", "o_totalprice", "o_orderdate"])
+    return cast_columns(t, [{"column": c, "type": "string"} for c in t.columns]).to_df()
+
+
+CAST_TO_STRING_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+       CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR)
+            ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS o_orderdate FROM orders
+"""
+
+
+# -- row order from the file (G1, D1 with the default order) -------------------------------------------
+
+def q_group_first_seen(spark, d):
+    t = select_columns(load(spark, d, "orders", keep_order=True), ["o_custkey", "o_orderkey"])
+    return with_rank(group_by(t, ["o_custkey"], [agg("count", "*", "n"), agg("sum", "o_orderkey", "keys")]))
+
+
+def q_dedup_file_order(spark, d):
+    t = select_columns(load(spark, d, "orders", keep_order=True), ["o_custkey", "o_orderkey", "o_totalprice"])
+    return with_rank(deduplicate_rows(t, ["o_custkey"]))
+
+
+# -- P1 on a wide table -------------------------------------------------------------------------------
+
+WIDE = 100
+
+
+def q_profile_wide(spark, d):
+    li = load(spark, d, "lineitem").df
+    kinds = (F.col("l_orderkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.nullif(F.col("l_returnflag"), F.lit("N")),
+             F.when(F.col("l_linenumber") == 1, F.lit("")).otherwise(F.col("l_extendedprice").cast("string")))
+    return infer_schema(Table(li.select(*[kinds[i % 4].alias(f"c{i}") for i in range(WIDE)]))).drop("type")
+
+
+PROFILE_WIDE_SQL = f"""
+WITH s AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS nulls, count(*) FILTER (WHERE l_linenumber = 1) AS empties
+           FROM lineitem)
+SELECT i::INT AS position, 'c' || i AS name, i % 4 = 2 AND nulls > 0 AS nullable, CASE WHEN i % 4 = 2 THEN nulls ELSE 0 END AS nullCount,
+       CASE WHEN i % 4 = 3 THEN empties ELSE 0 END AS emptyCount,
+       n - CASE i % 4 WHEN 2 THEN nulls WHEN 3 THEN empties ELSE 0 END AS observedCount
+FROM s, range({WIDE}) r(i)
+"""
+
+
+# -- J6: null keys -------------------------------------------------------------------------------------
+
+def _join_null_query(how):
+    def run(spark, d):
+        o, c = load(spark, d, "orders").df, load(spark, d, "customer").df
+        left = Table(o.select("o_orderkey", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")).alias("cust")))
+        right = Table(c.select("c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")).alias("cust")))
+        return join_tables(left, right, how, [{"left": "cust", "right": "cust"}]).to_df(ordered=False)
+    return run
+
+
+def _join_null_sql(how):
+    return f"""
+SELECT o_orderkey, o.cust AS cust, c_name, c.cust AS cust_right
+FROM (SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS cust FROM orders) o
+{how} JOIN (SELECT c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS cust FROM customer) c ON o.cust = c.cust
+"""
+
+
+# -- U3, R4, P4, S5 ----------------------------------------------------------------------------------------
+
+def q_union_mismatch(spark, d):
+    """The mismatch report of a union by name, and the rows that lack a column."""
+    c = select_columns(load(spark, d, "customer"), ["c_custkey", "c_name", "c_acctbal"])
+    s = rename_columns(select_columns(load(spark, d, "supplier"), ["s_suppkey", "s_name", "s_nationkey"]),
+                       [{"from": "s_suppkey", "to": "c_custkey"}, {"from": "s_name", "to": "c_name"}])
+    u = union_tables([c, s], mode="name")
+    report = u.meta["schema_mismatch"]["inputs"]
+    rows = u.df.agg(*[F.count_if(F.col(r["missing"][0]).isNull()).alias(f"n{r['index']}") for r in report])
+    return rows.select(F.explode(F.array(*[F.struct(F.lit(r["index"]).alias("input"), F.lit(",".join(r["missing"])).alias("missing"),
+                                                    F.lit(",".join(r["extra"])).alias("extra"), F.col(f"n{r['index']}").alias("rows"))
+                                           for r in report])).alias("r")).select("r.*")
+
+
+UNION_MISMATCH_SQL = """
+SELECT 0 AS input, 's_nationkey' AS missing, '' AS extra, count(*) AS rows FROM customer
+UNION ALL SELECT 1, 'c_acctbal', 's_nationkey', count(*) FROM supplier
+"""
+
+
+def multi_output_graph() -> dict:
+    return {"nodes": [
+        _node("orders", "parquet-input"),
+        _node("cut", "select-columns", columns=["o_orderkey", "o_orderstatus", "o_totalprice"]),
+        _node("open", "filter-rows", conditions=[rule("o_orderstatus", "eq", "O")], combination="and"),
+        _node("all_out", "parquet-output", filename="all"), _node("open_out", "csv-output", filename="open"),
+        _node("names", "select-columns", columns=["o_orderstatus"]), _node("json_out", "jsonl-output", filename="names"),
+    ], "edges": [
+        _edge("e1", "orders", "table", "cut", "in"), _edge("e2", "cut", "out", "open", "in"), _edge("e3", "cut", "out", "all_out", "in"),
+        _edge("e4", "open", "out", "open_out", "in"), _edge("e5", "open", "out", "names", "in"), _edge("e6", "names", "out", "json_out", "in"),
+    ]}
+
+
+def q_multi_output_counts(spark, d):
+    """One run with three outputs; rows and columns of each, and the rows found in its files."""
+    out = scratch_path(spark, "outputs")
+    done = run_pipeline(spark, multi_output_graph(), {"orders": f"{d}/orders.parquet"}, out)
+    read = {"PARQUET": read_parquet, "CSV": read_csv, "JSONL": read_jsonl}
+    parts = [read[r["format"]](spark, r["path"]).df.agg(F.count(F.lit(1)).alias("read_back"))
+             .select(F.lit(r["nodeId"]).alias("node"), F.lit(r["rows"]).cast("long").alias("rows"), F.lit(r["columns"]).alias("columns"), "read_back")
+             for r in done]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+MULTI_OUTPUT_COUNTS_SQL = """
+SELECT 'all_out' AS node, count(*) AS rows, 3 AS columns, count(*) AS read_back FROM orders
+UNION ALL SELECT 'open_out', count(*), 3, count(*) FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'json_out', count(*), 1, count(*) FROM orders WHERE o_orderstatus = 'O'
+"""
+
+
+def q_preview_limited(spark, d):
+    """Preview of a node below row-local nodes: reads the first rows only."""
+    return preview_node(spark, multi_output_graph(), "open", {"orders": f"{d}/orders.parquet"})[0]
+
+
+PREVIEW_LIMITED_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus,
+       CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR)
+            ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice
+FROM (SELECT * FROM orders WHERE o_orderstatus = 'O' LIMIT 100)
+"""
+
+
 QUERIES = {
     "pricing_summary": pricing_summary,
     "shipping_top10": shipping_top10,
@@ -646,6 +907,25 @@ QUERIES = {
     "parquet_round_trip": q_parquet_round_trip,
     "saved_run": q_saved_run,
     "recipe_rebind": q_recipe_rebind,
+    "csv_mixed_headers": q_csv_mixed_headers,
+    "csv_rejects": q_csv_rejects,
+    "csv_multiline": q_csv_multiline,
+    "jsonl_rejects": q_jsonl_rejects,
+    "jsonl_sparse_keys": q_jsonl_sparse_keys,
+    "natural_long_digits": q_natural_long_digits,
+    "filter_bigint": q_filter_bigint,
+    "cast_edge_null": q_cast_edge_null,
+    "cast_to_string": q_cast_to_string,
+    "group_first_seen": q_group_first_seen,
+    "dedup_file_order": q_dedup_file_order,
+    "profile_wide": q_profile_wide,
+    "join_null_inner": _join_null_query("inner"),
+    "join_null_left": _join_null_query("left"),
+    "join_null_right": _join_null_query("right"),
+    "join_null_full": _join_null_query("full"),
+    "union_mismatch": q_union_mismatch,
+    "multi_output_counts": q_multi_output_counts,
+    "preview_limited": q_preview_limited,
 }
 
 ORACLE_SQL = {
@@ -678,7 +958,8 @@ ORACLE_SQL = {
     "join_right": _join_sql("RIGHT"),
     "join_full": _join_sql("FULL"),
     "join_multi_key": JOIN_MULTI_KEY_SQL,
-    "join_strict_types": "SELECT o_orderkey, o_custkey, CAST(o_orderkey AS VARCHAR) AS key_txt, o_orderstatus FROM orders WHERE false",
+    "join_strict_types": """SELECT false AS right_only, count(*) AS rows, 0 AS keys, sum(o_custkey)::BIGINT AS cust_sum FROM orders
+                            UNION ALL SELECT true, count(*), count(*), NULL FROM customer""",
     "join_strict_left": "SELECT o_orderkey, o_custkey, CAST(NULL AS VARCHAR) AS key_txt, CAST(NULL AS VARCHAR) AS o_orderstatus FROM orders",
     "union_name": UNION_NAME_SQL,
     "union_position": "SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier",
@@ -704,4 +985,28 @@ ORACLE_SQL = {
     "parquet_round_trip": "SELECT * FROM lineitem",
     "saved_run": SAVED_RUN_SQL,
     "recipe_rebind": RECIPE_REBIND_SQL,
+    "csv_mixed_headers": CSV_MIXED_HEADERS_SQL,
+    "csv_rejects": CSV_REJECTS_SQL,
+    "csv_multiline": """SELECT c_custkey, c_name || chr(10) || 'say "hi", ' || c_mktsegment AS note FROM customer""",
+    "jsonl_rejects": JSONL_REJECTS_SQL,
+    "jsonl_sparse_keys": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price,
+                                   CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders""",
+    "natural_long_digits": NATURAL_LONG_DIGITS_SQL,
+    "filter_bigint": """SELECT big FROM (SELECT o_orderkey + 9007199254740000 AS big FROM orders)
+                        WHERE big >= 9007199254740993 AND big <> 9007199254740995 AND big <= 9007199254750001""",
+    "cast_edge_null": CAST_EDGE_NULL_SQL,
+    "cast_to_string": CAST_TO_STRING_SQL,
+    "group_first_seen": """SELECT o_custkey, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, row_number() OVER (ORDER BY min(rn)) AS rank
+                           FROM (SELECT *, row_number() OVER () AS rn FROM orders) GROUP BY o_custkey""",
+    "dedup_file_order": """SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (ORDER BY rn) AS rank FROM (
+                             SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY rn) AS nth
+                             FROM (SELECT *, row_number() OVER () AS rn FROM orders)) WHERE nth = 1""",
+    "profile_wide": PROFILE_WIDE_SQL,
+    "join_null_inner": _join_null_sql("INNER"),
+    "join_null_left": _join_null_sql("LEFT"),
+    "join_null_right": _join_null_sql("RIGHT"),
+    "join_null_full": _join_null_sql("FULL"),
+    "union_mismatch": UNION_MISMATCH_SQL,
+    "multi_output_counts": MULTI_OUTPUT_COUNTS_SQL,
+    "preview_limited": PREVIEW_LIMITED_SQL,
 }

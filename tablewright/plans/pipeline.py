@@ -15,29 +15,32 @@ import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import TableError
 from ..operators.aggregate import group_by
 from ..operators.columns import cast_columns, clean_text, rename_columns, select_columns
 from ..operators.combine import join_tables, union_tables
-from ..operators.profile import observe_counts, preview, schema_list
+from ..operators.profile import preview, schema_list
 from ..operators.rows import deduplicate_rows, filter_rows, handle_nulls, limit_rows, sort_rows
 from ..sinks.files import output_filename, write_csv, write_jsonl, write_parquet
 from ..sources.parquet import read_parquet
 from ..sources.text import read_csv, read_jsonl
-from ..table import Table, as_table
+from ..session import scratch_path
+from ..table import OrderKey, Table, as_table, hidden_name
 
 # Node type names and their table ports.
 INPUT_TYPES = ("csv-input", "jsonl-input", "parquet-input")
 OUTPUT_TYPES = ("csv-output", "jsonl-output", "parquet-output")
 TRANSFORM_TYPES = ("select-columns", "rename-columns", "clean-text", "cast", "sort", "limit", "deduplicate",
                    "filter-rows", "null-handling", "group-by")
+#: Nodes that turn each row into at most one row by itself.
+ROW_LOCAL = ("select-columns", "rename-columns", "clean-text", "cast", "filter-rows", "null-handling")
 COMBINE_TYPES = ("join", "union")
 NODE_TYPES = INPUT_TYPES + TRANSFORM_TYPES + COMBINE_TYPES + OUTPUT_TYPES
 UNION_MIN, UNION_MAX = 2, 6
 DOCUMENT_FORMAT = "tablewright-pipeline"
 SCHEMA_VERSION = 1
-RUNTIME_NODE_KEYS = ("runtime", "preview", "result")
 INPUT_FILE_KEYS = ("file", "fileName", "filename", "path", "blobUrl", "preview", "result", "runtime")
 
 
@@ -121,6 +124,13 @@ def validate_pipeline(graph: dict) -> dict:
             continue
         for code, message in _node_issues(node):
             add(code, path, message, nid)
+    names: dict[str, str] = {}
+    for nid, node in by_id.items():
+        if node["type"] in OUTPUT_TYPES and not node.get("disabled"):
+            name = output_filename((node.get("data") or {}).get("filename"), node["type"].split("-")[0])
+            if name.lower() in names:  # also where file names ignore case
+                add("OUTPUT_NAME_COLLISION", f"nodes.{nid}.data.filename", f"Two outputs write the same file: {name}", nid)
+            names[name.lower()] = nid
     seen_edges = set()
     counts: dict[tuple, int] = {}
     for i, edge in enumerate(edges):
@@ -202,63 +212,88 @@ def _has_cycle(by_id: dict, edges: list) -> bool:
 
 # -- R5 / R6: documents and recipes ------------------------------------------------------------
 
+class Document:
+    """What is stored of a pipeline: per node the fields of ``NODE_FIELDS``, its settings without
+    the file bound to an input, and per edge the fields of ``EDGE_FIELDS``."""
+
+    NODE_FIELDS = ("id", "type", "position", "label", "data", "disabled", "size")
+    EDGE_FIELDS = ("id", "source", "target")
+    #: Settings of an input node that name a file rather than say how to read it.
+    BINDING = frozenset(INPUT_FILE_KEYS)
+
+    def __init__(self, graph):
+        parts = [graph.get(k) if isinstance(graph, dict) else None for k in ("nodes", "edges")]
+        if not all(isinstance(p, list) for p in parts):
+            raise TypeError("A pipeline is an object with lists of nodes and edges.")
+        self.extra = {k: copy.deepcopy(v) for k, v in graph.items() if k not in ("nodes", "edges")}
+        self.nodes = [self._node(n) for n in parts[0]]
+        self.edges = [{k: copy.deepcopy(e[k]) for k in self.EDGE_FIELDS if k in e} for e in parts[1]]
+
+    def _node(self, node: dict) -> dict:
+        kept = {k: copy.deepcopy(node[k]) for k in self.NODE_FIELDS if k in node}
+        if kept.get("type") in INPUT_TYPES and isinstance(kept.get("data"), dict):
+            kept["data"] = {k: v for k, v in kept["data"].items() if k not in self.BINDING}
+        return kept
+
+    @classmethod
+    def read(cls, source) -> "Document":
+        """From JSON text or its parsed form: a stored document (a ``graph`` with a ``schemaVersion``) or a bare graph."""
+        if isinstance(source, str):
+            try:
+                source = json.loads(source)
+            except json.JSONDecodeError as exc:
+                raise ValueError("The text is not a JSON pipeline.") from exc
+        stored = isinstance(source, dict) and "schemaVersion" in source and isinstance(source.get("graph"), dict)
+        return cls(source["graph"] if stored else source)
+
+    def graph(self) -> dict:
+        return {"nodes": copy.deepcopy(self.nodes), "edges": copy.deepcopy(self.edges), **copy.deepcopy(self.extra)}
+
+    def inputs(self) -> list[dict]:
+        return [n for n in self.nodes if n.get("type") in INPUT_TYPES]
+
+    def text(self, app_version: str = "") -> str:
+        envelope = {"format": DOCUMENT_FORMAT, "schemaVersion": SCHEMA_VERSION, "appVersion": app_version or "", "graph": self.graph()}
+        return json.dumps(envelope, ensure_ascii=False, indent=2)
+
+
 def sanitize_graph(graph: dict) -> dict:
-    """Copy of the graph without run-time details and input file details
-    (output file names are kept)."""
-    clean = copy.deepcopy(graph)
-    if not isinstance(clean, dict) or not isinstance(clean.get("nodes"), list) or not isinstance(clean.get("edges"), list):
-        raise TypeError("Pipeline graph must contain nodes and edges.")
-    for node in clean["nodes"]:
-        for key in RUNTIME_NODE_KEYS:
-            node.pop(key, None)
-        if node.get("type") in INPUT_TYPES and isinstance(node.get("data"), dict):
-            for key in INPUT_FILE_KEYS:
-                node["data"].pop(key, None)
-    return clean
+    """Copy of the graph with what a document stores only."""
+    return Document(graph).graph()
 
 
 def stringify_pipeline(graph: dict, app_version: str = "") -> str:
-    return json.dumps({"format": DOCUMENT_FORMAT, "schemaVersion": SCHEMA_VERSION, "appVersion": str(app_version or ""),
-                       "graph": sanitize_graph(graph)}, indent=2, ensure_ascii=False)
+    return Document(graph).text(app_version)
 
 
 def parse_pipeline(text) -> dict:
-    """Graph from a pipeline document (any format tag with a ``graph`` and a
-    ``schemaVersion``) or from a bare graph."""
-    try:
-        doc = json.loads(text) if isinstance(text, str) else copy.deepcopy(text)
-    except json.JSONDecodeError as exc:
-        raise ValueError("Pipeline JSON could not be parsed.") from exc
-    graph = doc["graph"] if isinstance(doc, dict) and isinstance(doc.get("graph"), dict) and "schemaVersion" in doc else doc
-    return sanitize_graph(graph)
+    return Document.read(text).graph()
 
 
 def input_nodes(graph: dict) -> list[dict]:
-    return [n for n in graph.get("nodes") or [] if n.get("type") in INPUT_TYPES]
+    return Document(graph).inputs()
 
 
 def make_recipe(name: str, graph: dict, recipe_id: str | None = None, now: int | None = None) -> dict:
-    clean = str(name or "").strip()
-    if not clean:
-        raise TypeError("Recipe name is required.")
-    now = int(time.time() * 1000) if now is None else int(now)
-    return {"id": str(recipe_id or f"recipe-{now}"), "name": clean, "createdAt": now, "updatedAt": now,
-            "graph": sanitize_graph(graph)}
+    """A named pipeline with times in epoch milliseconds."""
+    title = (name or "").strip()
+    if not title:
+        raise TypeError("A recipe needs a name.")
+    stamp = time.time_ns() // 1_000_000 if now is None else int(now)
+    return dict(id=recipe_id or f"recipe-{stamp}", name=title, graph=Document(graph).graph(), createdAt=stamp, updatedAt=stamp)
 
 
 def normalize_recipes(value) -> list[dict]:
-    """Usable recipes from a stored list; broken entries are skipped."""
-    out = []
-    for item in value if isinstance(value, list) else []:
-        if not isinstance(item, dict) or not item.get("id") or not item.get("name") or not item.get("graph"):
-            continue
+    """The usable recipes of a stored list."""
+    def usable(item) -> dict | None:
+        if not isinstance(item, dict) or not all(item.get(k) for k in ("id", "name", "graph")):
+            return None
         try:
-            created = int(item.get("createdAt") or 0)
-            out.append({"id": str(item["id"]), "name": str(item["name"]).strip(), "createdAt": created,
-                        "updatedAt": int(item.get("updatedAt") or created), "graph": sanitize_graph(item["graph"])})
+            recipe = make_recipe(str(item["name"]), item["graph"], str(item["id"]), item.get("createdAt") or 0)
+            return recipe | {"updatedAt": int(item.get("updatedAt") or recipe["createdAt"])}
         except (TypeError, ValueError):
-            continue
-    return [r for r in out if r["name"]]
+            return None
+    return [r for r in map(usable, value if isinstance(value, list) else []) if r]
 
 
 # -- R1 / R3: evaluation ----------------------------------------------------------------------------
@@ -266,8 +301,9 @@ def normalize_recipes(value) -> list[dict]:
 class Evaluator:
     """Builds the lazy Table of any node from its ancestors only."""
 
-    def __init__(self, spark: SparkSession, graph: dict, inputs: dict, keep_order: bool = True):
+    def __init__(self, spark: SparkSession, graph: dict, inputs: dict, keep_order: bool = True, target: str | None = None):
         self.spark = spark
+        self.target = target
         self.graph = graph
         self.inputs = inputs or {}
         self.keep_order = keep_order
@@ -280,6 +316,30 @@ class Evaluator:
                 return e["source"]["nodeId"]
         return None
 
+    def order_wanted(self, node_id: str) -> bool:
+        """Whether the order of a node's rows can show in the target's result.
+
+        It shows at the target itself, in limits and in which duplicate stays.  It ends at a sort
+        that covers all group columns of the aggregate before it (no ties are left)."""
+        if node_id == self.target:
+            return True
+        for e in self.graph.get("edges") or []:
+            if e["source"]["nodeId"] != node_id:
+                continue
+            user = self.nodes[e["target"]["nodeId"]]
+            kind, data = user["type"], user.get("data") or {}
+            if not user.get("disabled"):
+                if kind in OUTPUT_TYPES or kind in ("limit", "deduplicate"):
+                    return True
+                node = self.nodes[node_id]
+                if kind == "sort" and node["type"] == "group-by" and not node.get("disabled"):
+                    groups = (node.get("data") or {}).get("groups", (node.get("data") or {}).get("groupColumns")) or []
+                    if set(groups) <= {(k or {}).get("column") for k in data.get("keys") or []}:
+                        continue
+            if self.order_wanted(user["id"]):
+                return True
+        return False
+
     def table(self, node_id: str) -> Table:
         if node_id not in self.memo:
             try:
@@ -303,13 +363,13 @@ class Evaluator:
             raise PipelineError("INPUT_NOT_BOUND", f"No file bound to input node {node['id']}.")
         if isinstance(binding, (Table, DataFrame)):
             return as_table(binding)
-        data = node.get("data") or {}
+        data, keep = node.get("data") or {}, self.keep_order and self.order_wanted(node["id"])
         if node["type"] == "csv-input":
             return read_csv(self.spark, binding, delimiter=data.get("delimiter", "auto"), header=data.get("header", True),
-                            encoding=data.get("encoding", "utf-8"), keep_order=self.keep_order)
+                            encoding=data.get("encoding", "utf-8"), multi_line=data.get("multiLine", False), keep_order=keep)
         if node["type"] == "jsonl-input":
-            return read_jsonl(self.spark, binding, keep_order=self.keep_order)
-        return read_parquet(self.spark, binding, keep_order=self.keep_order)
+            return read_jsonl(self.spark, binding, keep_order=keep)
+        return read_parquet(self.spark, binding, keep_order=keep)
 
     def _build(self, node) -> Table:
         kind, data = node["type"], node.get("data") or {}
@@ -361,23 +421,58 @@ def _checked(graph: dict) -> None:
 def evaluate_node(spark: SparkSession, graph: dict, node_id: str, inputs: dict, keep_order: bool = True) -> Table:
     """Lazy Table of one node (its ancestors only)."""
     _checked(graph)
-    return Evaluator(spark, graph, inputs, keep_order).table(node_id)
+    return Evaluator(spark, graph, inputs, keep_order, node_id).table(node_id)
+
+
+def schema_issues(spark: SparkSession, graph: dict, inputs: dict) -> list[dict]:
+    """Settings that don't fit the columns of the tables they meet (R2): one issue per node at fault.
+
+    Builds the lazy tables of all outputs; only sources read (their schemas), no data job runs."""
+    _checked(graph)
+    ev, issues = Evaluator(spark, graph, inputs, keep_order=False), {}
+    for node in graph.get("nodes") or []:
+        if node["type"] in OUTPUT_TYPES:
+            try:
+                ev.table(node["id"])
+            except TableError as exc:
+                issues.setdefault(exc.nodeId, {"code": exc.code, "message": str(exc), "nodeId": exc.nodeId, "severity": "error"})
+    return list(issues.values())
 
 
 def preview_node(spark: SparkSession, graph: dict, node_id: str, inputs: dict, n: int = 100):
     """(preview rows as text, inferred schema of the previewed rows)."""
-    table = evaluate_node(spark, graph, node_id, inputs)
-    table.validate()
-    head = limit_rows(table, n)
+    _checked(graph)
+    ev = Evaluator(spark, graph, inputs, target=node_id)
+    path, local = node_id, True
+    while local and ev.nodes[path]["type"] not in INPUT_TYPES:
+        local = ev.nodes[path]["type"] in ROW_LOCAL + OUTPUT_TYPES
+        path = ev.upstream(path, "in") or path if local else path
+    binding = (inputs or {}).get(path) if local else None
+    if isinstance(binding, str) and ev.nodes[path]["type"] == "parquet-input":
+        # Only row-local nodes: rows keep the scan's order, so a plain limit stops the scan early.
+        ev.keep_order = False
+    table = ev.table(node_id)
+    if not local:
+        table.validate()
+    # the rows shown, computed once: text form and schema are taken of the same rows
+    head = staged_head(limit_rows(table, n))
     return preview(head, n), schema_list(head)
 
 
+def staged_head(table: Table) -> Table:
+    """A small table written once to the shared folder and read back, in order."""
+    spark, place = table.df.sparkSession, hidden_name("place")
+    path = scratch_path(spark, "preview")
+    table.to_df().withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+    return Table(spark.read.parquet(path), (OrderKey(place),))
+
+
 def run_pipeline(spark: SparkSession, graph: dict, inputs: dict, output_dir: str, keep_order: bool = True,
                  single_file: bool = False) -> list[dict]:
     """Write every output node; returns one result per output (file name,
     format, rows, columns).  A failure names its node."""
     _checked(graph)
-    ev = Evaluator(spark, graph, inputs, keep_order)
+    ev = Evaluator(spark, graph, inputs, keep_order)  # one memo: shared upstream nodes and their checks are built once
     results = []
     for node in graph.get("nodes") or []:
         if node["type"] not in OUTPUT_TYPES:
@@ -386,20 +481,19 @@ def run_pipeline(spark: SparkSession, graph: dict, inputs: dict, output_dir: str
         data = node.get("data") or {}
         try:
             table = ev.table(node["id"])
-            counted, obs = observe_counts(table, f"rows_{node['id']}_{len(results)}")
             name = output_filename(data.get("filename"), fmt)
             path = os.path.join(output_dir, name)
             if fmt == "csv":
-                write_csv(counted, path, delimiter=data.get("delimiter", ","), header=data.get("header", True),
+                rows = write_csv(table, path, delimiter=data.get("delimiter", ","), header=data.get("header", True),
                           single_file=single_file)
             elif fmt == "jsonl":
-                write_jsonl(counted, path, single_file=single_file)
+                rows = write_jsonl(table, path, single_file=single_file)
             else:
-                write_parquet(counted, path, single_file=single_file)
+                rows = write_parquet(table, path, single_file=single_file)
         except TableError as exc:
             if getattr(exc, "nodeId", None) is None:
                 exc.nodeId = node["id"]
             raise
         results.append({"nodeId": node["id"], "filename": name, "format": fmt.upper(), "path": path,
-                        "rows": obs.get["rows"], "columns": len(table.columns)})
+                        "rows": rows, "columns": len(table.columns)})
     return results

@@ -4,7 +4,8 @@
 Instead: sort once (range-partitioned), tag rows with
 ``monotonically_increasing_id`` (partition index in the high bits), write the
 tagged rows once to the shared checkpoint folder (this cuts the lineage, so
-the ids are fixed even if executors are lost later), count rows per sort
+the ids are fixed even if executors are lost later; the folder goes when the
+application ends), count rows per sort
 partition (at most one row per partition), turn the counts into offsets and
 add them back with a broadcast join whose size is bounded by the number of
 sort partitions.  The rank only depends on the stored ids, not on how the
@@ -13,13 +14,10 @@ files are split when they are read back.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..table import C, Table, as_table, hidden_name
 
 LOCAL_BITS = 33
@@ -31,7 +29,7 @@ def with_rank(table, name: str = "rank") -> DataFrame:
     if not t.order:
         raise ValueError("with_rank needs an ordered table")
     spark = t.df.sparkSession
-    folder = os.path.join(ensure_checkpoint_dir(spark), "tablewright-rank", uuid.uuid4().hex)
+    folder = scratch_path(spark, "rank")
     mid = hidden_name("mid")
     tagged = t.df.orderBy(*[k.column() for k in t.order]).select(*[C(c) for c in t.columns]) \
         .withColumn(mid, F.monotonically_increasing_id())

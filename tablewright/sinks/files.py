@@ -7,18 +7,16 @@ result through one task and is meant for small results.
 
 CSV bytes: header row, CRLF after every row, no BOM, a cell is quoted only
 when it holds the delimiter, a quote, CR or LF (quotes doubled), null and
-``''`` are both an empty field.  Lines are built with column expressions and
+``''`` are both an empty field (``""`` in a table of one column, where an
+empty line would be lost).  Lines are built with column expressions and
 written as text, so newlines inside cells are kept as they are.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +24,6 @@ from ..errors import TableError
 from ..functions import sniff as S
 from ..table import C, Table, as_table
 
-# The mapInArrow helpers below run in Python workers, which need not have
-# this package installed: ship this module's functions by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 FORMAT_EXTENSIONS = {"csv": "csv", "jsonl": "jsonl", "parquet": "parquet"}
 # Known output extensions replaced at the end of a name,
 # characters not allowed in file names, maximum base name length.
@@ -59,7 +53,8 @@ def _ordered(table: Table, single_file: bool = False, extra=()) -> DataFrame:
     keys = [k.column() for k in table.order]
     cols = [C(c) for c in table.columns] + list(extra)
     if single_file:
-        df = table.df.coalesce(1)
+        # only the write runs in one task: what comes before keeps its own parallelism
+        df = table.df.repartition(1)
         if keys:
             df = df.sortWithinPartitions(*keys)
         return df.select(*cols)
@@ -105,44 +100,47 @@ def csv_lines(table, delimiter: str = ",", single_file: bool = False) -> DataFra
     table = as_table(table)
     df = _ordered(table, single_file)
     cells = [csv_cell(C(c), table.dtype(c), delimiter) for c in table.columns]
+    if len(cells) == 1:
+        # an empty line would be no row at all to a reader
+        cells = [F.when(cells[0] == "", F.lit('""')).otherwise(cells[0])]
     return df.select(F.concat_ws(delimiter, *cells).alias("value"))
 
 
-def _with_header(header_line: str):
-    """mapInArrow: emit the header row before the rows of each partition."""
-    def inject(batches):
-        first = True
-        for batch in batches:
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array([header_line], batch.schema.field(0).type)],
-                                                 schema=batch.schema)
-                first = False
-            yield batch
-        if first:
-            yield pa.RecordBatch.from_arrays([pa.array([header_line], pa.string())], names=["value"])
-    return inject
+def _counted(df: DataFrame, rows: Column) -> tuple[DataFrame, Observation]:
+    """Row count gathered by the write itself.  It stands above the sort: below it, a sort's
+    sampling pass would count rows a second time."""
+    seen = Observation()
+    return df.observe(seen, F.count_if(rows).alias("rows")), seen
+
+
+def _with_header(lines: DataFrame, header_line: str) -> DataFrame:
+    """(value, is_row): the header row before the rows of each partition.
+
+    The first row of a partition is the one whose generated id has no row bits."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    row, head = F.struct("value", F.lit(True).alias("is_row")), F.struct(F.lit(header_line).alias("value"), F.lit(False).alias("is_row"))
+    marked = lines.withColumn("first", first)
+    return marked.select(F.explode(F.when(F.col("first"), F.array(head, row)).otherwise(F.array(row))).alias("r")).select("r.*")
 
 
 def write_csv(table, path: str, delimiter: str = ",", header: bool = True, single_file: bool = False,
-              mode: str = "overwrite") -> int | None:
-    """Write CSV; with ``header`` every part file starts with the header row."""
+              mode: str = "overwrite") -> int:
+    """Write CSV, return the number of rows; with ``header`` every part file starts with the header row."""
     from ..sources.text import resolve_delimiter
     table = as_table(table)
     delimiter = resolve_delimiter(delimiter) or ","
     lines = csv_lines(table, delimiter, single_file)
     spark = lines.sparkSession
     header_line = delimiter.join(csv_text(c, delimiter) for c in table.columns)
-    if single_file:
-        out = lines
-        if header:
-            # The header goes first inside the single task (mapInArrow keeps order).
-            out = lines.mapInArrow(_with_header(header_line), "value string")
-    else:
-        out = lines.mapInArrow(_with_header(header_line), "value string") if header else lines
+    out = _with_header(lines, header_line) if header else lines.withColumn("is_row", F.lit(True))
+    out, seen = _counted(out, F.col("is_row"))
     target = path + ".__parts" if single_file else path
-    out.write.mode(mode).option("lineSep", "\r\n").text(target)
+    out.select("value").write.mode(mode).option("lineSep", "\r\n").text(target)
+    rows = seen.get["rows"]
+    if header and not rows:  # no partition had a first row to put the header before
+        spark.createDataFrame([(header_line,)], "value string").coalesce(1).write.mode(mode).option("lineSep", "\r\n").text(target)
     _finish(spark, target, path, single_file)
-    return None
+    return rows
 
 
 # -- K2 ------------------------------------------------------------------------------
@@ -172,21 +170,22 @@ def jsonl_lines(table, bigint_as_text: bool = False, single_file: bool = False)
 
 
 def write_jsonl(table, path: str, single_file: bool = False, bigint_as_text: bool = False,
-                mode: str = "overwrite") -> None:
-    """Write JSON Lines: columns in table order, nulls written, timestamps
+                mode: str = "overwrite") -> int:
+    """Write JSON Lines, return the number of rows: columns in table order, nulls written, timestamps
     ISO-8601 UTC with milliseconds, NaN/Infinity as null."""
     lines = jsonl_lines(table, bigint_as_text, single_file)
-    out = lines
+    out, seen = _counted(lines, F.lit(True))
     target = path + ".__parts" if single_file else path
     out.write.mode(mode).option("lineSep", "\n").text(target)
     _finish(lines.sparkSession, target, path, single_file)
+    return seen.get["rows"]
 
 
 # -- K3 ------------------------------------------------------------------------------
 
 def write_parquet(table, path: str, single_file: bool = False, legacy_types: bool = False,
-                  mode: str = "overwrite") -> None:
-    """Write Snappy Parquet.  Native Spark types are kept; ``legacy_types``
+                  mode: str = "overwrite") -> int:
+    """Write Snappy Parquet, return the number of rows.  Native Spark types are kept; ``legacy_types``
     narrows to boolean / int32 / double / text (integers that do not fit
     int32 become double, dates and nested values become text)."""
     table = as_table(table)
@@ -218,7 +217,8 @@ def write_parquet(table, path: str, single_file: bool = False, legacy_types: boo
                 cols.append(S.text_form(C(c), dt).alias(c))
         else:
             cols.append(C(c))
-    out = df.select(*cols)
+    out, seen = _counted(df.select(*cols), F.lit(True))
     target = path + ".__parts" if single_file else path
     out.write.mode(mode).option("compression", "snappy").parquet(target)
     _finish(out.sparkSession, target, path, single_file)
+    return seen.get["rows"]

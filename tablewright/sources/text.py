@@ -1,22 +1,31 @@
 """CSV / TSV (S1, S2) and JSONL (S3, S3a) sources.
 
 CSV cells are read as text (``''`` for a blank cell, short rows padded with
-``''``).  ``delimiter='auto'`` scores the head of every file (one task per
-file that stops after the first 64 KiB) and reads each group of files that
-share a delimiter with its own reader, then unions them by name.
-
-JSONL keeps the first-seen key order of the whole input: one aggregate over
-``json_object_keys`` finds every key with its first (file, block, line)
-position, and the same pass counts malformed lines.  Column types come from
-Spark's JSON inference (conflicting types become text).  Errors carry the
-1-based line number inside the file, computed only for the failing line.
+``''``).  One task per file looks at its first 64 KiB: delimiter (scored when
+``delimiter='auto'``) and header.  Files with the same delimiter and header
+are read together; groups are united by column name, never by position.  A
+row with more cells than the header and, unless ``multi_line`` is on, a line
+that ends inside an open quote are errors (``CSV_ROW_WIDTH``,
+``CSV_OPEN_QUOTE``): a deferred check counts them over the raw lines, and
+:func:`csv_rejects` lists them.
+
+JSONL keeps the first-seen key order of the whole input.  Keys and their
+first (file, block, line) come from the lines' key lists, column types from
+merging whole lines as variants (conflicting types become text), and
+malformed lines are counted in the same pass; nothing wider than a key is
+unpivoted.  Errors carry the 1-based line number inside the file, computed
+only when there is a failing line.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import re
 import sys
 from collections import Counter
+
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +34,7 @@ from pyspark.sql import types as T
 
 from ..errors import TableError
 from ..functions import sniff as S
-from ..table import OrderKey, Table, hidden_name, spread
+from ..table import C, Check, CheckRule, OrderKey, Table, hidden_name
 
 # The mapInArrow helpers below run in Python workers, which need not have
 # this package installed: ship this module's functions by value.
@@ -95,32 +104,41 @@ def score_delimiters(text: str) -> str:
     return best
 
 
-def _head_scorer(batches):
-    """mapInArrow: per file, join lines until the sample is full, score it,
-    and stop reading (the rest of the file is never decoded)."""
-    heads: dict[str, list[str]] = {}
-    sizes: dict[str, int] = {}
-    done = set()
-    for batch in batches:
-        values = batch.column("value").to_pylist()
-        files = batch.column("file").to_pylist()
-        for value, file in zip(values, files):
-            if file in done:
-                continue
-            heads.setdefault(file, []).append(value or "")
-            sizes[file] = sizes.get(file, 0) + len(value or "") + 1
-            if sizes[file] >= SAMPLE_CHARS:
-                done.add(file)
-        if heads and len(done) == len(heads):
-            break
-    files = list(heads)
-    delims = [score_delimiters("\n".join(heads[f])) for f in files]
-    yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(delims, pa.string())],
-                                     names=["file", "delimiter"])
-
-
-def detect_delimiters(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
-    """(file, delimiter) for every file under ``path``; one task per file."""
+def _first_record(text: str, delimiter: str) -> list[str] | None:
+    """Cells of the first record of a file head (it may hold quoted newlines)."""
+    return next((r for r in csv.reader(io.StringIO(text.lstrip("\ufeff"), newline=""), delimiter=delimiter) if r), None)
+
+
+def _head_reader(delimiter: str | None):
+    """mapInArrow: per file, join lines until the sample is full, find its delimiter and first
+    record, and stop reading (the rest of the file is never decoded)."""
+    def run(batches):
+        heads: dict[str, list[str]] = {}
+        sizes: dict[str, int] = {}
+        done = set()
+        for batch in batches:
+            for value, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist()):
+                if file in done:
+                    continue
+                heads.setdefault(file, []).append(value or "")
+                sizes[file] = sizes.get(file, 0) + len(value or "") + 1
+                if sizes[file] >= SAMPLE_CHARS:
+                    done.add(file)
+            if heads and len(done) == len(heads):
+                break
+        files = list(heads)
+        texts = ["\n".join(heads[f]) for f in files]
+        delims = [delimiter or score_delimiters(t) for t in texts]
+        records = [_first_record(t, d) for t, d in zip(texts, delims)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(files, pa.string()), pa.array(delims, pa.string()),
+             pa.array([None if r is None else json.dumps(r) for r in records], pa.string())],
+            names=["file", "delimiter", "record"])
+    return run
+
+
+def _file_heads(spark: SparkSession, path, delimiter: str | None, encoding: str) -> list:
+    """(file, delimiter, first record as JSON) of every file; one row per file, as in the driver's own file listing."""
     conf = spark.conf
     saved = {k: conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     # One file per task, never split: each task reads only its file's head.
@@ -129,48 +147,75 @@ def detect_delimiters(spark: SparkSession, path, encoding: str = "utf-8") -> Dat
     try:
         text = spark.read.option("encoding", encoding).text(_paths(path)) \
             .select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-        found = text.mapInArrow(_head_scorer, "file string, delimiter string")
-        rows = found.collect()
+        return text.mapInArrow(_head_reader(delimiter), "file string, delimiter string, record string").collect()
     finally:
         for k, v in saved.items():
             if v is None:
                 conf.unset(k)
             else:
                 conf.set(k, v)
+
+
+def detect_delimiters(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
+    """(file, delimiter) for every file under ``path``; one task per file."""
+    rows = [(r["file"], r["delimiter"]) for r in _file_heads(spark, path, None, encoding)]
     return spark.createDataFrame(rows, "file string, delimiter string")
 
 
 # -- S1: CSV ----------------------------------------------------------------------------
 
-def _header_names(spark, paths, sep, header, encoding, multi_line) -> list[str]:
-    first = spark.read.options(header=False, sep=sep, quote='"', escape='"', encoding=encoding,
-                               multiLine=multi_line).csv(paths).limit(1).collect()
-    if not first:
-        return []
-    cells = list(first[0])
+def _header_names(cells: list[str], header: bool) -> tuple:
     if not header:
-        return [f"column_{i + 1}" for i in range(len(cells))]
-    names = []
-    for i, cell in enumerate(cells):
-        name = (cell or "").lstrip("﻿") if i == 0 else (cell or "")
-        names.append(name if name.strip() else f"column_{i + 1}")
-    seen = set()
+        return tuple(f"column_{i + 1}" for i in range(len(cells)))
+    names = tuple(c if c.strip() else f"column_{i + 1}" for i, c in enumerate(cells))
     for name in names:
-        if name in seen:
+        if names.count(name) > 1:
             raise TableError("COLUMN_NAME_COLLISION", f"Duplicate column name in CSV header: {name}", column=name)
-        seen.add(name)
     return names
 
 
-def _read_csv_group(spark, paths, sep, header, encoding, multi_line, keep_order):
-    names = _header_names(spark, paths, sep, header, encoding, multi_line)
-    if not names:
-        return Table(spark.createDataFrame([], T.StructType([])))
+def _csv_groups(spark, path, delimiter, header: bool, encoding: str) -> dict:
+    """{(delimiter, column names): files}; files without any record are left out."""
+    groups: dict[tuple, list[str]] = {}
+    for row in _file_heads(spark, path, resolve_delimiter(delimiter), encoding):
+        if row["record"] is not None:
+            key = (row["delimiter"], _header_names(json.loads(row["record"]), header))
+            groups.setdefault(key, []).append(row["file"])
+    return {k: sorted(groups[k]) for k in sorted(groups, key=lambda k: min(groups[k]))}
+
+
+def _options(sep: str, header: bool, encoding: str, multi_line: bool) -> dict:
+    return dict(header=header, enforceSchema=True, sep=sep, quote='"', escape='"', encoding=encoding, multiLine=multi_line,
+                mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def _bad_lines(spark, files: list[str], sep: str, names: tuple, header: bool, encoding: str, multi_line: bool) -> DataFrame:
+    """(file, text, reason) per raw record; reason null for good ones."""
+    if multi_line:
+        # Records instead of lines: the reader hands over the text of those that don't fit the header.
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("text", T.StringType())])
+        raw = spark.read.schema(schema).options(**_options(sep, header, encoding, True), columnNameOfCorruptRecord="text",
+                                                columnPruning=False).csv(files)
+        raw = raw.select("text", F.col("_metadata.file_path").alias("file"), *[f"c{i}" for i in range(len(names))])
+    else:
+        raw = spark.read.option("encoding", encoding).text(files) \
+            .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
+    # a quote opens a cell only at its start; inside an unquoted cell it is an ordinary character
+    start = f"(^|{re.escape(sep)})"
+    plain = F.regexp_replace("text", start + r'"(?:[^"]|"")*+"', "$1x")
+    cells = (F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit("")))) / len(sep) + 1
+    reason = F.when(cells > len(names), F.lit("CSV_ROW_WIDTH"))
+    if multi_line:
+        # Spark refuses to read the raw text alone, so a parsed cell takes part (always true).
+        reason = F.when((cells > len(names)) & (F.coalesce("c0", F.lit("")) >= ""), F.lit("CSV_ROW_WIDTH"))
+    else:
+        reason = F.when(plain.rlike(start + '"'), F.lit("CSV_OPEN_QUOTE")).otherwise(reason)
+    return raw.withColumn("reason", reason)
+
+
+def _read_csv_group(spark, files, sep, names, header, encoding, multi_line, keep_order):
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    df = spark.read.schema(schema).options(
-        header=header, enforceSchema=True, sep=sep, quote='"', escape='"', encoding=encoding,
-        multiLine=multi_line, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).csv(paths)
+    df = spark.read.schema(schema).options(**_options(sep, header, encoding, multi_line)).csv(files)
     cols = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
     order = ()
     if keep_order:
@@ -178,7 +223,12 @@ def _read_csv_group(spark, paths, sep, header, encoding, multi_line, keep_order)
         cols += [F.col("_metadata.file_path").alias(fp), F.col("_metadata.file_block_start").alias(bs),
                  F.monotonically_increasing_id().alias(rid)]
         order = (OrderKey(fp), OrderKey(bs), OrderKey(rid))
-    return Table(spread(df.select(*cols)), order)
+    raw = _bad_lines(spark, files, sep, names, header, encoding, multi_line)
+    check = Check(raw, (
+        CheckRule("CSV_ROW_WIDTH", f"A row has more than {len(names)} cells.", F.coalesce(F.col("reason") == "CSV_ROW_WIDTH", F.lit(False)), F.col("text")),
+        CheckRule("CSV_OPEN_QUOTE", "A line ends inside a quoted cell; read with multi_line=True.",
+                  F.coalesce(F.col("reason") == "CSV_OPEN_QUOTE", F.lit(False)), F.col("text"))))
+    return Table(df.select(*cols), order, (check,))
 
 
 def read_csv(spark: SparkSession, path, delimiter="auto", header: bool = True, encoding: str = "utf-8",
@@ -188,22 +238,30 @@ def read_csv(spark: SparkSession, path, delimiter="auto", header: bool = True, e
     ``multi_line`` allows quoted newlines but makes each file one task."""
     from ..operators.combine import union_tables
     from ..operators.rows import limit_rows
-    sep = resolve_delimiter(delimiter)
-    if sep is not None:
-        table = _read_csv_group(spark, _paths(path), sep, header, encoding, multi_line, keep_order)
-    else:
-        groups: dict[str, list[str]] = {}
-        for row in detect_delimiters(spark, path, encoding).collect():
-            groups.setdefault(row["delimiter"], []).append(row["file"])
-        tables = [_read_csv_group(spark, sorted(files), d, header, encoding, multi_line, keep_order)
-                  for d, files in sorted(groups.items(), key=lambda kv: CANDIDATES.index(kv[0]))]
-        if not tables:
-            raise TableError("EMPTY_INPUT", "No files to read.")
-        table = tables[0] if len(tables) == 1 else union_tables(tables, "name", max_inputs=len(CANDIDATES))
-        table.meta["delimiters"] = {d: files for d, files in groups.items()}
+    groups = _csv_groups(spark, path, delimiter, header, encoding)
+    tables = [_read_csv_group(spark, files, sep, names, header, encoding, multi_line, keep_order)
+              for (sep, names), files in groups.items()]
+    if not tables:
+        return Table(spark.createDataFrame([], T.StructType([])))
+    table = tables[0] if len(tables) == 1 else union_tables(tables, "name", max_inputs=len(tables))
+    by_delimiter: dict[str, list] = {}
+    for (sep, _), files in groups.items():
+        by_delimiter.setdefault(sep, []).extend(files)
+    table.meta["delimiters"] = by_delimiter
     return limit_rows(table, limit) if limit is not None else table
 
 
+def csv_rejects(spark: SparkSession, path, delimiter="auto", header: bool = True, encoding: str = "utf-8",
+                multi_line: bool = False) -> DataFrame:
+    """Every record that :func:`read_csv` can't take whole, as (file, reason, text)."""
+    parts = [_bad_lines(spark, files, sep, names, header, encoding, multi_line).filter("reason is not null").select("file", "reason", "text")
+             for (sep, names), files in _csv_groups(spark, path, delimiter, header, encoding).items()]
+    out = spark.createDataFrame([], "file string, reason string, text string")
+    for part in parts:
+        out = out.union(part)
+    return out
+
+
 # -- S3: JSONL --------------------------------------------------------------------------
 
 def _jsonl_lines(spark, paths, encoding):
@@ -218,17 +276,24 @@ def _jsonl_lines(spark, paths, encoding):
 
 
 def _bad_reason(line):
-    keys = F.json_object_keys(line)
+    """Why a line is no single JSON object; null for good lines.
+
+    Spark's JSON functions stop after the first value of a text, so a line
+    counts as one value only if it is the one element of ``[line]`` and the
+    one member of ``{"v":line}``."""
+    one = (F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1) \
+        & (F.size(F.json_object_keys(F.concat(F.lit('{"v":'), line, F.lit("}")))) == 1)
     scalar = line.rlike(r'^(null|true|false|-?\d+(\.\d+)?([eE][+-]?\d+)?|"([^"\\]|\\.)*")$')
     array = F.json_array_length(line).isNotNull()
-    return (F.when(keys.isNotNull(), F.lit(None))
+    return (F.when(~F.coalesce(one, F.lit(False)), F.lit("JSONL_PARSE"))
+            .when(F.json_object_keys(line).isNotNull(), F.lit(None))
             .when(scalar | array, F.lit("JSONL_OBJECT"))
             .otherwise(F.lit("JSONL_PARSE")))
 
 
 def jsonl_line_number(lines: DataFrame, file: str, block: int, row_id: int) -> int:
     """1-based line number of one row: rows of earlier blocks of the same file
-    plus rows before it in its block (reads only that file)."""
+    plus rows before it in its block (one more pass over the input)."""
     same = lines.filter(F.col("file") == file)
     before = same.filter((F.col("block") < block) | ((F.col("block") == block) & (F.col("id") < row_id))).count()
     return before + 1
@@ -245,34 +310,32 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
     lines = _jsonl_lines(spark, paths, encoding).filter(F.col("line") != "")
     reason = _bad_reason(F.col("line"))
     pos = F.struct("file", "block", "id")
-    keyed = lines.select(pos.alias("pos"), reason.alias("reason"), "line",
-                         F.posexplode_outer(F.json_object_keys(F.col("line"))).alias("k", "key"))
-    value = F.element_at(F.from_json(F.col("line"), "map<string,variant>"), F.col("key"))
-    # One pass: first position and merged value type of every key, and
-    # (under key null) the bad lines.
+    # Keys with their first position: only (key, position) is unpivoted; bad lines come under key null.
+    keyed = lines.select(pos.alias("pos"), reason.alias("reason"), F.posexplode_outer(F.json_object_keys(F.col("line"))).alias("k", "key"))
     found = keyed.groupBy("key").agg(
         F.min(F.struct("pos", "k")).alias("first"),
-        F.call_function("schema_of_variant_agg", value).alias("vtype"),
         F.count_if(F.col("reason").isNotNull()).alias("bad"),
         F.min_by(F.struct("pos", "reason"), F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("first_bad"),
     ).collect()
-    bad = next((r for r in found if r["key"] is None and r["bad"]), None)
-    if strict and bad is not None:
-        first = bad["first_bad"]
+    wrong = [r["first_bad"] for r in found if r["bad"]]  # a line with text behind its object has keys too
+    if strict and wrong:
+        first = min(wrong, key=lambda f: tuple(f["pos"]))
         p = first["pos"]
         line_no = jsonl_line_number(_jsonl_lines(spark, paths, encoding), p["file"], p["block"], p["id"])
         msg = f"Invalid JSONL at line {line_no}." if first["reason"] == "JSONL_PARSE" else \
             f"JSONL line {line_no} must be a JSON object."
         raise TableError(first["reason"], msg, line=line_no, file=p["file"])
     keys = [r for r in found if r["key"] is not None]
+    good = lines.filter(reason.isNull())
     names = [r["key"] for r in sorted(keys, key=lambda r: (tuple(r["first"]["pos"]), r["first"]["k"]))]
     if schema is None:
-        by_name = {r["key"]: variant_type_to_spark(r["vtype"]) for r in keys}
+        # Each line is parsed once, as a whole; merging the variants gives the type of every field.
+        merged = good.agg(F.call_function("schema_of_variant_agg", F.try_parse_json("line")).alias("t")).collect()[0]["t"] if keys else None
+        by_name = field_types(merged, [r["key"] for r in keys])
     else:
         by_name = {f.name: f.dataType for f in schema.fields}
         names = [n for n in names if n in by_name] + [n for n in by_name if n not in names]
     struct = T.StructType([T.StructField(n, by_name.get(n, T.StringType())) for n in names])
-    good = lines.filter(reason.isNull())
     parsed = good.select(F.from_json(F.col("line"), struct).alias("r"), "file", "block", "id")
     cols = [F.col("r").getField(n).alias(n) for n in names]
     order = ()
@@ -280,23 +343,21 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
         fp, bs, rid = hidden_name("file"), hidden_name("block"), hidden_name("line")
         cols += [F.col("file").alias(fp), F.col("block").alias(bs), F.col("id").alias(rid)]
         order = (OrderKey(fp), OrderKey(bs), OrderKey(rid))
-    table = Table(spread(parsed.select(*cols)), order)
+    table = Table(parsed.select(*cols), order)
     return limit_rows(table, limit) if limit is not None else table
 
 
-def variant_type_to_spark(ddl: str | None) -> T.DataType:
-    """Spark type for a merged JSON value type: objects become structs,
-    numbers that are not all integers become double, conflicting or unknown
-    types become text (the JSON text of the value)."""
-    if not ddl or ddl in ("VOID", "VARIANT"):
-        return T.StringType()
-    text = ddl.replace("OBJECT<", "STRUCT<")
+def field_types(merged: str | None, names: list[str]) -> dict:
+    """Spark type of each key from the merged type of all lines: objects
+    become structs, numbers that are not all integers become double,
+    conflicting or unknown types become text (the JSON text of the value)."""
+    text = (merged or "").replace("OBJECT<", "STRUCT<")
     text = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", text)
     text = re.sub(r"\b(VARIANT|VOID)\b", "STRING", text)
-    try:
-        return T.DataType.fromDDL(text)
-    except Exception:  # noqa: BLE001 - e.g. nested keys that are not valid DDL names
-        return T.StringType()
+    known: dict = {}
+    if text.startswith("STRUCT<"):
+        known = {f.name: f.dataType for f in T.DataType.fromDDL(text).fields}
+    return {n: known.get(n, T.StringType()) for n in names}
 
 
 def jsonl_rejects(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
@@ -313,13 +374,3 @@ def jsonl_rejects(spark: SparkSession, path, encoding: str = "utf-8") -> DataFra
         .filter(F.col("reason").isNotNull())
     joined = bad.join(offsets, ["file", "block"])
     return joined.select("file", (F.col("off") + F.col("id") - F.col("first_id") + 1).alias("line"), "reason")
-
-
-def jsonl_keys(lines_df: DataFrame, text_col: str, order_cols: list[str]) -> DataFrame:
-    """Key discovery of the JSONL reader over a DataFrame of JSON texts:
-    one row per key with its first (order, position-in-object) as ``first``.
-    One aggregate; partial aggregation keeps the shuffle to distinct keys."""
-    line = S.js_trim(F.col(text_col))
-    pos = F.struct(*[F.col(c) for c in order_cols])
-    keyed = lines_df.select(pos.alias("pos"), F.posexplode(F.json_object_keys(line)).alias("k", "key"))
-    return keyed.groupBy("key").agg(F.min(F.struct("pos", "k")).alias("first"))

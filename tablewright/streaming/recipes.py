@@ -1,11 +1,12 @@
 """Run a saved recipe on files as they arrive (R6 with Structured Streaming).
 
 A recipe is re-run on new inputs.  For a folder that keeps receiving files,
-``run_recipe_on_arrivals`` reads it with a Structured Streaming file source
-and applies the recipe to every micro-batch through ``foreachBatch``: each
-batch is bound to the recipe's input node, evaluated with the same operators
-as a batch run, and written by the same sinks into ``<output>/batch-<id>``
-(overwrite by batch id, so a retried batch replaces its own output).
+``run_recipe_on_arrivals`` follows it with a Structured Streaming file source.
+Each micro-batch hands its new files to ``foreachBatch``, where they are read by
+the batch readers (so delimiters, headers, new JSONL keys and malformed lines are
+treated as in a batch run), evaluated with the same operators, checked, and
+written by the same sinks into ``<output>/batch-<id>`` (overwrite by batch id, so a
+retried batch replaces its own output).  A failing check stops the stream.
 
 Only row-local nodes are accepted between input and output (select, rename,
 clean text, cast, filter, null handling): for them the union of per-batch
@@ -19,17 +20,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from ..errors import TableError
-from ..plans.pipeline import INPUT_TYPES, OUTPUT_TYPES, Evaluator, validate_pipeline
+from ..plans.pipeline import INPUT_TYPES, OUTPUT_TYPES, ROW_LOCAL, Evaluator, validate_pipeline
 from ..session import ensure_checkpoint_dir
 from ..sinks.files import write_csv, write_jsonl, write_parquet
-from ..sources.parquet import read_parquet
-from ..sources.text import read_csv, read_jsonl, resolve_delimiter
-from ..table import Table
-
-ROW_LOCAL = ("select-columns", "rename-columns", "clean-text", "cast", "filter-rows", "null-handling")
 
 
 def _path_to(graph: dict, output_id: str) -> list[dict]:
@@ -47,28 +43,21 @@ def _path_to(graph: dict, output_id: str) -> list[dict]:
         current = ups[0]
 
 
-def _stream_reader(spark: SparkSession, node: dict, input_dir: str):
-    """Streaming DataFrame for the input node; its schema comes from the files
-    already present (read once with the batch reader's rules)."""
-    data = node.get("data") or {}
-    if node["type"] == "csv-input":
-        sep = resolve_delimiter(data.get("delimiter", "auto")) or ","
-        sample = read_csv(spark, input_dir, delimiter=sep, header=data.get("header", True))
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in sample.columns])
-        return (spark.readStream.schema(schema)
-                .options(header=data.get("header", True), sep=sep, quote='"', escape='"', enforceSchema=True)
-                .csv(input_dir)), True
-    if node["type"] == "jsonl-input":
-        sample = read_jsonl(spark, input_dir)
-        return spark.readStream.schema(sample.schema).json(input_dir), False
-    sample = read_parquet(spark, input_dir)
-    return spark.readStream.schema(sample.schema).parquet(input_dir), False
+def _arrivals(spark: SparkSession, node: dict, input_dir: str, max_files: int):
+    """Stream of the names of arriving files; at most ``max_files`` a batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    if node["type"] == "parquet-input":
+        # a file's name comes with its rows; one narrow column is enough to get it
+        rows = reader.schema(spark.read.parquet(input_dir).schema).parquet(input_dir)
+    else:
+        rows = reader.text(input_dir)
+    return rows.select(F.col("_metadata.file_path").alias("file"))
 
 
 def run_recipe_on_arrivals(spark: SparkSession, graph: dict, output_node: str, input_dir: str, output_dir: str,
-                           checkpoint: str | None = None, available_now: bool = True):
+                           checkpoint: str | None = None, available_now: bool = True, max_files: int = 1000):
     """Start the stream; returns the ``StreamingQuery`` (``available_now``
-    processes what is there and stops)."""
+    processes what is there and stops).  A batch takes ``max_files`` files at most."""
     result = validate_pipeline(graph)
     if not result["valid"]:
         first = result["firstIssue"]
@@ -81,17 +70,17 @@ def run_recipe_on_arrivals(spark: SparkSession, graph: dict, output_node: str, i
         if node["type"] not in ROW_LOCAL and not node.get("disabled"):
             raise TableError("STREAM_UNSUPPORTED", f"Node type {node['type']} needs all rows and cannot stream.",
                              nodeId=node["id"])
-    stream, blank_to_empty = _stream_reader(spark, source, input_dir)
+    stream = _arrivals(spark, source, input_dir, max_files)
     fmt = sink["type"].split("-")[0]
     data = sink.get("data") or {}
     if checkpoint is None:
         checkpoint = os.path.join(ensure_checkpoint_dir(spark), "tablewright-streams", sink["id"])
 
     def per_batch(batch_df, batch_id):
-        from pyspark.sql import functions as F
-        if blank_to_empty:
-            batch_df = batch_df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in batch_df.columns])
-        table = Evaluator(spark, graph, {source["id"]: Table(batch_df)}, keep_order=False).table(sink["id"])
+        files = sorted(r["file"] for r in batch_df.distinct().collect())  # max_files rows at most
+        if not files:
+            return
+        table = Evaluator(spark, graph, {source["id"]: files}, keep_order=False).table(sink["id"])
         path = os.path.join(output_dir, f"batch-{batch_id:06d}")
         if fmt == "csv":
             write_csv(table, path, delimiter=data.get("delimiter", ","), header=data.get("header", True))

@@ -62,11 +62,17 @@ class CheckRule:
     details: dict = field(default_factory=dict)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Check:
     """Rules evaluated together in one aggregate over ``df``."""
     df: DataFrame
     rules: tuple
+    passed: list = field(default_factory=list)
+
+    def once(self) -> None:
+        if not self.passed:
+            self.run()
+            self.passed.append(True)
 
     def run(self) -> None:
         aggs = []
@@ -126,9 +132,11 @@ class Table:
         return df.select(*[C(c) for c in self.columns])
 
     def validate(self) -> "Table":
-        """Run deferred checks (one aggregate job each); raise the first failure."""
-        for check in self.checks:
-            check.run()
+        """Run deferred checks (one aggregate job each); raise the first failure.
+
+        A check that has passed is not run again for tables derived later."""
+        for check in dict.fromkeys(self.checks):
+            check.once()
         return self
 
     # -- order helpers ---------------------------------------------------------------
@@ -150,6 +158,9 @@ class Table:
         text key makes that impossible."""
         if not self.order:
             return self, None
+        if len(self.order) == 1 and not self.order[0].desc and not self.order[0].nulls_last \
+                and isinstance(self.dtype(self.order[0].name), T.LongType):
+            return self, C(self.order[0].name)  # one BIGINT: its minimum is a plain hash aggregate
         parts = []
         for key in self.order:
             c = C(key.name)
@@ -178,22 +189,13 @@ def _negate(c: Column, dt: T.DataType) -> Column | None:
     return None
 
 
-def spread(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """Hash-spread a *narrow* scan over the cluster's cores.
-
-    A scan with fewer splits than ``defaultParallelism`` (one small file, one
-    row group) would run every per-row expression in a handful of tasks.  Then
-    rows are hash-partitioned on a stable per-row key (deterministic under
-    task retries, and unlike round-robin it needs no pre-sort); Catalyst still
-    pushes filters and column pruning below it, so only needed rows and
-    columns move.  A wide scan (the large-data case) is returned unchanged."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    if key is None:
-        key = F.xxhash64(*[C(c) for c in df.columns])
+def spread(df: DataFrame, key: Column, partitions: int) -> DataFrame:
+    """Deal rows to ``partitions`` tasks by a stable per-row key.
+
+    An explicit choice of the caller (a full shuffle): worth it only for one
+    small file with costly per-row work.  No source calls it by itself."""
     tmp = hidden_name("spread")
-    return df.withColumn(tmp, key).repartition(want, C(tmp)).drop(tmp)
+    return df.withColumn(tmp, key).repartition(partitions, C(tmp)).drop(tmp)
 
 
 def as_table(value) -> Table:
@@ -205,7 +207,5 @@ def as_table(value) -> Table:
 
 
 def merge_checks(*tables: Table) -> tuple:
-    out = []
-    for t in tables:
-        out.extend(t.checks)
-    return tuple(out)
+    """Checks of all tables, each once (a table joined to itself has one copy)."""
+    return tuple(dict.fromkeys(c for t in tables for c in t.checks))

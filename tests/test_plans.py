@@ -42,7 +42,38 @@ def test_ordered_dedup_is_a_partial_aggregate(spark):
     assert "partial_min_by" in p and "Window" not in p
 
 
-def test_full_join_routes_null_keys_around_the_join(spark):
+def test_full_join_reads_each_side_once(spark):
     cust, orders = C._join_sides(spark, SF)
     p = plan(tw.join_tables(cust, orders, "full", [{"left": "c_custkey", "right": "o_custkey"}]).to_df())
-    assert "Union" in p and "FullOuter" in p
+    assert "Union" not in p and "FullOuter" in p and p.count("Scan parquet") == 2
+
+
+def test_null_keys_are_dealt_out(spark):
+    left = spark.range(1000).selectExpr("id", "cast(null as long) as k")
+    right = spark.range(10).selectExpr("id as rid", "id as k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = tw.join_tables(left, right, "left", [{"left": "k", "right": "k"}]).to_df()
+        sizes = [len(p) for p in out.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 1000 and max(sizes) < 300
+
+
+def test_plain_scans_are_not_shuffled(spark):
+    p = plan(tw.select_columns(C.load(spark, SF, "lineitem"), ["l_orderkey"]).to_df())
+    assert "Exchange" not in p
+
+
+def test_ordered_numeric_groups_use_hash_aggregates(spark):
+    t = tw.select_columns(C.load(spark, SF, "orders", keep_order=True), ["o_custkey", "o_orderkey"])
+    p = plan(tw.group_by(t, ["o_custkey"], [C.agg("count", "*", "n"), C.agg("sum", "o_orderkey", "keys")]).df)
+    assert "HashAggregate" in p and "SortAggregate" not in p
+
+
+def test_saved_run_carries_no_order_it_does_not_need(spark):
+    inputs = {"customers": f"{SF}/customer.parquet", "orders": f"{SF}/orders.parquet", "items": f"{SF}/lineitem.parquet"}
+    p = plan(C.evaluate_node(spark, C.revenue_graph(), "sorted", inputs).to_df())
+    assert "SortAggregate" not in p and "row_index" not in p
