@@ -256,17 +256,18 @@ def epoch_millis_of_text(t: Column) -> Column:
 
 # -- sort keys -------------------------------------------------------------------
 
-def sort_key_fields(col: Column, dtype: T.DataType) -> list[tuple[Column, bool]]:
+def sort_key_fields(col: Column, dtype: T.DataType, cls: Column | None = None) -> list[tuple[Column, bool]]:
     """Ordered list of (key, reversible) parts giving the reference's total order
     for one column: missing (null or '') last, then typed value; text cells by
     rank (0 numeric/date/boolean, 1 text), numeric value, natural key.
 
     Returns (expr, is_missing_flag) pairs; the caller applies direction to
-    every part except the missing flag.
+    every part except the missing flag.  ``cls`` is the cell's class when a
+    projection below has computed it already.
     """
     if isinstance(dtype, T.StringType):
         t = js_trim(col)
-        cls = text_class(col)
+        cls = text_class(col) if cls is None else cls
         missing = col.isNull() | (col == "")
         num = (
             F.when(cls.isin("integer", "number"), t.try_cast("double"))

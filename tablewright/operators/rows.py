@@ -252,13 +252,17 @@ def sort_rows(table, keys) -> Table:
     if not rules:
         return table
     require_columns(table.columns, [n for n, _ in rules])
+    # The class of a text cell is a chain of patterns that every part of its key needs: one column below.
+    classes = {n: hidden_name("c") for n, _ in rules if isinstance(table.dtype(n), T.StringType)}
+    classed = table.df.select("*", *[S.text_class(C(n)).alias(h) for n, h in classes.items()])
     new_cols, order = [], []
     for name, desc in rules:
-        for expr, is_flag in S.sort_key_fields(C(name), table.dtype(name)):
+        cls = C(classes[name]) if name in classes else None
+        for expr, is_flag in S.sort_key_fields(C(name), table.dtype(name), cls):
             hid = hidden_name("k")
             new_cols.append(expr.alias(hid))
             order.append(OrderKey(hid, desc=(desc and not is_flag), nulls_last=desc))
-    df = table.df.select("*", *new_cols)
+    df = classed.select(*[C(c) for c in table.df.columns], *new_cols)
     return table.derive(df, order=tuple(order) + table.order)
 
 
