@@ -304,6 +304,7 @@ class Evaluator:
     def __init__(self, spark: SparkSession, graph: dict, inputs: dict, keep_order: bool = True, target: str | None = None):
         self.spark = spark
         self.target = target
+        self.read_limit: int | None = None
         self.graph = graph
         self.inputs = inputs or {}
         self.keep_order = keep_order
@@ -368,7 +369,7 @@ class Evaluator:
             return read_csv(self.spark, binding, delimiter=data.get("delimiter", "auto"), header=data.get("header", True),
                             encoding=data.get("encoding", "utf-8"), multi_line=data.get("multiLine", False), keep_order=keep)
         if node["type"] == "jsonl-input":
-            return read_jsonl(self.spark, binding, keep_order=keep)
+            return read_jsonl(self.spark, binding, keep_order=keep, limit=self.read_limit)
         return read_parquet(self.spark, binding, keep_order=keep)
 
     def _build(self, node) -> Table:
@@ -443,14 +444,17 @@ def preview_node(spark: SparkSession, graph: dict, node_id: str, inputs: dict, n
     """(preview rows as text, inferred schema of the previewed rows)."""
     _checked(graph)
     ev = Evaluator(spark, graph, inputs, target=node_id)
-    path, local = node_id, True
-    while local and ev.nodes[path]["type"] not in INPUT_TYPES:
-        local = ev.nodes[path]["type"] in ROW_LOCAL + OUTPUT_TYPES
-        path = ev.upstream(path, "in") or path if local else path
-    binding = (inputs or {}).get(path) if local else None
-    if isinstance(binding, str) and ev.nodes[path]["type"] == "parquet-input":
-        # Only row-local nodes: rows keep the scan's order, so a plain limit stops the scan early.
+    path, kinds = node_id, []
+    while ev.nodes[path]["type"] in ROW_LOCAL + OUTPUT_TYPES and ev.upstream(path, "in"):
+        kinds.append(ev.nodes[path]["type"])
+        path = ev.upstream(path, "in")
+    source = ev.nodes[path]["type"]
+    # Only row-local nodes above one source: rows keep the scan's order, so a plain limit stops the scan early.
+    local = source in INPUT_TYPES and isinstance((inputs or {}).get(path), str)
+    if local and source != "csv-input":
         ev.keep_order = False
+        if not {"filter-rows", "null-handling"} & set(kinds):
+            ev.read_limit = n  # no row is dropped on the way
     table = ev.table(node_id)
     if not local:
         table.validate()

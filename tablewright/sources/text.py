@@ -308,6 +308,8 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
     from ..operators.rows import limit_rows
     paths = _paths(path)
     lines = _jsonl_lines(spark, paths, encoding).filter(F.col("line") != "")
+    if limit is not None and not keep_order:
+        lines = lines.limit(limit)  # keys, types and errors of the rows read, not of the whole input
     reason = _bad_reason(F.col("line"))
     pos = F.struct("file", "block", "id")
     # Keys with their first position: only (key, position) is unpivoted; bad lines come under key null.
