@@ -31,7 +31,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     (and any row id in it) stays the same when executors are lost.
     """
     path = stage_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +44,13 @@ def full_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def id_key(column: str, name: str) -> list[Column]:
+    """Two plain columns that are equal exactly for equal ids, null included.
+
+    A join and a window on them share one exchange, as a null-safe comparison would not."""
+    return [F.coalesce(F.col(column).cast("string"), F.lit("")).alias(name), F.col(column).isNull().alias(f"{name}_null")]
+
+
 def hex_number(digest: Column) -> Column:
     """The first 52 bits of a hex digest as a long."""
     return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("long")

@@ -40,10 +40,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import id_key, staged
 from .worker import Memo, keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -55,10 +55,14 @@ ROWS, BANDS = 7, 42
 SMALL = 16
 #: Further pivots of larger buckets.
 PIVOTS = 3
+#: Hash bins of a text's profile.
+BINS = 256
+#: Members of a block that is compared at once.
+SIDE = 512
 #: Elements that are signed together (bounds the memory of a worker).
 BLOCK = 200_000
 #: Entries of a worker's memo of word hashes.
-WORDS = 500_000
+WORDS = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -164,6 +168,13 @@ def _band_lists(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _profiles(texts: pa.Array) -> pa.Array:
+    rows = [np.bincount((e % np.uint64(BINS)).astype(np.int64), w, BINS).astype(np.int32)
+            for e, w in (weighted_shingles(t) for t in texts.to_pylist())]
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BINS), pa.array(flat))
+
+
 def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
     memo = Memo(weighted_shingles, 64)
     return pa.array([similarity(memo[x], weighted_shingles(y)) >= THRESHOLD for x, y in zip(a.to_pylist(), b.to_pylist())])
@@ -174,6 +185,47 @@ def band_hashes(text: str = "text") -> Column:
     return F.arrow_udf(_band_lists, "array<bigint>")(F.col(text))
 
 
+def profile(text: str = "text") -> Column:
+    """Array of the shingles' weights in each hash bin."""
+    return F.arrow_udf(_profiles, "array<int>")(F.col(text))
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Pairs of one block (outside rows x all rows) whose profiles don't rule out the threshold.
+
+    Weight shared <= sum of the smaller bins, so similarity <= shared / (both - shared)."""
+    part = {name: table.column(name).to_numpy() for name in ("node", "comp", "main", "outside")}
+    bins = table.column("profile").combine_chunks().flatten().to_numpy().reshape(-1, BINS)
+    weight = bins.sum(axis=1)
+    first, second = np.nonzero(part["outside"])[0], np.nonzero(~part["outside"])[0]
+    out_a, out_b = [], []
+    for i in first:
+        low, high = np.minimum(weight[second], weight[i]), np.maximum(weight[second], weight[i])
+        other = part["comp"][second]
+        # a pair of two outside rows is looked at from its smaller node only
+        use = second[(low >= high * THRESHOLD) & (other != part["comp"][i]) & ((other == part["main"][second]) | (part["node"][i] < part["node"][second]))]
+        shared = np.minimum(bins[use], bins[i]).sum(axis=1)
+        use = use[shared * (1 + THRESHOLD) >= (weight[use] + weight[i]) * THRESHOLD]
+        out_a.append(np.full(len(use), part["node"][i]))
+        out_b.append(part["node"][use])
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"a": pa.array(np.concatenate(none + out_a)), "b": pa.array(np.concatenate(none + out_b))})
+
+
+def block_pairs(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) for the members (bucket, node, comp, n, main) of large buckets: each member outside of the
+    bucket's largest component against all members of others, less the pairs their profiles rule out.
+
+    A bucket is cut into about n / SIDE blocks of members by a hash; each pair of blocks is a group
+    of its own, compared in one task by array operations.  Pairs are never expanded into rows."""
+    rows = marked.join(texts.select("node", "profile"), "node").withColumn("blocks", F.ceil(F.col("n") / SIDE).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    outside = rows.filter("comp <> main").select("bucket", F.col("own").alias("i"), others.alias("j"), "node", "comp", "main", "profile", F.lit(True).alias("outside"))
+    every = rows.select("bucket", others.alias("i"), F.col("own").alias("j"), "node", "comp", "main", "profile", F.lit(False).alias("outside"))
+    return outside.union(every).groupBy("bucket", "i", "j").applyInArrow(_candidates, "a bigint, b bigint")
+
+
 def words_digest(text: str = "text") -> Column:
     """Digest of the text's words in order; null for a text without words."""
     words = F.btrim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
@@ -223,7 +275,8 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_links(members: DataFrame, texts: DataFrame, small: int = SMALL, pivots: int = PIVOTS) -> tuple:
-    """(links found, component labels) for ``members`` (bucket, node) of buckets with two members or more."""
+    """(links found, component labels) for ``members`` (bucket, node) of buckets with two members or more;
+    ``texts`` has node, text and profile."""
     first = members.groupBy("bucket").agg(F.min("node").alias("a"))
     star = members.join(first, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = verified(staged(star, "near-pairs"), texts)
@@ -248,10 +301,7 @@ def near_links(members: DataFrame, texts: DataFrame, small: int = SMALL, pivots:
         else:
             counts = many.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
             marked = many.join(counts, "bucket")
-            outside = marked.filter("comp <> main").select("bucket", "node", "comp")
-            against = marked.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "main")
-            more = outside.join(against, "bucket").filter("comp <> comp_b and (comp_b = main or node < b)") \
-                .select(F.col("node").alias("a"), "b")
+            more = block_pairs(marked, texts)
             left = None
         tested = staged(pairs.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         links = staged(links.union(verified(tested, texts)).distinct(), "near-links")
@@ -261,47 +311,56 @@ def near_links(members: DataFrame, texts: DataFrame, small: int = SMALL, pivots:
     return links, labels
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> tuple:
-    """(rows, classes): ``rows`` are staged input rows (row, id, words, bands, doc: the text, or with ``carry``
-    the whole input row); ``classes`` maps words to class_id, class_size, n_links, keep_row.
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple:
+    """(rows, classes): ``rows`` are staged narrow input rows (row, id, words, bands); ``classes`` maps words
+    to node, class_id, class_size, keep_row.
 
-    class_id is the smallest id of the class; the row that stays is the first with that id.
+    class_id is the smallest id of the class; the row that stays is the first with that id.  Whole texts
+    are fetched once, for texts that share a bucket: documents meet them on (words, id), so that
+    copies, which have different ids, are not gathered.
     """
     rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), words_digest(text).alias("words"),
-                              band_hashes(text).alias("bands"), F.struct("*" if carry else text).alias("doc")), "near-rows")
+                              band_hashes(text).alias("bands")), "near-rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    nodes = staged(rows.filter("words is not null").groupBy("words").agg(
-        F.min(order).alias("best"), F.count(F.lit(1)).alias("n"), F.min("row").alias("node")), "near-nodes")
+    nodes = rows.filter("words is not null").groupBy("words").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
+    nodes = staged(nodes.withColumn("node", F.col("best.row")), "near-nodes")
     # one row of each group of copies stands for it: rows meet nodes on the row id, which is unique
     heads = rows.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node")
     members = heads.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = staged(members.join(shared, "bucket"), "near-buckets")
-    texts = staged(rows.select(F.col("row").alias("node"), F.col("doc")[text].alias("text")).join(members.select("node").distinct(), "node"), "near-texts")
-    links, labels = near_links(members, texts)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    tagged = nodes.join(labels, "node", "left").join(degree, "node", "left") \
-        .select("words", "best", "n", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    wanted = nodes.join(members.select("node").distinct(), "node").withColumn("id", F.col("best.id")).select("node", "words", *id_key("id", "id"))
+    whole = docs.select(words_digest(text).alias("words"), *id_key(key, "id"), F.col(text).alias("text"))
+    same = ["words", "id", "id_null"]
+    texts = whole.join(wanted, same).dropDuplicates(same).select("node", "text")  # rows repeated whole meet here
+    texts = staged(texts.withColumn("profile", profile("text")), "near-texts")
+    labels = near_links(members, texts)[1]
+    tagged = nodes.join(labels, "node", "left").select("words", "node", "best", "n", F.coalesce("label", "node").alias("label"))
     tagged = staged(tagged, "near-tagged")
     groups = staged(tagged.groupBy("label").agg(F.min("best").alias("best"), F.sum("n").alias("class_size")), "near-groups")
-    mapped = tagged.drop("best").join(groups, "label").select("words", F.col("best.id").alias("class_id"), "class_size", "n_links",
+    mapped = tagged.drop("best").join(groups, "label").select("words", "node", F.col("best.id").alias("class_id"), "class_size",
                                                 F.col("best.row").alias("keep_row"))
     return rows, staged(mapped, "near-classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, class_id, class_size, n_links (of its text, to other texts), kept."""
+    """One row per input row: id, class_id, class_size (rows), kept."""
     rows, by_words = classes(docs, key, text)
     narrow = rows.select("row", "id", "words")
     found = narrow.filter("words is not null").join(by_words, "words").select(
-        F.col("id").alias(key), "class_id", "class_size", "n_links", (F.col("row") == F.col("keep_row")).alias("kept"))
+        F.col("id").alias(key), "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"))
     alone = narrow.filter("words is null").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-                                                  F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+                                                  F.lit(True).alias("kept"))
     return found.union(alone)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per class, with all their columns."""
-    rows, by_words = classes(docs, key, text, carry=True)
-    gone = rows.select("row", "words").join(by_words, "words").filter("row <> keep_row").select("row")
-    return rows.select("row", "doc").join(staged(gone, "near-gone"), "row", "left_anti").select("doc.*")
+    _, by_words = classes(docs, key, text)
+    stay = by_words.filter("node = keep_row").select("words", *id_key("class_id", "__id"))
+    every = docs.select(F.struct("*").alias("__row"), *id_key(key, "__id"), words_digest(text).alias("words"))
+    same = ["words", "__id", "__id_null"]
+    # only rows repeated whole (same id and words) still meet in the window
+    one = Window.partitionBy(*same).orderBy(F.xxhash64("__row"))
+    kept = every.join(stay, same).withColumn("__n", F.row_number().over(one)).filter("__n = 1").select("__row.*")
+    return kept.union(every.filter("words is null").select("__row.*"))

@@ -86,7 +86,7 @@ def test_buckets_go_on_until_settled(spark):
     want = brute_classes(texts)
     assert len(set(want.values())) == 1
     members = spark.createDataFrame([(1, i) for i, _ in rows], "bucket long, node long")
-    nodes = spark.createDataFrame(rows, "node long, text string")
+    nodes = spark.createDataFrame(rows, "node long, text string").withColumn("profile", dartminhash.profile("text"))
     for small, pivots in ((64, 3), (2, 2), (2, 0)):
         _, labels = dartminhash.near_links(members, nodes, small=small, pivots=pivots)
         assert {r.node: r.label for r in labels.collect()} == want
