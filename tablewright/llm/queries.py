@@ -129,8 +129,68 @@ def _mix_sql() -> str:
                {", ".join(position(p) for p in range(mixing.MAX_PASSES))} FROM passes"""
 
 
+def _quality_sql() -> str:
+    first = quality.STRATA
+    stratum = "CASE " + " ".join(f"WHEN n_words >= {n} THEN {i}" for i, n in reversed(list(enumerate(first)))) + " END"
+    share = lambda x, y: f"CASE WHEN {y} > 0 THEN {x} / {y} ELSE 0::DOUBLE END"
+    shares = {"symbols": share("n_symbols", "word_chars"), "marks": share("n_marks", "word_chars"), "upper": share("n_upper", "n_letters"),
+              "lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words")}
+    score = ", ".join(f"{shares[k]} / {v}::DOUBLE" for k, v in quality.SCALES.items())
+    only = lambda chars: f"length(regexp_replace(coalesce(text, ''), '[^{chars}]', '', 'g'))"
+    log = "lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1)"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(regexp_extract_all(text, '{mixing.WORD}'), []) AS ws FROM documents),
+        words AS (SELECT rid, unnest(ws) AS a, unnest(range(len(ws))) AS i FROM d),
+        windows AS (SELECT rid, i, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM words WINDOW w AS (PARTITION BY rid ORDER BY i)),
+        twice AS (SELECT rid, a, b, c FROM windows WHERE c IS NOT NULL GROUP BY rid, a, b, c HAVING count(*) > 1),
+        hit AS (SELECT DISTINCT rid, i + k AS at_word FROM windows JOIN twice USING (rid, a, b, c), range(3) r(k)),
+        repeated AS (SELECT rid, count(*) AS n_repeat_words FROM hit GROUP BY rid),
+        lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+                  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{mixing.WORD}') GROUP BY rid),
+        m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                     {only('#*$%&|<>')} AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                     coalesce(n_repeat_words, 0) AS n_repeat_words, {only('!')} AS n_marks, {only('A-Z')} AS n_upper, {only('A-Za-z')} AS n_letters
+              FROM d LEFT JOIN lines USING (rid) LEFT JOIN repeated USING (rid)),
+        rated AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {stratum} AS stratum,
+                         greatest({score}) AS score FROM m),
+        marks AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+        counts AS (SELECT stratum, c, count(*) FILTER (q = 1) AS good, count(*) FILTER (q = 0) AS bad,
+                          count(*) FILTER (q = 1 AND score >= c) AS k, count(*) FILTER (q = 0 AND score >= c) AS hits
+                   FROM rated JOIN marks USING (doc_id), (SELECT unnest({list(quality.CUTOFFS)})::DOUBLE AS c) WHERE NOT base_failed GROUP BY stratum, c),
+        certified AS (SELECT * FROM counts WHERE k < {quality.ALPHA} * good AND list_sum(list_transform(range(k + 1),
+                      lambda i: exp({log} + i * ln({quality.ALPHA}) + (good - i) * ln(1 - {quality.ALPHA})))) <= {quality.DELTA / len(first) / len(quality.CUTOFFS)!r}),
+        chosen AS (SELECT stratum, c AS cutoff, row_number() OVER (PARTITION BY stratum ORDER BY
+                   CASE WHEN bad > 0 THEN hits / bad ELSE 0 END - k / good DESC, c DESC) AS nth FROM certified)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND coalesce(score < cutoff, true) AS kept, stratum, score, cutoff
+        FROM rated LEFT JOIN (SELECT * FROM chosen WHERE nth = 1) USING (stratum)"""
+
+
+def _near_sql() -> str:
+    """Classes by comparing all texts that share a shingle."""
+    k = dartminhash.SHINGLE
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{mixing.WORD}'), []) AS ws FROM documents),
+        keyed AS (SELECT doc_id, ws, array_to_string(ws, ' ') AS key FROM d),
+        nodes AS (SELECT key, min(doc_id) AS node, any_value(ws) AS ws FROM keyed WHERE len(ws) > 0 GROUP BY key),
+        places AS (SELECT node, ws, unnest(range(1, greatest(len(ws) - {k - 1}, 1) + 1)) AS i FROM nodes),
+        weights AS (SELECT node, array_to_string(ws[i:i + {k - 1}], ' ') AS g, count(*) AS n FROM places GROUP BY node, g),
+        totals AS (SELECT node, sum(n) AS total FROM weights GROUP BY node),
+        shared AS (SELECT x.node AS a, y.node AS b, sum(least(x.n, y.n)) AS both_have FROM weights x JOIN weights y ON x.g = y.g AND x.node <> y.node
+                   GROUP BY x.node, y.node),
+        links AS (SELECT a, b FROM shared JOIN totals u ON u.node = a JOIN totals v ON v.node = b
+                  WHERE both_have >= {dartminhash.THRESHOLD} * (u.total + v.total - both_have)),
+        reach AS (SELECT node, node AS other FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+        classed AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
+        mapped AS (SELECT key, class_id FROM nodes JOIN classed USING (node)),
+        placed AS (SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM keyed LEFT JOIN mapped USING (key))
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM placed"""
+
+
 ORACLE_SQL = {
+    "op2_risk_controlled_rules": _quality_sql(),
     "op4_curriculum_mix": _mix_sql(),
+    "op5_dart_minhash": _near_sql(),
     "op8_tree_merge_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -167,7 +167,8 @@ def test_no_python_in_native_plans(spark):
 def test_oracles(spark):
     import duckdb
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     for name, sql in ORACLE_SQL.items():
         res = con.execute(sql)
         names = [c[0] for c in res.description]
