@@ -33,7 +33,7 @@ def file_order(df, name: str):
     path, number = hidden_name("path"), hidden_name("number")
     listed = df.sparkSession.createDataFrame(list(enumerate(files)), f"{number} long, {path} string")
     at = df.select("*", F.col("_metadata.file_path").alias(path), row.alias(name))
-    joined = at.join(F.broadcast(listed), path, "left")  # one row per file
+    joined = at.join(listed, path, "left")  # one row per file; Spark broadcasts it if it is small
     place = F.shiftleft(F.coalesce(C(number), F.lit(0)), ROW_BITS) + C(name)
     return joined.select(*[C(c) for c in df.columns], place.alias(name))
 
