@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import full_text, staged
+from .common import full_text, id_key, staged
 
 #: Runs merged into one in a round.
 FAN = 16
@@ -95,11 +95,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     large group is not gathered anywhere.
     """
     rows = staged(digest_rows(docs, id_col, text), "digests")
-    winners = merge_runs(rows, keep, rows_per_run, fan)[1][-1]
-    right = winners.select(F.col("best.id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in DIGEST])
-    left = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__left"), *_digest_columns(text))
-    joined = left.join(right, F.col("__left").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))
-                       & (F.col("n_bytes") == F.col("__n_bytes")) & (F.col("check") == F.col("__check")))
-    # only rows repeated whole (same id and text) still meet here
-    one = Window.partitionBy("__left", *DIGEST).orderBy(F.xxhash64("__row"))
-    return joined.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select("__row.*")
+    winners = merge_runs(rows, keep, rows_per_run, fan)[1][-1].select(F.col("best.id").alias("id"), *DIGEST)
+    right = winners.select(*id_key("id", "__id"), *DIGEST)
+    left = docs.select(F.struct("*").alias("__row"), *id_key(id_col, "__id"), *_digest_columns(text))
+    key = ["__id", "__id_null", *DIGEST]
+    # only rows repeated whole (same id and text) still meet in the window
+    one = Window.partitionBy(*key).orderBy(F.xxhash64("__row"))
+    return left.join(right, key).withColumn("__n", F.row_number().over(one)).filter("__n = 1").select("__row.*")
