@@ -48,7 +48,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Entries of the memos of a worker process.
-CHUNKS, PIECES, PAIRS = 400_000, 400_000, 400_000
+CHUNKS, PIECES, PAIRS = 150_000, 150_000, 200_000
 NEVER = 1 << 60
 
 
@@ -98,8 +98,9 @@ class ByteBpe:
             node, end = node[side], born
         return out
 
-    def compatible(self, pair: tuple) -> bool:
-        first, second = pair
+    def compatible(self, pair: int) -> bool:
+        """Of two neighbours, packed as first << 20 | second."""
+        first, second = pair >> 20, pair & 0xFFFFF
         for a, a_born, a_end in self.right[first]:
             for b, b_born, b_end in self.left[second]:
                 rank = self.ranks.get(a + b)
@@ -125,7 +126,7 @@ class ByteBpe:
             while left:
                 left -= 1
                 end, token = here[left]
-                if not dead[end] and (last < 0 or pair[last, token]):
+                if not dead[end] and (last < 0 or pair[last << 20 | token]):
                     tries[-1] = left
                     path.append((at, token))
                     at = end

@@ -39,7 +39,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 LEAF, WIDE = 16, 256
 #: Pieces that a worker keeps the token counts of.
-PIECES = 400_000
+PIECES = 300_000
 #: How far beyond its end the pattern can look before it settles a piece.
 CONTEXT = 2
 EDIT = "array<struct<at:int,removed:int,added:string>>"

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import HEX_RANGE, hex_number
 from .dartminhash import mix
-from .worker import keep_latest
+from .worker import keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -225,7 +225,7 @@ def predict(docs: DataFrame, fitted: tuple, key: str = "doc_id", text: str = "te
 
     def run(texts: pa.Array) -> pa.Array:
         models, scale, limits = shared.value
-        scorer = keep_latest("langid", version, lambda: Models(models))
+        scorer = keep(("langid", version), lambda: Models(models))
         names, scores, costs, rejected, rows = [], [], [], [], texts.to_pylist()
         for at in range(0, len(rows), 500):
             h = scorer.entropies(rows[at:at + 500])

@@ -19,20 +19,16 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def keep(key, make):
-    """``make()`` once per worker process and key."""
-    home = sys.modules.setdefault("_tablewright_llm_worker", types.ModuleType("_tablewright_llm_worker"))
-    if key not in home.__dict__:
-        home.__dict__[key] = make()
-    return home.__dict__[key]
-
+    """``make()`` once per worker process while the same key is asked for.
 
-def keep_latest(key, version, make):
-    """Like ``keep``, but a new version takes the place of the last one."""
-    slot = keep(("latest", key), dict)
-    if version not in slot:
+    Another key takes its place: workers are used again by later queries, and the
+    state of several operators side by side would not fit an executor."""
+    home = sys.modules.setdefault("_tablewright_llm_worker", types.ModuleType("_tablewright_llm_worker"))
+    slot = home.__dict__.setdefault("slot", {})
+    if key not in slot:
         slot.clear()
-        slot[version] = make()
-    return slot[version]
+        slot[key] = make()
+    return slot[key]
 
 
 class Memo(dict):
