@@ -5,9 +5,9 @@ mark.  Per language, n-grams of ORDER characters are counted; lower orders use
 continuation counts (number of different characters seen before the n-gram).
 Each order subtracts its own absolute discount and hands what it saved to the
 next lower order, down to a uniform distribution over the characters known
-and one unknown.  A model is two sorted arrays of 64-bit n-gram hashes per order,
-one with the discounted probabilities, one with the weights of the lower order;
-look-ups are binary searches.
+and one unknown.  The models are two sorted arrays of 64-bit n-gram hashes per order,
+one with the discounted probabilities, one with the weights of the lower order, with
+one value per language; look-ups are binary searches.
 
 A text's language is the one with the lowest cross-entropy per character over
 all its words; ties go to the name first in code point order.  Two things are
@@ -123,10 +123,20 @@ def kneser_ney(counts: dict, characters: int) -> list:
     return [characters, model]
 
 
-def find(table: tuple, keys: np.ndarray, missing: float) -> np.ndarray:
+def merged(tables: list, missing: float) -> tuple:
+    """One sorted hash array for all languages and a row of values for each hash; the last row is for unknown ones."""
+    keys = np.unique(np.concatenate([k for k, _ in tables]))
+    values = np.full((len(keys) + 1, len(tables)), missing)
+    for m, (k, v) in enumerate(tables):
+        values[np.searchsorted(keys, k), m] = v
+    return keys, values
+
+
+def find(table: tuple, wanted: np.ndarray) -> np.ndarray:
+    """The values of each wanted hash, by binary search."""
     known, values = table
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, values[at], missing)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return values[np.where(known[at] == wanted, at, len(known))]
 
 
 class Models:
@@ -134,47 +144,59 @@ class Models:
 
     def __init__(self, models: dict):
         self.names = sorted(models)
-        self.models = [models[n] for n in self.names]
+        all_models = [models[n] for n in self.names]
+        self.characters = all_models[0][0] if all_models else 1
+        self.orders = [(merged([m[1][k][0] for m in all_models], 0.0), merged([m[1][k][1] for m in all_models], 1.0))
+                       for k in range(ORDER)] if all_models else []
         self.letters = regex.compile(r"\p{L}+").findall
         self.restart()
 
     def restart(self):
-        self.known: dict = {}
-        self.scores = np.zeros((0, len(self.names) + 1))
-
-    def word_scores(self, words: list) -> np.ndarray:
-        """Per word: total cost (nats) under each model, and the number of characters predicted."""
-        out = np.zeros((len(words), len(self.names) + 1))
-        runs = [(i, r) for i, w in enumerate(words) for r in self.letters(w.lower())]
-        if not runs:
-            return out
-        text = "".join(START * (ORDER - 1) + r + END for _, r in runs)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        lengths = np.array([len(r) + 1 for _, r in runs])
-        owner = np.repeat([i for i, _ in runs], lengths)
-        places = np.concatenate([np.arange(n) for n in lengths]) + np.repeat(np.cumsum(lengths + ORDER - 1) - lengths, lengths)
-        hashes = [gram_hash(codes, k) for k in range(ORDER + 1)]
-        for m, (characters, model) in enumerate(self.models):
-            p = np.full(len(places), 1.0 / characters)
-            for order, (part, rest) in enumerate(model, 1):
-                p = find(part, hashes[order][places], 0.0) + find(rest, hashes[order - 1][places - 1], 1.0) * p
-            out[:, m] = np.bincount(owner, -np.log(p), len(words))
-        out[:, -1] = np.bincount(owner, minlength=len(words))
-        return out
+        self.words, self.runs, self.used = {}, {}, 0
+        self.scores = np.zeros((1024, len(self.names) + 1))
+
+    def add(self, rows: np.ndarray) -> int:
+        """Appends rows of scores, returns the place of the first."""
+        first, self.used = self.used, self.used + len(rows)
+        if self.used > len(self.scores):
+            more = np.zeros((max(self.used, 2 * len(self.scores)) - len(self.scores), self.scores.shape[1]))
+            self.scores = np.concatenate([self.scores, more])
+        self.scores[first:self.used] = rows
+        return first
+
+    def run_scores(self, runs: list) -> np.ndarray:
+        """Per run of letters: total cost (nats) under each model, and the number of characters predicted."""
+        codes = np.frombuffer("".join(START * (ORDER - 1) + r + END for r in runs).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        lengths = np.array([len(r) + 1 for r in runs])
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        places = np.arange(lengths.sum()) + np.repeat((np.arange(len(runs)) + 1) * (ORDER - 1), lengths)
+        p = np.full((len(places), len(self.names)), 1.0 / self.characters)
+        for order, (part, rest) in enumerate(self.orders, 1):
+            p = find(part, gram_hash(codes, order)[places]) + find(rest, gram_hash(codes, order - 1)[places - 1]) * p
+        return np.column_stack([np.add.reduceat(-np.log(p), starts, axis=0), lengths])
+
+    def learn(self, words: list) -> None:
+        """Scores of words not met before; most are one run of letters, whose scores they share."""
+        found = [(w, self.letters(w.lower())) for w in words]
+        new = list({r for _, runs in found for r in runs}.difference(self.runs))
+        for at in range(0, len(new), 5000):
+            part = new[at:at + 5000]
+            first = self.add(self.run_scores(part))
+            self.runs.update(zip(part, range(first, first + len(part))))
+        for w, runs in found:
+            places = [self.runs[r] for r in runs]
+            self.words[w] = places[0] if len(places) == 1 else self.add(self.scores[places].sum(axis=0, keepdims=True))
 
     def entropies(self, texts: list) -> np.ndarray:
         """Per text: cross-entropy per character under each model, and the number of characters."""
         split = [(t or "").split() for t in texts]
-        if len(self.known) > WORDS:
+        if len(self.words) > WORDS:
             self.restart()
-        new = list(set().union(*split).difference(self.known))
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.scores = np.concatenate([self.scores, *[self.word_scores(new[i:i + 5000]) for i in range(0, len(new), 5000)]])
+        self.learn(list(set().union(*split).difference(self.words)))
         out = np.zeros((len(texts), len(self.names) + 1))
         for i, words in enumerate(split):
             if words:
-                out[i] = self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                out[i] = self.scores[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))].sum(axis=0)
         out[:, :-1] /= np.maximum(out[:, -1:], 1)
         return out
 

@@ -258,19 +258,35 @@ def test_edit_columns(spark):
 def test_models_are_distributions():
     counts = {"^^^^a": 3, "^^^ab": 2, "^^abc": 1, "^abc$": 2, "^^^^b": 1, "^^^bc": 1}
     characters, model = langid.kneser_ney(counts, 6)
-    letters = "abc$^?"
+    tables = [(langid.merged([part], 0.0), langid.merged([rest], 1.0)) for part, rest in model]
     for context in ("^^^^", "^^^a", "zzzz"):
         total = 0.0
-        for c in letters:
+        for c in "abc$^?":
             p, gram = 1.0 / characters, context + c
-            for order, (part, rest) in enumerate(model, 1):
+            for order, (part, rest) in enumerate(tables, 1):
                 key = langid._hash_of([gram[-order:]], order)
                 low = langid._hash_of([gram[-order:-1] if order > 1 else ""], order - 1)
-                p = langid.find(part, key, 0.0)[0] + langid.find(rest, low, 1.0)[0] * p
+                p = langid.find(part, key)[0, 0] + langid.find(rest, low)[0, 0] * p
             total += p
         assert total == pytest.approx(1.0)
 
 
+def test_scores_by_hand():
+    """A text's cost is the sum over its words, however they were met before."""
+    grams = [{"\x02\x02\x02\x02a": 3, "\x02\x02\x02ab": 2, "\x02\x02ab\x03": 2, "\x02\x02\x02a\x03": 1},
+             {"\x02\x02\x02\x02b": 2, "\x02\x02\x02ba": 2, "\x02\x02ba\x03": 2}]
+    both = {n: langid.kneser_ney(g, 5) for n, g in zip("xy", grams)}
+    texts = ["ab ba, AB-ba!", "ab", "zz 12", "", None, "ba a"]
+    together = langid.Models(both).entropies(texts)
+    for text, row in zip(texts, together):
+        alone = langid.Models(both).entropies([text])[0]
+        assert row == pytest.approx(alone)
+        runs = regex.findall(r"\p{L}+", (text or "").lower())
+        costs = [langid.Models({n: both[n]}).run_scores([r])[0] for r in runs for n in "x"]
+        assert row[-1] == sum(len(r) + 1 for r in runs)
+        assert row[0] * max(row[-1], 1) == pytest.approx(sum(c[0] for c in costs))
+
+
 def test_language_held_out_accuracy(spark):
     rows = QUERIES["op9_kneser_ney_langid"](spark, SF).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
