@@ -17,8 +17,8 @@ answers, and for each language the cross-entropy that REJECT of its documents ex
 A text above it is flagged ``rejected`` (it keeps its best language).
 
 Training reads at most about TRAIN_DOCS documents of each language for the counts and
-CHECK_DOCS for the calibration, chosen by a hash of their ids; these are the
-documented bounds of the fit.  Only they bound the model; every text is scored whole.
+CHECK_DOCS for the calibration, chosen by a hash of their ids, of the LANGUAGES most
+frequent languages; these are the documented bounds of the fit.  Only they bound the model; every text is scored whole.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything
 if there is nothing to learn from.  Rows with null language or null id are not
@@ -46,6 +46,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 5
 TRAIN_DOCS, CHECK_DOCS = 1_500, 300
+#: Languages learned at most, the most frequent ones (a bound of the fit).
+LANGUAGES = 1_000
 REJECT = 0.005
 START, END = "\x02", "\x03"
 #: Words that a worker keeps the scores of.
@@ -60,10 +62,13 @@ def remainder(key: str = "doc_id") -> Column:
 # -- training -------------------------------------------------------------------
 
 def _bounded(docs: DataFrame, key: str, lang: str, most: int) -> DataFrame:
-    """About ``most`` documents of each language, chosen by a hash of the id."""
-    counts = docs.groupBy(F.col(lang).alias("__lang")).agg((F.lit(float(most)) / F.count(F.lit(1))).alias("__part"))
+    """About ``most`` documents of each language, chosen by a hash of the id.
+
+    The table of languages is bounded, so it is broadcast: documents are never shuffled by language."""
+    counts = docs.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.orderBy(F.col("__n").desc(), "__lang").limit(LANGUAGES).select("__lang", (F.lit(float(most)) / F.col("__n")).alias("__part"))
     place = hex_number(F.md5(F.concat(F.lit("train:"), F.col(key).cast("string")))) / F.lit(float(HEX_RANGE))
-    return docs.join(counts, F.col(lang) == F.col("__lang")).filter(place < F.col("__part"))
+    return docs.join(F.broadcast(counts), F.col(lang) == F.col("__lang")).filter(place < F.col("__part"))
 
 
 def gram_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS) -> dict:
