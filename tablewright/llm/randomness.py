@@ -5,8 +5,11 @@ characters to a password-like name, access keys, and hex strings of 32 or more.
 Matches are leftmost and do not overlap within a kind; those too short are dropped
 after matching.
 
-The method adds spans of kind ``random``.  Candidates are runs of 20 or more
-characters of the usual encodings that touch no base span.  For each, the smallest fitting
+The method adds spans of kind ``random``.  Runs of 20 or more characters of the usual
+encodings are cut: base spans are taken out, and a ``=`` that more symbols follow (NAME=value)
+ends a part.  A part that mixes the signs of base64 and URL-safe base64 is read three
+ways: cut at ``/``, ``_`` and ``-``, as runs of base64 and as runs of URL-safe base64.
+Every piece of 20 or more characters (padding included) is a candidate.  For each, the smallest fitting
 encoding is inferred (decimal, hex, base32, base36, base64, URL-safe base64) and
 its symbols are held against the hypothesis "uniform and independent" by three
 tests: chi-squared of the symbol counts, runs above and below the middle of the
@@ -20,7 +23,8 @@ of the encoding's uniform model to that chain, whose inverse bounds the p-value.
 It grows with length by itself.  False discoveries are controlled by the
 Benjamini-Hochberg rule at FDR, separately per band of length, over the candidates of the
 whole corpus; p-values are rounded up to tenths of a power of ten, so the rule
-needs a table of bounded size only.
+needs a table of bounded size only.  Where readings of one part that overlap are found,
+the one with most evidence stays.
 
 Positions are code points, end exclusive.  Null text counts as empty and has no
 spans.  Repeated rows are scanned each for itself and all count for the rule.
@@ -40,7 +44,13 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_VALUE = 8
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Symbols up to an inner "=", with their padding.
+PART = r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Parts that one encoding fits, and the readings of the others.
+FITTING = r"^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
+READINGS = (r"[A-Za-z0-9+]+=*", r"[A-Za-z0-9+/]+=*", r"[A-Za-z0-9_-]+=*")
 LOWER, UPPER, DIGIT, SIGN = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/-_"
 #: (pattern, alphabet) from the smallest encoding to the largest.
 ENCODINGS = (("[0-9]+", DIGIT), ("[0-9a-f]+", DIGIT + "abcdef"), ("[0-9A-F]+", DIGIT + "ABCDEF"), ("[A-Z2-7]+", UPPER + "234567"),
@@ -83,14 +93,42 @@ def _of_kind(found: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Staged: row, id, base spans and candidate spans of every document."""
+    """Staged: row, id, base spans and runs (start, match, base spans it touches) of every document."""
     whole = full_text(text)
     assign = F.filter(spans(whole, ASSIGN, 2), lambda x: F.length(x["part"]) >= ASSIGN_VALUE)
     base = F.concat(_of_kind(assign, "assign"), _of_kind(spans(whole, ACCESS), "access"), _of_kind(spans(whole, HEX), "hex"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.array_sort(base).alias("base"),
                        spans(whole, CANDIDATE).alias("found"))
-    free = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return staged(rows.select("row", "id", "base", F.when(F.size("base") == 0, F.col("found")).otherwise(free).alias("found")), "secret-scan")
+    run = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["match"].alias("match"), F.filter(
+        "base", lambda b: (b["start"] < x["start"] + F.length(x["match"])) & (x["start"] < b["end"])).alias("hits")))
+    return staged(rows.select("row", "id", "base", run.alias("found")), "secret-scan")
+
+
+def _without(match: Column, start: Column, hits: Column) -> Column:
+    """``match`` with blanks in place of base spans."""
+    def step(acc, b):
+        first = F.greatest(b["start"] - start, acc["at"])
+        end = F.greatest(F.least(b["end"] - start, F.length(match)), first)
+        out = F.concat(acc["out"], F.substring(match, acc["at"] + 1, first - acc["at"]), F.repeat(F.lit(" "), end - first))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    walk = F.aggregate(hits, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                       lambda acc: F.concat(acc["out"], F.substring(match, acc["at"] + 1, F.length(match))))
+    return F.when(F.size(hits) == 0, match).otherwise(walk)
+
+
+def candidates(runs: DataFrame) -> DataFrame:
+    """(row, part, start, end, match) of every candidate in runs (row, start, match, hits); ``part`` is where its part starts."""
+    def enough(found):
+        return F.filter(found, lambda x: F.length(x["match"]) >= LEAST)
+
+    clear = runs.select("row", "start", _without(F.col("match"), F.col("start"), F.col("hits")).alias("clear"))
+    parts = clear.select("row", "start", F.explode(enough(spans(F.col("clear"), PART))).alias("p"))
+    parts = parts.select("row", (F.col("start") + F.col("p.start")).alias("part"), F.col("p.match").alias("match"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("match").alias("end"), F.col("match").alias("match"), F.col("match").alias("part")))
+    read = F.array_distinct(F.concat(*[enough(spans(F.col("match"), pattern)) for pattern in READINGS]))
+    pieces = parts.select("row", "part", F.explode(F.when(F.col("match").rlike(FITTING), whole).otherwise(read)).alias("p"))
+    return pieces.select("row", "part", (F.col("part") + F.col("p.start")).alias("start"), (F.col("part") + F.col("p.end")).alias("end"), "p.match")
 
 
 def normal_tail(z: Column) -> Column:
@@ -154,6 +192,19 @@ def discoveries(tested: DataFrame) -> DataFrame:
     return passed.join(F.broadcast(limits), F.col("band") == F.col("of")).filter(F.col("power") >= F.col("least"))
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """(row, start, end) of the found pieces; of those of one part that overlap, the one with most evidence."""
+    one = F.struct((-F.col("ln_ratio")).alias("less"), "start", "end")
+    kind = "array<struct<less:double,start:int,end:int>>"
+
+    def step(acc, x):
+        met = F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        return F.when(met, acc).otherwise(F.concat(acc, F.array(x)))
+
+    best = F.aggregate(F.array_sort(F.collect_list(one)), F.array().cast(kind), step)
+    return found.groupBy("row", "part").agg(best.alias("best")).select("row", F.explode("best").alias("b")).select("row", "b.start", "b.end")
+
+
 def listed(found: Column) -> Column:
     """kind:start:end of (start, kind, end) spans in order, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -164,8 +215,9 @@ def listed(found: Column) -> Column:
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, base spans, all spans (arrays of (start, kind, end), in order)."""
     rows = scan(docs, key, text)
-    candidates = rows.select("row", F.explode("found").alias("f")).select("row", "f.start", "f.end", "f.match")
-    found = discoveries(staged(evidence(candidates).select("row", "start", "end", "n", "p_chi", "p_runs", "p_serial", "ln_ratio"), "secret-tests"))
+    runs = rows.select("row", F.explode("found").alias("f")).select("row", "f.start", "f.match", "f.hits")
+    tested = evidence(candidates(runs)).select("row", "part", "start", "end", "n", "p_chi", "p_runs", "p_serial", "ln_ratio")
+    found = apart(discoveries(staged(tested, "secret-tests")))
     one = F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")
     added = found.groupBy("row").agg(F.collect_list(one).alias("added"))
     both = rows.select("row", F.col("id").alias(key), "base").join(added, "row", "left")
