@@ -49,7 +49,9 @@ from .worker import Memo, keep
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
-THRESHOLD = 0.8
+#: The threshold as a fraction, for exact comparisons of weights.
+PART, OF = 4, 5
+THRESHOLD = PART / OF
 ROWS, BANDS = 7, 42
 #: Members up to which a bucket is compared in full at once.
 SMALL = 16
@@ -193,7 +195,8 @@ def profile(text: str = "text") -> Column:
 def _candidates(table: pa.Table) -> pa.Table:
     """Pairs of one block (outside rows x all rows) whose profiles don't rule out the threshold.
 
-    Weight shared <= sum of the smaller bins, so similarity <= shared / (both - shared)."""
+    Weight shared <= sum of the smaller bins, so similarity <= shared / (both - shared).  Compared in
+    integers, as a pair at exactly the threshold must stay."""
     part = {name: table.column(name).to_numpy() for name in ("node", "comp", "main", "outside")}
     bins = table.column("profile").combine_chunks().flatten().to_numpy().reshape(-1, BINS)
     weight = bins.sum(axis=1)
@@ -203,9 +206,9 @@ def _candidates(table: pa.Table) -> pa.Table:
         low, high = np.minimum(weight[second], weight[i]), np.maximum(weight[second], weight[i])
         other = part["comp"][second]
         # a pair of two outside rows is looked at from its smaller node only
-        use = second[(low >= high * THRESHOLD) & (other != part["comp"][i]) & ((other == part["main"][second]) | (part["node"][i] < part["node"][second]))]
+        use = second[(low * OF >= high * PART) & (other != part["comp"][i]) & ((other == part["main"][second]) | (part["node"][i] < part["node"][second]))]
         shared = np.minimum(bins[use], bins[i]).sum(axis=1)
-        use = use[shared * (1 + THRESHOLD) >= (weight[use] + weight[i]) * THRESHOLD]
+        use = use[shared * (OF + PART) >= (weight[use] + weight[i]) * PART]
         out_a.append(np.full(len(use), part["node"][i]))
         out_b.append(part["node"][use])
     none = [np.zeros(0, np.int64)]

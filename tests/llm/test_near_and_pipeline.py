@@ -92,6 +92,18 @@ def test_buckets_go_on_until_settled(spark):
         assert {r.node: r.label for r in labels.collect()} == want
 
 
+def test_blocks_keep_pairs_at_the_threshold(spark):
+    """28 of 35 shingles are exactly 0.8; in doubles 28 * 1.8 < 63 * 0.8."""
+    long = [f"w{i}" for i in range(39)]
+    texts = [words(40, 900 + i) for i in range(18)] + [" ".join(long[:32]), " ".join(long)]
+    want = brute_classes(texts)
+    assert want[18] == want[19] == 18 and len(set(want.values())) == 19
+    members = spark.createDataFrame([(1, i) for i in range(len(texts))], "bucket long, node long")
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string").withColumn("profile", dartminhash.profile("text"))
+    links, _ = dartminhash.near_links(members, nodes, pivots=0)
+    assert [tuple(r) for r in links.collect()] == [(18, 19)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 105), (100, 105)] + [(200, 200 + k) for k in range(1, 50)]
     got = {r.node: r.label for r in dartminhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
