@@ -61,25 +61,40 @@ def bucket_count(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_BUCKET))
 
 
+def dealt_buckets(df: DataFrame, group: str, place: str, order: list[str], buckets: int, most: int = 2 * ROWS_PER_BUCKET) -> DataFrame:
+    """Adds ``__bucket``, which grows with the order of a group's rows.
+
+    Buckets are ranges of ``place``.  If one of them gets more than ``most`` rows, as many rows have one
+    place (equal or null ids), the rows are cut into ranges of their whole order instead, down to a row id for
+    rows that are equal throughout, and staged once.
+    """
+    cut = F.floor(F.col(place) / F.lit(HEX_RANGE) * F.lit(buckets)).cast("long")
+    dealt = df.withColumn("__bucket", cut)
+    if (dealt.groupBy(group, "__bucket").count().agg(F.max("count")).first()[0] or 0) <= most:
+        return dealt.withColumn("__row", F.lit(0).cast("long"))
+    keys = [F.col(group), F.col(place), *[F.col(c).asc_nulls_last() for c in order], F.col("__row")]
+    ranges = df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(buckets, *keys)
+    return staged(ranges.withColumn("__bucket", F.spark_partition_id().cast("long")), "running-total")
+
+
 def running_total(df: DataFrame, group: str, place: str, order: list[str], value: str, out: str,
-                  buckets: int) -> DataFrame:
+                  buckets: int, most: int = 2 * ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that come before.
 
     Rows are ordered by ``place`` (a long in [0, HEX_RANGE), spread evenly,
     such as a hash) and then by ``order``; the rows of one group are dealt into
-    ``buckets`` ranges of ``place``.  Sums of whole buckets are a small table
+    ``buckets`` ranges (``dealt_buckets``).  Sums of whole buckets are a small table
     (one row per group and bucket) that is accumulated per group; inside a
     bucket a window does the rest.  No task holds more than a bucket of a
-    group, however large the group.  ``group`` must not be null.
+    group, however large the group and however many rows share a place.  ``group`` must not be null.
     """
-    cut = F.floor(F.col(place) / F.lit(HEX_RANGE) * F.lit(buckets)).cast("long")
-    dealt = df.withColumn("__bucket", cut)
+    dealt = dealt_buckets(df, group, place, order, buckets, most)
     sums = dealt.groupBy(F.col(group).alias("__g"), F.col("__bucket").alias("__b")).agg(F.sum(value).alias("__s"))
     before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("__g", "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
-    inside = (Window.partitionBy(group, "__bucket").orderBy(place, *[F.col(c).asc_nulls_last() for c in order])
+    inside = (Window.partitionBy(group, "__bucket").orderBy(place, *[F.col(c).asc_nulls_last() for c in order], "__row")
               .rowsBetween(Window.unboundedPreceding, -1))
     local = dealt.withColumn("__local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = local.join(base, (F.col(group) == F.col("__g")) & (F.col("__bucket") == F.col("__b")))
     return joined.withColumn(out, (F.col("__base") + F.col("__local")).cast("long")) \
-        .drop("__bucket", "__g", "__b", "__base", "__local")
+        .drop("__bucket", "__row", "__g", "__b", "__base", "__local")

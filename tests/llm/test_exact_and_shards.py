@@ -99,6 +99,23 @@ def test_running_total_over_many_buckets(spark):
         assert [r.before for r in order] == [2 * i for i in range(len(order))]
 
 
+def test_running_total_cuts_rows_of_one_place(spark):
+    """A third of the rows have one id: their rows go to many buckets, in the order of the other columns."""
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("id"), F.lit(2).alias("v"),
+                                    F.when(F.col("id") % 9 != 0, F.pmod(F.hash("id"), F.lit(100))).alias("size"))
+    rows = common.staged(rows.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(common.HEX_RANGE))), "one-place")
+    dealt = common.dealt_buckets(rows, "g", "place", ["id", "size"], 30, most=200)
+    assert max(r["count"] for r in dealt.groupBy("g", "__bucket").count().collect()) <= 250
+    out = common.running_total(rows, "g", "place", ["id", "size"], "v", "before", 30, most=200)
+    assert out.columns == [*rows.columns, "before"]
+    last = lambda x: (x is None, x or 0)
+    for g in (0, 1):
+        order = sorted((r for r in out.collect() if r.g == g), key=lambda r: r.before)
+        assert [r.before for r in order] == [2 * i for i in range(1500)]
+        keys = [(r.place, last(r.id), last(r["size"])) for r in order]
+        assert keys == sorted(keys)
+
+
 def _water(sizes, weights, volume):
     total, caps, open_, target = volume * sum(sizes), [2 * s for s in sizes], set(range(len(sizes))), [0.0] * len(sizes)
     while open_:
