@@ -17,8 +17,9 @@ answers, and for each language the cross-entropy that REJECT of its documents ex
 A text above it is flagged ``rejected`` (it keeps its best language).
 
 Training reads at most about TRAIN_DOCS documents of each language for the counts and
-CHECK_DOCS for the calibration, chosen by a hash of their ids, of the LANGUAGES most
-frequent languages; these are the documented bounds of the fit.  Only they bound the model; every text is scored whole.
+CHECK_DOCS for the calibration, chosen by a hash of their ids; these are the documented
+bounds of the fit.  Only they bound the model; every language is learned and every text is scored whole.
+A language that only has documents kept out for the calibration is counted from these and not calibrated.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything
 if there is nothing to learn from.  Rows with null language or null id are not
@@ -46,8 +47,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 5
 TRAIN_DOCS, CHECK_DOCS = 1_500, 300
-#: Languages learned at most, the most frequent ones (a bound of the fit).
-LANGUAGES = 1_000
 REJECT = 0.005
 START, END = "\x02", "\x03"
 #: Words that a worker keeps the scores of.
@@ -64,9 +63,9 @@ def remainder(key: str = "doc_id") -> Column:
 def _bounded(docs: DataFrame, key: str, lang: str, most: int) -> DataFrame:
     """About ``most`` documents of each language, chosen by a hash of the id.
 
-    The table of languages is bounded, so it is broadcast: documents are never shuffled by language."""
+    The table of languages (their models reach the driver anyway) is broadcast: documents are never shuffled by language."""
     counts = docs.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.orderBy(F.col("__n").desc(), "__lang").limit(LANGUAGES).select("__lang", (F.lit(float(most)) / F.col("__n")).alias("__part"))
+    counts = counts.select("__lang", (F.lit(float(most)) / F.col("__n")).alias("__part"))
     place = hex_number(F.md5(F.concat(F.lit("train:"), F.col(key).cast("string")))) / F.lit(float(HEX_RANGE))
     return docs.join(F.broadcast(counts), F.col(lang) == F.col("__lang")).filter(place < F.col("__part"))
 
@@ -234,12 +233,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """(models by language, scale, limits) from the labelled documents that are not held out."""
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder(key) != 0)).select(key, text, lang)
     counts = gram_counts(usable.filter(remainder(key) != 4), key, text, lang, train_docs)
+    aside, learned = usable.filter(remainder(key) == 4), set(counts)
+    rare = sorted({r[0] for r in aside.select(lang).distinct().collect()} - learned)
+    if rare:
+        counts |= gram_counts(aside.filter(F.col(lang).isin(rare)), key, text, lang, train_docs)
     characters = len({c for grams in counts.values() for g in grams for c in g}) + 1
     models = {name: kneser_ney(grams, characters) for name, grams in counts.items()}
     texts, langs = [], []
     if models:
-        for row in _bounded(usable.filter(remainder(key) == 4), key, lang, check_docs).select(text, lang).toLocalIterator():
-            if row[1] in models:
+        for row in _bounded(aside, key, lang, check_docs).select(text, lang).toLocalIterator():
+            if row[1] in learned:
                 texts.append(row[0])
                 langs.append(row[1])
     scale, limits = calibrate(Models(models), texts, langs) if models else (1.0, {})

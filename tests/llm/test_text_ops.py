@@ -330,6 +330,19 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_language_is_learned(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = [(i, words(30, i), "en") for i in range(200)]
+    rows += [(i, "zhq xwv kjz qqy vvk", "rare") for i in [i for i in range(1000, 1100) if fold(i) == 4][:3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models, _, limits = langid.fit(docs)
+    assert set(models) == {"en", "rare"} and set(limits) == {"en"}
+    got = langid.predict(spark.createDataFrame([(1, "qqy zhq vvk")], "doc_id long, text string"), (models, 16.0, limits)).collect()
+    assert [r.lang_pred for r in got] == ["rare"]
+    many = spark.range(1010).selectExpr("id as doc_id", "'some words' as text", "concat('l', id) as lang")
+    assert len(langid.gram_counts(many)) == 1010
+
+
 def test_language_edges(spark):
     docs = awkward(spark)
     fitted = langid.fit(docs)
