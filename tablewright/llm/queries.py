@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bytebpe, dartminhash, editcount, exact_dedup, langid, mixing, quality, randomness, rendezvous, tokenfile
+from . import (bytebpe, collocations, dartminhash, editcount, exact_dedup, importance, langid, mixing, quality, randomness, rendezvous,
+               tokenfile, topk)
 from .common import documents, stage_path, staged
 
 SHARDS = 16
@@ -78,9 +79,26 @@ def op10_rendezvous_shards(spark, sf_dir):
                                                   "slot", "grown_shard")
 
 
+def op11_importance_resampling(spark, sf_dir):
+    """Documents drawn in proportion to how much their words look like the benchmark's."""
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_impact_topk(spark, sf_dir):
+    """The 5 best other vectors by integer inner product for every vector whose id is divisible by 50."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
+def op13_collocations(spark, sf_dir):
+    """The first 2000 collocations of every language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_orc_tokens, op2_risk_controlled_rules, op3_byte_bpe, op4_curriculum_mix, op5_dart_minhash,
                                      op6_randomness_secrets, op7_edit_counts, op8_tree_merge_dedup,
-                                     op9_kneser_ney_langid, op10_rendezvous_shards)}
+                                     op9_kneser_ney_langid, op10_rendezvous_shards, op11_importance_resampling, op12_impact_topk,
+                                     op13_collocations)}
+
 
 def _invert_sql(share: str, rates: tuple, knots: tuple) -> str:
     """``mixing.invert_schedule`` as SQL."""
@@ -187,7 +205,72 @@ def _near_sql() -> str:
         SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM placed"""
 
 
+def _importance_sql() -> str:
+    """Crc32 of each distinct word by its table-driven form, then gains, weights, scores and the draw."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+    step = "lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    code = "lambda c, b: xor(c // 256, steps[(xor(c, b) % 256 + 1)::INT])"
+    size = importance.BUCKETS
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents),
+        b AS (SELECT {words} AS ws FROM benchmark),
+        steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), {step})) AS steps),
+        vocabulary AS (SELECT DISTINCT unnest(ws) AS w FROM (SELECT ws FROM d UNION ALL SELECT ws FROM b)),
+        bytes AS (SELECT w, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS bs FROM vocabulary),
+        coded AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], bs), {code}), 4294967295) % {size} AS bucket FROM bytes, steps),
+        uses AS (SELECT rid, bucket, count(*) AS n FROM (SELECT rid, unnest(ws) AS w FROM d) JOIN coded USING (w) GROUP BY rid, bucket),
+        own AS (SELECT bucket, sum(n) AS s FROM uses GROUP BY bucket),
+        target AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(ws) AS w FROM b) JOIN coded USING (w) GROUP BY bucket),
+        gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM own), 0) + {size})::DOUBLE)
+                  / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM target), 0) + {size})::DOUBLE)))::BIGINT AS gain FROM own LEFT JOIN target USING (bucket)),
+        sums AS (SELECT rid, sum(n * gain)::BIGINT AS total FROM uses JOIN gains USING (bucket) GROUP BY rid),
+        weighed AS (SELECT rid, doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0
+                    ELSE ((total - ((total % len(ws)) + len(ws)) % len(ws)) // len(ws)) END::BIGINT AS weight,
+                    ('0x' || substr(sha256('{importance.SEED}:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM d LEFT JOIN sums USING (rid)),
+        scored AS (SELECT rid, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed),
+        ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, rid) AS nth, count(*) OVER () AS able
+                   FROM scored WHERE n_features >= {importance.MIN_WORDS})
+        SELECT doc_id, n_features, weight, score, CASE WHEN nth <= {importance.PERCENT} * able // 100 THEN nth END AS rank
+        FROM scored LEFT JOIN ranked USING (rid)"""
+
+
+def _collocation_sql() -> str:
+    longest, unit = collocations.LONGEST, collocations.UNIT
+    part = lambda a, b: f"array_to_string(ws[{a}:{b}], ' ')"
+    return f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+        split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+        totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM split GROUP BY lang),
+        places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM split),
+        spans AS (SELECT lang, unnest(list_transform(range(least({longest}, len(ws) - i + 1)), lambda k: ws[i:i + k])) AS ws FROM places),
+        counts AS (SELECT lang, ws, count(*) AS f FROM spans GROUP BY lang, ws HAVING count(*) >= {collocations.LEAST}),
+        f AS (SELECT lang, {part(1, longest)} AS phrase, f FROM counts),
+        cuts AS (SELECT lang, ws, f AS a, unnest(range(1, len(ws))) AS k FROM counts WHERE len(ws) > 1),
+        rated AS (SELECT c.lang, c.ws, c.a, c.k, x.f AS l, y.f AS r, ({2 * unit}::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score FROM cuts c
+                  JOIN f x ON x.lang = c.lang AND x.phrase = {part(1, "k")} JOIN f y ON y.lang = c.lang AND y.phrase = {part("k + 1", "len(ws)")}),
+        lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS nth FROM rated),
+        candidates AS (SELECT lang, ws, {part(1, longest)} AS phrase, a, l, r, score FROM lowest WHERE nth = 1),
+        inner_of AS (SELECT lang, a, ws, unnest(range(2, len(ws))) AS size FROM candidates WHERE len(ws) > 2),
+        inside AS (SELECT lang, a, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM inner_of),
+        covers AS (SELECT lang, {part("i", "i + size - 1")} AS phrase, max(a) AS most FROM inside GROUP BY ALL),
+        left_over AS (SELECT c.* FROM candidates c LEFT JOIN covers v USING (lang, phrase) WHERE v.most IS NULL OR 100 * v.most < {collocations.COVER} * c.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}"""
+
+
+_TOPK_SQL = f"""
+        WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+                   FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.TOP}"""
+
 ORACLE_SQL = {
+    "op11_importance_resampling": _importance_sql(),
+    "op12_impact_topk": _TOPK_SQL,
+    "op13_collocations": _collocation_sql(),
     "op2_risk_controlled_rules": _quality_sql(),
     "op4_curriculum_mix": _mix_sql(),
     "op5_dart_minhash": _near_sql(),
