@@ -198,7 +198,11 @@ def js_number_text(col: Column) -> Column:
         F.lit("e"), F.when(sci_exp >= 0, F.lit("+")).otherwise(F.lit("")), sci_exp.cast("string"),
     )
     ad = F.abs(d)
-    body = F.when((ad >= 1e21) | (ad < 1e-6), sci).otherwise(plain)
+    # between 1e-3 and 1e7 the cast has no exponent: at most a ".0" goes; whole numbers up to 2^53 print as integers
+    short = F.when(raw.endswith(".0"), F.substring(raw, F.lit(1), F.length(raw) - 2)).otherwise(raw)
+    whole = ad.cast("long").cast("string")
+    body = (F.when((ad >= 1e-3) & (ad < 1e7), short).when((ad < 9007199254740992.0) & (ad >= 1) & (ad == F.floor(ad)), whole)
+            .when((ad >= 1e21) | (ad < 1e-6), sci).otherwise(plain))
     return (
         F.when(d.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(d), F.lit("NaN"))

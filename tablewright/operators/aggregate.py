@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..errors import TableError, require_columns
 from ..functions import sniff as S
-from ..table import C, Check, CheckRule, OrderKey, Table, as_table, hidden_name
+from ..table import C, CheckRule, OrderKey, Table, as_table, hidden_name
 
 OPERATIONS = ("count", "sum", "average", "min", "max")
 
@@ -114,10 +114,7 @@ def group_by(table, groups=None, aggregates=None) -> Table:
             first = hidden_name("first")
             aggs.append(F.min(ov).alias(first))
             order = (OrderKey(first),)
-        df = src.df.groupBy(*[C(n) for n in names]).agg(*aggs)
-    else:
-        df = src.df.agg(*aggs)
-    out = Table(df, order, table.checks)
     if checks:
-        out = out.with_check(Check(table.df, tuple(checks)))
-    return out
+        src = src.checked(checks)
+    df = src.df.groupBy(*[C(n) for n in names]).agg(*aggs) if names else src.df.agg(*aggs)
+    return Table(df, order, src.checks, carried=src.carried)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import TableError, require_columns
 from ..functions import sniff as S
-from ..table import C, Check, CheckRule, Table, as_table
+from ..table import C, CheckRule, Table, as_table
 
 MAX_SAFE_INTEGER = 2 ** 53 - 1
 
@@ -217,7 +217,4 @@ def cast_columns(table, casts, failure_mode: str = "error") -> Table:
         if mode == "error":
             check_rules.append(CheckRule("CAST_FAILED", f"Could not cast {col} to {typ}.", failed,
                                          S.text_form(C(col), table.dtype(col)), {"column": col, "type": typ}))
-    out = _project(table, exprs)
-    if check_rules:
-        out = out.with_check(Check(table.df, tuple(check_rules)))
-    return out
+    return _project(table.checked(check_rules) if check_rules else table, exprs)

@@ -245,4 +245,4 @@ def union_tables(tables, mode: str = "name", max_inputs: int = MAX_UNION_INPUTS)
         order = (OrderKey(idx_name),) + tuple(
             OrderKey(m[k.name], k.desc, k.nulls_last) for t, m in zip(inputs, hid_maps) for k in t.order)
     meta = {"schema_mismatch": schema_mismatch([t.columns for t in inputs], mode, output)}
-    return Table(df, order, merge_checks(*inputs), meta)
+    return Table(df, order, merge_checks(*inputs), meta, frozenset().union(*[t.carried for t in inputs]))

@@ -276,11 +276,10 @@ def limit_rows(table, n) -> Table:
     if not math.isfinite(count) or not count.is_integer() or count < 0:
         raise TableError("INVALID_LIMIT", "Limit must be a non-negative integer.", value=n)
     count = int(count)
-    if table.order:
-        df = table.df.orderBy(*[k.column() for k in table.order]).limit(count)
-    else:
-        df = table.df.limit(count)
-    return table.derive(df)
+    if table.order and count:
+        # a top-k looks at every row
+        return table.derive(table.df.orderBy(*[k.column() for k in table.order]).limit(count))
+    return table.loosened().derive(table.df.limit(count))
 
 
 # -- D1 / D2 --------------------------------------------------------------------------

@@ -132,7 +132,6 @@ def q_cast_modes(spark, d):
     ))
     strict = cast_columns(text, [{"column": "key_txt", "type": "integer"}, {"column": "price_txt", "type": "number"},
                                  {"column": "date_txt", "type": "date"}, {"column": "ts_txt", "type": "timestamp"}], "error")
-    strict.validate()
     out = cast_columns(strict, [{"column": "flag_txt", "type": "boolean"}], "null").to_df()
     return out.withColumn("ts_txt", F.col("ts_txt").cast("timestamp_ntz"))
 
@@ -360,7 +359,6 @@ def q_group_text_sum(spark, d):
     t = Table(o.select("o_orderpriority", F.col("o_totalprice").cast("string").alias("price_txt")))
     g = group_by(t, ["o_orderpriority"], [agg("sum", "price_txt", "total"), agg("average", "price_txt", "mean"),
                                            agg("min", "price_txt", "low"), agg("max", "price_txt", "high")])
-    g.validate()
     out = g.to_df(ordered=False)
     return _round(out, ["total", "mean"]).select("o_orderpriority", "total", "mean",
                                                  F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
@@ -465,8 +463,7 @@ CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegmen
 def _customer_back(t: Table) -> DataFrame:
     typed = cast_columns(t, [{"column": "c_custkey", "type": "integer"}, {"column": "c_nationkey", "type": "integer"},
                              {"column": "c_acctbal", "type": "number"}], "error")
-    typed.validate()
-    df = typed.to_df(ordered=False)
+    df = typed.validate(carried=False).to_df(ordered=False)
     return df.select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
 
 
@@ -500,7 +497,6 @@ def q_jsonl_round_trip(spark, d):
     write_jsonl(select_columns(load(spark, d, "orders"), ORDER_COLS), path)
     back = read_jsonl(spark, path)
     typed = cast_columns(back, [{"column": "o_orderdate", "type": "timestamp"}], "error")
-    typed.validate()
     return typed.to_df(ordered=False).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
@@ -512,9 +508,17 @@ def _event_docs(spark, d) -> DataFrame:
     return e.select("event_id", doc.alias("value"))
 
 
-def _write_lines(df: DataFrame, order: str, path: str) -> str:
-    """One text file in the order of a column (plain Spark writer)."""
-    df.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+#: Keys of one text file that a query writes.
+FILE_KEYS = 1 << 14
+
+
+def _write_lines(df: DataFrame, order: str, path: str, header: str | None = None) -> str:
+    """Text files in the order of a whole-number column, one per FILE_KEYS values of it (plain Spark writer)."""
+    part = F.lpad(F.floor(F.col(order) / FILE_KEYS).cast("string"), 12, "0")
+    rows = df.select(order, part.alias("part"), "value")
+    if header is not None:
+        rows = rows.unionByName(rows.select("part").distinct().select(F.lit(-1).cast(df.schema[order].dataType).alias(order), "part", F.lit(header).alias("value")))
+    rows.repartition("part").sortWithinPartitions("part", order).select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
@@ -641,9 +645,7 @@ def q_csv_rejects(spark, d):
     line = F.concat_ws(",", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 == 0, F.lit("a,b"))
                        .when(F.col("o_orderkey") % 11 == 0, F.lit('"open')).when(F.col("o_orderkey") % 13 == 0, F.lit('"a,b"'))
                        .when(F.col("o_orderkey") % 17 == 0, F.lit('5" pipe')).otherwise(F.col("o_orderstatus")))
-    rows = o.select(F.col("o_orderkey").alias("at"), line.alias("value"))
-    head = spark.createDataFrame([(-1, "o_orderkey,o_custkey,note")], "at long, value string")
-    path = _write_lines(rows.union(head), "at", scratch_path(spark, "csv-rejects"))
+    path = _write_lines(o.select("o_orderkey", line.alias("value")), "o_orderkey", scratch_path(spark, "csv-rejects"), "o_orderkey,o_custkey,note")
     return csv_rejects(spark, path, delimiter="comma").select("reason", "text")
 
 
@@ -672,16 +674,35 @@ def q_jsonl_rejects(spark, d):
     line = (F.when(F.col("o_orderkey") % 5 == 0, F.concat(good, F.lit(" trailing"))).when(F.col("o_orderkey") % 7 == 0, F.concat(good, good))
             .when(F.col("o_orderkey") % 11 == 0, F.lit("[1, 2]")).otherwise(good))
     path = _write_lines(o.select("o_orderkey", line.alias("value")), "o_orderkey", scratch_path(spark, "jsonl-rejects"))
-    return jsonl_rejects(spark, path).select("line", "reason")
+    return jsonl_rejects(spark, path).select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line", "reason")
 
 
-JSONL_REJECTS_SQL = """
-SELECT line, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 'JSONL_PARSE' ELSE 'JSONL_OBJECT' END AS reason
-FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders)
+JSONL_REJECTS_SQL = f"""
+SELECT part, line, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 'JSONL_PARSE' ELSE 'JSONL_OBJECT' END AS reason
+FROM (SELECT o_orderkey AS k, part, row_number() OVER (PARTITION BY part ORDER BY o_orderkey) AS line
+      FROM (SELECT o_orderkey, (o_orderkey // {FILE_KEYS})::BIGINT AS part FROM orders))
 WHERE k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0
 """
 
 
+def q_jsonl_long_lines(spark, d):
+    """Whole texts as JSON lines: one as an object, one as a bare string, which is no table row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    array = F.to_json(F.array(text))
+    bare = F.substring(array, F.lit(2), F.length(array) - 2)
+    path = scratch_path(spark, "jsonl-long")
+    load(spark, d, "documents").df.select(F.explode(F.array(F.to_json(F.struct("doc_id", text.alias("text"))), bare)).alias("value")).write.text(path)
+    rows = read_jsonl(spark, path, strict=False).to_df(ordered=False).select(F.lit("row").alias("kind"), "doc_id", F.length("text").alias("n"))
+    bad = jsonl_rejects(spark, path).groupBy(F.col("reason").alias("kind")).agg(F.lit(None).cast("long").alias("doc_id"), F.count("*").cast("int").alias("n"))
+    return rows.unionByName(bad)
+
+
+JSONL_LONG_LINES_SQL = """
+SELECT 'row' AS kind, doc_id, length(coalesce(text, ''))::INT AS n FROM documents
+UNION ALL SELECT 'JSONL_OBJECT', NULL, count(*)::INT FROM documents
+"""
+
+
 def q_jsonl_sparse_keys(spark, d):
     """Values of keys that only some lines have, in typed columns."""
     o = load(spark, d, "orders").df
@@ -767,7 +788,7 @@ def q_profile_wide(spark, d):
     li = load(spark, d, "lineitem").df
     kinds = (F.col("l_orderkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.nullif(F.col("l_returnflag"), F.lit("N")),
              F.when(F.col("l_linenumber") == 1, F.lit("")).otherwise(F.col("l_extendedprice").cast("string")))
-    return infer_schema(Table(li.select(*[kinds[i % 4].alias(f"c{i}") for i in range(WIDE)]))).drop("type")
+    return infer_schema(Table(li.select(*[kinds[i % 4].alias(f"c{i}") for i in range(WIDE)])))
 
 
 PROFILE_WIDE_SQL = f"""
@@ -775,7 +796,8 @@ WITH s AS (SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS n
            FROM lineitem)
 SELECT i::INT AS position, 'c' || i AS name, i % 4 = 2 AND nulls > 0 AS nullable, CASE WHEN i % 4 = 2 THEN nulls ELSE 0 END AS nullCount,
        CASE WHEN i % 4 = 3 THEN empties ELSE 0 END AS emptyCount,
-       n - CASE i % 4 WHEN 2 THEN nulls WHEN 3 THEN empties ELSE 0 END AS observedCount
+       n - CASE i % 4 WHEN 2 THEN nulls WHEN 3 THEN empties ELSE 0 END AS observedCount,
+       ['integer', 'date', 'string', 'number'][i % 4 + 1] AS type
 FROM s, range({WIDE}) r(i)
 """
 
@@ -911,6 +933,7 @@ QUERIES = {
     "csv_rejects": q_csv_rejects,
     "csv_multiline": q_csv_multiline,
     "jsonl_rejects": q_jsonl_rejects,
+    "jsonl_long_lines": q_jsonl_long_lines,
     "jsonl_sparse_keys": q_jsonl_sparse_keys,
     "natural_long_digits": q_natural_long_digits,
     "filter_bigint": q_filter_bigint,
@@ -989,6 +1012,7 @@ ORACLE_SQL = {
     "csv_rejects": CSV_REJECTS_SQL,
     "csv_multiline": """SELECT c_custkey, c_name || chr(10) || 'say "hi", ' || c_mktsegment AS note FROM customer""",
     "jsonl_rejects": JSONL_REJECTS_SQL,
+    "jsonl_long_lines": JSONL_LONG_LINES_SQL,
     "jsonl_sparse_keys": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price,
                                    CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders""",
     "natural_long_digits": NATURAL_LONG_DIGITS_SQL,

@@ -455,11 +455,11 @@ def preview_node(spark: SparkSession, graph: dict, node_id: str, inputs: dict, n
         ev.keep_order = False
         if not {"filter-rows", "null-handling"} & set(kinds):
             ev.read_limit = n  # no row is dropped on the way
-    table = ev.table(node_id)
+    first = limit_rows(ev.table(node_id), n)
     if not local:
-        table.validate()
+        first.validate(carried=False)
     # the rows shown, computed once: text form and schema are taken of the same rows
-    head = staged_head(limit_rows(table, n))
+    head = staged_head(first)
     return preview(head, n), schema_list(head)
 
 
@@ -467,7 +467,8 @@ def staged_head(table: Table) -> Table:
     """A small table written once to the shared folder and read back, in order."""
     spark, place = table.df.sparkSession, hidden_name("place")
     path = scratch_path(spark, "preview")
-    table.to_df().withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+    with table.explained():
+        table.to_df().withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
     return Table(spark.read.parquet(path), (OrderKey(place),))
 
 

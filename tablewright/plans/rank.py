@@ -33,7 +33,8 @@ def with_rank(table, name: str = "rank") -> DataFrame:
     mid = hidden_name("mid")
     tagged = t.df.orderBy(*[k.column() for k in t.order]).select(*[C(c) for c in t.columns]) \
         .withColumn(mid, F.monotonically_increasing_id())
-    tagged.write.mode("overwrite").parquet(folder)
+    with t.explained():
+        tagged.write.mode("overwrite").parquet(folder)
     stable = spark.read.parquet(folder)
     part = F.shiftright(C(mid), LOCAL_BITS)
     local = C(mid).bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))

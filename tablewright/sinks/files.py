@@ -1,9 +1,10 @@
 """CSV (K1), JSONL (K2) and Parquet (K3) sinks and output naming (K4).
 
-Every sink runs the table's deferred checks first, sorts by the table's
-order if it has one (a range-partitioned sort, so part files come out in
-order), and writes with one Spark job.  ``single_file=True`` funnels the
-result through one task and is meant for small results.
+Every sink sorts by the table's order if it has one (a range-partitioned sort, so part
+files come out in order) and writes with one Spark job.  Checks that the rows carry are made by
+that job: the files are written beside their place and moved there only when the whole
+job is done, so a failing check leaves what was there before.  Checks that the rows don't carry
+run first.  ``single_file=True`` funnels the result through one task and is meant for small results.
 
 CSV bytes: header row, CRLF after every row, no BOM, a cell is quoted only
 when it holds the delimiter, a quote, CR or LF (quotes doubled), null and
@@ -14,6 +15,8 @@ written as text, so newlines inside cells are kept as they are.
 
 from __future__ import annotations
 
+import contextlib
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -49,7 +52,7 @@ def _ordered(table: Table, single_file: bool = False, extra=()) -> DataFrame:
     """Rows in table order.  Many parts: a range-partitioned global sort
     (part files follow partition order).  One file: all rows go to one task
     and are sorted there, since ``coalesce`` does not keep partition order."""
-    table.validate()
+    table.validate(carried=False)
     keys = [k.column() for k in table.order]
     cols = [C(c) for c in table.columns] + list(extra)
     if single_file:
@@ -62,23 +65,40 @@ def _ordered(table: Table, single_file: bool = False, extra=()) -> DataFrame:
     return df.select(*cols)
 
 
-def _finish(spark, tmp_dir: str, target: str, single_file: bool) -> None:
-    """For ``single_file``: move the one part file of ``tmp_dir`` to ``target``."""
-    if not single_file:
-        return
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    src = jvm.org.apache.hadoop.fs.Path(tmp_dir)
-    fs = src.getFileSystem(conf)
-    parts = [s.getPath() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-")]
-    dst = jvm.org.apache.hadoop.fs.Path(target)
-    if fs.exists(dst):
-        fs.delete(dst, True)
-    if parts:
-        fs.rename(parts[0], dst)
-    else:
-        fs.create(dst).close()
-    fs.delete(src, True)
+@contextlib.contextmanager
+def _output(table: Table, path: str, single_file: bool, mode: str):
+    """The folder to write to.  One file, or rows that may still fail a check: a folder beside ``path``, whose
+    files take the place of ``path`` at the end."""
+    beside = single_file or (bool(table.carried) and mode == "overwrite")
+    target = f"{path}.__parts" if beside else path
+    try:
+        with table.explained():
+            yield target
+    except Exception:
+        if beside:
+            fs, src = _file_system(table, target)
+            fs.delete(src, True)
+        raise
+    if beside:
+        fs, src = _file_system(table, target)
+        dst = _file_system(table, path)[1]
+        if fs.exists(dst):
+            fs.delete(dst, True)
+        if not single_file:
+            fs.rename(src, dst)
+            return
+        parts = [s.getPath() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-")]
+        if parts:
+            fs.rename(parts[0], dst)
+        else:
+            fs.create(dst).close()
+        fs.delete(src, True)
+
+
+def _file_system(table: Table, path: str) -> tuple:
+    spark = table.df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 # -- K1 ------------------------------------------------------------------------------
@@ -134,23 +154,18 @@ def write_csv(table, path: str, delimiter: str = ",", header: bool = True, singl
     header_line = delimiter.join(csv_text(c, delimiter) for c in table.columns)
     out = _with_header(lines, header_line) if header else lines.withColumn("is_row", F.lit(True))
     out, seen = _counted(out, F.col("is_row"))
-    target = path + ".__parts" if single_file else path
-    out.select("value").write.mode(mode).option("lineSep", "\r\n").text(target)
-    rows = seen.get["rows"]
-    if header and not rows:  # no partition had a first row to put the header before
-        spark.createDataFrame([(header_line,)], "value string").coalesce(1).write.mode(mode).option("lineSep", "\r\n").text(target)
-    _finish(spark, target, path, single_file)
+    with _output(table, path, single_file, mode) as target:
+        out.select("value").write.mode(mode).option("lineSep", "\r\n").text(target)
+        rows = seen.get["rows"]
+        if header and not rows:  # no partition had a first row to put the header before
+            spark.createDataFrame([(header_line,)], "value string").coalesce(1).write.mode(mode).option("lineSep", "\r\n").text(target)
     return rows
 
 
 # -- K2 ------------------------------------------------------------------------------
 
 def _json_value(col: Column, dtype: T.DataType, bigint_as_text: bool) -> Column:
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        d = col.cast("double")
-        finite = ~F.isnan(d) & (F.abs(d) != float("inf"))
-        # JSON number text as JavaScript writes it (1, not 1.0), kept a number.
-        return F.when(finite, F.parse_json(S.js_number_text(d)))
+    """Value that to_json writes the way a cell is to be written (all but numbers with a fraction)."""
     if isinstance(dtype, T.LongType) and bigint_as_text:
         return col.cast("string")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -162,22 +177,44 @@ def _json_value(col: Column, dtype: T.DataType, bigint_as_text: bool) -> Column:
     return col
 
 
+def _json_number(col: Column) -> Column:
+    """JSON text of a number as JavaScript writes it (1, not 1.0); ``null`` for null, NaN and infinities."""
+    d = col.cast("double")
+    finite = ~F.isnan(d) & (F.abs(d) != float("inf"))
+    return F.when(finite, S.js_number_text(d)).otherwise(F.lit("null"))
+
+
 def jsonl_lines(table, bigint_as_text: bool = False, single_file: bool = False) -> DataFrame:
+    """One JSON object per row: neighbouring columns by one ``to_json``, numbers with a fraction as their text between them."""
     table = as_table(table)
     df = _ordered(table, single_file)
-    fields = [_json_value(C(c), table.dtype(c), bigint_as_text).alias(c) for c in table.columns]
-    return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    pieces, run = [], []
+
+    def close_run():
+        if run:
+            text = F.to_json(F.struct(*run), {"ignoreNullFields": "false"})
+            pieces.append(F.substring(text, F.lit(2), F.length(text) - 2))
+            run.clear()
+
+    for c in table.columns:
+        dtype = table.dtype(c)
+        if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+            close_run()
+            pieces.append(F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), _json_number(C(c))))
+        else:
+            run.append(_json_value(C(c), dtype, bigint_as_text).alias(c))
+    close_run()
+    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}")).alias("value"))
 
 
 def write_jsonl(table, path: str, single_file: bool = False, bigint_as_text: bool = False,
                 mode: str = "overwrite") -> int:
     """Write JSON Lines, return the number of rows: columns in table order, nulls written, timestamps
     ISO-8601 UTC with milliseconds, NaN/Infinity as null."""
-    lines = jsonl_lines(table, bigint_as_text, single_file)
-    out, seen = _counted(lines, F.lit(True))
-    target = path + ".__parts" if single_file else path
-    out.write.mode(mode).option("lineSep", "\n").text(target)
-    _finish(lines.sparkSession, target, path, single_file)
+    table = as_table(table)
+    out, seen = _counted(jsonl_lines(table, bigint_as_text, single_file), F.lit(True))
+    with _output(table, path, single_file, mode) as target:
+        out.write.mode(mode).option("lineSep", "\n").text(target)
     return seen.get["rows"]
 
 
@@ -199,8 +236,9 @@ def write_parquet(table, path: str, single_file: bool = False, legacy_types: boo
     if legacy_types:
         ints = [c for c in names if isinstance(table.dtype(c), S.INTEGRAL_TYPES)]
         if ints:
-            row = df.agg(*[F.coalesce(F.max(F.abs(C(c).cast("double"))), F.lit(0.0)).alias(f"m{i}")
-                           for i, c in enumerate(ints)]).collect()[0]
+            with table.explained():
+                row = df.agg(*[F.coalesce(F.max(F.abs(C(c).cast("double"))), F.lit(0.0)).alias(f"m{i}")
+                               for i, c in enumerate(ints)]).collect()[0]
             fits = {c: row[f"m{i}"] <= 2 ** 31 - 1 for i, c in enumerate(ints)}
     for c in names:
         dt = table.dtype(c)
@@ -218,7 +256,6 @@ def write_parquet(table, path: str, single_file: bool = False, legacy_types: boo
         else:
             cols.append(C(c))
     out, seen = _counted(df.select(*cols), F.lit(True))
-    target = path + ".__parts" if single_file else path
-    out.write.mode(mode).option("compression", "snappy").parquet(target)
-    _finish(out.sparkSession, target, path, single_file)
+    with _output(table, path, single_file, mode) as target:
+        out.write.mode(mode).option("compression", "snappy").parquet(target)
     return seen.get["rows"]

@@ -9,12 +9,12 @@ that ends inside an open quote are errors (``CSV_ROW_WIDTH``,
 ``CSV_OPEN_QUOTE``): a deferred check counts them over the raw lines, and
 :func:`csv_rejects` lists them.
 
-JSONL keeps the first-seen key order of the whole input.  Keys and their
-first (file, block, line) come from the lines' key lists, column types from
-merging whole lines as variants (conflicting types become text), and
-malformed lines are counted in the same pass; nothing wider than a key is
-unpivoted.  Errors carry the 1-based line number inside the file, computed
-only when there is a failing line.
+JSONL keeps the first-seen key order of the whole input.  One pass parses each
+line twice: as a variant, which tells whether it is one JSON object and
+whose merged types are the column types (conflicting types become text), and
+for its keys in order, whose first (file, block, line, place) are found; nothing wider than a
+key is unpivoted.  The read itself parses each line once more.  Errors carry the 1-based line
+number inside the file, computed only when there is a failing line.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import io
 import json
 import re
 import sys
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -275,20 +276,22 @@ def _jsonl_lines(spark, paths, encoding):
     return lines.withColumn("line", S.js_trim(F.col("raw")))
 
 
-def _bad_reason(line):
-    """Why a line is no single JSON object; null for good lines.
+#: Lines of this many bytes or more are beyond what a VARIANT holds.
+VARIANT_BYTES = 16_000_000
 
-    Spark's JSON functions stop after the first value of a text, so a line
-    counts as one value only if it is the one element of ``[line]`` and the
-    one member of ``{"v":line}``."""
-    one = (F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1) \
-        & (F.size(F.json_object_keys(F.concat(F.lit('{"v":'), line, F.lit("}")))) == 1)
-    scalar = line.rlike(r'^(null|true|false|-?\d+(\.\d+)?([eE][+-]?\d+)?|"([^"\\]|\\.)*")$')
-    array = F.json_array_length(line).isNotNull()
-    return (F.when(~F.coalesce(one, F.lit(False)), F.lit("JSONL_PARSE"))
-            .when(F.json_object_keys(line).isNotNull(), F.lit(None))
-            .when(scalar | array, F.lit("JSONL_OBJECT"))
-            .otherwise(F.lit("JSONL_PARSE")))
+
+def _judged(lines: DataFrame) -> DataFrame:
+    """Adds ``json`` (the line as a variant, inside an array) and ``reason`` (why it is no single JSON object; null for good lines).
+
+    A JSON parser stops behind the first value of a text.  So the line is parsed as the first element of an array whose second
+    is a mark that no line can hold: only where exactly one whole value stands before the mark is it the second element."""
+    mark = uuid.uuid4().hex
+    line, json_ = F.col("line"), F.col("json")
+    parsed = lines.withColumn("json", F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{mark}"]'))))
+    alone = F.coalesce(F.try_variant_get(json_, "$[1]", "string") == mark, F.lit(False))
+    # one JSON value by then, so its first character tells its kind
+    return parsed.withColumn("reason", F.when(F.octet_length(line) >= VARIANT_BYTES, F.lit("JSONL_TOO_LONG"))
+                             .when(~alone, F.lit("JSONL_PARSE")).when(~line.startswith("{"), F.lit("JSONL_OBJECT")))
 
 
 def jsonl_line_number(lines: DataFrame, file: str, block: int, row_id: int) -> int:
@@ -299,6 +302,14 @@ def jsonl_line_number(lines: DataFrame, file: str, block: int, row_id: int) -> i
     return before + 1
 
 
+def _raise_bad_line(lines: DataFrame, bad) -> None:
+    at = bad["pos"]
+    number = jsonl_line_number(lines, at["file"], at["block"], at["id"])
+    what = {"JSONL_PARSE": "is not valid JSON", "JSONL_OBJECT": "holds JSON that is not an object",
+            "JSONL_TOO_LONG": f"has {VARIANT_BYTES} bytes or more"}[bad["reason"]]
+    raise TableError(bad["reason"], f"Line {number} {what}.", line=number, file=at["file"])
+
+
 def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool = False, encoding: str = "utf-8",
                schema: T.StructType | None = None, limit: int | None = None) -> Table:
     """Read JSON Lines: one object per non-blank line, columns in first-seen
@@ -310,30 +321,29 @@ def read_jsonl(spark: SparkSession, path, strict: bool = True, keep_order: bool
     lines = _jsonl_lines(spark, paths, encoding).filter(F.col("line") != "")
     if limit is not None and not keep_order:
         lines = lines.limit(limit)  # keys, types and errors of the rows read, not of the whole input
-    reason = _bad_reason(F.col("line"))
-    pos = F.struct("file", "block", "id")
-    # Keys with their first position: only (key, position) is unpivoted; bad lines come under key null.
-    keyed = lines.select(pos.alias("pos"), reason.alias("reason"), F.posexplode_outer(F.json_object_keys(F.col("line"))).alias("k", "key"))
-    found = keyed.groupBy("key").agg(
-        F.min(F.struct("pos", "k")).alias("first"),
-        F.count_if(F.col("reason").isNotNull()).alias("bad"),
-        F.min_by(F.struct("pos", "reason"), F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("first_bad"),
+    # One row per line with its value, and one per key with its position alone; bad lines have no keys.
+    keys_of = F.when(F.col("reason").isNull(), F.json_object_keys("line"))
+    none = F.lit(None)
+    whole = F.array(F.struct(none.cast("string").alias("key"), F.lit(-1).alias("k"), F.col("reason").alias("reason"),
+                             F.when(F.col("reason").isNull(), F.try_variant_get("json", "$[0]", "variant")).alias("value")))
+    each = F.transform(F.coalesce(keys_of, F.array().cast("array<string>")), lambda key, k: F.struct(
+        key.alias("key"), k.alias("k"), none.cast("string").alias("reason"), none.cast("variant").alias("value")))
+    entries = _judged(lines).select("file", "block", "id", F.explode(F.concat(whole, each)).alias("e"))
+    place = F.struct("file", "block", "id")
+    found = entries.groupBy(F.col("e.key").alias("key")).agg(
+        F.min(F.struct(place.alias("pos"), F.col("e.k").alias("k"))).alias("first"),
+        F.call_function("schema_of_variant_agg", F.col("e.value")).alias("type"),
+        F.min_by(F.struct(place.alias("pos"), F.col("e.reason").alias("reason")), F.when(F.col("e.reason").isNotNull(), place)).alias("first_bad"),
     ).collect()
-    wrong = [r["first_bad"] for r in found if r["bad"]]  # a line with text behind its object has keys too
-    if strict and wrong:
-        first = min(wrong, key=lambda f: tuple(f["pos"]))
-        p = first["pos"]
-        line_no = jsonl_line_number(_jsonl_lines(spark, paths, encoding), p["file"], p["block"], p["id"])
-        msg = f"Invalid JSONL at line {line_no}." if first["reason"] == "JSONL_PARSE" else \
-            f"JSONL line {line_no} must be a JSON object."
-        raise TableError(first["reason"], msg, line=line_no, file=p["file"])
+    line_row = next((r for r in found if r["key"] is None), None)
+    if strict and line_row and line_row["first_bad"]:
+        _raise_bad_line(_jsonl_lines(spark, paths, encoding), line_row["first_bad"])
     keys = [r for r in found if r["key"] is not None]
-    good = lines.filter(reason.isNull())
+    # strict reads have no bad lines left
+    good = lines if strict else _judged(lines).filter(F.col("reason").isNull())
     names = [r["key"] for r in sorted(keys, key=lambda r: (tuple(r["first"]["pos"]), r["first"]["k"]))]
     if schema is None:
-        # Each line is parsed once, as a whole; merging the variants gives the type of every field.
-        merged = good.agg(F.call_function("schema_of_variant_agg", F.try_parse_json("line")).alias("t")).collect()[0]["t"] if keys else None
-        by_name = field_types(merged, [r["key"] for r in keys])
+        by_name = field_types(line_row["type"] if line_row else None, names)
     else:
         by_name = {f.name: f.dataType for f in schema.fields}
         names = [n for n in names if n in by_name] + [n for n in by_name if n not in names]
@@ -372,7 +382,6 @@ def jsonl_rejects(spark: SparkSession, path, encoding: str = "utf-8") -> DataFra
     from pyspark.sql import Window
     w = Window.partitionBy("file").orderBy("block")
     offsets = blocks.select("file", "block", "first_id", (F.sum("n").over(w) - F.col("n")).alias("off"))
-    bad = lines.filter(F.col("line") != "").select("file", "block", "id", _bad_reason(F.col("line")).alias("reason")) \
-        .filter(F.col("reason").isNotNull())
+    bad = _judged(lines.filter(F.col("line") != "")).select("file", "block", "id", "reason").filter(F.col("reason").isNotNull())
     joined = bad.join(offsets, ["file", "block"])
     return joined.select("file", (F.col("off") + F.col("id") - F.col("first_id") + 1).alias("line"), "reason")

@@ -7,16 +7,23 @@ come out in first-seen order, limit keeps the first N).  Order is therefore
 keys, join concatenates, union prefixes the input number) and it is applied
 once, at the sink or at a limit, so it never forces a sort on its own.
 
-Checks (cast failures, non-numeric sums, bad JSONL lines) are aggregates over
-the DataFrame at the node that raised them, run by :meth:`Table.validate`
-before results are written.  Each reads only the columns it needs.
+Checks (cast failures, non-numeric sums, misfit CSV rows) come in two forms.
+A *carried* check is a filter in the rows' own plan that raises at the first bad row, so whatever
+computes the rows checks them and no pass is added; it holds rows back from
+being filtered away beneath it.  Where rows may be left uncomputed (a limit, a join), the
+check is *loose* from there on: an aggregate over the DataFrame at the
+node, run before results are written.  The same aggregate gives the error its value and count
+once a carried check has failed, and is what :meth:`Table.validate` runs.
 """
 
 from __future__ import annotations
 
+import contextlib
 import itertools
+import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,10 +71,21 @@ class CheckRule:
 
 @dataclass(frozen=True, eq=False)
 class Check:
-    """Rules evaluated together in one aggregate over ``df``."""
+    """Rules evaluated together over ``df``: in one aggregate, or row by row where the table carries them."""
     df: DataFrame
     rules: tuple
     passed: list = field(default_factory=list)
+    mark: str = field(default_factory=lambda: f"check-{uuid.uuid4().hex}")
+
+    def carried(self) -> DataFrame:
+        """``df`` with a filter that lets every row pass and raises at one that breaks a rule.
+
+        A row id takes part, so the optimizer neither drops the filter nor moves others below it."""
+        broken = F.coalesce(self.rules[0].bad, F.lit(False))
+        for rule in self.rules[1:]:
+            broken = broken | F.coalesce(rule.bad, F.lit(False))
+        return self.df.filter(F.when(broken, F.raise_error(F.lit(self.mark)).cast("boolean"))
+                              .otherwise(F.monotonically_increasing_id() >= 0))
 
     def once(self) -> None:
         if not self.passed:
@@ -90,11 +108,13 @@ class Check:
 class Table:
     """Immutable pair of a DataFrame and its row order."""
 
-    def __init__(self, df: DataFrame, order=(), checks=(), meta: dict | None = None):
+    def __init__(self, df: DataFrame, order=(), checks=(), meta: dict | None = None, carried=()):
         self.df = df
         self.order = tuple(order)
         self.checks = tuple(checks)
         self.meta = dict(meta or {})
+        #: checks that any action on all rows of ``df`` is sure to make
+        self.carried = frozenset(carried)
 
     # -- shape ---------------------------------------------------------------
     @property
@@ -118,11 +138,18 @@ class Table:
 
     # -- derivation ------------------------------------------------------------
     def derive(self, df: DataFrame, order=None, checks=(), meta=None) -> "Table":
+        """The same rows, or a selection of them made after all were computed."""
         return Table(df, self.order if order is None else order, self.checks + tuple(checks),
-                     self.meta if meta is None else meta)
+                     self.meta if meta is None else meta, self.carried)
 
-    def with_check(self, check: Check) -> "Table":
-        return self.derive(self.df, checks=(check,))
+    def checked(self, rules) -> "Table":
+        """This table with a check that its rows carry."""
+        check = Check(self.df, tuple(rules))
+        return Table(check.carried(), self.order, (*self.checks, check), self.meta, self.carried | {check})
+
+    def loosened(self) -> "Table":
+        """This table, its checks no longer trusted to its rows: some of them may not be computed."""
+        return Table(self.df, self.order, self.checks, self.meta)
 
     def to_df(self, ordered: bool = True) -> DataFrame:
         """Visible columns; sorted by the row order when there is one."""
@@ -131,14 +158,40 @@ class Table:
             df = df.orderBy(*[k.column() for k in self.order])
         return df.select(*[C(c) for c in self.columns])
 
-    def validate(self) -> "Table":
-        """Run deferred checks (one aggregate job each); raise the first failure.
+    def validate(self, carried: bool = True) -> "Table":
+        """Run the checks as aggregates (one job each), without those the rows carry if so asked; raise the first failure.
 
         A check that has passed is not run again for tables derived later."""
         for check in dict.fromkeys(self.checks):
-            check.once()
+            if carried or check not in self.carried:
+                with self.explained():
+                    check.once()
         return self
 
+    def explain(self, failure: Exception) -> Exception:
+        """The error of the carried check that made an action fail; ``failure`` itself if none did."""
+        check = next((c for c in self.checks if c.mark in str(failure)), None)
+        if check is None:
+            return failure
+        try:
+            check.run()
+        except TableError as exc:
+            return exc
+        except PySparkException as exc:  # an earlier check fails too
+            return self.explain(exc)
+        return TableError(check.rules[0].code, check.rules[0].message, **check.rules[0].details)
+
+    @contextlib.contextmanager
+    def explained(self):
+        """Around an action on the rows: a carried check that fails in it is raised as its own error."""
+        try:
+            yield
+        except PySparkException as failure:
+            known = self.explain(failure)
+            if known is failure:
+                raise
+            raise known from failure
+
     # -- order helpers ---------------------------------------------------------------
     def materialize_order(self) -> "Table":
         """Replace the key list by one increasing rank.
@@ -150,7 +203,7 @@ class Table:
         rank = hidden_name("rank")
         df = self.df.orderBy(*[k.column() for k in self.order]).withColumn(rank, F.monotonically_increasing_id())
         df = df.drop(*[k.name for k in self.order])
-        return Table(df, (OrderKey(rank),), self.checks, self.meta)
+        return Table(df, (OrderKey(rank),), self.checks, self.meta, self.carried)
 
     def order_value(self) -> tuple["Table", Column | None]:
         """One ascending-comparable value equivalent to the order (for

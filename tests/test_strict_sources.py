@@ -209,3 +209,36 @@ def test_a_cluster_needs_a_shared_folder(spark):
             master = "spark://somewhere:7077"
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+@pytest.mark.parametrize("size", [3_000, 100_000, 10_000_000])
+def test_long_jsonl_lines(spark, scratch, size):
+    path = put(scratch, "long.jsonl", '{"a":1,"b":"' + "x" * size + '"}\n"' + "y" * size + '"\n')
+    assert [(r.line, r.reason) for r in jsonl_rejects(spark, path).collect()] == [(2, "JSONL_OBJECT")]
+    with pytest.raises(TableError) as e:
+        read_jsonl(spark, path)
+    assert e.value.code == "JSONL_OBJECT" and e.value.line == 2
+    t = read_jsonl(spark, path, strict=False)
+    assert t.df.selectExpr("a", "length(b)").collect() == [(1, size)]
+
+
+def test_lines_that_close_the_parser_early(spark, scratch):
+    lines = ['{"a":1}] x', '{"a":1}],[2', '{"a":1}}', '{"v":1},"m"]', '{"z":1}', '{"b":[1,2],"a":2}']
+    path = put(scratch, "odd.jsonl", "\n".join(lines) + "\n")
+    assert sorted((r.line, r.reason) for r in jsonl_rejects(spark, path).collect()) == [(i, "JSONL_PARSE") for i in (1, 2, 3, 4)]
+    t = read_jsonl(spark, path, strict=False)
+    assert t.columns == ["z", "b", "a"] and rows_of(t, ordered=False) == [(1, None, None), (None, [1, 2], 2)]
+
+
+def test_long_quoted_csv_cell(spark, scratch):
+    path = put(scratch, "long.csv", 'a,b\n1,"' + 'x""' * 200_000 + '"\n')
+    t = read_csv(spark, path, delimiter="comma").validate()
+    assert t.df.selectExpr("length(b)").first()[0] == 400_000
+
+
+def test_each_jsonl_plan_parses_a_line_twice_at_most(spark, scratch):
+    path = put(scratch, "p.jsonl", '{"a":1,"b":"x"}\n')
+    plan = read_jsonl(spark, path).df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.lower().count("parse_json") == 1
+    rejects = read_jsonl(spark, path, strict=False).df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert rejects.count("parse_json") + rejects.count("from_json") + rejects.count("jsontostructs") <= 3
