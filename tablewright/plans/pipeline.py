@@ -367,7 +367,7 @@ class Evaluator:
         data, keep = node.get("data") or {}, self.keep_order and self.order_wanted(node["id"])
         if node["type"] == "csv-input":
             return read_csv(self.spark, binding, delimiter=data.get("delimiter", "auto"), header=data.get("header", True),
-                            encoding=data.get("encoding", "utf-8"), multi_line=data.get("multiLine", False), keep_order=keep)
+                            encoding=data.get("encoding", "utf-8"), multi_line=data.get("multiLine", False), keep_order=keep, carry=True)
         if node["type"] == "jsonl-input":
             return read_jsonl(self.spark, binding, keep_order=keep, limit=self.read_limit)
         return read_parquet(self.spark, binding, keep_order=keep)

@@ -4,10 +4,11 @@ CSV cells are read as text (``''`` for a blank cell, short rows padded with
 ``''``).  One task per file looks at its first 64 KiB: delimiter (scored when
 ``delimiter='auto'``) and header.  Files with the same delimiter and header
 are read together; groups are united by column name, never by position.  A
-row with more cells than the header and, unless ``multi_line`` is on, a line
-that ends inside an open quote are errors (``CSV_ROW_WIDTH``,
-``CSV_OPEN_QUOTE``): a deferred check counts them over the raw lines, and
-:func:`csv_rejects` lists them.
+row with more cells than the header, text behind a closing quote and, unless ``multi_line`` is on, a line
+that ends inside an open quote are errors (``CSV_ROW_WIDTH``, ``CSV_QUOTE_TEXT``,
+``CSV_OPEN_QUOTE``).  Lines are judged and cut into cells in one pass: the CSV reader hands over whole
+lines without the headers, the rows may carry the check, and ``from_csv`` gives the cells.
+:func:`csv_rejects` lists the lines at fault.
 
 JSONL keeps the first-seen key order of the whole input.  One pass parses each
 line twice: as a variant, which tells whether it is one JSON object and
@@ -190,57 +191,82 @@ def _options(sep: str, header: bool, encoding: str, multi_line: bool) -> dict:
                 mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def _bad_lines(spark, files: list[str], sep: str, names: tuple, header: bool, encoding: str, multi_line: bool) -> DataFrame:
-    """(file, text, reason) per raw record; reason null for good ones."""
-    if multi_line:
-        # Records instead of lines: the reader hands over the text of those that don't fit the header.
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("text", T.StringType())])
-        raw = spark.read.schema(schema).options(**_options(sep, header, encoding, True), columnNameOfCorruptRecord="text",
-                                                columnPruning=False).csv(files)
-        raw = raw.select("text", F.col("_metadata.file_path").alias("file"), *[f"c{i}" for i in range(len(names))])
-    else:
-        raw = spark.read.option("encoding", encoding).text(files) \
-            .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
+#: A separator that no line holds, so that the CSV reader hands over whole lines.
+NEVER = "\x01\x02tablewright\x02\x01"
+#: What stands for a quoted cell while a line is judged.
+QUOTED = "\x01quoted\x02"
+
+
+def _csv_lines(spark, files: list[str], header: bool, encoding: str) -> DataFrame:
+    """(text, file, block, id) of every line that is not blank; the reader drops the headers."""
+    options = _options(NEVER, header, encoding, False) | {"quote": "", "escape": ""}
+    raw = spark.read.schema("text string").options(**options).csv(files)
+    return raw.select("text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("id"))
+
+
+def _line_reason(text, sep: str, width: int):
+    """Why a line can't be taken whole; null for good lines.  Lines without a quote only have their separators counted."""
+    count = lambda t: (F.length(t) - F.length(F.replace(t, F.lit(sep), F.lit("")))) / len(sep) + 1
     # a quote opens a cell only at its start; inside an unquoted cell it is an ordinary character
-    start = f"(^|{re.escape(sep)})"
-    plain = F.regexp_replace("text", start + r'"(?:[^"]|"")*+"', "$1x")
+    start, end = f"(^|{re.escape(sep)})", f"(?!\\z|{re.escape(sep)})"
+    # quoted cells are taken one after the other, so what lies inside them is never taken for a cell
+    plain = F.regexp_replace(text, start + r'"(?:[^"]|"")*+"', f"$1{QUOTED}")
+    with_quotes = (F.when(plain.rlike(start + '"'), F.lit("CSV_OPEN_QUOTE"))
+                   .when(plain.rlike(start + QUOTED + end), F.lit("CSV_QUOTE_TEXT"))
+                   .when(count(plain) > width, F.lit("CSV_ROW_WIDTH")))
+    return F.when(text.contains('"'), with_quotes).when(count(text) > width, F.lit("CSV_ROW_WIDTH"))
+
+
+def _multi_line_records(spark, files: list[str], sep: str, names: tuple, header: bool, encoding: str) -> DataFrame:
+    """(file, text, reason) per record: the reader hands over the text of those that don't fit the header."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("text", T.StringType())])
+    raw = spark.read.schema(schema).options(**_options(sep, header, encoding, True), columnNameOfCorruptRecord="text",
+                                            columnPruning=False).csv(files)
+    plain = F.regexp_replace("text", f"(^|{re.escape(sep)})" + r'"(?:[^"]|"")*+"', "$1x")
     cells = (F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit("")))) / len(sep) + 1
-    reason = F.when(cells > len(names), F.lit("CSV_ROW_WIDTH"))
-    if multi_line:
-        # Spark refuses to read the raw text alone, so a parsed cell takes part (always true).
-        reason = F.when((cells > len(names)) & (F.coalesce("c0", F.lit("")) >= ""), F.lit("CSV_ROW_WIDTH"))
-    else:
-        reason = F.when(plain.rlike(start + '"'), F.lit("CSV_OPEN_QUOTE")).otherwise(reason)
-    return raw.withColumn("reason", reason)
+    # Spark refuses to read the raw text alone, so a parsed cell takes part (always true).
+    reason = F.when((cells > len(names)) & (F.coalesce("c0", F.lit("")) >= ""), F.lit("CSV_ROW_WIDTH"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), "text", reason.alias("reason"))
 
 
-def _read_csv_group(spark, files, sep, names, header, encoding, multi_line, keep_order):
+def _csv_rules(width: int) -> tuple:
+    what = {"CSV_ROW_WIDTH": f"A row has more cells than the {width} columns of its header.",
+            "CSV_QUOTE_TEXT": "A quoted cell has text behind its closing quote.",
+            "CSV_OPEN_QUOTE": "A quote is still open at the end of a line; multi_line=True reads cells with line breaks."}
+    return tuple(CheckRule(code, message, F.coalesce(F.col("reason") == code, F.lit(False)), F.col("text")) for code, message in what.items())
+
+
+def _read_csv_group(spark, files, sep, names, header, encoding, multi_line, keep_order, carry):
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    df = spark.read.schema(schema).options(**_options(sep, header, encoding, multi_line)).csv(files)
-    cols = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
-    order = ()
-    if keep_order:
-        fp, bs, rid = hidden_name("file"), hidden_name("block"), hidden_name("line")
-        cols += [F.col("_metadata.file_path").alias(fp), F.col("_metadata.file_block_start").alias(bs),
-                 F.monotonically_increasing_id().alias(rid)]
-        order = (OrderKey(fp), OrderKey(bs), OrderKey(rid))
-    raw = _bad_lines(spark, files, sep, names, header, encoding, multi_line)
-    check = Check(raw, (
-        CheckRule("CSV_ROW_WIDTH", f"A row has more than {len(names)} cells.", F.coalesce(F.col("reason") == "CSV_ROW_WIDTH", F.lit(False)), F.col("text")),
-        CheckRule("CSV_OPEN_QUOTE", "A line ends inside a quoted cell; read with multi_line=True.",
-                  F.coalesce(F.col("reason") == "CSV_OPEN_QUOTE", F.lit(False)), F.col("text"))))
-    return Table(df.select(*cols), order, (check,))
+    options = _options(sep, header, encoding, multi_line)
+    fp, bs, rid = (hidden_name(tag) for tag in ("file", "block", "line"))
+    order = (OrderKey(fp), OrderKey(bs), OrderKey(rid)) if keep_order else ()
+    cells = lambda of: [F.coalesce(F.col(f"{of}c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
+    if multi_line:
+        df = spark.read.schema(schema).options(**options).csv(files)
+        places = [F.col("_metadata.file_path").alias(fp), F.col("_metadata.file_block_start").alias(bs), F.monotonically_increasing_id().alias(rid)]
+        check = Check(_multi_line_records(spark, files, sep, names, header, encoding), _csv_rules(len(names)))
+        return Table(df.select(*cells(""), *(places if keep_order else [])), order, (check,))
+    lines = _csv_lines(spark, files, header, encoding).withColumn("reason", _line_reason(F.col("text"), sep, len(names)))
+    judged = Table(lines).checked(_csv_rules(len(names))) if carry else Table(lines, checks=(Check(lines, _csv_rules(len(names))),))
+    parse = {k: str(options[k]) for k in ("sep", "quote", "escape", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace")}
+    places = [F.col("file").alias(fp), F.col("block").alias(bs), F.col("id").alias(rid)]
+    cut = judged.df.select(F.from_csv("text", schema.simpleString()[len("struct<"):-1].replace(":", " "), parse).alias("r"), "file", "block", "id")
+    return judged.derive(cut.select(*cells("r."), *(places if keep_order else [])), order)
 
 
 def read_csv(spark: SparkSession, path, delimiter="auto", header: bool = True, encoding: str = "utf-8",
-             keep_order: bool = False, multi_line: bool = False, limit: int | None = None) -> Table:
+             keep_order: bool = False, multi_line: bool = False, limit: int | None = None, carry: bool = False) -> Table:
     """Read CSV/TSV files as text columns.
 
-    ``multi_line`` allows quoted newlines but makes each file one task."""
+    Lines at fault are found by a check of their own, a second pass, and can be looked at until then; with ``carry`` the rows
+    carry the check: whatever reads a line at fault fails.  ``multi_line`` allows quoted newlines but
+    makes each file one task, and has the check on its own."""
     from ..operators.combine import union_tables
     from ..operators.rows import limit_rows
     groups = _csv_groups(spark, path, delimiter, header, encoding)
-    tables = [_read_csv_group(spark, files, sep, names, header, encoding, multi_line, keep_order)
+    tables = [_read_csv_group(spark, files, sep, names, header, encoding, multi_line, keep_order, carry)
               for (sep, names), files in groups.items()]
     if not tables:
         return Table(spark.createDataFrame([], T.StructType([])))
@@ -255,8 +281,13 @@ def read_csv(spark: SparkSession, path, delimiter="auto", header: bool = True, e
 def csv_rejects(spark: SparkSession, path, delimiter="auto", header: bool = True, encoding: str = "utf-8",
                 multi_line: bool = False) -> DataFrame:
     """Every record that :func:`read_csv` can't take whole, as (file, reason, text)."""
-    parts = [_bad_lines(spark, files, sep, names, header, encoding, multi_line).filter("reason is not null").select("file", "reason", "text")
-             for (sep, names), files in _csv_groups(spark, path, delimiter, header, encoding).items()]
+    parts = []
+    for (sep, names), files in _csv_groups(spark, path, delimiter, header, encoding).items():
+        if multi_line:
+            judged = _multi_line_records(spark, files, sep, names, header, encoding)
+        else:
+            judged = _csv_lines(spark, files, header, encoding).withColumn("reason", _line_reason(F.col("text"), sep, len(names)))
+        parts.append(judged.filter("reason is not null").select("file", "reason", "text"))
     out = spark.createDataFrame([], "file string, reason string, text string")
     for part in parts:
         out = out.union(part)

@@ -242,3 +242,22 @@ def test_each_jsonl_plan_parses_a_line_twice_at_most(spark, scratch):
     assert plan.count("from_json") + plan.lower().count("parse_json") == 1
     rejects = read_jsonl(spark, path, strict=False).df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert rejects.count("parse_json") + rejects.count("from_json") + rejects.count("jsontostructs") <= 3
+
+
+def test_text_behind_a_closing_quote_is_an_error(spark, scratch):
+    path = put(scratch, "behind.csv", 'a,b\n"x" ,2\n"""x",1\n5" pipe,3\n"a"b,4\n"q,""r""",5\n')
+    assert sorted((r.reason, r.text) for r in csv_rejects(spark, path, delimiter="comma").collect()) == [
+        ("CSV_QUOTE_TEXT", '"a"b,4'), ("CSV_QUOTE_TEXT", '"x" ,2')]
+    good = put(scratch, "good.csv", 'a,b\n"""x",1\n5" pipe,3\n"q,""r""",5\na,b\n')
+    t = read_csv(spark, good, delimiter="comma").validate()
+    assert sorted(rows_of(t, ordered=False)) == [('"x', "1"), ('5" pipe', "3"), ("a", "b"), ('q,"r"', "5")]
+
+
+def test_csv_rows_are_judged_in_the_write(spark, scratch):
+    from tablewright.sinks.files import write_parquet
+    path = put(scratch, "wide.csv", "a,b\n1,2\n1,2,3\n")
+    with pytest.raises(TableError) as e:
+        write_parquet(read_csv(spark, path, carry=True), os.path.join(scratch, "out"))
+    assert e.value.code == "CSV_ROW_WIDTH" and e.value.value == "1,2,3" and not os.path.exists(os.path.join(scratch, "out"))
+    plan = read_csv(spark, put(scratch, "fine.csv", "a,b\n1,2\n"), carry=True).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
