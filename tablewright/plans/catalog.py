@@ -885,6 +885,59 @@ FROM (SELECT * FROM orders WHERE o_orderstatus = 'O' LIMIT 100)
 """
 
 
+def q_preview_csv(spark, d):
+    """Preview below a filter over a folder of CSV files: files are read in order until it has its rows."""
+    o = _orders_text(spark, d)
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus")
+    path = _write_lines(o.select("o_orderkey", line.alias("value")), "o_orderkey", scratch_path(spark, "preview-csv"), "o_orderkey,o_custkey,o_orderstatus")
+    graph = {"nodes": [_node("orders", "csv-input", delimiter="auto", header=True),
+                       _node("open", "filter-rows", conditions=[rule("o_orderstatus", "eq", "O")], combination="and")],
+             "edges": [_edge("e1", "orders", "table", "open", "in")]}
+    return preview_node(spark, graph, "open", {"orders": path})[0]
+
+
+PREVIEW_CSV_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus
+FROM orders WHERE o_orderstatus = 'O' ORDER BY orders.o_orderkey LIMIT 100
+"""
+
+
+def shared_graph() -> dict:
+    """orders x customer, grouped per market segment; two outputs of the group and one of the join."""
+    return {"nodes": [
+        _node("orders", "parquet-input"), _node("customers", "parquet-input"),
+        _node("open", "filter-rows", conditions=[rule("o_orderstatus", "eq", "O")], combination="and"),
+        _node("both", "join", type="inner", keys=[{"left": "o_custkey", "right": "c_custkey"}]),
+        _node("per_nation", "group-by", groups=["c_nationkey"], aggregates=[agg("count", "*", "n"), agg("max", "o_totalprice", "top")]),
+        _node("many", "filter-rows", conditions=[rule("n", "gt", 60)], combination="and"),
+        _node("rows_out", "parquet-output", filename="rows"), _node("groups_out", "csv-output", filename="groups"),
+        _node("many_out", "jsonl-output", filename="many"),
+    ], "edges": [
+        _edge("e1", "orders", "table", "open", "in"), _edge("e2", "open", "out", "both", "left"), _edge("e3", "customers", "table", "both", "right"),
+        _edge("e4", "both", "out", "rows_out", "in"), _edge("e5", "both", "out", "per_nation", "in"), _edge("e6", "per_nation", "out", "groups_out", "in"),
+        _edge("e7", "per_nation", "out", "many", "in"), _edge("e8", "many", "out", "many_out", "in"),
+    ]}
+
+
+def q_node_counts(spark, d):
+    """Rows in and out of every node of a run with shared upstream nodes."""
+    done = run_pipeline(spark, shared_graph(), {"orders": f"{d}/orders.parquet", "customers": f"{d}/customer.parquet"},
+                        scratch_path(spark, "shared-outputs"), keep_order=False, node_counts=True)
+    rows = [(n, sum(c["in"]), c["out"]) for n, c in done[0]["nodeRows"].items()]
+    return spark.createDataFrame(rows, "node string, rows_in long, rows_out long")
+
+
+NODE_COUNTS_SQL = """
+WITH o AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS open FROM orders), c AS (SELECT count(*) AS n FROM customer),
+j AS (SELECT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'),
+g AS (SELECT c_nationkey, count(*) AS n FROM j GROUP BY c_nationkey), s AS (
+    SELECT (SELECT count(*) FROM j) AS j, (SELECT count(*) FROM g) AS g, (SELECT count(*) FROM g WHERE n > 60) AS m)
+SELECT 'orders' AS node, 0::BIGINT AS rows_in, n AS rows_out FROM o UNION ALL SELECT 'customers', 0, n FROM c UNION ALL SELECT 'open', n, open FROM o
+UNION ALL SELECT 'both', o.open + c.n, s.j FROM o, c, s UNION ALL SELECT 'per_nation', j, g FROM s UNION ALL SELECT 'many', g, m FROM s
+UNION ALL SELECT 'rows_out', j, j FROM s UNION ALL SELECT 'groups_out', g, g FROM s UNION ALL SELECT 'many_out', m, m FROM s
+"""
+
+
 QUERIES = {
     "pricing_summary": pricing_summary,
     "shipping_top10": shipping_top10,
@@ -948,6 +1001,8 @@ QUERIES = {
     "union_mismatch": q_union_mismatch,
     "multi_output_counts": q_multi_output_counts,
     "preview_limited": q_preview_limited,
+    "preview_csv": q_preview_csv,
+    "node_counts": q_node_counts,
 }
 
 ORACLE_SQL = {
@@ -1032,4 +1087,6 @@ ORACLE_SQL = {
     "union_mismatch": UNION_MISMATCH_SQL,
     "multi_output_counts": MULTI_OUTPUT_COUNTS_SQL,
     "preview_limited": PREVIEW_LIMITED_SQL,
+    "preview_csv": PREVIEW_CSV_SQL,
+    "node_counts": NODE_COUNTS_SQL,
 }

@@ -13,9 +13,11 @@ import copy
 import json
 import os
 import time
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import TableError
 from ..operators.aggregate import group_by
@@ -27,7 +29,7 @@ from ..sinks.files import output_filename, write_csv, write_jsonl, write_parquet
 from ..sources.parquet import read_parquet
 from ..sources.text import read_csv, read_jsonl
 from ..session import scratch_path
-from ..table import OrderKey, Table, as_table, hidden_name
+from ..table import C, OrderKey, Table, as_table, hidden_name
 
 # Node type names and their table ports.
 INPUT_TYPES = ("csv-input", "jsonl-input", "parquet-input")
@@ -37,6 +39,8 @@ TRANSFORM_TYPES = ("select-columns", "rename-columns", "clean-text", "cast", "so
 #: Nodes that turn each row into at most one row by itself.
 ROW_LOCAL = ("select-columns", "rename-columns", "clean-text", "cast", "filter-rows", "null-handling")
 COMBINE_TYPES = ("join", "union")
+#: Nodes that move rows between tasks.
+WIDE = ("join", "group-by", "deduplicate", "limit")
 NODE_TYPES = INPUT_TYPES + TRANSFORM_TYPES + COMBINE_TYPES + OUTPUT_TYPES
 UNION_MIN, UNION_MAX = 2, 6
 DOCUMENT_FORMAT = "tablewright-pipeline"
@@ -310,6 +314,10 @@ class Evaluator:
         self.keep_order = keep_order
         self.nodes = {n["id"]: n for n in graph.get("nodes") or []}
         self.memo: dict[str, Table] = {}
+        #: nodes whose rows are written once and read by all that use them
+        self.staged: set = set()
+        #: where rows are counted: an observation per node
+        self.counts: dict | None = None
 
     def upstream(self, node_id: str, port: str) -> str | None:
         for e in self.graph.get("edges") or []:
@@ -344,7 +352,12 @@ class Evaluator:
     def table(self, node_id: str) -> Table:
         if node_id not in self.memo:
             try:
-                self.memo[node_id] = self._build(self.nodes[node_id])
+                table = self._build(self.nodes[node_id])
+                if self.counts is not None:
+                    table = self._counted(node_id, table)
+                if node_id in self.staged:
+                    table = staged_table(table)
+                self.memo[node_id] = table
             except TableError as exc:
                 if getattr(exc, "nodeId", None) is None:
                     exc.nodeId = node_id
@@ -352,6 +365,50 @@ class Evaluator:
                 raise
         return self.memo[node_id]
 
+    def users(self, node_id: str) -> list[str]:
+        return [e["target"]["nodeId"] for e in self.graph.get("edges") or [] if e["source"]["nodeId"] == node_id]
+
+    def sources(self, node_id: str) -> list[str]:
+        return [e["source"]["nodeId"] for e in self.graph.get("edges") or [] if e["target"]["nodeId"] == node_id]
+
+    def share(self) -> None:
+        """Marks the nodes to stage: the last ones that several uses have in common, where a shuffle
+        (join, aggregate, deduplication, ordered limit) lies above that would run once per use."""
+        leads: dict[str, bool] = {}
+
+        def used(node_id: str) -> bool:  # some output gets its rows
+            if node_id not in leads:
+                leads[node_id] = self.nodes[node_id]["type"] in OUTPUT_TYPES or any([used(u) for u in self.users(node_id)])
+            return leads[node_id]
+
+        costly: dict[str, bool] = {}
+
+        def wide(node_id: str) -> bool:  # a shuffle lies in or above it, and below the next staged node
+            if node_id not in costly:
+                node = self.nodes[node_id]
+                above = any([wide(u) for u in self.sources(node_id)])
+                here = (above or node["type"] in WIDE) and not (node.get("disabled") and not above)
+                fans = sum(used(u) for u in self.users(node_id)) > 1
+                if here and fans:
+                    self.staged.add(node_id)
+                costly[node_id] = here and not fans
+            return costly[node_id]
+
+        for node_id, node in self.nodes.items():
+            if node["type"] in OUTPUT_TYPES:
+                wide(node_id)
+
+    def _counted(self, node_id: str, table: Table) -> Table:
+        """The table with its rows counted by whatever computes them."""
+        seen = Observation()
+        self.counts[node_id] = seen
+        return table.derive(table.df.observe(seen, F.count(F.lit(1)).alias("rows")))
+
+    def node_rows(self) -> dict:
+        """{node: {"in": rows of each input, "out": rows}} of the nodes computed; None where a node's rows were not needed."""
+        out = {n: observed(seen) for n, seen in self.counts.items()}
+        return {n: {"in": [out.get(u) for u in self.sources(n)], "out": rows} for n, rows in out.items()}
+
     def _in(self, node, port="in") -> Table:
         src = self.upstream(node["id"], port)
         if src is None:
@@ -441,28 +498,67 @@ def schema_issues(spark: SparkSession, graph: dict, inputs: dict) -> list[dict]:
 
 
 def preview_node(spark: SparkSession, graph: dict, node_id: str, inputs: dict, n: int = 100):
-    """(preview rows as text, inferred schema of the previewed rows)."""
+    """(preview rows as text, inferred schema of the previewed rows).
+
+    Below a source and nodes that work row by row only, no more is read than the rows need: keys, types and
+    checks are those of what was read.  CSV files are read in the order of their paths, the first alone, then
+    more of them, until enough rows are left; columns are those of the files read, more of them if a node asks for others."""
     _checked(graph)
-    ev = Evaluator(spark, graph, inputs, target=node_id)
+    first = Evaluator(spark, graph, inputs, target=node_id)
     path, kinds = node_id, []
-    while ev.nodes[path]["type"] in ROW_LOCAL + OUTPUT_TYPES and ev.upstream(path, "in"):
-        kinds.append(ev.nodes[path]["type"])
-        path = ev.upstream(path, "in")
-    source = ev.nodes[path]["type"]
+    while first.nodes[path]["type"] in ROW_LOCAL + OUTPUT_TYPES and first.upstream(path, "in"):
+        kinds.append(first.nodes[path]["type"])
+        path = first.upstream(path, "in")
+    source = first.nodes[path]["type"]
     # Only row-local nodes above one source: rows keep the scan's order, so a plain limit stops the scan early.
-    local = source in INPUT_TYPES and isinstance((inputs or {}).get(path), str)
-    if local and source != "csv-input":
-        ev.keep_order = False
+    local = source in INPUT_TYPES and isinstance((inputs or {}).get(path), (str, list, tuple))
+    if local and source == "csv-input":
+        return _preview_files(spark, graph, node_id, inputs, path, n)
+    if local:
+        first.keep_order = False
         if not {"filter-rows", "null-handling"} & set(kinds):
-            ev.read_limit = n  # no row is dropped on the way
-    first = limit_rows(ev.table(node_id), n)
+            first.read_limit = n  # no row is dropped on the way
+    rows = limit_rows(first.table(node_id), n)
     if not local:
-        first.validate(carried=False)
+        rows.validate(carried=False)
     # the rows shown, computed once: text form and schema are taken of the same rows
-    head = staged_head(first)
+    head = staged_head(rows)
     return preview(head, n), schema_list(head)
 
 
+def _preview_files(spark: SparkSession, graph: dict, node_id: str, inputs: dict, source: str, n: int):
+    """Preview of row-local nodes over CSV files: ever more files, in the order of their paths."""
+    binding = inputs[source]
+    files = sorted(unquote(f) for f in spark.read.text([binding] if isinstance(binding, str) else list(binding)).inputFiles())
+    count = 1
+    while True:
+        some, whole = files[:count], count >= len(files)
+        # one file is scanned in its order; of several the first rows are picked by their place
+        ev = Evaluator(spark, graph, {**inputs, source: some or binding}, keep_order=len(some) > 1, target=node_id)
+        try:
+            rows = limit_rows(ev.table(node_id), n)
+        except TableError as exc:
+            if exc.code != "COLUMN_NOT_FOUND" or whole:
+                raise
+            rows = None
+        if rows is not None:
+            head = _first_rows(rows, n) if len(some) <= 1 else staged_head(rows)
+            if whole or head.df.count() >= n:
+                return preview(head, n), schema_list(head)
+        count *= 4
+
+
+def _first_rows(table: Table, n: int) -> Table:
+    """The first ``n`` rows of an unordered table as a small table of its own.
+
+    A collected limit runs on the first split, then on a few more, until it has its rows."""
+    spark, place = table.df.sparkSession, hidden_name("place")
+    with table.explained():
+        found = table.to_df().limit(n).collect()
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], T.StructType([T.StructField(place, T.LongType()), *table.schema.fields]))
+    return Table(rows.select(*table.columns and [C(c) for c in table.columns], place), (OrderKey(place),))
+
+
 def staged_head(table: Table) -> Table:
     """A small table written once to the shared folder and read back, in order."""
     spark, place = table.df.sparkSession, hidden_name("place")
@@ -472,12 +568,44 @@ def staged_head(table: Table) -> Table:
     return Table(spark.read.parquet(path), (OrderKey(place),))
 
 
+def staged_table(table: Table) -> Table:
+    """The rows, order included, written once to the shared folder and read back; its checks are made by then."""
+    spark = table.df.sparkSession
+    path, fields = scratch_path(spark, "shared"), table.df.schema.fields
+    table.validate(carried=False)
+    kept = [(i, f) for i, f in enumerate(fields) if not isinstance(f.dataType, T.NullType)]
+    with table.explained():
+        # plain names: any name is allowed in a table
+        table.df.select(*[C(f.name).alias(f"c{i}") for i, f in kept], F.lit(1).alias("row")).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in kept], T.StructField("row", T.IntegerType())])).parquet(path)
+    columns = [F.lit(None).alias(f.name) if isinstance(f.dataType, T.NullType) else C(f"c{i}").alias(f.name) for i, f in enumerate(fields)]
+    return Table(stored.select(*columns), table.order, (), table.meta)
+
+
+def observed(seen: Observation, wait: float = 5.0) -> int | None:
+    """Rows of an observation whose action is over; None if Spark found that it need not compute them."""
+    end = time.monotonic() + wait
+    while not seen._jo.future().isCompleted():
+        if time.monotonic() > end:
+            return None
+        time.sleep(0.05)
+    return seen.get["rows"]
+
+
 def run_pipeline(spark: SparkSession, graph: dict, inputs: dict, output_dir: str, keep_order: bool = True,
-                 single_file: bool = False) -> list[dict]:
+                 single_file: bool = False, node_counts: bool = False) -> list[dict]:
     """Write every output node; returns one result per output (file name,
-    format, rows, columns).  A failure names its node."""
+    format, rows, columns).  A failure names its node.
+
+    Nodes that several outputs have in common are computed once: below a join, an aggregate or another shuffle their
+    rows are staged.  With ``node_counts`` each result also has ``nodeRows``, the rows in and out of every node, counted by the run's
+    own jobs: rows are looked at in all nodes, so filters don't move into the sources, and an output in order is staged
+    before it is sorted, as a sort reads its input twice."""
     _checked(graph)
     ev = Evaluator(spark, graph, inputs, keep_order)  # one memo: shared upstream nodes and their checks are built once
+    ev.share()
+    if node_counts:
+        ev.counts = {}
     results = []
     for node in graph.get("nodes") or []:
         if node["type"] not in OUTPUT_TYPES:
@@ -486,6 +614,8 @@ def run_pipeline(spark: SparkSession, graph: dict, inputs: dict, output_dir: str
         data = node.get("data") or {}
         try:
             table = ev.table(node["id"])
+            if node_counts and table.order:
+                table = staged_table(table)
             name = output_filename(data.get("filename"), fmt)
             path = os.path.join(output_dir, name)
             if fmt == "csv":
@@ -501,4 +631,7 @@ def run_pipeline(spark: SparkSession, graph: dict, inputs: dict, output_dir: str
             raise
         results.append({"nodeId": node["id"], "filename": name, "format": fmt.upper(), "path": path,
                         "rows": rows, "columns": len(table.columns)})
+    if node_counts:
+        counted = ev.node_rows()
+        results = [r | {"nodeRows": counted} for r in results]
     return results

@@ -27,6 +27,7 @@ import re
 import sys
 import uuid
 from collections import Counter
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -182,7 +183,7 @@ def _csv_groups(spark, path, delimiter, header: bool, encoding: str) -> dict:
     for row in _file_heads(spark, path, resolve_delimiter(delimiter), encoding):
         if row["record"] is not None:
             key = (row["delimiter"], _header_names(json.loads(row["record"]), header))
-            groups.setdefault(key, []).append(row["file"])
+            groups.setdefault(key, []).append(unquote(row["file"]))  # Spark escapes the paths it reports
     return {k: sorted(groups[k]) for k in sorted(groups, key=lambda k: min(groups[k]))}
 
 

@@ -138,3 +138,95 @@ def test_run_writes_every_output(spark, scratch):
     with pytest.raises(TableError) as e:
         run_pipeline(spark, strict, {"in": src}, out)
     assert e.value.code == "CAST_FAILED" and e.value.value == "x"
+
+
+# -- previews that read no more than they need ---------------------------------------------------
+
+def put(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w", newline="") as f:
+        f.write(text)
+    return folder
+
+
+def csv_chain(*kinds):
+    nodes = [node("in", "csv-input", delimiter="comma", header=True), *kinds]
+    return {"nodes": nodes, "edges": [edge(f"e{i}", a["id"], "table" if i == 0 else "out", b["id"], "in")
+                                      for i, (a, b) in enumerate(zip(nodes, nodes[1:]))]}
+
+
+def test_preview_of_many_files_reads_the_first(spark, scratch):
+    folder = os.path.join(scratch, "many files")
+    for i in range(200):
+        put(folder, f"{i:03d}.csv", "a,b\n" + "".join(f"{i},{k}\n" for k in range(120)) + ("1,2,3\n" if i == 30 else ""))
+    g = csv_chain(node("cast", "cast", casts=[{"column": "b", "type": "integer"}]))
+    rows, schema = preview_node(spark, g, "cast", {"in": folder})
+    assert [tuple(r) for r in rows.collect()] == [("0", str(k)) for k in range(100)] and [c["type"] for c in schema] == ["integer", "integer"]
+    assert rows.inputFiles() == [] or not any("many" in f for f in rows.inputFiles())
+    few = csv_chain(node("some", "filter-rows", conditions=[{"column": "b", "operator": "eq", "value": "5"}], combination="and"))
+    with pytest.raises(TableError) as e:  # 100 such rows lie in 100 files, the bad one among them
+        preview_node(spark, few, "some", {"in": folder})
+    assert e.value.code == "CSV_ROW_WIDTH"
+    rows = preview_node(spark, few, "some", {"in": folder}, n=5)[0]
+    assert [tuple(r) for r in rows.collect()] == [(str(i), "5") for i in range(5)]
+
+
+def test_preview_raises_for_bad_rows_that_it_reads(spark, scratch):
+    folder = put(os.path.join(scratch, "bad"), "1.csv", "a,b\n1,2,3\n")
+    with pytest.raises(TableError) as e:
+        preview_node(spark, csv_chain(node("cut", "select-columns", columns=["a"])), "cut", {"in": folder})
+    assert e.value.code == "CSV_ROW_WIDTH" and e.value.value == "1,2,3"
+    put(os.path.join(scratch, "late"), "1.csv", "a\n1\n")
+    late = put(os.path.join(scratch, "late"), "2.csv", "a,c\n2,x\n")
+    rows = preview_node(spark, csv_chain(node("cut", "select-columns", columns=["c"])), "cut", {"in": late})[0]
+    assert [tuple(r) for r in rows.collect()] == [("NULL",), ("x",)]
+    empty = put(os.path.join(scratch, "none"), "1.csv", "")
+    assert preview_node(spark, csv_chain(node("l", "limit", limit=3)), "in", {"in": empty})[0].count() == 0
+
+
+# -- several outputs of one run ---------------------------------------------------------------------
+
+def fan():
+    join = node("j", "join", keys=[{"left": "k", "right": "k"}])
+    join["data"]["type"] = "left"
+    return {"nodes": [node("l", "parquet-input"), node("r", "parquet-input"), join,
+                      node("big", "filter-rows", conditions=[{"column": "v", "operator": "gte", "value": 5}], combination="and"),
+                      node("o1", "parquet-output", filename="all"), node("o2", "csv-output", filename="big"), node("o3", "jsonl-output", filename="json")],
+            "edges": [edge("a", "l", "table", "j", "left"), edge("b", "r", "table", "j", "right"), edge("c", "j", "out", "o1", "in"),
+                      edge("d", "j", "out", "big", "in"), edge("e", "big", "out", "o2", "in"), edge("f", "big", "out", "o3", "in")]}
+
+
+def test_outputs_of_one_join_read_its_inputs_once(spark, scratch):
+    from tablewright.plans.pipeline import Evaluator
+    spark.range(10).selectExpr("id as k", "id as v").write.parquet(os.path.join(scratch, "l"))
+    spark.range(5).selectExpr("id as k", "cast(id as string) as `a b`").write.parquet(os.path.join(scratch, "r"))
+    inputs = {n: os.path.join(scratch, n) for n in "lr"}
+    ev = Evaluator(spark, fan(), inputs)
+    ev.share()
+    assert ev.staged == {"j"}
+    assert not any(f.startswith(f"file://{scratch}") for f in ev.table("o2").df.inputFiles())
+    done = {r["nodeId"]: r for r in run_pipeline(spark, fan(), inputs, os.path.join(scratch, "out"), node_counts=True)}
+    assert {n: r["rows"] for n, r in done.items()} == {"o1": 10, "o2": 5, "o3": 5}
+    counts = done["o1"]["nodeRows"]
+    assert counts["l"]["out"] == 10 and counts["r"]["out"] == 5 and counts["j"] == {"in": [10, 5], "out": 10}
+    assert counts["big"] == {"in": [10], "out": 5} and counts["o3"] == {"in": [5], "out": 5}
+
+
+def test_row_local_branches_are_not_staged(spark):
+    from tablewright.plans.pipeline import Evaluator
+    g = fan()
+    g["nodes"][2] = node("j", "union", inputCount=2)
+    g["edges"][0]["target"]["portId"], g["edges"][1]["target"]["portId"] = "in1", "in2"
+    ev = Evaluator(spark, g, {})
+    ev.share()
+    assert ev.staged == set()
+
+
+def test_a_failing_shared_node_is_named(spark, scratch):
+    t = make_table(spark, [(1, "x")], "k int, v string", ordered=False)
+    g = fan()
+    g["nodes"].insert(3, node("c", "cast", casts=[{"column": "v", "type": "integer"}]))
+    g["edges"][2:4] = [edge("c", "j", "out", "c", "in"), edge("g", "c", "out", "o1", "in"), edge("d", "c", "out", "big", "in")]
+    with pytest.raises(TableError) as e:
+        run_pipeline(spark, g, {"l": t, "r": make_table(spark, [(2,)], "k int", ordered=False)}, scratch)
+    assert e.value.code == "CAST_FAILED" and e.value.nodeId == "c" and os.listdir(scratch) == []
