@@ -8,6 +8,8 @@ before any job starts.
 
 from __future__ import annotations
 
+from collections import Counter
+
 
 class TableError(Exception):
     """A table operation failed with a stable error code."""
@@ -25,6 +27,13 @@ class TableError(Exception):
 
 def require_columns(columns, wanted) -> None:
     available = set(columns)
-    for name in wanted:
-        if name not in available:
-            raise TableError("COLUMN_NOT_FOUND", f"Column not found: {name}", column=name)
+    lacking = [name for name in wanted if name not in available]
+    if lacking:
+        raise TableError("COLUMN_NOT_FOUND", f"The table has no column {lacking[0]}.", column=lacking[0])
+
+
+def require_distinct(names, code: str, what: str) -> None:
+    """``names`` may not hold one of them twice."""
+    for name, times in Counter(names).items():
+        if times > 1:
+            raise TableError(code, f"{what} {name} is given {times} times.", column=name)

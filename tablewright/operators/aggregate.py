@@ -14,21 +14,50 @@ sort key (numbers by value, text in natural order) via ``min_by``/``max_by``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import TableError, require_columns
+from ..errors import TableError, require_columns, require_distinct
 from ..functions import sniff as S
 from ..table import C, CheckRule, OrderKey, Table, as_table, hidden_name
 
 OPERATIONS = ("count", "sum", "average", "min", "max")
+SHORT_NAMES = {"avg": "average"}
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One aggregate: what is computed of which column (``*`` for a count of rows), and its name."""
+    operation: str
+    column: str
+    name: str
+
+    @classmethod
+    def read(cls, setting) -> "Rule":
+        text = {k: str((setting or {}).get(k) or "").strip() for k in ("operation", "column", "as")}
+        kind = SHORT_NAMES.get(text["operation"].lower(), text["operation"].lower())
+        return cls(kind, "*" if kind == "count" else text["column"], text["as"])
+
+    def check(self) -> None:
+        lacks = [what for what, there in (("a known operation", self.operation in OPERATIONS), ("a column", self.column), ("a name", self.name)) if not there]
+        if lacks:
+            raise TableError("INVALID_AGGREGATE", f"An aggregate lacks {' and '.join(lacks)}.", operation=self.operation, column=self.column)
 
 
-def _operation(value) -> str:
-    op = str(value or "").strip().lower()
-    if op == "avg":
-        return "average"
-    return op if op in OPERATIONS else ""
+def _settings(table: Table, groups, aggregates) -> tuple[list[str], list[Rule]]:
+    """Group columns and rules, checked against the table."""
+    keys = [k for k in map(lambda g: str(g).strip(), groups) if k] if isinstance(groups, (list, tuple)) else []
+    rules = list(map(Rule.read, aggregates or []))
+    require_distinct(keys, "INVALID_AGGREGATE", "The group column")
+    if not rules:
+        raise TableError("INVALID_AGGREGATE", "There is nothing to aggregate.")
+    for rule in rules:
+        rule.check()
+    require_columns(table.columns, keys + [r.column for r in rules if r.column != "*"])
+    require_distinct(keys + [r.name for r in rules], "AGGREGATE_NAME_COLLISION", "The output column")
+    return keys, rules
 
 
 def _text_extreme(col, table_order_value, operation):
@@ -45,39 +74,15 @@ def _text_extreme(col, table_order_value, operation):
 
 def group_by(table, groups=None, aggregates=None) -> Table:
     table = as_table(table)
-    names = [str(g).strip() for g in (groups or []) if str(g).strip()] if isinstance(groups, (list, tuple)) else []
-    if len(set(names)) != len(names):
-        raise TableError("INVALID_AGGREGATE", "Group columns must be unique.")
-    require_columns(table.columns, names)
-    rules = []
-    for rule in aggregates or []:
-        rule = rule or {}
-        rules.append({"operation": _operation(rule.get("operation")),
-                      "column": str(rule.get("column") or "").strip(),
-                      "as": str(rule.get("as") or "").strip()})
-    if not rules:
-        raise TableError("INVALID_AGGREGATE", "Add at least one aggregate.")
-    used = set(names)
-    for rule in rules:
-        if not rule["operation"] or not rule["as"] or (rule["operation"] != "count" and not rule["column"]):
-            raise TableError("INVALID_AGGREGATE",
-                             "Each aggregate needs an operation, source column when required, and output name.",
-                             operation=rule["operation"], column=rule["column"])
-        if rule["operation"] == "count":
-            rule["column"] = "*"
-        else:
-            require_columns(table.columns, [rule["column"]])
-        if rule["as"] in used:
-            raise TableError("AGGREGATE_NAME_COLLISION", f"Duplicate output column name: {rule['as']}", column=rule["as"])
-        used.add(rule["as"])
+    names, rules = _settings(table, groups, aggregates)
 
     src = table
     ov = None
-    if table.order and (names or any(r["operation"] == "min" for r in rules)):
+    if table.order and (names or any(r.operation == "min" for r in rules)):
         src, ov = table.order_value()
     aggs, checks = [], []
     for rule in rules:
-        op, name, alias = rule["operation"], rule["column"], rule["as"]
+        op, name, alias = rule.operation, rule.column, rule.name
         if op == "count":
             aggs.append(F.count(F.lit(1)).alias(alias))
             continue
@@ -96,7 +101,7 @@ def group_by(table, groups=None, aggregates=None) -> Table:
                 num = F.lit(None).cast("double")
                 bad = col.isNotNull()
             aggs.append(fn(num).alias(alias))
-            checks.append(CheckRule("AGGREGATE_NUMERIC_REQUIRED", f"{op} requires numeric values in column {name}.",
+            checks.append(CheckRule("AGGREGATE_NUMERIC_REQUIRED", f"Column {name} has a value that is no number, so there is no {op}.",
                                     bad, S.text_form(col, dtype), {"column": name, "operation": op}))
             continue
         # min / max

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import TableError, require_columns
+from ..errors import TableError, require_columns, require_distinct
 from ..functions import sniff as S
 from ..table import C, CheckRule, Table, as_table
 
@@ -38,14 +38,10 @@ def select_columns(table, columns=None) -> Table:
     if columns is None:
         return table
     if not isinstance(columns, (list, tuple)) or not columns:
-        raise TableError("NO_COLUMNS", "Select at least one column.")
+        raise TableError("NO_COLUMNS", "No column is selected.")
     names = [str(c).strip() for c in columns]
     require_columns(table.columns, names)
-    seen = set()
-    for n in names:
-        if n in seen:
-            raise TableError("COLUMN_NAME_COLLISION", f"Duplicate output column name: {n}", column=n)
-        seen.add(n)
+    require_distinct(names, "COLUMN_NAME_COLLISION", "The output column")
     return _project(table, {}, names)
 
 
@@ -64,19 +60,13 @@ def rename_columns(table, mappings) -> Table:
     if not rules:
         return table
     require_columns(table.columns, [src for src, _ in rules])
-    renames: dict[str, str] = {}
     for src, dst in rules:
-        if not src or not dst:
-            raise TableError("INVALID_RENAME", "Rename requires both source and target column names.")
-        if src in renames:
-            raise TableError("INVALID_RENAME", f"Column is renamed more than once: {src}", column=src)
-        renames[src] = dst
+        if not (src and dst):
+            raise TableError("INVALID_RENAME", f"A rename has a name on one side only: {src or dst}.")
+    require_distinct([src for src, _ in rules], "INVALID_RENAME", "A new name of the column")
+    renames = dict(rules)
     out = [renames.get(c, c) for c in table.columns]
-    seen = set()
-    for name in out:
-        if name in seen:
-            raise TableError("COLUMN_NAME_COLLISION", f"Duplicate output column name: {name}", column=name)
-        seen.add(name)
+    require_distinct(out, "COLUMN_NAME_COLLISION", "The output column")
     cols = [C(c).alias(n) for c, n in zip(table.columns, out)]
     return table.derive(table.df.select(*cols, *[C(h) for h in table.hidden]))
 
@@ -88,7 +78,7 @@ def clean_text(table, columns, trim: bool = True, case_mode: str = "unchanged")
     Non-text columns pass through untouched."""
     table = as_table(table)
     if not isinstance(columns, (list, tuple)) or not columns or case_mode not in CASE_MODES:
-        raise TableError("INVALID_CLEAN_TEXT", "Select at least one column and a valid text case.")
+        raise TableError("INVALID_CLEAN_TEXT", "Cleaning takes a list of columns and one of the case modes.")
     names = [str(c) for c in columns]
     require_columns(table.columns, names)
     exprs = {}
@@ -182,7 +172,7 @@ def cast_value(col: Column, dtype: T.DataType, target: str) -> tuple[Column, Col
         result = F.when(empty, none.cast("timestamp")).otherwise(v)
         return result, ~empty & result.isNull()
 
-    raise TableError("CAST_TYPE_UNSUPPORTED", f"Unsupported cast type: {target}", type=target)
+    raise TableError("CAST_TYPE_UNSUPPORTED", f"There is no cast to {target}.", type=target)
 
 
 def cast_columns(table, casts, failure_mode: str = "error") -> Table:
@@ -206,15 +196,15 @@ def cast_columns(table, casts, failure_mode: str = "error") -> Table:
     mode = "null" if failure_mode == "null" else "error"
     for col, typ in rules:
         if not col or not typ:
-            raise TableError("INVALID_CAST", "Cast requires a column and target type.", column=col)
+            raise TableError("INVALID_CAST", "A cast names a column and a type.", column=col)
         if typ not in CAST_TYPES:
-            raise TableError("CAST_TYPE_UNSUPPORTED", f"Unsupported cast type: {typ}", type=typ)
+            raise TableError("CAST_TYPE_UNSUPPORTED", f"There is no cast to {typ}.", type=typ)
     exprs: dict[str, Column] = {}
     check_rules = []
     for col, typ in rules:
         result, failed = cast_value(C(col), table.dtype(col), typ)
         exprs[col] = result
         if mode == "error":
-            check_rules.append(CheckRule("CAST_FAILED", f"Could not cast {col} to {typ}.", failed,
+            check_rules.append(CheckRule("CAST_FAILED", f"Column {col} has a value that is no {typ}.", failed,
                                          S.text_form(C(col), table.dtype(col)), {"column": col, "type": typ}))
     return _project(table.checked(check_rules) if check_rules else table, exprs)

@@ -18,6 +18,7 @@ position, with types widened first so that ANSI mode never fails at run time.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def join_tables(left, right, type: str = "inner", keys=None) -> Table:
         if lk or rk:
             pairs.append((lk, rk))
     if not pairs or any(not lk or not rk for lk, rk in pairs):
-        raise TableError("INVALID_JOIN", "Join requires at least one complete key pair.")
+        raise TableError("INVALID_JOIN", "A join has one pair of key columns or more, and each pair is complete.")
     require_columns(left.columns, [lk for lk, _ in pairs])
     require_columns(right.columns, [rk for _, rk in pairs])
 
@@ -184,35 +185,34 @@ def _conform(col: Column, dtype: T.DataType, target: T.DataType) -> Column:
 
 
 def schema_mismatch(inputs: list[list[str]], mode: str, output: list[str]) -> dict:
-    first = inputs[0]
-    report = []
-    for i, cols in enumerate(inputs):
-        if mode == "position":
-            renamed = [{"from": c, "to": output[j] if j < len(output) else None}
-                       for j, c in enumerate(cols) if (output[j] if j < len(output) else None) != c]
-            report.append({"index": i, "missing": [], "extra": [], "renamed": renamed,
-                           "countMismatch": len(cols) != len(first)})
-        else:
-            have = set(cols)
-            report.append({"index": i, "missing": [c for c in output if c not in have],
-                           "extra": [c for c in cols if c not in set(first)], "renamed": [],
-                           "countMismatch": False})
-    has = any(r["missing"] or r["extra"] or r["renamed"] or r["countMismatch"] for r in report)
-    return {"hasMismatch": has, "inputs": report}
+    """Per input of a union, how its columns differ: by position from the output's names and the
+    first input's width, by name from the output's and the first input's sets of columns."""
+    first, whole = set(inputs[0]), set(output)
+
+    def by_position(columns: list[str]) -> dict:
+        pairs = zip_longest(columns, output[:len(columns)])
+        return {"renamed": [{"from": a, "to": b} for a, b in pairs if a != b], "countMismatch": len(columns) != len(inputs[0])}
+
+    def by_name(columns: list[str]) -> dict:
+        return {"missing": sorted(whole.difference(columns), key=output.index), "extra": sorted(set(columns) - first, key=columns.index)}
+
+    compare = by_position if mode == "position" else by_name
+    found = [compare(columns) for columns in inputs]
+    same = {"missing": [], "extra": [], "renamed": [], "countMismatch": False}
+    return {"hasMismatch": any(any(f.values()) for f in found), "inputs": [{"index": i, **same, **f} for i, f in enumerate(found)]}
 
 
 def union_tables(tables, mode: str = "name", max_inputs: int = MAX_UNION_INPUTS) -> Table:
     inputs = [as_table(t) for t in (tables or []) if t is not None]
     if len(inputs) < 2 or len(inputs) > max_inputs:
-        raise TableError("INVALID_UNION", f"Union requires between 2 and {max_inputs} inputs.", inputCount=len(inputs))
+        raise TableError("INVALID_UNION", f"{len(inputs)} tables can't be united; 2 to {max_inputs} can.", inputCount=len(inputs))
     mode = "position" if mode == "position" else "name"
     if mode == "position":
-        width = len(inputs[0].columns)
-        for i, t in enumerate(inputs):
-            if len(t.columns) != width:
-                raise TableError("UNION_SCHEMA_MISMATCH",
-                                 "Union by position requires the same number of columns in every input.",
-                                 inputIndex=i, expected=width, actual=len(t.columns))
+        widths = [len(t.columns) for t in inputs]
+        other = next((i for i, w in enumerate(widths) if w != widths[0]), None)
+        if other is not None:
+            raise TableError("UNION_SCHEMA_MISMATCH", f"Input {other} has {widths[other]} columns, the first has {widths[0]}.",
+                             inputIndex=other, expected=widths[0], actual=widths[other])
         output = list(inputs[0].columns)
         sources = [dict(zip(output, t.columns)) for t in inputs]
     else:

@@ -161,7 +161,7 @@ def condition_expr(table: Table, rule: dict) -> Column:
         # No coalesce(..., false): a null result drops the row just like false
         # (the rule language has no NOT), and bare predicates reach the scan.
         return compare_expr(col, dtype, op, value)
-    raise TableError("INVALID_FILTER", f"Unsupported filter operator: {op}", operator=op)
+    raise TableError("INVALID_FILTER", f"There is no filter operator {op}.", operator=op)
 
 
 def filter_rows(table, conditions, combination: str = "and") -> Table:
@@ -181,12 +181,12 @@ def filter_rows(table, conditions, combination: str = "and") -> Table:
     for rule in rules:
         needs_value = rule["operator"] not in NULL_OPS
         if not rule["column"] or not rule["operator"] or (needs_value and not rule["has_value"]):
-            raise TableError("INVALID_FILTER", "Filter requires a column, operator, and value.",
+            raise TableError("INVALID_FILTER", "A filter condition lacks its column, operator or value.",
                              column=rule["column"], operator=rule["operator"])
     require_columns(table.columns, [r["column"] for r in rules])
     for rule in rules:
         if rule["operator"] not in OPERATORS:
-            raise TableError("INVALID_FILTER", f"Unsupported filter operator: {rule['operator']}",
+            raise TableError("INVALID_FILTER", f"There is no filter operator {rule['operator']}.",
                              operator=rule["operator"])
     exprs = [condition_expr(table, r) for r in rules]
     joined = reduce(lambda a, b: a | b, exprs) if str(combination).lower() == "or" else reduce(lambda a, b: a & b, exprs)
@@ -221,9 +221,9 @@ def handle_nulls(table, mode: str, columns, replacement="") -> Table:
     mode = mode if mode in ("remove", "replace") else ""
     names = [str(c).strip() for c in (columns or []) if str(c).strip()] if isinstance(columns, (list, tuple)) else []
     if not mode:
-        raise TableError("INVALID_NULL_HANDLING", "Choose how to handle Null values.")
+        raise TableError("INVALID_NULL_HANDLING", "Nulls are either removed or replaced; the mode says neither.")
     if not names:
-        raise TableError("INVALID_NULL_HANDLING", "Select at least one column for Null handling.")
+        raise TableError("INVALID_NULL_HANDLING", "No column is selected whose nulls are handled.")
     require_columns(table.columns, names)
     if mode == "remove":
         cond = reduce(lambda a, b: a & b, [C(n).isNotNull() for n in names])
@@ -274,7 +274,7 @@ def limit_rows(table, n) -> Table:
     except (TypeError, ValueError):
         count = float("nan")
     if not math.isfinite(count) or not count.is_integer() or count < 0:
-        raise TableError("INVALID_LIMIT", "Limit must be a non-negative integer.", value=n)
+        raise TableError("INVALID_LIMIT", "A limit is a whole number of rows, 0 or more.", value=n)
     count = int(count)
     if table.order and count:
         # a top-k looks at every row

@@ -1,5 +1,5 @@
 """Pipelines as data (R1-R6): a JSON graph of nodes and edges, checked on the
-driver, then folded into lazy DataFrame plans, one per output node.
+driver (``graph``), then folded into lazy DataFrame plans, one per output node.
 
 Nothing here schedules work: each node is one library operator applied to
 its upstream ``Table``; Spark plans and runs the whole ancestor chain of an
@@ -30,19 +30,12 @@ from ..sources.parquet import read_parquet
 from ..sources.text import read_csv, read_jsonl
 from ..session import scratch_path
 from ..table import C, OrderKey, Table, as_table, hidden_name
+from .graph import INPUT_TYPES, OUTPUT_TYPES, ports, union_input_count, validate_pipeline
 
-# Node type names and their table ports.
-INPUT_TYPES = ("csv-input", "jsonl-input", "parquet-input")
-OUTPUT_TYPES = ("csv-output", "jsonl-output", "parquet-output")
-TRANSFORM_TYPES = ("select-columns", "rename-columns", "clean-text", "cast", "sort", "limit", "deduplicate",
-                   "filter-rows", "null-handling", "group-by")
 #: Nodes that turn each row into at most one row by itself.
 ROW_LOCAL = ("select-columns", "rename-columns", "clean-text", "cast", "filter-rows", "null-handling")
-COMBINE_TYPES = ("join", "union")
 #: Nodes that move rows between tasks.
 WIDE = ("join", "group-by", "deduplicate", "limit")
-NODE_TYPES = INPUT_TYPES + TRANSFORM_TYPES + COMBINE_TYPES + OUTPUT_TYPES
-UNION_MIN, UNION_MAX = 2, 6
 DOCUMENT_FORMAT = "tablewright-pipeline"
 SCHEMA_VERSION = 1
 INPUT_FILE_KEYS = ("file", "fileName", "filename", "path", "blobUrl", "preview", "result", "runtime")
@@ -52,168 +45,6 @@ class PipelineError(TableError):
     pass
 
 
-# -- ports -----------------------------------------------------------------------------
-
-def ports(node: dict) -> list[dict]:
-    """Ports of a node: id, direction, required, max connections (inputs 1)."""
-    kind = node.get("type")
-    out = [{"id": "out", "direction": "output", "required": False, "max": None}]
-    if kind in INPUT_TYPES:
-        return [{"id": "table", "direction": "output", "required": False, "max": None}]
-    if kind in OUTPUT_TYPES:
-        return [{"id": "in", "direction": "input", "required": True, "max": 1}]
-    if kind == "join":
-        return [{"id": "left", "direction": "input", "required": True, "max": 1},
-                {"id": "right", "direction": "input", "required": True, "max": 1}] + out
-    if kind == "union":
-        n = union_input_count(node)
-        return [{"id": f"in{i + 1}", "direction": "input", "required": True, "max": 1} for i in range(n)] + out
-    return [{"id": "in", "direction": "input", "required": True, "max": 1}] + out
-
-
-def union_input_count(node: dict) -> int:
-    try:
-        n = int((node.get("data") or {}).get("inputCount", UNION_MIN))
-    except (TypeError, ValueError):
-        n = UNION_MIN
-    return max(UNION_MIN, min(UNION_MAX, n))
-
-
-# -- R2: validation -------------------------------------------------------------------------
-
-def _node_issues(node: dict) -> list[dict]:
-    data = node.get("data") or {}
-    kind = node.get("type")
-    issues = []
-    if kind == "select-columns" and isinstance(data.get("columns"), list) and not data["columns"]:
-        issues.append(("NO_COLUMNS", "Select at least one column."))
-    if kind in OUTPUT_TYPES and not str(data.get("filename") or "").strip():
-        issues.append(("OUTPUT_FILENAME", "Output filename is required."))
-    if kind == "clean-text":
-        if not isinstance(data.get("columns"), list) or not data.get("columns"):
-            issues.append(("CLEAN_TEXT_COLUMNS", "Select at least one column to clean."))
-        if data.get("caseMode", "unchanged") not in ("unchanged", "lowercase", "uppercase"):
-            issues.append(("INVALID_CLEAN_TEXT", "Choose a valid text case."))
-    return issues
-
-
-def validate_pipeline(graph: dict) -> dict:
-    """All issues of a graph, grouped by node and edge, plus the first one."""
-    issues = []
-
-    def add(code, path, message, node_id=None, edge_id=None):
-        issues.append({"code": code, "path": path, "message": message, "nodeId": node_id, "edgeId": edge_id,
-                       "severity": "error"})
-
-    nodes = graph.get("nodes") if isinstance(graph, dict) else None
-    edges = graph.get("edges") if isinstance(graph, dict) else None
-    if not isinstance(nodes, list):
-        add("INVALID_NODES", "nodes", "Nodes must be an array.")
-        nodes = []
-    if not isinstance(edges, list):
-        add("INVALID_EDGES", "edges", "Edges must be an array.")
-        edges = []
-    by_id = {}
-    for i, node in enumerate(nodes):
-        path = f"nodes[{i}]"
-        if not isinstance(node, dict) or not str(node.get("id") or "").strip() or not str(node.get("type") or "").strip():
-            add("INVALID_NODE", path, "Node needs an id and a type.")
-            continue
-        nid = node["id"]
-        if nid in by_id:
-            add("DUPLICATE_NODE_ID", f"{path}.id", f"Duplicate node ID: {nid}", nid)
-        by_id[nid] = node
-        if node["type"] not in NODE_TYPES:
-            add("UNKNOWN_NODE_TYPE", f"{path}.type", f"Unknown node type: {node['type']}", nid)
-            continue
-        for code, message in _node_issues(node):
-            add(code, path, message, nid)
-    names: dict[str, str] = {}
-    for nid, node in by_id.items():
-        if node["type"] in OUTPUT_TYPES and not node.get("disabled"):
-            name = output_filename((node.get("data") or {}).get("filename"), node["type"].split("-")[0])
-            if name.lower() in names:  # also where file names ignore case
-                add("OUTPUT_NAME_COLLISION", f"nodes.{nid}.data.filename", f"Two outputs write the same file: {name}", nid)
-            names[name.lower()] = nid
-    seen_edges = set()
-    counts: dict[tuple, int] = {}
-    for i, edge in enumerate(edges):
-        path = f"edges[{i}]"
-        try:
-            eid, src, dst = edge["id"], edge["source"], edge["target"]
-            s_node, s_port, t_node, t_port = src["nodeId"], src["portId"], dst["nodeId"], dst["portId"]
-        except (KeyError, TypeError):
-            add("INVALID_EDGE", path, "Edge needs id, source and target endpoints.")
-            continue
-        if eid in seen_edges:
-            add("DUPLICATE_EDGE_ID", f"{path}.id", f"Duplicate edge ID: {eid}", edge_id=eid)
-        seen_edges.add(eid)
-        if s_node not in by_id:
-            add("DANGLING_SOURCE_NODE", f"{path}.source.nodeId", f"Source node does not exist: {s_node}", edge_id=eid)
-        if t_node not in by_id:
-            add("DANGLING_TARGET_NODE", f"{path}.target.nodeId", f"Target node does not exist: {t_node}", edge_id=eid)
-        if s_node in by_id and by_id[s_node]["type"] in NODE_TYPES:
-            port = next((p for p in ports(by_id[s_node]) if p["id"] == s_port), None)
-            if port is None:
-                add("MISSING_SOURCE_PORT", f"{path}.source.portId", f"Source port does not exist: {s_port}", edge_id=eid)
-            elif port["direction"] != "output":
-                add("INVALID_SOURCE_DIRECTION", f"{path}.source.portId", f"Source port must be an output: {s_port}", edge_id=eid)
-        if t_node in by_id and by_id[t_node]["type"] in NODE_TYPES:
-            port = next((p for p in ports(by_id[t_node]) if p["id"] == t_port), None)
-            if port is None:
-                add("MISSING_TARGET_PORT", f"{path}.target.portId", f"Target port does not exist: {t_port}", edge_id=eid)
-            elif port["direction"] != "input":
-                add("INVALID_TARGET_DIRECTION", f"{path}.target.portId", f"Target port must be an input: {t_port}", edge_id=eid)
-            else:
-                counts[(t_node, t_port)] = counts.get((t_node, t_port), 0) + 1
-    for nid, node in by_id.items():
-        if node["type"] not in NODE_TYPES:
-            continue
-        for port in ports(node):
-            if port["direction"] != "input":
-                continue
-            n = counts.get((nid, port["id"]), 0)
-            if port["required"] and n == 0:
-                add("REQUIRED_TARGET_PORT", f"nodes.{nid}.ports.{port['id']}",
-                    f"Required input port is not connected: {port['id']}", nid)
-            if port["max"] is not None and n > port["max"]:
-                add("TARGET_CONNECTION_LIMIT", f"nodes.{nid}.ports.{port['id']}",
-                    f"Port {port['id']} allows at most {port['max']} connection(s).", nid)
-    if _has_cycle(by_id, edges):
-        add("CYCLE", "edges", "Graph contains a directed cycle.")
-    by_node, by_edge = {}, {}
-    for item in issues:
-        if item["nodeId"]:
-            by_node.setdefault(item["nodeId"], []).append(item)
-        if item["edgeId"]:
-            by_edge.setdefault(item["edgeId"], []).append(item)
-    return {"valid": not issues, "issues": issues, "byNode": by_node, "byEdge": by_edge,
-            "firstIssue": issues[0] if issues else None}
-
-
-def _has_cycle(by_id: dict, edges: list) -> bool:
-    indeg = {n: 0 for n in by_id}
-    adj = {n: [] for n in by_id}
-    for e in edges:
-        try:
-            s, t = e["source"]["nodeId"], e["target"]["nodeId"]
-        except (KeyError, TypeError):
-            continue
-        if s in indeg and t in indeg:
-            indeg[t] += 1
-            adj[s].append(t)
-    queue = [n for n, d in indeg.items() if d == 0]
-    seen = 0
-    while queue:
-        n = queue.pop()
-        seen += 1
-        for m in adj[n]:
-            indeg[m] -= 1
-            if indeg[m] == 0:
-                queue.append(m)
-    return seen != len(indeg)
-
-
 # -- R5 / R6: documents and recipes ------------------------------------------------------------
 
 class Document:
@@ -412,13 +243,13 @@ class Evaluator:
     def _in(self, node, port="in") -> Table:
         src = self.upstream(node["id"], port)
         if src is None:
-            raise PipelineError("REQUIRED_TARGET_PORT", f"Required input port is not connected: {port}", port=port)
+            raise PipelineError("REQUIRED_TARGET_PORT", f"Nothing is connected to port {port}.", port=port)
         return self.table(src)
 
     def _read(self, node) -> Table:
         binding = self.inputs.get(node["id"])
         if binding is None:
-            raise PipelineError("INPUT_NOT_BOUND", f"No file bound to input node {node['id']}.")
+            raise PipelineError("INPUT_NOT_BOUND", f"Input node {node['id']} has no file.")
         if isinstance(binding, (Table, DataFrame)):
             return as_table(binding)
         data, keep = node.get("data") or {}, self.keep_order and self.order_wanted(node["id"])
@@ -466,7 +297,7 @@ class Evaluator:
             return handle_nulls(t, data.get("mode"), data.get("columns"), data.get("replacement", ""))
         if kind == "group-by":
             return group_by(t, data.get("groups", data.get("groupColumns")), data.get("aggregates"))
-        raise PipelineError("UNKNOWN_NODE_TYPE", f"Unknown node type: {kind}")
+        raise PipelineError("UNKNOWN_NODE_TYPE", f"There is no node type {kind}.")
 
 
 def _checked(graph: dict) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import TableError
+from ..errors import require_distinct
 from ..functions import sniff as S
 from ..table import C, Table, as_table
 
@@ -227,9 +227,7 @@ def write_parquet(table, path: str, single_file: bool = False, legacy_types: boo
     int32 become double, dates and nested values become text)."""
     table = as_table(table)
     names = table.columns
-    if len(set(names)) != len(names):
-        dup = next(n for n in names if names.count(n) > 1)
-        raise TableError("COLUMN_NAME_COLLISION", f"Duplicate output column name: {dup}", column=dup)
+    require_distinct(names, "COLUMN_NAME_COLLISION", "The output column")
     df = _ordered(table, single_file)
     cols = []
     fits = {}

@@ -88,7 +88,7 @@ def read_parquet(spark: SparkSession, path, flat_only: bool = True, keep_order:
     if flat_only:
         nested = nested_columns(df.schema)
         if nested:
-            raise TableError("PARQUET_NESTED", f"Nested Parquet columns are not supported: {', '.join(nested)}",
+            raise TableError("PARQUET_NESTED", f"Columns with nested values can't be read flat: {', '.join(nested)}.",
                              columns=nested)
     order = ()
     names, source = df.columns, df

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import TableError
+from ..errors import TableError, require_distinct
 from ..functions import sniff as S
 from ..table import C, Check, CheckRule, OrderKey, Table, hidden_name
 
@@ -171,9 +171,7 @@ def _header_names(cells: list[str], header: bool) -> tuple:
     if not header:
         return tuple(f"column_{i + 1}" for i in range(len(cells)))
     names = tuple(c if c.strip() else f"column_{i + 1}" for i, c in enumerate(cells))
-    for name in names:
-        if names.count(name) > 1:
-            raise TableError("COLUMN_NAME_COLLISION", f"Duplicate column name in CSV header: {name}", column=name)
+    require_distinct(names, "COLUMN_NAME_COLLISION", "The header's column")
     return names
 
 
