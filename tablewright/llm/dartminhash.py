@@ -33,6 +33,7 @@ class of its own.  Repeated rows are copies of each other.  Null ids sort last.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_key, staged
-from .worker import Memo, keep
+from .worker import SPACE, Memo, each, keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -63,8 +64,8 @@ BINS = 256
 SIDE = 512
 #: Elements that are signed together (bounds the memory of a worker).
 BLOCK = 200_000
-#: Entries of a worker's memo of word hashes.
-WORDS = 200_000
+#: Bytes of a worker's memo of word hashes.
+WORDS = 40 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -76,15 +77,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    memo = keep("word_hash", lambda: Memo(xxhash.xxh3_64_intdigest, WORDS))
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def words_of(text: str | None) -> list:
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 def weighted_shingles(text: str | None, size: int = SHINGLE) -> tuple:
     """(sorted shingle hashes, their counts) of a whole text."""
-    words = word_hashes(text)
+    return shingles_of(words_of(text), size)
+
+
+def shingles_of(parts: list, size: int = SHINGLE) -> tuple:
+    memo = keep("word_hash", lambda: Memo(xxhash.xxh3_64_intdigest, WORDS))
+    words = np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
     if not len(words):
         return words, np.zeros(0, np.int64)
     span = max(1, len(words) - size + 1)
@@ -119,19 +123,25 @@ def signatures(sets: list, k: int, most: list | None = None) -> np.ndarray:
     while len(element):
         width = 1.0 if strip == 0 else low
         seed, w, of, time = mix(element ^ mix(np.full(1, strip, np.uint64))), weight, owner, np.zeros(len(element))
-        dart = 0
+        # whole weights of at least the strip's top are hit by all its darts
+        dart, filled = 0, bool(len(w)) and w.min() >= low + width
         while len(seed):
             h = mix(seed + np.full(1, dart, np.uint64) * _C)
             # 32 bits for the distance, 16 for the weight, 16 for the coordinate
-            time = time - np.log(((h >> np.uint64(32)) + 0.5) / 2.0 ** 32) / width
-            on = time < until[of]
-            seed, w, of, time, h = seed[on], w[on], of[on], time[on], h[on]
-            hit = low + width * (((h >> np.uint64(16)) & np.uint64(0xFFFF)) + 0.5) / 65536.0 < w
-            slot = of[hit] * k + (h[hit] & np.uint64(0xFFFF)).astype(np.int64) % k
-            np.minimum.at(best, slot, time[hit])
-            first = best[slot] == time[hit]
-            value[slot[first]] = h[hit][first]
+            step = np.log(((h >> np.uint64(32)) + 0.5) / 2.0 ** 32)
+            time = time - (step if width == 1.0 else step / width)
+            on = np.flatnonzero(time < until[of])
+            seed, of, time, h = seed[on], of[on], time[on], h[on]
+            w = w if filled else w[on]
             dart += 1
+            at, when, whose = h, time, of
+            if not filled:
+                hit = np.flatnonzero(low + width * (((h >> np.uint64(16)) & np.uint64(0xFFFF)) + 0.5) / 65536.0 < w)
+                at, when, whose = h[hit], time[hit], of[hit]
+            slot = whose * k + (at & np.uint64(0xFFFF)).astype(np.int64) % k
+            np.minimum.at(best, slot, when)
+            first = np.flatnonzero(best[slot] == when)
+            value[slot[first]] = at[first]
         low += width
         strip += 1
         over = weight > low
@@ -152,39 +162,44 @@ def bands(sets: list, rows: int = ROWS, count: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _band_lists(texts: pa.Array) -> pa.Array:
-    sets = [weighted_shingles(t) for t in texts.to_pylist()]
-    full = [i for i, s in enumerate(sets) if len(s[0])]
-    parts, group, load = [], [], 0
-    for i in full:
-        group.append(sets[i])
-        load += len(sets[i][0])
+def _signed(texts: pa.Array) -> pa.Array:
+    """Per text, the digest of its words in order and its band hashes; null and empty for texts without words."""
+    digests, parts, group, load = [], [], [], 0
+    for text in each(texts):
+        words = words_of(text)
+        digests.append(hashlib.sha256(b" ".join(words)).digest() if words else None)
+        if words:
+            group.append(shingles_of(words))
+            load += len(group[-1][0])
         if load >= BLOCK:
             parts.append(bands(group))
             group, load = [], 0
     if group:
         parts.append(bands(group))
-    has = np.array([len(s[0]) > 0 for s in sets], bool)
-    ends = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum([0 if d is None else BANDS for d in digests])]).astype(np.int32)
     flat = np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["words", "bands"])
 
 
 def _profiles(texts: pa.Array) -> pa.Array:
     rows = [np.bincount((e % np.uint64(BINS)).astype(np.int64), w, BINS).astype(np.int32)
-            for e, w in (weighted_shingles(t) for t in texts.to_pylist())]
+            for e, w in (weighted_shingles(t) for t in each(texts))]
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BINS), pa.array(flat))
 
 
 def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
-    memo = Memo(weighted_shingles, 64)
-    return pa.array([similarity(memo[x], weighted_shingles(y)) >= THRESHOLD for x, y in zip(a.to_pylist(), b.to_pylist())])
+    last, of_last, out = None, None, []
+    for x, y in zip(each(a), each(b)):
+        if last is None or x != last:  # pairs of one text often follow each other
+            last, of_last = x, weighted_shingles(x)
+        out.append(similarity(of_last, weighted_shingles(y)) >= THRESHOLD)
+    return pa.array(out, pa.bool_())
 
 
-def band_hashes(text: str = "text") -> Column:
-    """Array of band hashes; empty for texts without words."""
-    return F.arrow_udf(_band_lists, "array<bigint>")(F.col(text))
+def signed(text: str = "text") -> Column:
+    """Struct of the digest of the text's words in order and the array of its band hashes."""
+    return F.arrow_udf(_signed, "struct<words:binary,bands:array<bigint>>")(F.col(text))
 
 
 def profile(text: str = "text") -> Column:
@@ -229,10 +244,9 @@ def block_pairs(marked: DataFrame, texts: DataFrame) -> DataFrame:
     return outside.union(every).groupBy("bucket", "i", "j").applyInArrow(_candidates, "a bigint, b bigint")
 
 
-def words_digest(text: str = "text") -> Column:
-    """Digest of the text's words in order; null for a text without words."""
-    words = F.btrim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
-    return F.when(words != "", F.unhex(F.sha2(words, 256)))
+def copy_digest(text: str = "text") -> Column:
+    """Digest of the whole text, by which rows are found again."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -319,11 +333,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple:
     to node, class_id, class_size, keep_row.
 
     class_id is the smallest id of the class; the row that stays is the first with that id.  Whole texts
-    are fetched once, for texts that share a bucket: documents meet them on (words, id), so that
+    are fetched once, for texts that share a bucket: documents meet them on (digest of the text, id), so that
     copies, which have different ids, are not gathered.
     """
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), words_digest(text).alias("words"),
-                              band_hashes(text).alias("bands")), "near-rows")
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), copy_digest(text).alias("copy"),
+                              signed(text).alias("s")).select("row", "id", "copy", "s.words", "s.bands"), "near-rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = rows.filter("words is not null").groupBy("words").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
     nodes = staged(nodes.withColumn("node", F.col("best.row")), "near-nodes")
@@ -332,9 +346,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple:
     members = heads.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = staged(members.join(shared, "bucket"), "near-buckets")
-    wanted = nodes.join(members.select("node").distinct(), "node").withColumn("id", F.col("best.id")).select("node", "words", *id_key("id", "id"))
-    whole = docs.select(words_digest(text).alias("words"), *id_key(key, "id"), F.col(text).alias("text"))
-    same = ["words", "id", "id_null"]
+    wanted = rows.select(F.col("row").alias("node"), "copy", *id_key("id", "id")).join(members.select("node").distinct(), "node")
+    whole = docs.select(copy_digest(text).alias("copy"), *id_key(key, "id"), F.col(text).alias("text"))
+    same = ["copy", "id", "id_null"]
     texts = whole.join(wanted, same).dropDuplicates(same).select("node", "text")  # rows repeated whole meet here
     texts = staged(texts.withColumn("profile", profile("text")), "near-texts")
     labels = near_links(members, texts)[1]
@@ -359,11 +373,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per class, with all their columns."""
-    _, by_words = classes(docs, key, text)
-    stay = by_words.filter("node = keep_row").select("words", *id_key("class_id", "__id"))
-    every = docs.select(F.struct("*").alias("__row"), *id_key(key, "__id"), words_digest(text).alias("words"))
-    same = ["words", "__id", "__id_null"]
-    # only rows repeated whole (same id and words) still meet in the window
+    rows, by_words = classes(docs, key, text)
+    first = by_words.filter("node = keep_row").select(F.col("keep_row").alias("row"))
+    stay = rows.filter("words is not null").join(first, "row").select("copy", *id_key("id", "__id"))
+    every = docs.select(F.struct("*").alias("__row"), *id_key(key, "__id"), copy_digest(text).alias("copy"),
+                        (F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE.decode())) == "").alias("__blank"))
+    same = ["copy", "__id", "__id_null"]
+    # only rows repeated whole (same id and text) still meet in the window
     one = Window.partitionBy(*same).orderBy(F.xxhash64("__row"))
     kept = every.join(stay, same).withColumn("__n", F.row_number().over(one)).filter("__n = 1").select("__row.*")
-    return kept.union(every.filter("words is null").select("__row.*"))
+    return kept.union(every.filter("__blank").select("__row.*"))

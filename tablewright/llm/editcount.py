@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 
 from .bytebpe import read_ranks
 from .common import staged
-from .worker import Memo, keep
+from .worker import Memo, each, keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 LEAF, WIDE = 16, 256
-#: Pieces that a worker keeps the token counts of.
-PIECES = 300_000
+#: Bytes of a worker's memo of the token counts of pieces.
+PIECES = 56 << 20
 #: How far beyond its end the pattern can look before it settles a piece.
 CONTEXT = 2
 EDIT = "array<struct<at:int,removed:int,added:string>>"
@@ -161,7 +161,7 @@ def trees(text: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) ->
     """The tree of each text: node sums of characters and of tokens."""
     def run(texts: pa.Array) -> pa.Array:
         counter = _counter(path, pattern)
-        built = [Tree.of_text(t or "", counter) for t in texts.to_pylist()]
+        built = [Tree.of_text(t or "", counter) for t in each(texts)]
         return pa.StructArray.from_arrays([_lists([t.chars for t in built]), _lists([t.tokens for t in built])], ["chars", "tokens"])
     return F.arrow_udf(run, STATE)(F.col(text))
 
@@ -178,7 +178,7 @@ def apply_edits(state: DataFrame, edits: str = "edits", path: str = VOCABULARY,
         counter = _counter(path, pattern)
         new, made, before, after, recounted = [], [], [], [], []
         chars, tokens = states.field("chars"), states.field("tokens")
-        for i, (text, todo) in enumerate(zip(texts.to_pylist(), lists.to_pylist())):
+        for i, (text, todo) in enumerate(zip(each(texts), each(lists))):
             tree = Tree(chars[i].values.to_numpy(zero_copy_only=False).copy(), tokens[i].values.to_numpy(zero_copy_only=False).copy())
             before.append(tree.total)
             seen = 0
