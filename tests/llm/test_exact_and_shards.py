@@ -184,7 +184,7 @@ def test_no_python_in_native_plans(spark):
 def test_oracles(spark):
     import duckdb
     con = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     for name, sql in ORACLE_SQL.items():
         res = con.execute(sql)
