@@ -9,7 +9,9 @@ broadcast happens only under ``spark.sql.autoBroadcastJoinThreshold`` on the
 measured size, skewed partitions are split by AQE for inner/left/right joins.
 Rows with null keys on a kept side can never match and would all land in one
 shuffle partition; a second join key, a row hash that is set only there, deals
-them out in the same pass.
+them out in the same pass.  A full join is the one kind whose skewed partitions are never split:
+with ``hot_rows`` the rows of both sides are counted per bucket of a key hash, and buckets of that many rows or
+more are joined apart, as an inner join with a salt plus the rows of either side without a partner.
 
 Union: by name (first-seen column order, missing columns null) or by
 position, with types widened first so that ANSI mode never fails at run time.
@@ -62,7 +64,64 @@ def _key_pair(lcol: Column, ldt: T.DataType, rcol: Column, rdt: T.DataType) -> C
     return lcol == rcol
 
 
-def join_tables(left, right, type: str = "inner", keys=None) -> Table:
+#: Buckets of the key hash that hot keys are looked for in, and rows that make one hot.
+HOT_BUCKETS, HOT_ROWS = 1 << 16, 2_000_000
+
+
+def _join_bucket(cols: list[Column], dtypes: list[tuple]) -> Column:
+    """Bucket of a row's key, equal for keys that are equal across the two sides' types."""
+    def plain(col: Column, pair: tuple) -> Column:
+        if all(isinstance(t, S.NUMERIC_TYPES) for t in pair):
+            return col.cast("double") + F.lit(0.0)  # one zero
+        if S.family(pair[0]) == "time":
+            return col.cast("timestamp")
+        return col if pair[0] == pair[1] and S.family(pair[0]) in ("text", "boolean") else F.to_json(F.struct(col.alias("k")))
+    return F.pmod(F.xxhash64(*[plain(c, p) for c, p in zip(cols, dtypes)]), F.lit(HOT_BUCKETS))
+
+
+def _hot_buckets(sides: list[tuple], hot_rows: int) -> dict[int, list[int]]:
+    """{bucket: rows on each side} of the buckets with ``hot_rows`` rows or more on a side: one count of at most HOT_BUCKETS rows per side."""
+    counted = _union_all([df.filter(reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])).select(bucket.alias("b"), F.lit(i).alias("side"))
+                          for i, (df, keys, bucket) in enumerate(sides)])
+    most = counted.groupBy("b").agg(*[F.count_if(F.col("side") == i).alias(f"n{i}") for i in (0, 1)])
+    return {r["b"]: [r["n0"], r["n1"]] for r in most.filter((F.col("n0") >= hot_rows) | (F.col("n1") >= hot_rows)).collect()}
+
+
+def _full_join(ldf: DataFrame, rdf: DataFrame, same: Column, keys: tuple, buckets: tuple, hot: dict, hot_rows: int, rest) -> DataFrame:
+    """Full join whose hot buckets are joined apart; ``rest`` joins the other rows.
+
+    Hot rows meet in an inner join: the larger side of a bucket is dealt out by a salt, the other copied once per salt.  Rows without a
+    partner are found against the other side's distinct keys in the hot buckets."""
+    lb, rb, salt = hidden_name("lb"), hidden_name("rb"), hidden_name("salt")
+    ldf, rdf = ldf.withColumn(lb, buckets[0]), rdf.withColumn(rb, buckets[1])
+    chosen = list(hot)
+    lhot, rhot = (F.coalesce(C(b).isin(chosen), F.lit(False)) for b in (lb, rb))
+    cold = rest(ldf.filter(~lhot).drop(lb), rdf.filter(~rhot).drop(rb))
+    lrows, rrows = ldf.filter(lhot), rdf.filter(rhot)
+
+    def salts(side: int, bucket: str) -> Column:
+        """Salts of a hot row: one of n on the larger side of its bucket, all n on the other."""
+        cases = F.lit(None).cast("array<long>")
+        for b, counts in hot.items():
+            n = -(-max(counts) // hot_rows) + 1
+            own = F.array(F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("long")) if counts[side] == max(counts) and (side == 0 or counts[0] < counts[1]) \
+                else F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")
+            cases = F.when(C(bucket) == b, own).otherwise(cases)
+        return F.explode(cases)
+
+    lsalt, rsalt = lrows.withColumn(salt, salts(0, lb)), rrows.withColumn(f"{salt}r", salts(1, rb))
+    both = lsalt.join(rsalt, same & (C(salt) == C(f"{salt}r")) & (C(lb) == C(rb)), "inner").drop(salt, f"{salt}r")
+    lkeys = lrows.select(*[k for k in keys[0]], C(lb)).distinct()
+    rkeys = rrows.select(*[k for k in keys[1]], C(rb)).distinct()
+    lonely = _pad(lrows.join(rkeys, same & (C(lb) == C(rb)), "left_anti"), rrows)
+    ronely = _pad(rrows.join(lkeys, same & (C(lb) == C(rb)), "left_anti"), lrows)
+    columns = [*ldf.drop(lb).columns, *rdf.drop(rb).columns]
+    return _union_all([d.select(*[C(c) for c in columns]) for d in (cold, both, lonely, ronely)])
+
+
+def join_tables(left, right, type: str = "inner", keys=None, hot_rows: int | None = None) -> Table:
+    """Join of two tables.  ``hot_rows`` (full joins): one more pass over the keys finds buckets of keys with that
+    many rows on a side, which are then joined apart."""
     left, right = as_table(left), as_table(right)
     how = str(type or "inner").lower()
     how = how if how in JOIN_TYPES else "inner"
@@ -105,10 +164,18 @@ def join_tables(left, right, type: str = "inner", keys=None) -> Table:
         # Rows with a null key never match but are kept: a second key deals them out.  It is 0
         # where no key is null, and else a row hash, even on the left and odd on the right.
         lsalt, rsalt = hidden_name("ls"), hidden_name("rs")
-        ldf = ldf.withColumn(lsalt, _null_salt([C(lk) for lk, _ in pairs], ldf, 0))
-        rdf = rdf.withColumn(rsalt, _null_salt([C(names[rk]) for _, rk in pairs], rdf, 1))
-        joined = ldf.join(rdf, reduce(lambda a, b: a & b, conds) & (C(lsalt) == C(rsalt)), how)
-        ldf, rdf = ldf.drop(lsalt), rdf.drop(rsalt)
+        same, lkeys, rkeys = reduce(lambda a, b: a & b, conds), [C(lk) for lk, _ in pairs], [C(names[rk]) for _, rk in pairs]
+
+        def kept(a: DataFrame, b: DataFrame) -> DataFrame:
+            a, b = a.withColumn(lsalt, _null_salt(lkeys, a, 0)), b.withColumn(rsalt, _null_salt(rkeys, b, 1))
+            return a.join(b, same & (C(lsalt) == C(rsalt)), how).drop(lsalt, rsalt)
+
+        hot = {}
+        if how == "full" and hot_rows:
+            pair_types = [(left.dtype(lk), right.dtype(rk)) for lk, rk in pairs]
+            buckets = _join_bucket(lkeys, pair_types), _join_bucket(rkeys, [(b, a) for a, b in pair_types])
+            hot = _hot_buckets([(ldf, lkeys, buckets[0]), (rdf, rkeys, buckets[1])], hot_rows)
+        joined = _full_join(ldf, rdf, same, (lkeys, rkeys), buckets, hot, hot_rows, kept) if hot else kept(ldf, rdf)
 
     hidden = [h for h in ldf.columns if h.startswith("__tw_")] + [h for h in rdf.columns if h.startswith("__tw_")]
     joined = joined.select(*[C(c) for c in out_cols], *[C(h) for h in hidden])

@@ -835,6 +835,23 @@ def q_union_mismatch(spark, d):
                                            for r in report])).alias("r")).select("r.*")
 
 
+def q_join_full_hot(spark, d):
+    """Full join where one key holds half of the orders and another, without a partner, many customers."""
+    o, c = load(spark, d, "orders").df, load(spark, d, "customer").df
+    left = Table(o.select("o_orderkey", F.when(F.col("o_custkey") % 10 < 5, F.lit(7)).otherwise(F.col("o_custkey")).cast("int").alias("cust")))
+    right = Table(c.select("c_custkey", F.when(F.col("c_custkey") % 50 == 7, F.lit(7)).when(F.col("c_custkey") % 5 == 0, F.lit(-7))
+                           .otherwise(F.col("c_custkey")).cast("long").alias("cust")))
+    t = join_tables(left, right, "full", [{"left": "cust", "right": "cust"}], hot_rows=200)
+    return group_by(t, ["cust", "cust_right"], [agg("count", "*", "n"), agg("sum", "o_orderkey", "orders"), agg("sum", "c_custkey", "customers")]).to_df(ordered=False)
+
+
+JOIN_FULL_HOT_SQL = """
+SELECT l.cust, r.cust AS cust_right, count(*) AS n, sum(o_orderkey)::BIGINT AS orders, sum(c_custkey)::BIGINT AS customers
+FROM (SELECT o_orderkey, CASE WHEN o_custkey % 10 < 5 THEN 7 ELSE o_custkey END AS cust FROM orders) l
+FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN 7 WHEN c_custkey % 5 = 0 THEN -7 ELSE c_custkey END AS cust FROM customer) r
+ON l.cust = r.cust GROUP BY l.cust, r.cust
+"""
+
 UNION_MISMATCH_SQL = """
 SELECT 0 AS input, 's_nationkey' AS missing, '' AS extra, count(*) AS rows FROM customer
 UNION ALL SELECT 1, 'c_acctbal', 's_nationkey', count(*) FROM supplier
@@ -994,6 +1011,7 @@ QUERIES = {
     "group_first_seen": q_group_first_seen,
     "dedup_file_order": q_dedup_file_order,
     "profile_wide": q_profile_wide,
+    "join_full_hot": q_join_full_hot,
     "join_null_inner": _join_null_query("inner"),
     "join_null_left": _join_null_query("left"),
     "join_null_right": _join_null_query("right"),
@@ -1080,6 +1098,7 @@ ORACLE_SQL = {
                              SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY rn) AS nth
                              FROM (SELECT *, row_number() OVER () AS rn FROM orders)) WHERE nth = 1""",
     "profile_wide": PROFILE_WIDE_SQL,
+    "join_full_hot": JOIN_FULL_HOT_SQL,
     "join_null_inner": _join_null_sql("INNER"),
     "join_null_left": _join_null_sql("LEFT"),
     "join_null_right": _join_null_sql("RIGHT"),

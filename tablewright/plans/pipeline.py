@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..errors import TableError
 from ..operators.aggregate import group_by
 from ..operators.columns import cast_columns, clean_text, rename_columns, select_columns
-from ..operators.combine import join_tables, union_tables
+from ..operators.combine import HOT_ROWS, join_tables, union_tables
 from ..operators.profile import preview, schema_list
 from ..operators.rows import deduplicate_rows, filter_rows, handle_nulls, limit_rows, sort_rows
 from ..sinks.files import output_filename, write_csv, write_jsonl, write_parquet
@@ -147,6 +147,8 @@ class Evaluator:
         self.memo: dict[str, Table] = {}
         #: nodes whose rows are written once and read by all that use them
         self.staged: set = set()
+        #: whether results are to be written, so that a look at the data is worth its job
+        self.running = False
         #: where rows are counted: an observation per node
         self.counts: dict | None = None
 
@@ -270,7 +272,8 @@ class Evaluator:
         if kind in OUTPUT_TYPES:
             return self._in(node)
         if kind == "join":
-            return join_tables(self._in(node, "left"), self._in(node, "right"), data.get("type", "inner"), data.get("keys"))
+            return join_tables(self._in(node, "left"), self._in(node, "right"), data.get("type", "inner"), data.get("keys"),
+                               HOT_ROWS if self.running else None)
         if kind == "union":
             tables = [self.table(s) for s in (self.upstream(node["id"], f"in{i + 1}") for i in range(union_input_count(node)))
                       if s is not None]
@@ -435,6 +438,7 @@ def run_pipeline(spark: SparkSession, graph: dict, inputs: dict, output_dir: str
     _checked(graph)
     ev = Evaluator(spark, graph, inputs, keep_order)  # one memo: shared upstream nodes and their checks are built once
     ev.share()
+    ev.running = True
     if node_counts:
         ev.counts = {}
     results = []
