@@ -243,7 +243,7 @@ def widen(types: list[T.DataType]) -> T.DataType:
     return T.StringType()
 
 
-def _conform(col: Column, dtype: T.DataType, target: T.DataType) -> Column:
+def conform(col: Column, dtype: T.DataType, target: T.DataType) -> Column:
     if dtype == target:
         return col
     if isinstance(target, T.StringType):
@@ -298,7 +298,7 @@ def union_tables(tables, mode: str = "name", max_inputs: int = MAX_UNION_INPUTS)
         cols = []
         for name in output:
             if name in src:
-                cols.append(_conform(C(src[name]), t.dtype(src[name]), targets[name]).alias(name))
+                cols.append(conform(C(src[name]), t.dtype(src[name]), targets[name]).alias(name))
             else:
                 cols.append(F.lit(None).cast(targets[name]).alias(name))
         for j, h, new, dt in all_hidden:

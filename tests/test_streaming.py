@@ -47,3 +47,43 @@ def test_stream_refuses_global_nodes(spark, scratch):
     with pytest.raises(TableError) as e:
         run_recipe_on_arrivals(spark, g, "out", inbox, os.path.join(scratch, "o2"))
     assert e.value.code == "STREAM_UNSUPPORTED"
+
+
+def arrivals(spark, scratch, g, name, text):
+    inbox = os.path.join(scratch, "inbox")
+    os.makedirs(inbox, exist_ok=True)
+    with open(os.path.join(inbox, name), "w") as f:
+        f.write(text)
+    query = run_recipe_on_arrivals(spark, g, "out", inbox, os.path.join(scratch, "out"), checkpoint=os.path.join(scratch, "ck"))
+    query.awaitTermination(120)
+    return query
+
+
+def jsonl_graph():
+    return {"nodes": [node("in", "jsonl-input"), node("out", "jsonl-output", filename="o")], "edges": [edge("a", "in", "table", "out", "in")]}
+
+
+def test_the_first_batch_sets_the_columns(spark, scratch):
+    from tablewright.sources.text import read_jsonl
+    arrivals(spark, scratch, jsonl_graph(), "one file.jsonl", '{"a":1.5,"b":"x"}\n')
+    arrivals(spark, scratch, jsonl_graph(), "2.jsonl", '{"a":2}\n')
+    back = read_jsonl(spark, glob.glob(os.path.join(scratch, "out", "batch-*")))
+    assert back.columns == ["a", "b"] and sorted(rows_of(back, ordered=False), key=str) == [(1.5, "x"), (2.0, None)]
+    for name, text, code in (("3.jsonl", '{"a":3,"c":1}\n', "STREAM_NEW_COLUMN"),):
+        with pytest.raises(Exception, match="the column c"):
+            arrivals(spark, scratch, jsonl_graph(), name, text)
+    assert len(glob.glob(os.path.join(scratch, "out", "batch-*"))) == 2
+
+
+def test_a_changed_type_stops_the_stream(spark, scratch):
+    arrivals(spark, scratch, jsonl_graph(), "1.jsonl", '{"a":1}\n')
+    with pytest.raises(Exception, match="was bigint and is string"):
+        arrivals(spark, scratch, jsonl_graph(), "2.jsonl", '{"a":"x"}\n')
+
+
+def test_the_stream_reads_no_content(spark, scratch):
+    from tablewright.streaming.recipes import FILE_COLUMNS
+    os.makedirs(os.path.join(scratch, "f"))
+    open(os.path.join(scratch, "f", "a"), "w").write("x")
+    plan = spark.read.format("binaryFile").schema(FILE_COLUMNS).load(os.path.join(scratch, "f")).select("path")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
