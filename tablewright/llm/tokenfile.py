@@ -9,9 +9,11 @@ read in parallel, and a look-up by document id skips files, stripes and row grou
 by metadata.
 
 Encoding.  The vocabulary's cleaning and splitting never reach across ASCII white
-space, so a text's ids are those of its words in order.  Words repeat; a worker
-encodes a word the first time it meets it (missing words in batches, each word an
-input of its own) and keeps the ids in a bounded memo.
+space, so a text's ids are those of its words in order.  It lower-cases letters and takes a single punctuation mark
+between an ASCII letter or digit and white space as a part of its own, so words are put in lower case and a word that ends
+in such a mark is taken apart.  Words repeat: the distinct words of some megabytes of text are looked up once, in a memo of bounded
+bytes where frequent words last; those it lacks are encoded many by one call, words of letters side by side (their last tokens tell them
+apart), others parted by a special token; ids are then put together by array operations.
 
 Null text counts as empty: it has the end id alone.  Null ids sort last.  Rows
 with equal ids are ordered by text hash; repeated rows all stay.  An empty table
@@ -28,18 +30,25 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .worker import keep
+from .worker import Memo, gathered, keep, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 2
-#: Words that a worker keeps the ids of, and words encoded by one call.
-WORDS, BATCH = 400_000, 4_000
+#: Bytes of a worker's memo, words encoded by one call, and bytes of text split at a time.
+WORDS, BATCH, TEXTS = 96 << 20, 4_000, 8 << 20
+#: Marks that part from the word before them, and what may stand before them.
+MARKS, BEFORE = frozenset(".,;:!?|"), frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+#: A special token, which parts words that are encoded by one call.
+FENCE = "<|startoftext|>"
+#: How the vocabulary marks a token that ends a part of a word.
+LAST = "</w>"
 #: Rows between entries of the row index, and bytes of a stripe.
 STRIDE, STRIPE = 1_000, 16 << 20
 LOCAL_BITS = 33
@@ -52,32 +61,74 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.fence, self.known = self.tokenizer.token_to_id(FENCE), Memo(self.alone, WORDS)
+        # tokens that end a part of a word
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(LAST)]] = True
+
+    def alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def together(self, words: list, between: str) -> dict:
+        """Ids of words by one call, cut behind the tokens that end a part (``between`` is a space: words of letters alone,
+        which are one part each) or at the fence; nothing if the cuts don't come to one per word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([between.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        if between == " ":
+            ends = np.flatnonzero(self.last[ids]) + 1
+            starts = np.r_[0, ends[:-1]]
+        else:
+            ends = np.r_[np.flatnonzero(ids == self.fence), len(ids)]
+            starts = np.r_[0, ends[:-1] + 1]
+        data, whole = ids.tobytes(), len(ends) == len(words) and ends[-1] == len(ids)
+        return {w: data[4 * i:4 * j] for w, i, j in zip(words, starts.tolist(), ends.tolist())} if whole else {}
+
+    def learn(self, words: list) -> dict:
+        """Ids of distinct words that the memo does not hold."""
+        parted = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and w[-1] in MARKS and w[-2] in BEFORE}
+        out = {}
+        for x in itertools.chain((w for w in words if w not in parted), *parted.values()):
+            if x not in out:
+                out[x] = self.known.get(x) or self.known.older.get(x)
+        new = [w for w, ids in out.items() if ids is None]
+        letters, others, odd = [], [], []
+        for w in new:
+            (letters if w.isalpha() else odd if "<|" in w else others).append(w)
+        for group, between in ((letters, " "), (others, FENCE)):
+            for at in range(0, len(group), BATCH):
+                part = group[at:at + BATCH]
+                done = self.together(part, between)
+                out |= done or {w: self.alone(w) for w in part}
+        out |= {w: self.alone(w) for w in odd}
+        return {w: out[parted[w][0]] + out[parted[w][1]] if w in parted else out[w] for w in words}
 
     def encode(self, texts: list) -> list:
         """Per text, its ids as little-endian unsigned 32-bit integers."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set(itertools.chain.from_iterable(split)).difference(known))
-        for at in range(0, len(new), BATCH):
-            part = new[at:at + BATCH]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        ids, ends = self.encode_all(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(np.r_[0, ends], ends)]
+
+    def encode_all(self, texts: pa.Array) -> tuple:
+        """(ids, ends): the ids of all texts one after the other, and where those of each text end."""
+        texts = pc.fill_null(texts, "")
+        # special tokens are told by their case, so texts that may hold one keep theirs
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = lists.flatten().dictionary_encode()
+        ids, ends = gathered(self.known.many(coded.dictionary.to_pylist(), self.learn), coded.indices.to_numpy())
+        per_text = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        return ids, np.r_[0, ends][per_text]
 
 
 def token_ids(text: str = "text", path: str = VOCABULARY, end: int = END) -> Column:
     """Array of the text's ids and the end id."""
     def run(texts: pa.Array) -> pa.Array:
-        last, rows = np.array([end], "<u4").tobytes(), []
         encoder = keep(("word_encoder", path), lambda: WordEncoder(path))
-        whole = [t or "" for t in texts.to_pylist()]
-        for at in range(0, len(whole), 200):
-            rows += [r + last for r in encoder.encode(whole[at:at + 200])]
-        ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for some in slices(texts, TEXTS):
+            ids, ends = encoder.encode_all(some)
+            parts.append(np.insert(ids, ends, end))
+            sizes.append(np.diff(np.r_[0, ends]) + 1)
+        at = np.cumsum(np.r_[0, np.concatenate(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts).astype(np.int32)))
     return F.arrow_udf(run, "array<int>")(F.col(text))
 
 
@@ -107,7 +158,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list | None = None) ->
 def ids_crc32(ids: str = "ids") -> Column:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     def run(rows: pa.Array) -> pa.Array:
-        values, ends = rows.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.cumsum([0] + [len(r) for r in rows])
+        values, ends = rows.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.cumsum(np.r_[0, rows.value_lengths().to_numpy(zero_copy_only=False)])
         return pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends, ends[1:])], pa.int64())
     return F.arrow_udf(run, "bigint")(F.col(ids))
 
