@@ -194,3 +194,19 @@ def test_oracles(spark):
         df = QUERIES[name](spark, SF)
         got = sorted(map(repr, (tuple(near(v) for v in r) for r in df.select(*names).collect())))
         assert got == want
+
+
+def test_rounds_merge_sorted_runs(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id % 700 as string) as text")
+    for keep in ("largest", "smallest"):
+        got = exact_dedup.dedup_report(docs, keep=keep, rows_per_run=40, fan=4).collect()
+        best = {}
+        for i in range(3000):
+            best.setdefault(i % 700, []).append(i)
+        pick = max if keep == "largest" else min
+        assert len(got) == 3000 and all(r.keep_id == pick(best[r.doc_id % 700]) and r.group_size == len(best[r.doc_id % 700]) for r in got)
+    rows = common.staged(exact_dedup.digest_rows(docs), "t")
+    dealt, levels = exact_dedup.merge_runs(rows, rows_per_run=40, fan=4)
+    assert len(levels) == 5 and levels[-1].count() == 700 and levels[-1].select("run").distinct().count() == 1
+    plan = exact_dedup.merged(levels[0], 1, 256)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Window" in plan
