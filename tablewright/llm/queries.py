@@ -205,19 +205,40 @@ def _near_sql() -> str:
         SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM placed"""
 
 
+#: Table ``steps`` of the 256 steps of crc32, and one step of it over a byte.
+CRC_STEPS = """steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)),
+                  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps)"""
+CRC_STEP = "lambda c, b: xor(c // 256, steps[(xor(c, b) % 256 + 1)::INT])"
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of the UTF-8 bytes of ``text``; needs ``steps`` in the FROM clause."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {data}), {CRC_STEP}), 4294967295)"
+
+
+def _shards_sql() -> str:
+    u = "((('0x' || substr(md5(k || ':' || i), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+    return f"""
+        WITH {CRC_STEPS},
+        d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
+        coded AS (SELECT rid, doc_id, k, strlen(t) + 1 AS size, {_crc_sql("t")} AS text_crc32 FROM d, steps),
+        rated AS (SELECT rid, i, 1 / -ln({u}) AS score FROM d, range({SHARDS + 1}) r(i)),
+        won AS (SELECT rid, (arg_max(i, score) FILTER (i < {SHARDS}))::INT AS shard, arg_max(i, score)::INT AS grown_shard FROM rated GROUP BY rid)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 13))::BIGINT,
+               doc_id NULLS LAST, text_crc32, size) - 1 AS slot, grown_shard FROM coded JOIN won USING (rid)"""
+
+
 def _importance_sql() -> str:
     """Crc32 of each distinct word by its table-driven form, then gains, weights, scores and the draw."""
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
-    step = "lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
-    code = "lambda c, b: xor(c // 256, steps[(xor(c, b) % 256 + 1)::INT])"
     size = importance.BUCKETS
     return f"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents),
         b AS (SELECT {words} AS ws FROM benchmark),
-        steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), {step})) AS steps),
+        {CRC_STEPS},
         vocabulary AS (SELECT DISTINCT unnest(ws) AS w FROM (SELECT ws FROM d UNION ALL SELECT ws FROM b)),
-        bytes AS (SELECT w, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS bs FROM vocabulary),
-        coded AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], bs), {code}), 4294967295) % {size} AS bucket FROM bytes, steps),
+        coded AS (SELECT w, {_crc_sql("w")} % {size} AS bucket FROM vocabulary, steps),
         uses AS (SELECT rid, bucket, count(*) AS n FROM (SELECT rid, unnest(ws) AS w FROM d) JOIN coded USING (w) GROUP BY rid, bucket),
         own AS (SELECT bucket, sum(n) AS s FROM uses GROUP BY bucket),
         target AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(ws) AS w FROM b) JOIN coded USING (w) GROUP BY bucket),
@@ -268,6 +289,7 @@ _TOPK_SQL = f"""
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.TOP}"""
 
 ORACLE_SQL = {
+    "op10_rendezvous_shards": _shards_sql(),
     "op11_importance_resampling": _importance_sql(),
     "op12_impact_topk": _TOPK_SQL,
     "op13_collocations": _collocation_sql(),
