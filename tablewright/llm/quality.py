@@ -34,7 +34,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .worker import SPACE
+from .common import staged
+from .worker import SPACE, each, release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -81,7 +82,8 @@ def measure(text: str | None) -> tuple:
 
 
 def _measures(texts: pa.Array) -> pa.Array:
-    rows = [measure(t) for t in texts.to_pylist()]
+    release()
+    rows = [measure(t) for t in each(texts)]
     columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
     return pa.StructArray.from_arrays(columns, list(MEASURES))
 
@@ -164,6 +166,9 @@ def kept(m: str, chosen: dict) -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    chosen = fit(docs.select(F.col(key), measures(text).alias("m")), labels, key=key)
-    return docs.select(F.struct("*").alias("__row"), measures(text).alias("__m")).filter(kept("__m", chosen)).select("__row.*")
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Rows are staged with their measures, so each text is measured once."""
+    measured = staged(docs.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), measures(text).alias("__m")), "measured")
+    chosen = fit(measured.select(F.col("__key").alias(key), F.col("__m").alias("m")), labels, key=key)
+    return measured.filter(kept("__m", chosen)).select("__row.*")
