@@ -1,9 +1,12 @@
 """Exact duplicates by a tree merge of digest runs (DataFrame operations only).
 
 Every row gets a digest of its whole text and belongs to one of R runs (by a
-hash of its id).  A run is reduced to one entry per digest: identifier to keep
-and number of rows.  Then runs are merged in rounds, FAN runs into one, by an
-aggregate on (merged run, digest) that keeps the best identifier; the last
+hash of its row id).  A run is reduced to one entry per digest: identifier to keep
+and number of rows.  Then runs are merged in rounds, FAN runs into one.  In round k a merged run is
+cut into FAN ** k ranges of digests, so the partitions of FAN runs exchange ranges among themselves and each
+ends up with one range of the merged run: as many partitions as before, of the same size.  There
+the entries of all FAN runs are merged in sorted order, and of equal digests, which are
+neighbours by then, the best identifier and the sum of rows stay.  The last
 round leaves one entry per digest.  The way back down hands the winner to every
 entry of the round below and at last to the rows, so that no join meets more
 than FAN entries per key above the rows, and the rows of one large group of
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import full_text, id_key, staged
 
 #: Runs merged into one in a round.
-FAN = 16
+FAN = 4
 #: Rows that one run holds on average before the first round.
-ROWS_PER_RUN = 50_000
+ROWS_PER_RUN = 20_000
 DIGEST = ["sha", "n_bytes", "check"]
 
 
@@ -50,6 +53,18 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), *_digest_columns(text), F.monotonically_increasing_id().alias("row"))
 
 
+def merged(level: DataFrame, k: int, parts: int, fan: int = FAN, keep: str = "largest") -> DataFrame:
+    """Round ``k``: the entries (run, digest, best, n) of FAN runs in one sorted run each, equal digests reduced to one."""
+    place = F.conv(F.substring("sha", 1, 8), 16, 10).cast("double") / 2.0 ** 32
+    up = level.withColumn("run", F.floor(F.col("run") / fan)).withColumn("range", F.floor(place * fan ** k))
+    best = F.col("best").desc() if keep == "largest" else F.col("best").asc()
+    # the exchange and the sort serve the windows below as well
+    run = up.repartition(parts, "run", "range").sortWithinPartitions("run", "range", *DIGEST, best)
+    same = Window.partitionBy("run", "range", *DIGEST)
+    sums = run.withColumn("first", F.row_number().over(same.orderBy(best))).withColumn("n", F.sum("n").over(same))
+    return sums.filter("first = 1")
+
+
 def merge_runs(rows: DataFrame, keep: str = "largest", rows_per_run: int = ROWS_PER_RUN, fan: int = FAN):
     """(rows with their run, tables of the rounds from single runs up to one).
 
@@ -65,8 +80,7 @@ def merge_runs(rows: DataFrame, keep: str = "largest", rows_per_run: int = ROWS_
     level = staged(dealt.groupBy("run", *DIGEST).agg(best(rank).alias("best"), F.count(F.lit(1)).alias("n")), "run0")
     levels = [level]
     for k in range(1, rounds + 1):
-        up = level.withColumn("run", F.floor(F.col("run") / fan)) if k < rounds else level.withColumn("run", F.lit(0).cast("long"))
-        level = staged(up.groupBy("run", *DIGEST).agg(best("best").alias("best"), F.sum("n").alias("n")), f"run{k}")
+        level = staged(merged(level, k, runs, fan, keep).select("run", *DIGEST, "best", "n"), f"run{k}")
         levels.append(level)
     return dealt, levels
 
@@ -78,9 +92,8 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
     dealt, levels = merge_runs(rows, keep, rows_per_run, fan)
     top = levels[-1]
     for k in range(len(levels) - 2, -1, -1):
-        last = k == len(levels) - 2
         over = top.select(F.col("run").alias("over"), *DIGEST, F.col("best").alias("top_best"), F.col("n").alias("top_n"))
-        below = levels[k].withColumn("over", F.lit(0).cast("long") if last else F.floor(F.col("run") / fan))
+        below = levels[k].withColumn("over", F.floor(F.col("run") / fan))
         top = below.join(over, ["over", *DIGEST]).select("run", *DIGEST, F.col("top_best").alias("best"), F.col("top_n").alias("n"))
     out = dealt.join(top, ["run", *DIGEST])
     return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"),
