@@ -26,8 +26,8 @@ whole corpus; p-values are rounded up to tenths of a power of ten, so the rule
 needs a table of bounded size only.  Where readings of one part that overlap are found,
 the one with most evidence stays.
 
-Positions are code points, end exclusive.  Null text counts as empty and has no
-spans.  Repeated rows are scanned each for itself and all count for the rule.
+Positions are code points, end exclusive.  The work grows with the number of matches of a text, not with its square.
+Null text counts as empty and has no spans.  Repeated rows are scanned each for itself and all count for the rule.
 """
 
 from __future__ import annotations
@@ -62,6 +62,29 @@ STAY, MOVE = 0.85, 0.05
 LENGTHS = (20, 32, 48, 96)
 #: Smallest p-value told apart: 10 ** -MOST.
 MOST = 60
+#: Values of an array that are gathered at a time.
+BLOCK = 256
+
+
+def along(items: Column, kind: str, step) -> Column:
+    """Array of (at, out) states along an array: ``step(at, x)`` gives the next ``at`` (from 0) and one value of type ``kind``.
+
+    An array that grows is copied with each value, so values are gathered BLOCK at a time; the work
+    grows in proportion to the array.  The last state's ``at`` is where the walk ends."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(acc, x):
+        after, value = step(acc["at"], x)
+        return F.struct(after.alias("at"), F.concat(acc["out"], F.array(value)).alias("out"))
+
+    def walk(whole):
+        def outer(acc, i):
+            first = F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out"))
+            return F.concat(acc, F.array(F.aggregate(F.slice(whole, i * BLOCK + 1, BLOCK), first, inner)))
+        blocks = F.slice(F.sequence(F.lit(0), F.floor(F.size(whole) / BLOCK).cast("int")), F.lit(1), F.ceil(F.size(whole) / BLOCK).cast("int"))
+        return F.aggregate(blocks, F.array(F.struct(F.lit(0).alias("at"), none.alias("out"))), outer)
+    # bound to a variable, so that the array is computed once
+    return F.element_at(F.transform(F.array(items), walk), 1)
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -73,19 +96,16 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     between = F.split(text, pattern, -1)
     found = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
                          F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-    kind = "array<struct<start:int,end:int,match:string,part:string>>"
+    kind = "struct<start:int,end:int,match:string,part:string>"
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
+    def step(at, x):
+        start = at + F.length(x["gap"])
         end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), x["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), x["part"].alias("part"))
 
-    none = F.array().cast(kind)
     # arrays_zip pads the last gap, which no match follows
-    walk = F.aggregate(F.filter(found, lambda x: x["match"].isNotNull()),
-                       F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(between) > 1, walk).otherwise(none)
+    states = along(F.filter(found, lambda x: x["match"].isNotNull()), kind, step)
+    return F.when(text.rlike(pattern), F.flatten(F.transform(states, lambda s: s["out"]))).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _of_kind(found: Column, kind: str) -> Column:
@@ -99,22 +119,32 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     base = F.concat(_of_kind(assign, "assign"), _of_kind(spans(whole, ACCESS), "access"), _of_kind(spans(whole, HEX), "hex"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.array_sort(base).alias("base"),
                        spans(whole, CANDIDATE).alias("found"))
-    run = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["match"].alias("match"), F.filter(
-        "base", lambda b: (b["start"] < x["start"] + F.length(x["match"])) & (x["start"] < b["end"])).alias("hits")))
-    return staged(rows.select("row", "id", "base", run.alias("found")), "secret-scan")
+    # base spans in blocks with their reach, so that a run looks at the blocks it touches only
+    numbers = F.slice(F.sequence(F.lit(0), F.floor(F.size("base") / BLOCK).cast("int")), F.lit(1), F.ceil(F.size("base") / BLOCK).cast("int"))
+    parts = F.transform(numbers, lambda i: F.slice("base", i * BLOCK + 1, BLOCK))
+    blocks = F.transform(parts, lambda p: F.struct(p.alias("part"), F.element_at(p, 1)["start"].alias("low"), F.array_max(F.transform(p, lambda b: b["end"])).alias("top")))
+    rows = staged(rows.withColumn("blocks", blocks), "secret-spans")
+
+    def hits(x):
+        first, end = x["start"], x["start"] + F.length(x["match"])
+        near = F.filter("blocks", lambda k: (k["low"] < end) & (first < k["top"]))
+        return F.flatten(F.transform(near, lambda k: F.filter(k["part"], lambda b: (b["start"] < end) & (first < b["end"]))))
+
+    run = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["match"].alias("match"), hits(x).alias("hits")))
+    return rows.select("row", "id", "base", run.alias("found"))
 
 
 def _without(match: Column, start: Column, hits: Column) -> Column:
     """``match`` with blanks in place of base spans."""
-    def step(acc, b):
-        first = F.greatest(b["start"] - start, acc["at"])
+    def step(at, b):
+        first = F.greatest(b["start"] - start, at)
         end = F.greatest(F.least(b["end"] - start, F.length(match)), first)
-        out = F.concat(acc["out"], F.substring(match, acc["at"] + 1, first - acc["at"]), F.repeat(F.lit(" "), end - first))
-        return F.struct(end.alias("at"), out.alias("out"))
+        return end, F.concat(F.substring(match, at + 1, first - at), F.repeat(F.lit(" "), end - first))
 
-    walk = F.aggregate(hits, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                       lambda acc: F.concat(acc["out"], F.substring(match, acc["at"] + 1, F.length(match))))
-    return F.when(F.size(hits) == 0, match).otherwise(walk)
+    states = along(hits, "string", step)
+    cut = F.element_at(F.transform(F.array(states), lambda w: F.concat(
+        F.array_join(F.flatten(F.transform(w, lambda s: s["out"])), ""), F.substring(match, F.element_at(w, -1)["at"] + 1, F.length(match)))), 1)
+    return F.when(F.size(hits) == 0, match).otherwise(cut)
 
 
 def candidates(runs: DataFrame) -> DataFrame:
