@@ -4,10 +4,10 @@ Vectors are quantised to whole numbers, floor(scale * x).  The index cuts them i
 blocks; in each block every dimension has posting lists, cut into segments of rows whose value
 (the impact) lies in one step, ordered by impact.  A query's segments are processed by
 descending impact, which is the query's component times the better edge of the step, so
-after each round every posting not yet seen adds at most the impact of the next segment.
-A row's score is then at most
+after each round a posting not yet seen adds at most the impact of its dimension's next segment.
+A row with u unseen postings then scores at most
 
-    what its seen postings add at most + (its unseen postings) * (impact of the next segment).
+    what its seen postings add at most + the sum of the u largest of those next impacts.
 
 Processing stops only on proof: when all rows whose bound reaches the k-th best exact score so far
 are few, as no other row can enter the result, or when all segments are done.  These possible
@@ -45,11 +45,11 @@ TOP = 5
 #: Values of a candidate block and of a query block.
 CANDIDATE_VALUES, QUERY_VALUES = 1 << 20, 1 << 17
 #: Steps that a dimension's values are cut into.
-STEPS = 24
+STEPS = 64
 #: Shares of all postings after which the bounds are looked at.
 ROUNDS = (0.05, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
 #: Of a block's rows, the share that may be left to rescore when processing stops.
-FEW = 0.04
+FEW = 0.2
 IDS = -1
 INDEX = "block int, dim int, steps array<bigint>, ends array<bigint>, postings binary, cells binary, kind string, ids array<bigint>, rows array<bigint>"
 HITS = "query_row bigint, query_id bigint, vec_id bigint, row bigint, score bigint"
@@ -153,7 +153,7 @@ class Block:
         seen_postings = np.cumsum(self.end[used] - self.start[used])
         live = int(np.count_nonzero(query))
         bound, seen = np.zeros(self.size), np.zeros(self.size, np.int64)
-        at, least, few = 0, None, max(4 * k, int(FEW * self.size))
+        at, least, few = 0, -(1 << 60), max(4 * k, int(FEW * self.size))
         possible = others
         for share in ROUNDS if live else ():
             stop = int(np.searchsorted(seen_postings, share * seen_postings[-1], "left")) + 1
@@ -164,12 +164,13 @@ class Block:
                 adds = np.repeat(impact[part].astype(np.float64), self.end[segments] - self.start[segments])
                 bound += np.bincount(rows, adds, self.size)
                 seen += np.bincount(rows, minlength=self.size)
-            next_impact = float(impact[at]) if at < len(used) else 0.0
-            most = bound + (live - seen) * next_impact
-            if least is None:
-                # rows that lead after the first round give a first k-th best score
-                lead = others[np.argpartition(-most[others], min(8 * k, len(others) - 1))[:8 * k]]
-                least = int(np.partition(self.exact(query, lead), len(lead) - k)[len(lead) - k])
+            # the next impact of each dimension that has segments left; a row's unseen ones add no more than the largest of them
+            ahead = np.unique(self.dim[used[at:]], return_index=True)[1]
+            rest = np.r_[0.0, np.cumsum(np.sort(impact[at:][ahead].astype(np.float64))[::-1])]
+            most = bound + rest[live - seen]
+            # the rows that lead by now raise the k-th best exact score
+            lead = others[np.argpartition(-most[others], min(8 * k, len(others) - 1))[:8 * k]]
+            least = max(least, int(np.partition(self.exact(query, lead), len(lead) - k)[len(lead) - k]))
             possible = others[most[others] >= least]
             if len(possible) <= few:
                 break
