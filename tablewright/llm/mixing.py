@@ -129,5 +129,6 @@ def curriculum(docs: DataFrame, **how) -> DataFrame:
     key = how.get("key", "doc_id")
     due = plan_mix(docs, carry=True, **how).select("row", F.col(key).alias("__key"), F.explode("passes").alias("__p"))
     placed = due.select("row", "__key", F.col("__p.position").alias("__at"), F.col("__p.pass").alias("__pass"))
-    spread = placed.repartitionByRange(F.col("__at"), F.col("__key"))
+    ranges = bucket_count(2 * docs.count())  # ranges can't be split later, so their number grows with the input
+    spread = placed.repartitionByRange(ranges, F.col("__at"), F.col("__key"))
     return spread.sortWithinPartitions("__at", "__key", "__pass").select("row.*")

@@ -52,6 +52,8 @@ LAST = "</w>"
 #: Rows between entries of the row index, and bytes of a stripe.
 STRIDE, STRIPE = 1_000, 16 << 20
 LOCAL_BITS = 33
+#: Documents of one file, which is also what one task of ``catalog`` holds.
+ROWS_PER_FILE = 5_000
 
 
 class WordEncoder:
@@ -142,7 +144,8 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order)
+    files = max(1, -(-docs.count() // ROWS_PER_FILE))  # ranges can't be split later, so their number grows with the input
+    ordered = texts.repartitionByRange(files, *order).sortWithinPartitions(*order)
     coded = ordered.select("doc_id", F.monotonically_increasing_id().alias("place"), token_ids("text", vocabulary, end).alias("ids"))
     stored = coded.select("doc_id", "place", F.size("ids").cast("long").alias("n_tokens"), "ids")
     stored.write.options(**{"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
