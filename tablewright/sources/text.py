@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from ..errors import TableError, require_distinct
 from ..functions import sniff as S
 from ..table import C, Check, CheckRule, OrderKey, Table, hidden_name
+from .records import csv_records
 
 # The mapInArrow helpers below run in Python workers, which need not have
 # this package installed: ship this module's functions by value.
@@ -217,16 +218,10 @@ def _line_reason(text, sep: str, width: int):
     return F.when(text.contains('"'), with_quotes).when(count(text) > width, F.lit("CSV_ROW_WIDTH"))
 
 
-def _multi_line_records(spark, files: list[str], sep: str, names: tuple, header: bool, encoding: str) -> DataFrame:
-    """(file, text, reason) per record: the reader hands over the text of those that don't fit the header."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("text", T.StringType())])
-    raw = spark.read.schema(schema).options(**_options(sep, header, encoding, True), columnNameOfCorruptRecord="text",
-                                            columnPruning=False).csv(files)
-    plain = F.regexp_replace("text", f"(^|{re.escape(sep)})" + r'"(?:[^"]|"")*+"', "$1x")
-    cells = (F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit("")))) / len(sep) + 1
-    # Spark refuses to read the raw text alone, so a parsed cell takes part (always true).
-    reason = F.when((cells > len(names)) & (F.coalesce("c0", F.lit("")) >= ""), F.lit("CSV_ROW_WIDTH"))
-    return raw.select(F.col("_metadata.file_path").alias("file"), "text", reason.alias("reason"))
+def _judged_lines(spark, files, sep, names, header, encoding, multi_line) -> DataFrame:
+    """Lines, or with ``multi_line`` records, with the reason why one can't be taken whole."""
+    lines = csv_records(spark, files, sep, header, encoding) if multi_line else _csv_lines(spark, files, header, encoding)
+    return lines.withColumn("reason", _line_reason(F.col("text"), sep, len(names)))
 
 
 def _csv_rules(width: int) -> tuple:
@@ -241,18 +236,13 @@ def _read_csv_group(spark, files, sep, names, header, encoding, multi_line, keep
     options = _options(sep, header, encoding, multi_line)
     fp, bs, rid = (hidden_name(tag) for tag in ("file", "block", "line"))
     order = (OrderKey(fp), OrderKey(bs), OrderKey(rid)) if keep_order else ()
-    cells = lambda of: [F.coalesce(F.col(f"{of}c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
-    if multi_line:
-        df = spark.read.schema(schema).options(**options).csv(files)
-        places = [F.col("_metadata.file_path").alias(fp), F.col("_metadata.file_block_start").alias(bs), F.monotonically_increasing_id().alias(rid)]
-        check = Check(_multi_line_records(spark, files, sep, names, header, encoding), _csv_rules(len(names)))
-        return Table(df.select(*cells(""), *(places if keep_order else [])), order, (check,))
-    lines = _csv_lines(spark, files, header, encoding).withColumn("reason", _line_reason(F.col("text"), sep, len(names)))
+    lines = _judged_lines(spark, files, sep, names, header, encoding, multi_line)
     judged = Table(lines).checked(_csv_rules(len(names))) if carry else Table(lines, checks=(Check(lines, _csv_rules(len(names))),))
     parse = {k: str(options[k]) for k in ("sep", "quote", "escape", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace")}
     places = [F.col("file").alias(fp), F.col("block").alias(bs), F.col("id").alias(rid)]
     cut = judged.df.select(F.from_csv("text", schema.simpleString()[len("struct<"):-1].replace(":", " "), parse).alias("r"), "file", "block", "id")
-    return judged.derive(cut.select(*cells("r."), *(places if keep_order else [])), order)
+    cells = [F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
+    return judged.derive(cut.select(*cells, *(places if keep_order else [])), order)
 
 
 def read_csv(spark: SparkSession, path, delimiter="auto", header: bool = True, encoding: str = "utf-8",
@@ -260,8 +250,8 @@ def read_csv(spark: SparkSession, path, delimiter="auto", header: bool = True, e
     """Read CSV/TSV files as text columns.
 
     Lines at fault are found by a check of their own, a second pass, and can be looked at until then; with ``carry`` the rows
-    carry the check: whatever reads a line at fault fails.  ``multi_line`` allows quoted newlines but
-    makes each file one task, and has the check on its own."""
+    carry the check: whatever reads a line at fault fails.  ``multi_line`` allows line breaks in quoted cells, for one more
+    pass over the lines; files are split as others are."""
     from ..operators.combine import union_tables
     from ..operators.rows import limit_rows
     groups = _csv_groups(spark, path, delimiter, header, encoding)
@@ -282,10 +272,7 @@ def csv_rejects(spark: SparkSession, path, delimiter="auto", header: bool = True
     """Every record that :func:`read_csv` can't take whole, as (file, reason, text)."""
     parts = []
     for (sep, names), files in _csv_groups(spark, path, delimiter, header, encoding).items():
-        if multi_line:
-            judged = _multi_line_records(spark, files, sep, names, header, encoding)
-        else:
-            judged = _csv_lines(spark, files, header, encoding).withColumn("reason", _line_reason(F.col("text"), sep, len(names)))
+        judged = _judged_lines(spark, files, sep, names, header, encoding, multi_line)
         parts.append(judged.filter("reason is not null").select("file", "reason", "text"))
     out = spark.createDataFrame([], "file string, reason string, text string")
     for part in parts:
