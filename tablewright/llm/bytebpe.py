@@ -48,9 +48,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of the memos of a worker process.
-PIECES, PAIRS = 80 << 20, 24 << 20
+PIECES, PAIRS = 48 << 20, 16 << 20
 #: Bytes of text that are encoded at a time.
-TEXTS = 8 << 20
+TEXTS = 4 << 20
 NEVER = 1 << 60
 
 
