@@ -38,6 +38,7 @@ DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 INTEGER_PATTERN = r"^[+-]?\d+$"
 NUMBER_PATTERN = r"^[+-]?(\d+\.\d*|\d*\.\d+|\d+)([eE][+-]?\d+)?$"
 LEADING_ZERO_PATTERN = r"^[+-]?0\d"
+NO_LEADING_ZERO = r"^(?![+-]?0\d)"
 BOOLEAN_PATTERN = r"^(?i)(true|false)$"
 # ---------------------------------------------------------------------------
 
@@ -107,6 +108,33 @@ def text_class(col: Column, labels: dict | None = None) -> Column:
     )
 
 
+def visible_trim(col: Column) -> Column:
+    """:func:`js_trim` of a plain column: ends that are visible ASCII leave nothing to trim, which is cheaper to see."""
+    last = F.substring(col, -1, 1)
+    return F.when((col >= "!") & (col < "\x7f") & (last >= "!") & (last < "\x7f"), col).otherwise(js_trim(col))
+
+
+def trimmed_class(t: Column, labels: dict) -> Column:
+    """:func:`text_class` of a column that holds trimmed text.  Comparing it with single characters tells
+    what it starts with, so that one pattern or two are left to match."""
+    lab = lambda name: F.lit(labels[name])
+    starts = lambda first, last: (t >= first) & (t < chr(ord(last) + 1))
+    dashed = starts("0", "9") & (F.substring(t, 5, 1) == "-")
+    real_date = (F.length(t) == 10) & t.rlike(DATE_PATTERN) & t.try_cast("date").isNotNull() & (t >= "0100")
+    return (
+        F.when(t.isNull(), F.lit(None))
+        .when(t == "", lab("none"))
+        .when(starts("f", "f") | starts("t", "t") | starts("F", "F") | starts("T", "T"),
+              F.when(t.rlike(BOOLEAN_PATTERN), lab("boolean")).otherwise(lab("string")))
+        .when(~(starts("0", "9") | starts("+", ".")), lab("string"))
+        .when(dashed & real_date, lab("date"))
+        .when(dashed & t.rlike(TIMESTAMP_PATTERN) & parse_timestamp(t).isNotNull(), lab("timestamp"))
+        .when(t.rlike(NO_LEADING_ZERO + NUMBER_PATTERN[1:]),  # an integer is a number without point and exponent
+              F.when(t.contains(".") | t.contains("e") | t.contains("E"), lab("number")).otherwise(lab("integer")))
+        .otherwise(lab("string"))
+    )
+
+
 def cell_class(col: Column, dtype: T.DataType, labels: dict | None = None) -> Column:
     """Class of any cell given its Spark type."""
     lab = (lambda name: F.lit(labels[name])) if labels else (lambda name: F.lit(name))
