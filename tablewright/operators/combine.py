@@ -11,7 +11,7 @@ Rows with null keys on a kept side can never match and would all land in one
 shuffle partition; a second join key, a row hash that is set only there, deals
 them out in the same pass.  A full join is the one kind whose skewed partitions are never split:
 with ``hot_rows`` the rows of both sides are counted per bucket of a key hash, and buckets of that many rows or
-more are joined apart, as an inner join with a salt plus the rows of either side without a partner.
+more are joined apart, as an inner join of parts dealt out by a salt plus the rows of either side without a partner.
 
 Union: by name (first-seen column order, missing columns null) or by
 position, with types widened first so that ANSI mode never fails at run time.
@@ -64,8 +64,8 @@ def _key_pair(lcol: Column, ldt: T.DataType, rcol: Column, rdt: T.DataType) -> C
     return lcol == rcol
 
 
-#: Buckets of the key hash that hot keys are looked for in, and rows that make one hot.
-HOT_BUCKETS, HOT_ROWS = 1 << 16, 2_000_000
+#: Buckets of the key hash that hot keys are looked for in, rows that make one hot, and rows that a part of a hot bucket has at most if hot_rows is less.
+HOT_BUCKETS, HOT_ROWS, CELL_ROWS = 1 << 16, 2_000_000, 20_000
 
 
 def _join_bucket(cols: list[Column], dtypes: list[tuple]) -> Column:
@@ -79,38 +79,44 @@ def _join_bucket(cols: list[Column], dtypes: list[tuple]) -> Column:
     return F.pmod(F.xxhash64(*[plain(c, p) for c, p in zip(cols, dtypes)]), F.lit(HOT_BUCKETS))
 
 
-def _hot_buckets(sides: list[tuple], hot_rows: int) -> dict[int, list[int]]:
-    """{bucket: rows on each side} of the buckets with ``hot_rows`` rows or more on a side: one count of at most HOT_BUCKETS rows per side."""
+def _hot_buckets(sides: list[tuple], hot_rows: int) -> list[tuple]:
+    """(bucket, left rows, right rows) of the buckets with ``hot_rows`` rows or more on a side: one count of at most HOT_BUCKETS rows per side."""
     counted = _union_all([df.filter(reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])).select(bucket.alias("b"), F.lit(i).alias("side"))
                           for i, (df, keys, bucket) in enumerate(sides)])
     most = counted.groupBy("b").agg(*[F.count_if(F.col("side") == i).alias(f"n{i}") for i in (0, 1)])
-    return {r["b"]: [r["n0"], r["n1"]] for r in most.filter((F.col("n0") >= hot_rows) | (F.col("n1") >= hot_rows)).collect()}
+    return [tuple(r) for r in most.filter((F.col("n0") >= hot_rows) | (F.col("n1") >= hot_rows)).collect()]
 
 
-def _full_join(ldf: DataFrame, rdf: DataFrame, same: Column, keys: tuple, buckets: tuple, hot: dict, hot_rows: int, rest) -> DataFrame:
+def _parts(left_rows: int, right_rows: int, hot_rows: int) -> tuple[int, int]:
+    """Parts that the two sides of a hot bucket are dealt into.  A part has as many rows as the smaller side, within hot_rows
+    and CELL_ROWS, so copies come to little more than the larger side or to 2 / CELL_ROWS of the pairs."""
+    size = max(hot_rows, min(left_rows, right_rows, CELL_ROWS))
+    return max(1, -(-left_rows // size)), max(1, -(-right_rows // size))
+
+
+def _full_join(ldf: DataFrame, rdf: DataFrame, same: Column, keys: tuple, buckets: tuple, hot: list, hot_rows: int, rest) -> DataFrame:
     """Full join whose hot buckets are joined apart; ``rest`` joins the other rows.
 
-    Hot rows meet in an inner join: the larger side of a bucket is dealt out by a salt, the other copied once per salt.  Rows without a
-    partner are found against the other side's distinct keys in the hot buckets."""
-    lb, rb, salt = hidden_name("lb"), hidden_name("rb"), hidden_name("salt")
+    Hot rows meet in an inner join: each side of a bucket is dealt into parts, and a row is copied once per part of the other side, so
+    every two rows meet in one cell.  Rows without a partner are found against the other side's distinct keys in the hot buckets."""
+    lb, rb, cell, at, ln, rn = map(hidden_name, ("lb", "rb", "cell", "at", "ln", "rn"))
     ldf, rdf = ldf.withColumn(lb, buckets[0]), rdf.withColumn(rb, buckets[1])
-    chosen = list(hot)
-    lhot, rhot = (F.coalesce(C(b).isin(chosen), F.lit(False)) for b in (lb, rb))
-    cold = rest(ldf.filter(~lhot).drop(lb), rdf.filter(~rhot).drop(rb))
-    lrows, rrows = ldf.filter(lhot), rdf.filter(rhot)
-
-    def salts(side: int, bucket: str) -> Column:
-        """Salts of a hot row: one of n on the larger side of its bucket, all n on the other."""
-        cases = F.lit(None).cast("array<long>")
-        for b, counts in hot.items():
-            n = -(-max(counts) // hot_rows) + 1
-            own = F.array(F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("long")) if counts[side] == max(counts) and (side == 0 or counts[0] < counts[1]) \
-                else F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")
-            cases = F.when(C(bucket) == b, own).otherwise(cases)
-        return F.explode(cases)
-
-    lsalt, rsalt = lrows.withColumn(salt, salts(0, lb)), rrows.withColumn(f"{salt}r", salts(1, rb))
-    both = lsalt.join(rsalt, same & (C(salt) == C(f"{salt}r")) & (C(lb) == C(rb)), "inner").drop(salt, f"{salt}r")
+    # a row per bucket, not an expression: there may be thousands
+    parts = ldf.sparkSession.createDataFrame([(b, *_parts(n0, n1, hot_rows)) for b, n0, n1 in hot], f"{at} long, {ln} long, {rn} long")
+    chosen = lambda df, b, how: df.join(F.broadcast(parts if how == "inner" else parts.select(at)), C(b) == C(at), how)
+    cold = rest(chosen(ldf, lb, "left_anti").drop(lb), chosen(rdf, rb, "left_anti").drop(rb))
+    lrows, rrows = chosen(ldf, lb, "left_semi"), chosen(rdf, rb, "left_semi")
+
+    def celled(df: DataFrame, b: str, mine: str, other: str, cell_of, name: str) -> DataFrame:
+        own = F.pmod(F.monotonically_increasing_id(), C(mine))
+        dealt = chosen(df, b, "inner").withColumn(name, own)
+        copies = F.transform(F.sequence(F.lit(0).cast("long"), C(other) - 1), lambda o: cell_of(C(name), o))
+        return dealt.withColumn(name, F.explode(copies)).drop(at, ln, rn)
+
+    lcells = celled(ldf, lb, ln, rn, lambda own, o: own * C(rn) + o, cell)
+    rcells = celled(rdf, rb, rn, ln, lambda own, o: o * C(rn) + own, f"{cell}r")
+    # sizes are estimated without the copies, so Spark must not choose to broadcast them
+    both = lcells.hint("merge").join(rcells, same & (C(cell) == C(f"{cell}r")) & (C(lb) == C(rb)), "inner").drop(cell, f"{cell}r")
     lkeys = lrows.select(*[k for k in keys[0]], C(lb)).distinct()
     rkeys = rrows.select(*[k for k in keys[1]], C(rb)).distinct()
     lonely = _pad(lrows.join(rkeys, same & (C(lb) == C(rb)), "left_anti"), rrows)
