@@ -42,7 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 2
 #: Bytes of a worker's memo, words encoded by one call, and bytes of text split at a time.
-WORDS, BATCH, TEXTS = 96 << 20, 4_000, 8 << 20
+WORDS, BATCH, TEXTS = 96 << 20, 4_000, 12 << 20
 #: Marks that part from the word before them, and what may stand before them.
 MARKS, BEFORE = frozenset(".,;:!?|"), frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 #: A special token, which parts words that are encoded by one call.
@@ -88,13 +88,12 @@ class WordEncoder:
     def learn(self, words: list) -> dict:
         """Ids of distinct words that the memo does not hold."""
         parted = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and w[-1] in MARKS and w[-2] in BEFORE}
-        out = {}
-        for x in itertools.chain((w for w in words if w not in parted), *parted.values()):
-            if x not in out:
-                out[x] = self.known.get(x) or self.known.older.get(x)
-        new = [w for w, ids in out.items() if ids is None]
+        plain = dict.fromkeys(w for w in words if w not in parted) if parted else words
+        held, older = self.known.get, self.known.older.get
+        # whole words are known to be missing; only what parted words consist of may be held
+        out = {x: held(x) or older(x) for x in set(itertools.chain.from_iterable(parted.values())).difference(plain)}
         letters, others, odd = [], [], []
-        for w in new:
+        for w in itertools.chain(plain, [x for x, ids in out.items() if ids is None]):
             (letters if w.isalpha() else odd if "<|" in w else others).append(w)
         for group, between in ((letters, " "), (others, FENCE)):
             for at in range(0, len(group), BATCH):
@@ -102,7 +101,9 @@ class WordEncoder:
                 done = self.together(part, between)
                 out |= done or {w: self.alone(w) for w in part}
         out |= {w: self.alone(w) for w in odd}
-        return {w: out[parted[w][0]] + out[parted[w][1]] if w in parted else out[w] for w in words}
+        found = {w: out[w] for w in plain}
+        found.update((w, out[a] + out[b]) for w, (a, b) in parted.items())
+        return found
 
     def encode(self, texts: list) -> list:
         """Per text, its ids as little-endian unsigned 32-bit integers."""
@@ -115,7 +116,7 @@ class WordEncoder:
         # special tokens are told by their case, so texts that may hold one keep theirs
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         coded = lists.flatten().dictionary_encode()
-        ids, ends = gathered(self.known.many(coded.dictionary.to_pylist(), self.learn), coded.indices.to_numpy())
+        ids, ends = gathered(self.known.many(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.learn), coded.indices.to_numpy())
         per_text = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
         return ids, np.r_[0, ends][per_text]
 

@@ -58,7 +58,7 @@ def slices(column, size: int):
 
 def gathered(lists: list, codes) -> tuple:
     """(ids, ends): the ids (given as bytes, 4 each) that ``codes`` name, one after the other, and where those of each code end."""
-    sizes = np.fromiter((len(x) // 4 for x in lists), np.int64, len(lists))
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
     ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(lists), "<u4")))
     return ids.take(pa.array(codes)).flatten().to_numpy(), np.cumsum(sizes[codes])
 
