@@ -4,7 +4,8 @@ One ``groupBy().agg()`` per node: Spark plans a partial (map-side) hash
 aggregate, a shuffle on the group keys, and a final aggregate, so a hot key
 is collapsed to one row per map task before it is shuffled.  Without group
 columns it is a global aggregate that returns exactly one row, also on empty
-input.
+input.  A union is where Spark's compiled loops end, so on a table in two parts (a full join with
+hot keys) the part of many rows is aggregated in the stage that makes these rows, before the union.
 
 Text columns keep the reference's dynamic typing: ``sum``/``average`` parse
 numbers from text (a non-numeric cell is an ``AGGREGATE_NUMERIC_REQUIRED``
@@ -14,8 +15,10 @@ sort key (numbers by value, text in natural order) via ``min_by``/``max_by``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +75,44 @@ def _text_extreme(col, table_order_value, operation):
     return F.max_by(col, key)
 
 
+@dataclass(frozen=True)
+class Step:
+    """One column of a result in steps: its share of a part, the same of one row, and the shares put together."""
+    share: Column
+    of_row: Column
+    merge: Callable[[Column], Column]
+
+
+def _steps(fn: str, value: Column) -> list[Step]:
+    """How an aggregate of typed values is made in steps; an average has two shares."""
+    if fn == "count":
+        return [Step(F.count(F.lit(1)), F.lit(1), F.sum)]
+    if fn == "average":
+        value = value.cast("double")
+        return [*_steps("sum", value), Step(F.count(value), value.isNotNull().cast("long"), F.sum)]
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}[fn]
+    return [Step(fold(value), value, fold)]
+
+
+def _in_steps(parts: tuple, names: list[str], made: dict[str, tuple[str, Column]]) -> DataFrame:
+    """The aggregates ``made`` ({name: (function, value)}) of a table in two parts.  The first is aggregated by itself;
+    rows of the second are put in the form of its result, and both are aggregated together."""
+    many, few = parts
+    keys = [C(n) for n in names]
+    steps = {(name, i): (hidden_name("share"), step) for name, how in made.items() for i, step in enumerate(_steps(*how))}
+    shares = many.groupBy(*keys).agg(*[step.share.alias(at) for at, step in steps.values()])
+    rows = few.select(*keys, *[step.of_row.cast(shares.schema[at].dataType).alias(at) for at, step in steps.values()])
+    merged = shares.unionByName(rows).groupBy(*keys).agg(*[step.merge(C(at)).alias(at) for at, step in steps.values()])
+
+    def whole(name: str) -> Column:
+        at = C(steps[name, 0][0])
+        if made[name][0] != "average":
+            return at
+        n = C(steps[name, 1][0])
+        return F.when(n > 0, at / n)
+    return merged.select(*keys, *[whole(name).alias(name) for name in made])
+
+
 def group_by(table, groups=None, aggregates=None) -> Table:
     table = as_table(table)
     names, rules = _settings(table, groups, aggregates)
@@ -81,10 +122,12 @@ def group_by(table, groups=None, aggregates=None) -> Table:
     if table.order and (names or any(r.operation == "min" for r in rules)):
         src, ov = table.order_value()
     aggs, checks = [], []
+    made = {}  # aggregates that can be made in steps
     for rule in rules:
         op, name, alias = rule.operation, rule.column, rule.name
         if op == "count":
             aggs.append(F.count(F.lit(1)).alias(alias))
+            made[alias] = op, F.lit(1)
             continue
         col, dtype = C(name), table.dtype(name)
         if op in ("sum", "average"):
@@ -93,6 +136,7 @@ def group_by(table, groups=None, aggregates=None) -> Table:
                 value = col if op == "sum" and not isinstance(dtype, T.DecimalType) else col.cast("double")
                 # Typed numbers need no check job (NaN/Infinity propagate, see README).
                 aggs.append(fn(value).alias(alias))
+                made[alias] = op, value
                 continue
             if isinstance(dtype, T.StringType):
                 num = S.number_of_text(S.js_trim(col))
@@ -112,13 +156,17 @@ def group_by(table, groups=None, aggregates=None) -> Table:
             aggs.append(_text_extreme(text, ov, op).alias(alias))
         else:
             aggs.append((F.min if op == "min" else F.max)(col).alias(alias))
+            made[alias] = op, col
 
     order = ()
     if names:
         if ov is not None:
             first = hidden_name("first")
             aggs.append(F.min(ov).alias(first))
+            made[first] = "min", ov
             order = (OrderKey(first),)
+    if src.parts and len(made) == len(aggs):
+        return Table(_in_steps(src.parts, names, made), order, src.checks, carried=src.carried)
     if checks:
         src = src.checked(checks)
     df = src.df.groupBy(*[C(n) for n in names]).agg(*aggs) if names else src.df.agg(*aggs)

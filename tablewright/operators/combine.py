@@ -52,20 +52,28 @@ def joined_right_names(left_columns, right_columns) -> dict[str, str]:
     return names
 
 
-def _key_pair(lcol: Column, ldt: T.DataType, rcol: Column, rdt: T.DataType) -> Column | None:
-    """Equality of one key pair, or None when the families can never match."""
+def _key_pair(lcol: Column, ldt: T.DataType, rcol: Column, rdt: T.DataType) -> tuple[Column, Column] | None:
+    """What is compared of one key pair, or None when the families can never match."""
     lf, rf = S.family(ldt), S.family(rdt)
     if lf != rf:
         return None
     if lf == "time":
-        return lcol.cast("timestamp") == rcol.cast("timestamp")
+        return lcol.cast("timestamp"), rcol.cast("timestamp")
     if isinstance(ldt, T.MapType) or isinstance(rdt, T.MapType):
-        return F.to_json(lcol) == F.to_json(rcol)
-    return lcol == rcol
+        return F.to_json(lcol), F.to_json(rcol)
+    return lcol, rcol
+
+
+def _equal(compared: list[tuple]) -> Column:
+    return reduce(lambda a, b: a & b, [a == b for a, b in compared])
 
 
 #: Buckets of the key hash that hot keys are looked for in, rows that make one hot, and rows that a part of a hot bucket has at most if hot_rows is less.
 HOT_BUCKETS, HOT_ROWS, CELL_ROWS = 1 << 16, 2_000_000, 20_000
+#: Pairs of hot rows that a task is to make: a few seconds of work, so that tasks are many enough to end together.
+TASK_PAIRS = 50_000_000
+#: Types that a join compares as they are (it normalizes fractions first).
+DEALT_TYPES = (T.IntegralType, T.StringType, T.BooleanType, T.DecimalType, T.TimestampType)
 
 
 def _join_bucket(cols: list[Column], dtypes: list[tuple]) -> Column:
@@ -94,12 +102,19 @@ def _parts(left_rows: int, right_rows: int, hot_rows: int) -> tuple[int, int]:
     return max(1, -(-left_rows // size)), max(1, -(-right_rows // size))
 
 
-def _full_join(ldf: DataFrame, rdf: DataFrame, same: Column, keys: tuple, buckets: tuple, hot: list, hot_rows: int, rest) -> DataFrame:
-    """Full join whose hot buckets are joined apart; ``rest`` joins the other rows.
+def _cell_tasks(hot: list[tuple], hot_rows: int) -> int:
+    """Tasks for the join of the cells: by its pairs, as a shuffle of few bytes would get few tasks, but no more than cells."""
+    cells = sum(ln * rn for ln, rn in (_parts(n0, n1, hot_rows) for _, n0, n1 in hot))
+    return min(cells, sum(n0 * n1 for _, n0, n1 in hot) // TASK_PAIRS)
+
+
+def _full_join(ldf: DataFrame, rdf: DataFrame, compared: list[tuple], keys: tuple, buckets: tuple, hot: list, hot_rows: int, rest) -> list[DataFrame]:
+    """Full join whose hot buckets are joined apart, as two DataFrames: pairs of hot rows, and all else; ``rest`` joins the other rows.
 
     Hot rows meet in an inner join: each side of a bucket is dealt into parts, and a row is copied once per part of the other side, so
     every two rows meet in one cell.  Rows without a partner are found against the other side's distinct keys in the hot buckets."""
     lb, rb, cell, at, ln, rn = map(hidden_name, ("lb", "rb", "cell", "at", "ln", "rn"))
+    same = _equal(compared)
     ldf, rdf = ldf.withColumn(lb, buckets[0]), rdf.withColumn(rb, buckets[1])
     # a row per bucket, not an expression: there may be thousands
     parts = ldf.sparkSession.createDataFrame([(b, *_parts(n0, n1, hot_rows)) for b, n0, n1 in hot], f"{at} long, {ln} long, {rn} long")
@@ -115,6 +130,13 @@ def _full_join(ldf: DataFrame, rdf: DataFrame, same: Column, keys: tuple, bucket
 
     lcells = celled(ldf, lb, ln, rn, lambda own, o: own * C(rn) + o, cell)
     rcells = celled(rdf, rb, rn, ln, lambda own, o: o * C(rn) + own, f"{cell}r")
+    tasks = _cell_tasks(hot, hot_rows)
+    lks, rks = zip(*compared)
+    alike = lrows.select(*lks).union(rrows.select(*rks)).schema
+    if tasks > int(ldf.sparkSession.conf.get("spark.sql.shuffle.partitions")) and all(isinstance(f.dataType, DEALT_TYPES) for f in alike):
+        # by all that the join compares, in its types: the join then needs no shuffle of its own
+        lcells = lcells.repartition(tasks, *[k.cast(f.dataType) for k, f in zip(lks, alike)], C(cell), C(lb))
+        rcells = rcells.repartition(tasks, *[k.cast(f.dataType) for k, f in zip(rks, alike)], C(f"{cell}r"), C(rb))
     # sizes are estimated without the copies, so Spark must not choose to broadcast them
     both = lcells.hint("merge").join(rcells, same & (C(cell) == C(f"{cell}r")) & (C(lb) == C(rb)), "inner").drop(cell, f"{cell}r")
     lkeys = lrows.select(*[k for k in keys[0]], C(lb)).distinct()
@@ -122,7 +144,7 @@ def _full_join(ldf: DataFrame, rdf: DataFrame, same: Column, keys: tuple, bucket
     lonely = _pad(lrows.join(rkeys, same & (C(lb) == C(rb)), "left_anti"), rrows)
     ronely = _pad(rrows.join(lkeys, same & (C(lb) == C(rb)), "left_anti"), lrows)
     columns = [*ldf.drop(lb).columns, *rdf.drop(rb).columns]
-    return _union_all([d.select(*[C(c) for c in columns]) for d in (cold, both, lonely, ronely)])
+    return [both, _union_all([d.select(*[C(c) for c in columns]) for d in (cold, lonely, ronely)])]
 
 
 def join_tables(left, right, type: str = "inner", keys=None, hot_rows: int | None = None) -> Table:
@@ -156,48 +178,45 @@ def join_tables(left, right, type: str = "inner", keys=None, hot_rows: int | Non
         ldf = ldf.withColumn(lmark, F.lit(True))
         rdf = rdf.withColumn(rmark, F.lit(True))
 
-    conds = []
-    for lk, rk in pairs:
-        cond = _key_pair(C(lk), left.dtype(lk), C(names[rk]), right.dtype(rk))
-        conds.append(cond)
+    compared = [_key_pair(C(lk), left.dtype(lk), C(names[rk]), right.dtype(rk)) for lk, rk in pairs]
     out_cols = left.columns + [names[c] for c in right.columns]
 
-    if any(c is None for c in conds):
-        joined = _never_matching(ldf, rdf, how)
+    if any(c is None for c in compared):
+        made = [_never_matching(ldf, rdf, how)]
     elif how == "inner":
-        joined = ldf.join(rdf, reduce(lambda a, b: a & b, conds), how)
+        made = [ldf.join(rdf, _equal(compared), how)]
     else:
         # Rows with a null key never match but are kept: a second key deals them out.  It is 0
         # where no key is null, and else a row hash, even on the left and odd on the right.
         lsalt, rsalt = hidden_name("ls"), hidden_name("rs")
-        same, lkeys, rkeys = reduce(lambda a, b: a & b, conds), [C(lk) for lk, _ in pairs], [C(names[rk]) for _, rk in pairs]
+        lkeys, rkeys = [C(lk) for lk, _ in pairs], [C(names[rk]) for _, rk in pairs]
 
         def kept(a: DataFrame, b: DataFrame) -> DataFrame:
             a, b = a.withColumn(lsalt, _null_salt(lkeys, a, 0)), b.withColumn(rsalt, _null_salt(rkeys, b, 1))
-            return a.join(b, same & (C(lsalt) == C(rsalt)), how).drop(lsalt, rsalt)
+            return a.join(b, _equal(compared) & (C(lsalt) == C(rsalt)), how).drop(lsalt, rsalt)
 
         hot = {}
         if how == "full" and hot_rows:
             pair_types = [(left.dtype(lk), right.dtype(rk)) for lk, rk in pairs]
             buckets = _join_bucket(lkeys, pair_types), _join_bucket(rkeys, [(b, a) for a, b in pair_types])
             hot = _hot_buckets([(ldf, lkeys, buckets[0]), (rdf, rkeys, buckets[1])], hot_rows)
-        joined = _full_join(ldf, rdf, same, (lkeys, rkeys), buckets, hot, hot_rows, kept) if hot else kept(ldf, rdf)
+        made = _full_join(ldf, rdf, compared, (lkeys, rkeys), buckets, hot, hot_rows, kept) if hot else [kept(ldf, rdf)]
 
     hidden = [h for h in ldf.columns if h.startswith("__tw_")] + [h for h in rdf.columns if h.startswith("__tw_")]
-    joined = joined.select(*[C(c) for c in out_cols], *[C(h) for h in hidden])
+    made = [d.select(*[C(c) for c in out_cols], *[C(h) for h in hidden]) for d in made]
     order = ()
     if ordered:
         side = hidden_name("side")
         if how == "right":
-            joined = joined.withColumn(side, F.lit(0))
+            place = F.lit(0)
             order = right_order + left.order
         else:
             # full: left-ordered rows first, then unmatched right rows
-            joined = joined.withColumn(side, F.when(C(lmark).isNull(), F.lit(1)).otherwise(F.lit(0)))
+            place = F.when(C(lmark).isNull(), F.lit(1)).otherwise(F.lit(0))
             order = (OrderKey(side),) + left.order + right_order
-        joined = joined.drop(lmark, rmark)
+        made = [d.withColumn(side, place).drop(lmark, rmark) for d in made]
     meta = {"column_map": dict(names)}
-    return Table(joined, order, merge_checks(left, right), meta)
+    return Table(_union_all(made), order, merge_checks(left, right), meta, parts=tuple(made) if len(made) == 2 else None)
 
 
 def _null_salt(keys: list[Column], df: DataFrame, side: int) -> Column:

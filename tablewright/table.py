@@ -108,13 +108,15 @@ class Check:
 class Table:
     """Immutable pair of a DataFrame and its row order."""
 
-    def __init__(self, df: DataFrame, order=(), checks=(), meta: dict | None = None, carried=()):
+    def __init__(self, df: DataFrame, order=(), checks=(), meta: dict | None = None, carried=(), parts: tuple | None = None):
         self.df = df
         self.order = tuple(order)
         self.checks = tuple(checks)
         self.meta = dict(meta or {})
         #: checks that any action on all rows of ``df`` is sure to make
         self.carried = frozenset(carried)
+        #: two DataFrames of which ``df`` is the union, first the one with far more rows than its inputs; None for most tables
+        self.parts = parts
 
     # -- shape ---------------------------------------------------------------
     @property
