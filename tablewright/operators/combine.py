@@ -103,9 +103,11 @@ def _parts(left_rows: int, right_rows: int, hot_rows: int) -> tuple[int, int]:
 
 
 def _cell_tasks(hot: list[tuple], hot_rows: int) -> int:
-    """Tasks for the join of the cells: by its pairs, as a shuffle of few bytes would get few tasks, but no more than cells."""
-    cells = sum(ln * rn for ln, rn in (_parts(n0, n1, hot_rows) for _, n0, n1 in hot))
-    return min(cells, sum(n0 * n1 for _, n0, n1 in hot) // TASK_PAIRS)
+    """Tasks for the join of the cells: by its pairs, as a shuffle of few bytes would get few tasks.  With a few times the cells,
+    most of those that have pairs get a task of their own, though a hash deals them out."""
+    met = [(n0, n1) for _, n0, n1 in hot if n0 and n1]
+    cells = sum(ln * rn for ln, rn in (_parts(n0, n1, hot_rows) for n0, n1 in met))
+    return min(4 * cells, sum(n0 * n1 for n0, n1 in met) // TASK_PAIRS)
 
 
 def _full_join(ldf: DataFrame, rdf: DataFrame, compared: list[tuple], keys: tuple, buckets: tuple, hot: list, hot_rows: int, rest) -> list[DataFrame]:

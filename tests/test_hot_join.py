@@ -111,7 +111,7 @@ def test_hot_pairs_are_joined_and_aggregated_in_one_stage(spark):
 
 def test_cells_are_dealt_to_tasks_by_their_pairs(spark, monkeypatch):
     """The shuffle before the pairs has few bytes, so they were left to a few tasks, of which some had twice the pairs of others."""
-    assert combine._cell_tasks([(1, 4_500_000, 18_000)], 200) == 250 and combine._cell_tasks([(1, 750_000, 3_000)], 200) == 45
+    assert combine._cell_tasks([(1, 4_500_000, 18_000)], 200) == 4 * 250 and combine._cell_tasks([(1, 750_000, 3_000), (2, 0, 30_000)], 200) == 45
     assert combine._cell_tasks([(1, 300, 200), (2, 0, 5_000)], 200) == 0
     left, right = sides(spark)[0], make_table(spark, [(i, i % 4) for i in range(120)] + [(500, None)], "b int, k long", False)
     fractions = Table(right.df.withColumn("k", F.col("k").cast("double")))
